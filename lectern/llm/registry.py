@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import pieces, ring, simhash
+from lectern.llm import mixing, pieces, ring, secrets, simhash
 
 QUERIES = {
+    "op5_secrets": secrets.op5_secrets,
     "op6_simhash": simhash.op6_simhash,
     "op8_sharding": ring.op8_sharding,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_mixing": mixing.op10_mixing,
 }
 #: Only what SQL expresses; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}
