@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, pieces, ring, secrets, simhash
+from lectern.llm import mixing, ngram, pieces, ring, secrets, simhash
 
 QUERIES = {
+    "op1_quality": ngram.op1_quality,
     "op5_secrets": secrets.op5_secrets,
     "op6_simhash": simhash.op6_simhash,
     "op8_sharding": ring.op8_sharding,
