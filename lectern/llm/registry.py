@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, ngram, pieces, ring, secrets, simhash
+from lectern.llm import mixing, ngram, pieces, ring, secrets, simhash, tagger, topk
 
 QUERIES = {
     "op1_quality": ngram.op1_quality,
+    "op3_topk": topk.op3_topk,
+    "op4_langid": tagger.op4_langid,
     "op5_secrets": secrets.op5_secrets,
     "op6_simhash": simhash.op6_simhash,
     "op8_sharding": ring.op8_sharding,
@@ -13,4 +15,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 #: Only what SQL expresses; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op3_topk": topk.SQL, "op10_mixing": mixing.SQL}
