@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, ngram, pieces, ring, secrets, simhash, tagger, topk
+from lectern.llm import hmm, mixing, ngram, pieces, ring, secrets, simhash, tagger, topk
 
 QUERIES = {
     "op1_quality": ngram.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_langid": tagger.op4_langid,
     "op5_secrets": secrets.op5_secrets,
     "op6_simhash": simhash.op6_simhash,
+    "op7_hmm": hmm.op7_hmm,
     "op8_sharding": ring.op8_sharding,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
