@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import hmm, mixing, ngram, pieces, ring, secrets, simhash, tagger, topk
+from lectern.llm import hmm, mixing, ngram, pieces, ring, secrets, simhash, suffixes, tagger, topk
 
 QUERIES = {
     "op1_quality": ngram.op1_quality,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_topk": topk.op3_topk,
     "op4_langid": tagger.op4_langid,
     "op5_secrets": secrets.op5_secrets,
