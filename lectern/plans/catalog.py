@@ -1,10 +1,731 @@
-"""The core queries and their DuckDB counterparts."""
+"""The core queries and their DuckDB counterparts.
+
+Every query runs over its whole tables; a limit stands only where the operator is a page or a top-k.  Scores are rounded to six
+places, since sums of doubles depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import ranking, rules
+from lectern.functions import text as T
+from lectern.operators import evals, lines, links, memory, search, symbols, workspace
+from lectern.operators.index import Index
+from lectern.plans import adapters as A
+from lectern.plans import oracle as O
+from lectern.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+OR_QUERY = "which thinge leaux elles aionquer therouous stessing"
+AND_QUERY = "elle leaux"
+PHRASE_QUERY = "de-la elle"
+MEMORY_QUERY = "latest éenai thereou anonesen leaux eneauen"
+TEXT_TAIL = "round(score, 6)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# --- full-text search -------------------------------------------------------------------------------------------
+
+
+def _top(any_term: bool, two: bool, text: str, k: int, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+        columns = search.text_columns("text")[: 2 if two else 1]
+        found = search.bm25(docs, text, columns, any_term=any_term, keep=["doc_id"])
+        return rounded(found.orderBy(F.desc("score"), "doc_id").offset(offset).limit(k), "score")
+
+    return run
+
+
+def _top_sql(any_term: bool, two: bool, text: str, k: int, offset: int = 0) -> str:
+    return f"WITH {O.bm25('documents', 'doc_id', 'text', text, any_term=any_term, two=two)} SELECT doc_id, {TEXT_TAIL} AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT {k} OFFSET {offset}"
+
+
+for _name, _args in {"bm25_or_topk": (True, False, OR_QUERY, 20), "bm25_and_topk": (False, False, AND_QUERY, 20), "bm25_two_column": (True, True, OR_QUERY, 20), "bm25_phrase": (False, False, PHRASE_QUERY, 20), "search_page_offset": (True, True, "elle unde thens", 15, 30)}.items():
+    query(_name, _top_sql(*_args))(_top(*_args))
+
+
+@query("bm25_all_matches", f"WITH {O.bm25('documents', 'doc_id', 'text', OR_QUERY, any_term=True)} SELECT doc_id, {TEXT_TAIL} AS score FROM scored")
+def bm25_all_matches(spark, sf_dir):
+    """Every match with its score."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rounded(search.bm25(docs, OR_QUERY, search.text_columns("text"), any_term=True, keep=["doc_id"]), "score")
+
+
+@query("match_count", f"WITH {O.bm25('documents', 'doc_id', 'text', AND_QUERY)} SELECT count(*) AS total FROM scored")
+def match_count(spark, sf_dir):
+    return search.match_count(A.table(spark, sf_dir, "documents").select("doc_id", "text"), AND_QUERY, text_col="text")
+
+
+@query("search_filtered", f"WITH {A.FILES_SQL}, {O.bm25('files', 'file_id', 'text', OR_QUERY, any_term=True, keep='tags, mime_type, source, created_at')} SELECT file_id, {TEXT_TAIL} AS score FROM scored WHERE list_contains(tags, 'en') AND mime_type = 'text/plain' AND source <> 'src1' AND created_at >= TIMESTAMP '2023-02-01' ORDER BY scored.score DESC, file_id LIMIT 20")
+def search_filtered(spark, sf_dir):
+    """Filters on tags, MIME type, metadata and time; totals stay those of the whole table."""
+    files = A.files(spark, sf_dir).drop("filename", "source_path", "file_size", "status", "updated_at")
+    found = search.bm25(files, OR_QUERY, search.text_columns("text"), any_term=True, keep=["file_id", "tags", "mime_type", "metadata", "created_at"])
+    found = search.filtered(found, tags=["en"], mime="text/plain", created_after="2023-02-01").where(F.get_json_object("metadata", "$.source") != "src1")
+    return rounded(found.select("file_id", "score").orderBy(F.desc("score"), "file_id").limit(20), "score")
+
+
+@query("search_batch")
+def search_batch(spark, sf_dir):
+    """Every benchmark passage as a query over an index of all documents: ten best documents each."""
+    index = Index.build(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.token_set(F.col("text")).alias("terms"))
+    return rounded(index.search(asked, 10), "score")
+
+
+ORACLES["search_batch"] = f"""WITH toks AS (SELECT doc_id, {O.index_tokens('text')} AS t0, {O.expansion('text')} AS t1 FROM documents),
+len_ AS (SELECT doc_id, len(t0) + len(t1) AS n FROM toks), tot AS (SELECT count(*) AS docs, avg(n) AS avg_ FROM len_),
+post AS (SELECT doc_id, w, sum(v) AS f FROM (SELECT doc_id, unnest(t0) AS w, 1.0 AS v FROM toks UNION ALL SELECT doc_id, unnest(t1) AS w, {rules.EXPANSION_WEIGHT} AS v FROM toks) GROUP BY ALL),
+asked AS (SELECT item_id AS query_id, unnest({O.token_set('text')}) AS w FROM benchmark),
+df AS (SELECT w, count(*) AS n FROM post WHERE w IN (SELECT w FROM asked) GROUP BY w),
+idf AS (SELECT w, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE {rules.LEAST_IDF} END AS idf FROM df, tot),
+s AS (SELECT query_id, doc_id AS id, sum(idf * f * {rules.K1 + 1} / (f + {rules.K1} * (1 - {rules.B} + {rules.B} * n / avg_))) AS score FROM asked JOIN post USING (w) JOIN idf USING (w) JOIN len_ USING (doc_id), tot GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+
+
+@query("highlight", "SELECT doc_id, CASE WHEN hit IS NULL THEN substr(text, 1, 150) ELSE CASE WHEN greatest(0, hit - 81) > 0 THEN '...' ELSE '' END || substr(text, greatest(0, hit - 81) + 1, least(length(text), hit + 79) - greatest(0, hit - 81)) || CASE WHEN hit + 79 < length(text) THEN '...' ELSE '' END END AS highlight FROM (SELECT doc_id, text, least(nullif(instr(lower(text), 'leaux'), 0), nullif(instr(lower(text), 'thinge'), 0), nullif(instr(lower(text), 'the'), 0)) AS hit FROM documents)")
+def highlight(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.highlight(F.col("text"), "leaux thinge the").alias("highlight"))
+
+
+@query("grouped_hits", f"WITH {A.PAGES_SQL}, {O.bm25('pages_', 'file_id', 'text', OR_QUERY, any_term=True, keep='page_number')}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY round(score, 9) DESC, page_number) AS k FROM scored) SELECT file_id, round(max(score), 6) AS best_score, max(CASE WHEN k = 1 THEN page_number END) AS best_page, count(*) FILTER (k BETWEEN 2 AND 11) AS others FROM r GROUP BY file_id")
+def grouped_hits(spark, sf_dir):
+    """Page hits by file: the best page and how many others are shown."""
+    pages = A.doc_pages(spark, sf_dir).select("file_id", "page_number", "text")
+    found = search.bm25(pages, OR_QUERY, search.text_columns("text"), any_term=True, keep=["file_id", "page_number"]).withColumn("score", F.round("score", 9))
+    out = search.grouped_hits(found, file_col="file_id", page_col="page_number")
+    return rounded(out.select("file_id", "best_score", F.col("best_page").cast("long").alias("best_page"), F.size("other_pages").cast("long").alias("others")), "best_score")
+
+
+# --- tokens and sets --------------------------------------------------------------------------------------------
+
+
+@query("token_set", f"SELECT doc_id, list_sort({O.token_set('text')}) AS words FROM documents")
+def token_set(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.array_sort(T.token_set(F.col("text"))).alias("words"))
+
+
+@query("fts_tokens", f"SELECT doc_id, len({O.words('text')}) AS n, md5(array_to_string({O.words('text')}, ' ')) AS h FROM documents")
+def fts_tokens(spark, sf_dir):
+    w = T.words(F.col("text"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("h"))
+
+
+@query("hyphen_terms", f"SELECT doc_id, unnest({O.hyphen_words('text')}) AS word FROM documents")
+def hyphen_terms(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.hyphen_words(F.col("text"))).alias("word"))
+
+
+_NAMES = "(0, 'CreateInvoice handles PDF rendering'), (1, 'parseHTTPResponse and getURLFor'), (2, 'plain words DEFAULT_RETRY'), (3, 'invoiceTotal invoiceTotal aB1C'), (4, NULL)"
+
+
+@query("camel_split", f"SELECT id, array_to_string({O.expansion('s')}, ' ') AS expansion FROM (VALUES {_NAMES}) v(id, s)")
+def camel_split(spark, sf_dir):
+    return spark.sql(f"SELECT id, s FROM VALUES {_NAMES} AS v(id, s)").select("id", F.when(F.col("s").isNotNull(), T.expansion(F.col("s"))).alias("expansion"))
+
+
+_KANA = "(0, '東京タワー'), (1, 'abc'), (2, 'カナ'), (3, '한국어 시험')"
+
+
+@query("cjk_bigrams", f"SELECT id, list_concat(list_transform(range(1, length(run)), lambda i: substr(run, i, 2)), string_split(run, '')) AS tokens FROM (SELECT id, unnest(regexp_extract_all(s, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}]+')) AS run FROM (VALUES {_KANA}) v(id, s))")
+def cjk_bigrams(spark, sf_dir):
+    rows = spark.sql(f"SELECT id, s FROM VALUES {_KANA} AS v(id, s)")
+    return rows.select("id", F.explode(F.regexp_extract_all("s", F.lit(f"{T.CJK}+"), F.lit(0))).alias("run")).select("id", T.bigrams(F.col("run")).alias("tokens"))
+
+
+_DATED = "(0, 'On 2026-01-10 we fixed a deadlock', 'On 2026/02/14 we fixed a leak'), (1, 'seen March 2 2026', 'again march 2 2026'), (2, 'no date', 'On 2026-01-10'), (3, '03/02/2026', '03-02-2026')"
+_DATE_SQL = "list_distinct(list_transform(regexp_extract_all({0}, '(?i)\\b(?:\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}|\\d{{1,2}}[-/]\\d{{1,2}}[-/]\\d{{4}}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\s+\\d{{1,2}},?\\s+\\d{{4}})\\b'), lambda d: replace(lower(d), '/', '-')))"
+
+
+@query("date_distinct_events", f"SELECT id, {_DATE_SQL.format('a')} AS dates, len({_DATE_SQL.format('a')}) > 0 AND len({_DATE_SQL.format('b')}) > 0 AND NOT list_has_any({_DATE_SQL.format('a')}, {_DATE_SQL.format('b')}) AS distinct_events FROM (VALUES {_DATED}) v(id, a, b)")
+def date_distinct_events(spark, sf_dir):
+    rows = spark.sql(f"SELECT id, a, b FROM VALUES {_DATED} AS v(id, a, b)")
+    return rows.select("id", T.dates(F.col("a")).alias("dates"), T.distinct_events(F.col("a"), F.col("b")).alias("distinct_events"))
+
+
+@query("jaccard_pairs", f"WITH b AS (SELECT item_id, {O.token_set('text')} AS s FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round({O.jaccard('x.s', 'y.s')}, 6) AS overlap FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.s, y.s)) > 0")
+def jaccard_pairs(spark, sf_dir):
+    """Overlap of benchmark passages that share a word, met through their words."""
+    b = A.table(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("s"))
+    w = b.select("item_id", F.explode("s").alias("w"))
+    pairs = w.select(F.col("item_id").alias("a"), "w").join(w.select(F.col("item_id").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    met = pairs.join(b.select(F.col("item_id").alias("a"), F.col("s").alias("sa")), "a").join(b.select(F.col("item_id").alias("b"), F.col("s").alias("sb")), "b")
+    return rounded(met.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("overlap")), "overlap")
+
+
+# --- files, statistics, joins -----------------------------------------------------------------------------------
+
+
+@query("workspace_stats", f"WITH {A.FILES_SQL}, {A.MEMORIES_SQL} SELECT 'files' AS metric, 'all' AS name, count(*) AS n FROM files UNION ALL SELECT 'status', status, count(*) FROM files GROUP BY status UNION ALL SELECT 'mime', mime_type, count(*) FROM files WHERE status = 'ready' GROUP BY mime_type UNION ALL SELECT 'memory', memory_type, count(*) FROM memories GROUP BY memory_type")
+def workspace_stats(spark, sf_dir):
+    return workspace.stats(A.files(spark, sf_dir), A.memories(spark, sf_dir))
+
+
+@query("list_files_sorted", f"WITH {A.FILES_SQL} SELECT file_id, filename, file_size FROM files WHERE status = 'ready' AND list_contains(tags, 'en') ORDER BY file_size DESC, file_id LIMIT 50 OFFSET 10")
+def list_files_sorted(spark, sf_dir):
+    return workspace.list_files(A.files(spark, sf_dir), sort="file_size", limit=50, offset=10, where={"tags": ["en"]}).select("file_id", "filename", "file_size")
+
+
+@query("recent_files", f"WITH {A.FILES_SQL} SELECT file_id, updated_at FROM files WHERE status = 'ready' ORDER BY updated_at DESC, file_id LIMIT 5")
+def recent_files(spark, sf_dir):
+    return workspace.recent(A.files(spark, sf_dir)).select("file_id", "updated_at")
+
+
+@query("files_with_page_counts", f"WITH {A.FILES_SQL}, {A.PAGES_SQL} SELECT f.file_id, coalesce(n, 0) AS total_pages FROM files f LEFT JOIN (SELECT file_id, count(*) AS n FROM pages_ WHERE file_id % 3 <> 0 GROUP BY file_id) USING (file_id)")
+def files_with_page_counts(spark, sf_dir):
+    """Pages of each file; files of which no page is stored count zero."""
+    return workspace.with_page_counts(A.files(spark, sf_dir).select("file_id"), A.doc_pages(spark, sf_dir).where("file_id % 3 <> 0"))
+
+
+@query("distinct_sections", f"WITH {A.PAGES_SQL} SELECT DISTINCT split_part(section_title, ' - rows ', 1) AS section FROM pages_ WHERE section_title IS NOT NULL")
+def distinct_sections(spark, sf_dir):
+    return workspace.sections(A.doc_pages(spark, sf_dir))
+
+
+@query("section_pages", f"WITH {A.PAGES_SQL} SELECT file_id, page_number FROM pages_ WHERE section_title ILIKE '%S7 - ROWS%'")
+def section_pages(spark, sf_dir):
+    return lines.select_pages(A.doc_pages(spark, sf_dir), "S7 - ROWS").select("file_id", F.col("page_number").cast("long").alias("page_number"))
+
+
+@query("dedupe_checksum", "SELECT min(doc_id) AS file_id, sha256(text) AS checksum, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def dedupe_checksum(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("checksum"))
+    return workspace.first_by_checksum(docs)
+
+
+@query("batch_dups_semi", f"WITH {A.FILES_SQL} SELECT DISTINCT sha256(text) AS checksum FROM documents WHERE doc_id % 2 = 0 AND sha256(text) IN (SELECT sha256(text) FROM files WHERE status = 'ready' AND file_id % 2 = 1)")
+def batch_dups_semi(spark, sf_dir):
+    """Checksums of even documents that an odd ready file already has."""
+    known = A.files(spark, sf_dir).where("file_id % 2 = 1").select("status", F.sha2("text", 256).alias("checksum"))
+    return workspace.duplicates(known, A.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("checksum")))
+
+
+@query("orphan_anti", f"WITH {A.PAGES_SQL} SELECT file_id, page_number FROM pages_ WHERE file_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_anti(spark, sf_dir):
+    """Pages without a row in labels."""
+    pages = A.doc_pages(spark, sf_dir).select("file_id", F.col("page_number").cast("long").alias("page_number"))
+    return pages.join(A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id")), "file_id", "left_anti")
+
+
+@query("index_plan", f"WITH {A.FILES_SQL}, known AS (SELECT DISTINCT sha256(text) AS c FROM files WHERE status = 'ready' AND file_id % 2 = 1), paths AS (SELECT source_path FROM files WHERE status = 'ready' AND file_id % 3 = 1), p AS (SELECT CASE WHEN sha256(text) IN (SELECT c FROM known) THEN 'skipped' WHEN source_path IN (SELECT source_path FROM paths) THEN 'updated' ELSE 'ingested' END AS status FROM files) SELECT count(*) AS total, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM p")
+def index_plan(spark, sf_dir):
+    """Summary of an index run over all files against a store that holds some checksums and some paths."""
+    files = A.files(spark, sf_dir).withColumn("checksum", F.sha2("text", 256))
+    known = files.where("file_id % 2 = 1").select("status", "checksum", F.lit(None).cast("string").alias("source_path"))
+    paths = files.where("file_id % 3 = 1").select("status", F.lit(None).cast("string").alias("checksum"), "source_path")
+    return workspace.index_summary(workspace.index_plan(files.select("source_path", "checksum"), known.unionByName(paths)))
+
+
+@query("doctor", f"WITH {A.FILES_SQL}, {A.PAGES_SQL} SELECT 'index_matches_pages' AS name, CASE WHEN a <> b THEN 'error' ELSE 'ok' END AS status, b || ' of ' || a AS detail FROM (SELECT (SELECT count(*) FROM pages_) AS a, (SELECT count(*) FROM documents) AS b) UNION ALL SELECT 'stuck_files', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) AS n FROM files WHERE status = 'processing') UNION ALL SELECT 'orphaned_pages', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) AS n FROM pages_ WHERE file_id NOT IN (SELECT file_id FROM files))")
+def doctor(spark, sf_dir):
+    files = A.files(spark, sf_dir)
+    pages = A.doc_pages(spark, sf_dir).select("file_id")
+    return workspace.doctor(files.select("file_id", "status", "updated_at"), pages, files.select("file_id"), A.AS_OF)
+
+
+@query("labels_left_join", "SELECT d.doc_id, l.quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def labels_left_join(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents").select("doc_id").join(A.table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select("doc_id", "quality", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query("path_suffix", f"WITH {A.FILES_SQL} SELECT file_id FROM files WHERE ends_with(source_path, '/en/doc_' || (file_id % 400) || '.txt')")
+def path_suffix(spark, sf_dir):
+    tail = F.concat(F.lit("/en/doc_"), (F.col("file_id") % 400).cast("string"), F.lit(".txt"))
+    return A.files(spark, sf_dir).where(F.endswith("source_path", tail)).select("file_id")
+
+
+@query("glob_newest", f"WITH {A.FILES_SQL}, m AS (SELECT * FROM files WHERE regexp_full_match(source_path, 'data/[^/]*/fr/[^/]*\\.md')) SELECT file_id, (SELECT count(*) FROM m) > 25 AS truncated FROM m ORDER BY updated_at DESC, source_path LIMIT 25")
+def glob_newest(spark, sf_dir):
+    files = A.files(spark, sf_dir).select("file_id", "source_path", F.col("updated_at").alias("modified_at"))
+    return workspace.glob(files, "data/*/fr/*.md", limit=25).select("file_id", "truncated")
+
+
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("filename_trigram_top5", f"SELECT file_id, round(sim, 6) AS sim FROM (SELECT p_partkey AS file_id, {O.jaccard(_TRI.format('p_name'), _TRI.format(chr(39) + 'smal widgets' + chr(39)))} AS sim FROM part) WHERE sim > 0.3 ORDER BY round(sim, 9) DESC, file_id LIMIT 5")
+def filename_trigram_top5(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_name").alias("filename"))
+    return rounded(workspace.fuzzy(rows, "smal widgets", native=True).select("file_id", "sim"), "sim")
+
+
+@query("resolve_filename", f"WITH {A.FILES_SQL} SELECT file_id, 2 AS step, false AS ambiguous FROM files WHERE status = 'ready' AND ends_with(source_path, '/' || 'en/doc_12.txt')")
+def resolve_filename(spark, sf_dir):
+    """A path suffix, which stands before similar names."""
+    return workspace.resolve_name(A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status"), "en/doc_12.txt")
+
+
+@query("filename_fuzzy")
+def filename_fuzzy(spark, sf_dir):
+    """Similar supplier names by matching blocks (Python's ratio; no SQL)."""
+    rows = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.col("s_name").alias("filename"))
+    return rounded(workspace.fuzzy(rows, "suplier 00042").select("file_id", "sim"), "sim")
+
+
+_TYPES = "(0, 'Invoice-7.pdf', 'application/pdf', ''), (1, 'notes.txt', 'text/plain', 'Total Due: 5'), (2, 'my cv.docx', 'x/y', 'hello'), (3, 'a.csv', 'text/csv', 'x,y'), (4, 'p.png', 'image/png', NULL), (5, 'z.bin', 'x/y', 'nothing'), (6, 'b.txt', 'text/plain', 'we hereby agree'), (7, 'meeting minutes agenda', 'x/y', '')"
+
+
+@query("doc_type_infer", f"SELECT id, CASE {' '.join(f'WHEN regexp_matches(f, {chr(39)}(?i){p}{chr(39)}) THEN {chr(39)}{t}{chr(39)}' for p, t in rules.NAME_TYPES)} {' '.join(f'WHEN regexp_matches(coalesce(t, {chr(39)}{chr(39)}), {chr(39)}(?i){p}{chr(39)}) THEN {chr(39)}{t}{chr(39)}' for p, t in rules.TEXT_TYPES)} WHEN m = 'text/csv' THEN 'spreadsheet' WHEN starts_with(m, 'image/') THEN 'image' END AS kind FROM (VALUES {_TYPES}) v(id, f, m, t)")
+def doc_type_infer(spark, sf_dir):
+    rows = spark.sql(f"SELECT id, f, m, t FROM VALUES {_TYPES} AS v(id, f, m, t)")
+    return rows.select("id", workspace.document_type(F.col("f"), F.col("m"), F.col("t")).alias("kind"))
+
+
+@query("doc_type_counts", f"WITH {A.FILES_SQL} SELECT CASE WHEN mime_type = 'text/csv' THEN 'spreadsheet' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT *, substr(text, 1, 500) AS h FROM files) WHERE NOT regexp_matches(h, '(?i)(INVOICE|Bill\\s+To|Total\\s+Due|RECEIPT|Payment\\s+Received|Transaction\\s+ID|CONTRACT|AGREEMENT|hereby\\s+agree|terms\\s+and\\s+conditions)') GROUP BY kind")
+def doc_type_counts(spark, sf_dir):
+    kind = workspace.document_type(F.col("filename"), F.col("mime_type"), F.col("text"))
+    rows = A.files(spark, sf_dir).withColumn("kind", F.coalesce(kind, F.lit("none"))).where(F.col("kind").isin("spreadsheet", "none"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_PATHS = "(0, 'src/a.py'), (1, 'node_modules/x.js'), (2, 'docs/.hidden'), (3, 'Thumbs.db'), (4, 'dist/a.txt'), (5, 'a/b/c.PNG'), (6, 'x/venv/y.py'), (7, 'keep/tmp/z.md')"
+
+
+@query("path_rules", f"SELECT id, len(list_intersect(string_split(p, '/'), {list(rules.INDEX_SKIP_DIRS) + ['tmp']})) > 0 OR list_contains({list(rules.INDEX_SKIP_FILES)}, regexp_extract(p, '[^/]*$')) OR starts_with(regexp_extract(p, '[^/]*$'), '.') AS no_index, len(list_intersect(string_split(p, '/'), {list(rules.GREP_SKIP_DIRS)})) > 0 OR list_contains({list(rules.GREP_SKIP_SUFFIXES)}, lower(regexp_extract(p, '\\.[^./]+$'))) AS no_grep, list_contains({list(rules.CODE_SUFFIXES)}, lower(regexp_extract(p, '\\.[^./]+$'))) AS code FROM (VALUES {_PATHS}) v(id, p)")
+def path_rules(spark, sf_dir):
+    rows, p = spark.sql(f"SELECT id, p FROM VALUES {_PATHS} AS v(id, p)"), F.col("p")
+    return rows.select("id", workspace.excluded(p, ["tmp"]).alias("no_index"), workspace.grep_skipped(p).alias("no_grep"), workspace.is_code(p).alias("code"))
+
+
+# --- lines and pages --------------------------------------------------------------------------------------------
+
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+
+
+@query("line_index", f"WITH {_LINES} SELECT doc_id, line, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l")
+def line_index(spark, sf_dir):
+    out = lines.line_starts(A.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"))
+
+
+@query("line_slice", "SELECT doc_id, rtrim(array_to_string(string_split(text, chr(10))[3:6], chr(10)), chr(10)) AS body FROM documents")
+def line_slice(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", lines.line_slice(F.col("text"), 3, 6).alias("body"))
+
+
+@query("numbered_lines", "SELECT doc_id, md5(array_to_string(list_transform(range(1, len(l) + 1), lambda i: lpad(i::VARCHAR, 6, ' ') || chr(9) || l[i]), chr(10))) AS h FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def numbered_lines(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.md5(lines.numbered(F.col("text"))).alias("h"))
+
+
+@query("grep_regex", f"WITH {_LINES} SELECT doc_id, line, body FROM l WHERE regexp_matches(body, '(?i)\\b(the[a-z]*ou|leaux)\\b.*,')")
+def grep_regex(spark, sf_dir):
+    out = lines.grep(A.table(spark, sf_dir, "documents"), r"\b(the[a-z]*ou|leaux)\b.*,", id_col="doc_id", text_col="text", ignore_case=True)
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), "body")
+
+
+@query("grep_context", "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS line FROM d) SELECT doc_id, line, l[line] AS body, l[greatest(1, line - 2):line - 1] AS before, l[line + 1:line + 2] AS after FROM h WHERE regexp_matches(l[line], 'leaux [a-z]+\\.')")
+def grep_context(spark, sf_dir):
+    out = lines.grep(A.table(spark, sf_dir, "documents"), r"leaux [a-z]+\.", id_col="doc_id", text_col="text", context=2)
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), "body", "before", "after")
+
+
+@query("grep_all_terms", f"WITH {_LINES}, m AS (SELECT *, contains(lower(body), 'elle') AND contains(lower(body), 'leaux') AS hit FROM l), n AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM m), s AS (SELECT *, line - lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS gap FROM n WHERE near) SELECT doc_id, line, hit AS is_match, coalesce(gap > 1, false) AS new_group FROM s")
+def grep_all_terms(spark, sf_dir):
+    out = lines.grep_terms(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "elle+leaux", id_col="doc_id", text_col="text")
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), "is_match", "new_group")
+
+
+_RANGES = """r AS (SELECT *, CASE WHEN contains(mime_type, 'presentation') THEN '[Slide ' || page_number || ']' WHEN contains(mime_type, 'csv') THEN CASE WHEN section_title IS NOT NULL THEN '[Sheet: ' || section_title || ']' ELSE '[Sheet ' || page_number || ']' END ELSE '[Page ' || page_number || ']' END AS marker,
+  len(string_split(text, chr(10))) AS n, coalesce(sum(len(string_split(text, chr(10))) + 3) OVER (PARTITION BY file_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 3 AS line_start FROM pages_)"""
+
+
+@query("page_ranges", f"WITH {A.PAGES_SQL}, {_RANGES} SELECT file_id, page_number, marker, line_start::INT AS line_start, (line_start + n - 1)::INT AS line_end FROM r")
+def page_ranges(spark, sf_dir):
+    out = lines.page_ranges(A.doc_pages(spark, sf_dir))
+    return out.select("file_id", F.col("page_number").cast("long").alias("page_number"), "marker", "line_start", "line_end")
+
+
+@query("toc", f"WITH {A.PAGES_SQL}, {_RANGES} SELECT file_id, md5(string_agg(marker || ' ' || coalesce(section_title, 'Page ' || page_number) || ' (lines ' || line_start::INT || '-' || (line_start + n - 1)::INT || ')', chr(10) ORDER BY page_number)) AS toc, md5(string_agg(marker || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY page_number)) AS body FROM r GROUP BY file_id")
+def toc(spark, sf_dir):
+    out = lines.assembled(A.doc_pages(spark, sf_dir))
+    return out.select("file_id", F.md5("toc").alias("toc"), F.md5("full_text").alias("body"))
+
+
+@query("text_chunks", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 462)) AS at FROM w) SELECT doc_id, at // 462 AS chunk, md5(array_to_string(w[at + 1:at + 512], ' ')) AS h FROM c")
+def text_chunks(spark, sf_dir):
+    """Windows of 512 words that overlap by 50."""
+    out = lines.overlapping_chunks(A.table(spark, sf_dir, "documents").select("doc_id", "text"), id_col="doc_id", text_col="text")
+    return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("body").alias("h"))
+
+
+# --- memories ---------------------------------------------------------------------------------------------------
+
+_NOW = f"TIMESTAMP '{A.AS_OF}'"
+_CONF = O.confidence("confidence", O.days("coalesce(last_accessed, created_at)", _NOW), "access_count", "pinned")
+_AGE = f"CASE WHEN dated IS NOT NULL THEN greatest({O.days('dated', _NOW)}, 0) ELSE {O.days('updated_at', _NOW)} END"
+_MINE = "[" + ", ".join(f"'{w}'" for w in ("latest", "éenai", "thereou", "anonesen", "leaux", "eneauen")) + "]"
+
+
+@query("fsrs_confidence", f"WITH {A.MEMORIES_SQL} SELECT memory_id, round({_CONF}, 6) AS confidence FROM memories")
+def fsrs_confidence(spark, sf_dir):
+    return A.memories(spark, sf_dir).select("memory_id", F.round(memory.live_confidence(F.lit(A.AS_OF).cast("timestamp")), 6).alias("confidence"))
+
+
+@query("recency_score", f"WITH {A.MEMORIES_SQL} SELECT memory_id, round(1 / (1 + ({_AGE}) / 30.0), 6) AS recency FROM memories")
+def recency_score(spark, sf_dir):
+    age = memory.event_age(F.col("metadata"), F.col("updated_at"), F.lit(A.AS_OF).cast("timestamp"))
+    return A.memories(spark, sf_dir).select("memory_id", F.round(ranking.recency(age), 6).alias("recency"))
+
+
+@query("query_gate", f"WITH {A.MEMORIES_SQL} SELECT memory_id, len(list_intersect({O.token_set('content')}, {_MINE})) >= 2 AS gate FROM memories")
+def query_gate(spark, sf_dir):
+    """Which memories share two words with the query."""
+    shared = F.array_intersect(T.token_set(F.lit(MEMORY_QUERY)), T.token_set(F.col("content")))
+    return A.memories(spark, sf_dir).select("memory_id", (F.size(shared) >= rules.GATE_SHARED).alias("gate"))
+
+
+def _fused_sql(tau: float) -> str:
+    return f"""cand AS (SELECT *, round({_CONF}, 4) AS conf, {_AGE} AS age FROM (SELECT s.*, m.* EXCLUDE (memory_id, content, memory_type, tags) FROM scored s JOIN memories m USING (memory_id) ORDER BY s.score DESC, memory_id LIMIT 60)),
+live AS (SELECT * FROM cand WHERE {_CONF} >= {rules.LEAST_CONFIDENCE}),
+gated AS (SELECT * FROM (SELECT *, max(score) OVER () AS best0 FROM live) WHERE score >= best0 * {rules.GATE_SHARE} OR len(list_intersect({O.token_set('content')}, {_MINE})) >= 2),
+agg AS (SELECT *, max(score) OVER () AS best, min(age) OVER () AS low, max(age) OVER () - min(age) OVER () AS span FROM gated),
+fused AS (SELECT *, least(1.0, score / best) AS lexical, 0.75 * CASE WHEN span > 0 THEN (1 - (age - low) / span) * (span / (span + {tau})) + (1 - span / (span + {tau})) / (1 + age / {tau}) ELSE 1 / (1 + age / {tau}) END AS recency,
+  0.3 * conf AS trust, CASE WHEN pinned THEN 2.05 ELSE 0 END AS tier FROM agg)"""
+
+
+_RECALL = f"WITH {A.MEMORIES_SQL}, {O.bm25('memories', 'memory_id', 'content', MEMORY_QUERY, any_term=True, keep='content, memory_type, tags')}, {_fused_sql(15.0)}"
+
+
+@query("recall_end_to_end", f"{_RECALL} SELECT memory_id, round(lexical + recency + trust + tier, 4) AS score FROM fused ORDER BY lexical + recency + trust + tier DESC, memory_id LIMIT 10")
+def recall_end_to_end(spark, sf_dir):
+    """Window, confidence, gate and fusion of a query that asks for the latest."""
+    return memory.recall(A.memories(spark, sf_dir), MEMORY_QUERY, A.AS_OF).select("memory_id", F.round("score", 4).alias("score"))
+
+
+@query("explain_roundtrip", f"{_RECALL} SELECT memory_id, round(lexical, 6) AS lexical, round(recency, 6) AS recency, round(trust, 6) AS confidence, tier::DOUBLE AS tier, true AS adds_up FROM fused ORDER BY round(lexical + recency + trust + tier, 5) DESC, memory_id LIMIT 60")
+def explain_roundtrip(spark, sf_dir):
+    """The parts of each score, which add up to it."""
+    out = memory.recall(A.memories(spark, sf_dir), MEMORY_QUERY, A.AS_OF, limit=60, explain=True)
+    adds = F.abs(ranking.recomputed(F.col("explain")) - F.col("explain.score")) < 1e-9
+    parts = out.select("memory_id", "explain.lexical", "explain.recency", "explain.confidence", "explain.tier", adds.alias("adds_up"))
+    return rounded(parts, "lexical", "recency", "confidence", "tier")
+
+
+_WITH_SCORED = f"WITH {A.MEMORIES_SQL}, {O.bm25('memories', 'memory_id', 'content', MEMORY_QUERY, any_term=True, keep='memory_type')}"
+
+
+@query("recall_totals", f"{_WITH_SCORED} SELECT count(*) AS total, count(*) > 60 AS truncated FROM scored WHERE memory_type = 'semantic'")
+def recall_totals(spark, sf_dir):
+    return memory.recall_totals(A.memories(spark, sf_dir), MEMORY_QUERY, memory_type="semantic")
+
+
+@query("legacy_score", f"WITH {A.MEMORIES_SQL}, s AS (SELECT memory_id, {_AGE} AS age, (1 + memory_id % 9) * pow(0.5, ({_AGE}) / 30.0) * CASE WHEN pinned THEN 10 ELSE 1 END * ({_CONF}) AS s FROM memories) SELECT memory_id, round(CASE WHEN s > 0.7 * max(s) OVER () THEN s * (1 + 0.3 * pow(0.5, age)) ELSE s END, 6) AS score FROM s")
+def legacy_score(spark, sf_dir):
+    when = F.lit(A.AS_OF).cast("timestamp")
+    rows = A.memories(spark, sf_dir).withColumn("age", memory.event_age(F.col("metadata"), F.col("updated_at"), when)).withColumn("fts", (1 + F.col("memory_id") % 9).cast("double")).withColumn("trust", memory.live_confidence(when))
+    return rows.select("memory_id", F.round(ranking.legacy(F.col("fts"), F.col("age"), F.col("trust"), F.col("pinned")), 6).alias("score"))
+
+
+@query("fuse_rank", "SELECT conv_id AS q, turn, rank() OVER (PARTITION BY conv_id ORDER BY length(text) // 50 DESC) AS place FROM conversations")
+def fuse_rank(spark, sf_dir):
+    """Ranks with ties within each candidate set."""
+    rows = A.table(spark, sf_dir, "conversations").withColumn("fts", F.floor(F.length("text") / 50))
+    return rows.select(F.col("conv_id").alias("q"), "turn", F.rank().over(W.partitionBy("conv_id").orderBy(F.desc("fts"))).cast("long").alias("place"))
+
+
+@query("pinned_tier", f"WITH {A.MEMORIES_SQL} SELECT memory_id, 1.0::DOUBLE AS score FROM memories WHERE pinned ORDER BY created_at DESC, memory_id LIMIT 10")
+def pinned_tier(spark, sf_dir):
+    return memory.pinned(A.memories(spark, sf_dir)).select("memory_id", "score")
+
+
+@query("list_memories", f"WITH {A.MEMORIES_SQL} SELECT memory_id FROM memories WHERE memory_type = 'episodic' AND list_contains(tags, 't1') ORDER BY pinned DESC, created_at DESC, memory_id LIMIT 20")
+def list_memories(spark, sf_dir):
+    return memory.list_memories(A.memories(spark, sf_dir), memory_type="episodic", tags=["t1"], limit=20).select("memory_id")
+
+
+@query("reinforce", f"WITH {A.MEMORIES_SQL}, a AS (SELECT user_id AS memory_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id) SELECT memory_id, access_count + coalesce(n, 0) AS access_count, coalesce(greatest(last, last_accessed), last_accessed, last) AS last_accessed FROM memories LEFT JOIN a USING (memory_id)")
+def reinforce(spark, sf_dir):
+    log = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("memory_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = memory.reinforced(A.memories(spark, sf_dir), log)
+    return out.select("memory_id", "access_count", F.col("last_accessed").cast("timestamp_ntz").alias("last_accessed"))
+
+
+_VERSIONS = "v AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate AS valid_from, lead(o_orderdate) OVER w AS valid_to, row_number() OVER w AS version FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
+
+
+@query("as_of_interval", f"WITH {_VERSIONS} SELECT o_custkey, o_orderkey, o_totalprice FROM v WHERE valid_from <= TIMESTAMP '1997-06-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1997-06-15')")
+def as_of_interval(spark, sf_dir):
+    """Each customer's order that was current on a day."""
+    v = memory.intervals(A.table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    day = F.lit("1997-06-15").cast("timestamp_ntz")
+    return v.where((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") > day))).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("revision_history", f"WITH {_VERSIONS} SELECT o_custkey, o_orderkey, version, valid_from, valid_to FROM v")
+def revision_history(spark, sf_dir):
+    v = memory.intervals(A.table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    return v.select("o_custkey", "o_orderkey", F.col("version").cast("long").alias("version"), "valid_from", "valid_to")
+
+
+@query("latest_version", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def latest_version(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    return memory.latest(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+_ASOF_Q = "eneauen leaux éenai"
+_ASOF = f"WITH {A.MEMORIES_SQL}, {O.bm25('memories', 'memory_id', 'content', _ASOF_Q, any_term=True, keep='content, created_at')}"
+_ASOF_SET = "['eneauen', 'leaux', 'éenai']"
+
+
+@query("recall_as_of", f"{_ASOF}, live AS (SELECT memory_id, score, true AS still_current FROM scored WHERE created_at <= TIMESTAMP '2024-03-01' ORDER BY score DESC, memory_id LIMIT 30), old AS (SELECT memory_id, len(list_intersect({O.token_set('content')}, {_ASOF_SET}))::DOUBLE AS score, false AS still_current FROM (SELECT * FROM memories WHERE created_at - INTERVAL 40 DAY <= TIMESTAMP '2024-03-01' AND created_at > TIMESTAMP '2024-03-01' ORDER BY created_at DESC, memory_id LIMIT 30)) SELECT memory_id, round(score, 6) AS score, still_current FROM (SELECT * FROM live UNION ALL SELECT * FROM old WHERE score > 0) ORDER BY round(score, 9) DESC, memory_id LIMIT 10")
+def recall_as_of(spark, sf_dir):
+    """Live rows of a day and revisions that were still valid then."""
+    live = A.memories(spark, sf_dir)
+    old = live.withColumn("valid_to", F.col("created_at")).withColumn("valid_from", F.timestamp_add("DAY", F.lit(-40), "created_at"))
+    return rounded(memory.recall_as_of(live, old, _ASOF_Q, "2024-03-01").select("memory_id", "score", "still_current"), "score")
+
+
+@query("supersede_batch", f"WITH {A.MEMORIES_SQL}, n AS (SELECT memory_id, memory_type, {O.token_set('content')} AS s FROM memories WHERE memory_id % 2 = 1 AND memory_type <> 'episodic'), o AS (SELECT memory_id, memory_type, {O.token_set('content')} AS s FROM memories WHERE memory_id % 2 = 0 AND NOT pinned AND confidence >= 0.3), p AS (SELECT n.memory_id AS new_id, o.memory_id AS old_id, {O.jaccard('n.s', 'o.s')} AS overlap FROM n JOIN o ON n.memory_type = o.memory_type WHERE len(n.s) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) AS k FROM p WHERE overlap >= 0.65) SELECT new_id, old_id, round(overlap, 6) AS overlap FROM r WHERE k = 1")
+def supersede_batch(spark, sf_dir):
+    """Odd conversations stored over even ones."""
+    m = A.memories(spark, sf_dir)
+    return rounded(memory.conflicts(m.where("memory_id % 2 = 1"), m.where("memory_id % 2 = 0")), "overlap")
+
+
+@query("supersede_in_order")
+def supersede_in_order(spark, sf_dir):
+    """Exact supersession of all turns as a store log (sequential; no SQL)."""
+    turns = A.table(spark, sf_dir, "conversations")
+    log = turns.select(F.concat(F.lit("w"), (F.col("conv_id") % 8).cast("string")).alias("workspace_id"), F.lit("semantic").alias("memory_type"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat_ws(":", "conv_id", "turn").alias("memory_id"), F.col("text").alias("content"))
+    return memory.store_in_order(log)
+
+
+@query("stale_anchor_order", "WITH a AS (SELECT o_orderkey AS anchor_id, 'f' || (o_custkey % 50) AS file_path, 's' || (o_orderkey % 90) AS symbol, o_orderstatus AS sig, o_orderpriority AS span FROM orders), s AS (SELECT DISTINCT 'f' || (c_custkey % 40) AS path, 's' || (c_custkey % 80) AS sym FROM customer), st AS (SELECT anchor_id, CASE WHEN h.sym IS NOT NULL THEN CASE WHEN sig <> 'F' THEN 'signature_changed' WHEN span <> '1-URGENT' THEN 'body_changed' ELSE 'current' END WHEN symbol IN (SELECT sym FROM s) THEN 'moved' ELSE 'missing' END AS state FROM a LEFT JOIN s h ON h.path = file_path AND h.sym = symbol) SELECT anchor_id, state FROM st WHERE state <> 'current'")
+def stale_anchor_order(spark, sf_dir):
+    """Anchors (orders) against symbols (customers): missing, moved or changed."""
+    o, c = A.table(spark, sf_dir, "orders"), A.table(spark, sf_dir, "customer")
+    name = lambda prefix, column, n: F.concat(F.lit(prefix), (F.col(column) % n).cast("string"))
+    anchors = o.select(F.col("o_orderkey").alias("anchor_id"), name("f", "o_custkey", 50).alias("file_path"), name("s", "o_orderkey", 90).alias("symbol"), F.col("o_orderstatus").alias("sig_hash"), F.col("o_orderpriority").alias("span_hash"))
+    syms = c.select((F.col("c_custkey") % 40).alias("file_id"), name("s", "c_custkey", 80).alias("name"), name("s", "c_custkey", 80).alias("qualified_name"), F.lit("F").alias("sig_hash"), F.lit("1-URGENT").alias("span_hash")).distinct()
+    files = c.select((F.col("c_custkey") % 40).alias("file_id"), name("f", "c_custkey", 40).alias("filename"), name("f", "c_custkey", 40).alias("source_path")).distinct()
+    return memory.stale_anchors(memory.anchors_checked(anchors, syms, files)).select("anchor_id", "state")
+
+
+# --- links and symbols ------------------------------------------------------------------------------------------
+
+_HREFS = "h AS (SELECT page_id AS from_page, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages)"
+
+
+@query("html_links", f"WITH {_HREFS} SELECT * FROM h")
+def html_links(spark, sf_dir):
+    return A.page_links(spark, sf_dir)
+
+
+@query("backlink_counts", f"WITH {_HREFS} SELECT target, count(*) AS backlinks FROM h GROUP BY target")
+def backlink_counts(spark, sf_dir):
+    return links.backlinks(A.page_links(spark, sf_dir), to_col="target")
+
+
+@query("backlink_boost", f"WITH {_HREFS}, b AS (SELECT hash_ AS doc_id, count(*) AS backlinks FROM (SELECT length(target) AS hash_ FROM h) GROUP BY ALL), {O.bm25('documents', 'doc_id', 'text', OR_QUERY, any_term=True)}, p AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 50) SELECT doc_id, round(score * (1 + 0.05 * coalesce(backlinks, 0)), 3) AS score FROM p LEFT JOIN b USING (doc_id)")
+def backlink_boost(spark, sf_dir):
+    """A page of hits lifted by their backlinks (links lead to the document numbered by their length)."""
+    counts = A.page_links(spark, sf_dir).groupBy(F.length("target").cast("long").alias("doc_id")).agg(F.count("*").alias("backlinks"))
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = search.bm25(docs, OR_QUERY, search.text_columns("text"), any_term=True, keep=["doc_id"]).orderBy(F.desc("score"), "doc_id").limit(50)
+    return search.backlink_boost(hits, counts, id_col="doc_id").select("doc_id", "score")
+
+
+_RES_FILES = "rf AS (SELECT page_id AS file_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS source_path, regexp_extract(regexp_extract(url, '^https?://([^?#]*)', 1), '[^/]*$') AS filename FROM pages)"
+_RES_LINKS = "rl AS (SELECT page_id AS from_file_id, CASE WHEN page_id % 3 = 0 THEN source_path WHEN page_id % 3 = 1 THEN regexp_extract(source_path, '[^/]*/[^/]*$') ELSE 'nowhere/' || filename END AS target FROM (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS source_path, regexp_extract(regexp_extract(url, '^https?://([^?#]*)', 1), '[^/]*$') AS filename FROM pages))"
+
+
+@query("resolve_links_cascade", f"WITH {_RES_FILES}, {_RES_LINKS}, c AS (SELECT target, 0 AS step, 0 AS size, file_id FROM (SELECT DISTINCT target FROM rl) JOIN rf ON source_path = target UNION ALL SELECT target, 1, length(source_path), file_id FROM (SELECT DISTINCT target FROM rl) JOIN rf ON ends_with(source_path, '/' || target) UNION ALL SELECT target, 2, 0, file_id FROM (SELECT DISTINCT target FROM rl) JOIN rf ON filename = regexp_extract(target, '[^/]*$')), b AS (SELECT target, file_id AS to_file_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY step, size, file_id) AS r FROM c) WHERE r = 1) SELECT from_file_id, target, to_file_id FROM rl LEFT JOIN b USING (target)")
+def resolve_links_cascade(spark, sf_dir):
+    """Links by exact path, by path suffix or by file name."""
+    p = A.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("source_path"))
+    p = p.withColumn("filename", F.regexp_extract("source_path", "[^/]*$", 0)).withColumn("status", F.lit("ready"))
+    n = F.col("file_id") % 3
+    target = F.when(n == 0, F.col("source_path")).when(n == 1, F.regexp_extract("source_path", "[^/]*/[^/]*$", 0)).otherwise(F.concat(F.lit("nowhere/"), "filename"))
+    return links.resolved(p.select(F.col("file_id").alias("from_file_id"), target.alias("target")), p).select("from_file_id", "target", "to_file_id")
+
+
+_MD = "(0, 'docs/guide/a.md', 'See [x](../b.md#top) and [[Page Two]] or `[no](n.md)` plus src/app/main.py:12 and [web](https://e.org)'), (1, 'c.md', '[y](./d%20e.md?x=1) [[f.txt|label]] [z](#here)'), (2, 'g.md', NULL)"
+_MD_ROWS = "(0, 'docs/b.md', 'markdown'), (0, 'docs/guide/Page Two.md', 'wikilink'), (0, 'src/app/main.py', 'path'), (1, 'd e.md', 'markdown'), (1, 'f.txt', 'wikilink')"
+
+
+@query("md_links", f"SELECT * FROM (VALUES {_MD_ROWS}) v(from_file_id, target, link_type)")
+def md_links(spark, sf_dir):
+    rows = spark.sql(f"SELECT file_id, source_path, text FROM VALUES {_MD} AS v(file_id, source_path, text)")
+    return links.text_links(rows).select("from_file_id", "target", "link_type")
+
+
+_CODE = """(0, 'pkg/a.py', 'import os\\nfrom .b import c\\nclass K:\\n    def m(self, x, *a, y=1, **k):\\n        pass\\ndef f():\\n    "doc"\\n'), (1, 'web/x.ts', 'import {q} from "./y"\\nexport class W {}\\nexport const h = async (a) => 1\\nfunction g(z) {}\\n'), (2, 'bad.py', 'def ('), (3, 'n.txt', 'class Z: pass')"""
+_SYMS = "(0, 'K', 'class', 3, 'K'), (0, 'K.m', 'method', 4, 'm(self, x, *a, y, **k)'), (0, 'f', 'function', 6, 'f()'), (1, 'W', 'class', 2, 'W'), (1, 'h', 'function', 3, 'h'), (1, 'g', 'function', 4, 'g')"
+
+
+@query("symbols_code", f"SELECT * FROM (VALUES {_SYMS}) v(file_id, qualified_name, kind, start_line, signature)")
+def symbols_code(spark, sf_dir):
+    rows = spark.sql(f"SELECT file_id, source_path, text FROM VALUES {_CODE} AS v(file_id, source_path, text)")
+    return symbols.symbols(rows).select("file_id", "qualified_name", "kind", "start_line", "signature")
+
+
+_IMPORTS = "(0, 'os.py'), (0, 'os/__init__.py'), (0, 'pkg/b.py'), (0, 'pkg/b/__init__.py'), " + ", ".join(f"(1, 'web/y{e}')" for e in symbols.JS_ENDINGS)
+
+
+@query("imports_code", f"SELECT * FROM (VALUES {_IMPORTS}) v(from_file_id, target)")
+def imports_code(spark, sf_dir):
+    rows = spark.sql(f"SELECT file_id, source_path, text FROM VALUES {_CODE} AS v(file_id, source_path, text)")
+    return symbols.imports(rows).select("from_file_id", "target")
+
+
+# --- change feeds -----------------------------------------------------------------------------------------------
+
+
+@query("debounce", "WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), w AS (SELECT event_id, user_id, ts, k, ts AS last, true AS take FROM e WHERE k = 1 UNION ALL SELECT e.event_id, e.user_id, e.ts, e.k, CASE WHEN e.ts - w.last >= INTERVAL 6 HOUR THEN e.ts ELSE w.last END, e.ts - w.last >= INTERVAL 6 HOUR FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1) SELECT event_id, user_id FROM w WHERE take")
+def debounce(spark, sf_dir):
+    """Events six hours after the user's last accepted one."""
+    e = A.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return changes.debounced(e, key="user_id", time="ts", ident="event_id", seconds=21_600).select("event_id", "user_id")
+
+
+@query("session_quiesce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 4 HOUR AS settled_at, count(*) AS changes FROM s GROUP BY user_id, n")
+def session_quiesce(spark, sf_dir):
+    """Bursts of a user's events that end with four quiet hours."""
+    e = A.table(spark, sf_dir, "events")
+    out = changes.settled(e, key="user_id", time="ts", gap="4 hours")
+    return out.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("settled_at").cast("timestamp_ntz").alias("settled_at"), "changes")
+
+
+@query("rate_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rate_window(spark, sf_dir):
+    return changes.in_window(A.table(spark, sf_dir, "events"), key="user_id", time="ts", seconds=43_200).select("event_id", "recent")
+
+
+@query("rate_limit")
+def rate_limit(spark, sf_dir):
+    """At most three accepted events of a user in 12 hours, rejected ones not counting (stateful; no SQL)."""
+    e = A.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return changes.rate_limited(e, key="user_id", time="ts", ident="event_id", most=3, seconds=43_200).select("event_id", "accepted")
+
+
+@query("event_counters", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
+def event_counters(spark, sf_dir):
+    return changes.counters(A.table(spark, sf_dir, "events"), status="event_type", key="user_id")
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    out = changes.windowed(A.table(spark, sf_dir, "events"), time="ts", width="6 hours", late="1 hour", by=["event_type"])
+    return out.withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+@query("changelog_apply", "WITH e AS (SELECT 'u' || user_id AS path, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'move' ELSE 'upsert' END AS action, 'm' || (user_id % 20) AS dest, value, event_id AS seq FROM events), x AS (SELECT path, action, value, seq FROM e WHERE action <> 'move' UNION ALL SELECT path, 'delete', NULL, seq FROM e WHERE action = 'move' UNION ALL SELECT dest, 'upsert', value, seq FROM e WHERE action = 'move'), l AS (SELECT path, arg_max(action, seq) AS action, arg_max(value, seq) AS value FROM x GROUP BY path), v AS (SELECT 'u' || c_custkey AS path, c_acctbal AS value FROM customer) SELECT path, value FROM v WHERE path NOT IN (SELECT path FROM l) UNION ALL SELECT path, value FROM l WHERE action = 'upsert'")
+def changelog_apply(spark, sf_dir):
+    """A view of customers after all events as changes; sign-ups move."""
+    e = A.table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "move").otherwise("upsert")
+    log = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), action.alias("action"), F.concat(F.lit("m"), (F.col("user_id") % 20).cast("string")).alias("dest"), "value", F.col("event_id").alias("seq"))
+    view = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_acctbal").alias("value"))
+    return changes.applied(view, log)
+
+
+@query("json_props_filter", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT >= 90")
+def json_props_filter(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return A.table(spark, sf_dir, "events").where(k >= 90).select("event_id", k.alias("k"))
+
+
+@query("tags_contains_all", f"WITH {A.FILES_SQL} SELECT file_id FROM files WHERE list_has_all(tags, ['en', 'src3'])")
+def tags_contains_all(spark, sf_dir):
+    return search.filtered(A.files(spark, sf_dir), tags=["en", "src3"]).select("file_id")
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------
+
+_RANKED = "ranked AS (SELECT o_custkey AS question_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), gold AS (SELECT o_custkey AS question_id, o_orderkey AS id, o_custkey % 4 AS kind FROM orders WHERE o_orderpriority = '1-URGENT'), first AS (SELECT question_id, min(rank) AS first FROM ranked JOIN gold USING (question_id, id) GROUP BY question_id), asked AS (SELECT DISTINCT question_id, kind FROM gold)"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = A.table(spark, sf_dir, "orders")
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    ranked = o.select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"), place.alias("rank"))
+    return ranked, o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).alias("kind"))
+
+
+@query("recall_at_k", f"WITH {_RANKED} SELECT kind, count(*) AS questions, {', '.join(f'round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}' for k in (1, 3, 5, 10))} FROM asked LEFT JOIN first USING (question_id) GROUP BY kind")
+def recall_at_k(spark, sf_dir):
+    """Questions are customers, answers ranked by price, gold the urgent ones."""
+    return rounded(evals.recall_at(*_ranked(spark, sf_dir), by="kind"), "recall_1", "recall_3", "recall_5", "recall_10")
+
+
+@query("mrr", f"WITH {_RANKED} SELECT kind, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1 FROM asked LEFT JOIN first USING (question_id) GROUP BY kind")
+def mrr(spark, sf_dir):
+    return rounded(evals.reciprocal_rank(*_ranked(spark, sf_dir), by="kind"), "mrr", "top1")
+
+
+@query("percentiles", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, max(CASE WHEN i = least(n, floor(n * 0.95) + 1) THEN value END) AS p95, max(CASE WHEN i = least(n, floor(n * 0.99) + 1) THEN value END) AS p99, max(value) AS most FROM r GROUP BY event_type")
+def percentiles(spark, sf_dir):
+    return rounded(evals.latencies(A.table(spark, sf_dir, "events"), "value", by=["event_type"]), "median")
+
+
+_P, _D = "(k / n)", "(1 + 3.8416 / n)"
+_HALF = f"1.96 * sqrt({_P} * (1 - {_P}) / n + 3.8416 / (4 * n * n))"
+
+
+@query("wilson", f"SELECT event_type, round(greatest(0, ({_P} + 3.8416 / (2 * n) - {_HALF}) / {_D}), 6) AS low, round(least(1, ({_P} + 3.8416 / (2 * n) + {_HALF}) / {_D}), 6) AS high FROM (SELECT event_type, count(*) FILTER (value > 50)::DOUBLE AS k, count(*)::DOUBLE AS n FROM events GROUP BY event_type)")
+def wilson(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+    low, high = evals.wilson(F.col("k"), F.col("n"))
+    return rounded(rows.select("event_type", low.alias("low"), high.alias("high")), "low", "high")
+
+
+_QVEC = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
+
+
+@query("cosine_topk", f"WITH q AS (SELECT {_QVEC}::DOUBLE[] AS q) SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_inner_product(q, q)), 6) AS cosine FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY list_inner_product(embedding::DOUBLE[], q) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf_dir):
+    return rounded(evals.cosine_topk(A.table(spark, sf_dir, "embeddings"), _QVEC), "cosine")
+
+
+@query("session_flatten", "SELECT conv_id, md5(string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
+def session_flatten(spark, sf_dir):
+    return evals.flattened(A.table(spark, sf_dir, "conversations")).select("conv_id", F.md5("content").alias("h"))
+
+
+@query("evidence_coverage", f"WITH t AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS e FROM conversations GROUP BY conv_id) SELECT conv_id, round(CASE WHEN len({O.token_set('q')}) = 0 THEN 0 ELSE len(list_intersect({O.token_set('q')}, {O.token_set('e')})) / len({O.token_set('q')}) END, 6) AS coverage FROM t")
+def evidence_coverage(spark, sf_dir):
+    """How much of a conversation's first turn its second one repeats."""
+    c = A.table(spark, sf_dir, "conversations")
+    at = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    pairs = c.groupBy("conv_id").agg(at(0).alias("q"), at(1).alias("e"))
+    return rounded(evals.coverage(pairs, "q", "e").select("conv_id", "coverage"), "coverage")
+
+
+@query("weight_grid", "WITH c AS (SELECT o_custkey AS question_id, o_orderkey AS id, o_totalprice / 500000 AS lexical, (o_orderkey % 97) / 97.0 AS recency, o_orderpriority = '1-URGENT' AS gold FROM orders), g AS (SELECT *, lexical + w * recency AS s FROM c, (SELECT unnest([0.25, 0.5, 0.75]) AS w)), b AS (SELECT *, row_number() OVER (PARTITION BY question_id, w ORDER BY s DESC, id) AS r FROM g) SELECT w::DOUBLE AS weight, round(avg(gold::INT), 6) AS top1 FROM b WHERE r = 1 GROUP BY w")
+def weight_grid(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders")
+    cand = o.select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("lexical"), ((F.col("o_orderkey") % 97) / 97.0).alias("recency"))
+    gold = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"))
+    return rounded(evals.weight_grid(cand, gold, [0.25, 0.5, 0.75]), "top1")
+
+
+@query("set_operations", "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'all', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def set_operations(spark, sf_dir):
+    d, la = A.table(spark, sf_dir, "documents").select("doc_id"), A.table(spark, sf_dir, "labels").select("doc_id")
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return count("both", d.intersect(la)).unionByName(count("unlabelled", d.subtract(la))).unionByName(count("all", d.union(la).distinct()))
