@@ -12,7 +12,8 @@ from lectern.functions import rules
 
 CJK = "[\\u4e00-\\u9fff\\u3040-\\u309f\\u30a0-\\u30ff\\uac00-\\ud7af]"
 NOT_CJK = CJK.replace("[", "[^", 1)
-HYPHENED = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)+"
+HYPHENED = r"[\p{L}\p{N}_]++(?:-[\p{L}\p{N}_]++)+"
+HUMP = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 CAMEL_EDGE = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
@@ -48,7 +49,7 @@ def segmented(token: Column) -> Column:
 
 
 def hyphen_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(HYPHENED), F.lit(0))
+    return F.when(text.contains("-"), F.regexp_extract_all(text, F.lit(HYPHENED), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def index_tokens(text: Column) -> Column:
@@ -69,8 +70,9 @@ def camel_parts(token: Column) -> Column:
 
 def expansion(text: Column) -> Column:
     """Distinct lower-cased parts of all camelCase identifiers of a text, in order, joined by spaces."""
-    names = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9]*"), F.lit(0))
-    return F.coalesce(F.array_join(F.array_distinct(F.transform(F.flatten(F.transform(names, camel_parts)), F.lower)), " "), F.lit(""))
+    names = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9]*"), F.lit(0)), lambda n: n.rlike(HUMP))
+    parts = F.array_distinct(F.transform(F.flatten(F.transform(names, camel_parts)), F.lower))
+    return F.when(text.rlike(HUMP), F.array_join(parts, " ")).otherwise("")
 
 
 def token_set(text: Column) -> Column:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import rules
 from lectern.functions import text as T
 
 BUCKETS = 64
@@ -47,8 +49,6 @@ class Index:
 
         Query terms are distinct; documents meet queries through their terms alone.  Scores follow ``operators.search``.
         """
-        from lectern.functions import rules
-
         asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
         post = self.postings.groupBy("id", "term").agg(F.sum(F.when(F.col("col") == 0, F.col("tf") * rules.TEXT_WEIGHT).otherwise(F.col("tf") * rules.EXPANSION_WEIGHT)).alias("f"))
         used = post.join(asked.select("term").distinct(), "term", "left_semi")
@@ -59,7 +59,5 @@ class Index:
         hits = used.join(self.lengths, "id").join(idf, "term")
         part = F.col("idf") * F.col("f") * (rules.K1 + 1) / (F.col("f") + rules.K1 * (1 - rules.B + rules.B * F.col("length") / total["avg"]))
         scored = hits.select("id", "term", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-        from pyspark.sql import Window as W
-
-        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
         return scored.withColumn("rank", place).where(F.col("rank") <= k)

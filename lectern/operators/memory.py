@@ -199,9 +199,8 @@ def anchors_checked(anchors: DataFrame, symbols: DataFrame, files: DataFrame) ->
     """
     named = symbols.select("file_id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("sym"), F.col("sig_hash").alias("now_sig"), F.col("span_hash").alias("now_span"), "qualified_name")
     placed = named.join(files.select("file_id", F.explode(F.array_distinct(F.array("source_path", "filename"))).alias("path"), F.col("source_path").alias("home")), "file_id")
-    first = lambda *order: F.struct(*order, "now_sig", "now_span", "home")
-    here = placed.groupBy("path", "sym").agg(F.min(first("qualified_name")).alias("here"))
-    there = placed.groupBy("sym").agg(F.min(first("home", "qualified_name")).alias("there")).withColumnRenamed("sym", "any_sym")
+    here = placed.groupBy("path", "sym").agg(F.min(F.struct("qualified_name", "now_sig", "now_span")).alias("here"))
+    there = placed.groupBy("sym").agg(F.min(F.struct("home", "qualified_name")).alias("there")).withColumnRenamed("sym", "any_sym")
     known = files.select(F.explode(F.array_distinct(F.array("source_path", "filename"))).alias("known")).distinct()
     met = anchors.join(here, (F.col("file_path") == F.col("path")) & (F.col("symbol") == F.col("sym")), "left").join(there, F.col("symbol") == F.col("any_sym"), "left").join(known, F.col("file_path") == F.col("known"), "left")
     whole = F.coalesce("symbol", F.lit("")) == ""

@@ -21,9 +21,13 @@ def phrase_hits(tokens: Column, phrase: Phrase) -> Column:
         word = phrase.tokens[0]
         return F.size(F.filter(tokens, (lambda t: t.startswith(word)) if phrase.prefix else (lambda t: t == word)))
     want = F.array(*[F.lit(t) for t in phrase.tokens])
-    starts = F.size(tokens) - len(phrase.tokens) + 1
-    found = F.filter(F.sequence(F.lit(1), starts), lambda i: F.slice(tokens, i, F.lit(len(phrase.tokens))) == want)
-    return F.when(starts < 1, 0).otherwise(F.size(found))
+    m = len(phrase.tokens)
+
+    def starts(t: Column) -> Column:
+        return F.when(F.size(t) < m, 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.size(t) - m + 1), lambda i: F.slice(t, i, F.lit(m)) == want)))
+
+    # A lambda's argument is computed once; the tokens themselves inside the inner lambda would be made anew at every place.
+    return F.transform(F.array(tokens), starts)[0]
 
 
 def bm25(docs: DataFrame, query: str, columns: list[tuple[Column, float]], *, any_term: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -46,9 +46,9 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGES_SQL = """lines_ AS (SELECT doc_id AS file_id, string_split(text, chr(10)) AS l FROM documents),
-pages_ AS (SELECT file_id, (at - 1) // 10 + 1 AS page_number, CASE WHEN file_id % 5 = 0 THEN 's' || (file_id % 11) || ' - rows ' || at END AS section_title,
-  array_to_string(l[at : at + 9], chr(10)) AS text, CASE WHEN file_id % 5 = 0 THEN 'text/csv' WHEN file_id % 7 = 0 THEN 'presentation' ELSE 'text/plain' END AS mime_type
-  FROM (SELECT file_id, l, unnest(range(1, len(l) + 1, 10)) AS at FROM lines_))"""
+pages_ AS (SELECT file_id, (nth - 1) // 10 + 1 AS page_number, CASE WHEN file_id % 5 = 0 THEN 's' || (file_id % 11) || ' - rows ' || nth END AS section_title,
+  array_to_string(l[nth : nth + 9], chr(10)) AS text, CASE WHEN file_id % 5 = 0 THEN 'text/csv' WHEN file_id % 7 = 0 THEN 'presentation' ELSE 'text/plain' END AS mime_type
+  FROM (SELECT file_id, l, unnest(range(1, len(l) + 1, 10)) AS nth FROM lines_))"""
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,9 +141,9 @@ def hyphen_terms(spark, sf_dir):
 _NAMES = "(0, 'CreateInvoice handles PDF rendering'), (1, 'parseHTTPResponse and getURLFor'), (2, 'plain words DEFAULT_RETRY'), (3, 'invoiceTotal invoiceTotal aB1C'), (4, NULL)"
 
 
-@query("camel_split", f"SELECT id, array_to_string({O.expansion('s')}, ' ') AS expansion FROM (VALUES {_NAMES}) v(id, s)")
+@query("camel_split", f"SELECT id, array_to_string(list_sort({O.expansion('s')}), ' ') AS expansion FROM (VALUES {_NAMES}) v(id, s)")
 def camel_split(spark, sf_dir):
-    return spark.sql(f"SELECT id, s FROM VALUES {_NAMES} AS v(id, s)").select("id", F.when(F.col("s").isNotNull(), T.expansion(F.col("s"))).alias("expansion"))
+    return spark.sql(f"SELECT id, s FROM VALUES {_NAMES} AS v(id, s)").select("id", F.when(F.col("s").isNotNull(), F.array_join(F.array_sort(F.split(T.expansion(F.col("s")), " ")), " ")).alias("expansion"))
 
 
 _KANA = "(0, '東京タワー'), (1, 'abc'), (2, 'カナ'), (3, '한국어 시험')"
@@ -272,10 +272,15 @@ def filename_trigram_top5(spark, sf_dir):
     return rounded(workspace.fuzzy(rows, "smal widgets", native=True).select("file_id", "sim"), "sim")
 
 
-@query("resolve_filename", f"WITH {A.FILES_SQL} SELECT file_id, 2 AS step, false AS ambiguous FROM files WHERE status = 'ready' AND ends_with(source_path, '/' || 'en/doc_12.txt')")
+@query("resolve_filename", f"WITH {A.FILES_SQL} SELECT file_id, 2 AS step, false AS ambiguous FROM files WHERE status = 'ready' AND ends_with(source_path, '/' || 'en/doc_2.txt')")
 def resolve_filename(spark, sf_dir):
     """A path suffix, which stands before similar names."""
-    return workspace.resolve_name(A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status"), "en/doc_12.txt")
+    return workspace.resolve_name(A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status"), "en/doc_2.txt")
+
+
+@query("resolve_filename_exact", f"WITH {A.FILES_SQL} SELECT file_id, 0 AS step, false AS ambiguous FROM files WHERE status = 'ready' AND filename = 'doc_13.txt'")
+def resolve_filename_exact(spark, sf_dir):
+    return workspace.resolve_name(A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status"), "doc_13.txt")
 
 
 @query("filename_fuzzy")
@@ -331,9 +336,9 @@ def numbered_lines(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.md5(lines.numbered(F.col("text"))).alias("h"))
 
 
-@query("grep_regex", f"WITH {_LINES} SELECT doc_id, line, body FROM l WHERE regexp_matches(body, '(?i)\\b(the[a-z]*ou|leaux)\\b.*,')")
+@query("grep_regex", f"WITH {_LINES} SELECT doc_id, line, body FROM l WHERE regexp_matches(body, '(?i)(the[a-z]*ou|leaux)[ ,.].*,')")
 def grep_regex(spark, sf_dir):
-    out = lines.grep(A.table(spark, sf_dir, "documents"), r"\b(the[a-z]*ou|leaux)\b.*,", id_col="doc_id", text_col="text", ignore_case=True)
+    out = lines.grep(A.table(spark, sf_dir, "documents"), r"(the[a-z]*ou|leaux)[ ,.].*,", id_col="doc_id", text_col="text", ignore_case=True)
     return out.select("doc_id", F.col("line").cast("long").alias("line"), "body")
 
 
@@ -365,7 +370,7 @@ def toc(spark, sf_dir):
     return out.select("file_id", F.md5("toc").alias("toc"), F.md5("full_text").alias("body"))
 
 
-@query("text_chunks", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 462)) AS at FROM w) SELECT doc_id, at // 462 AS chunk, md5(array_to_string(w[at + 1:at + 512], ' ')) AS h FROM c")
+@query("text_chunks", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 462)) AS nth FROM w) SELECT doc_id, nth // 462 AS chunk, md5(array_to_string(w[nth + 1:nth + 512], ' ')) AS h FROM c")
 def text_chunks(spark, sf_dir):
     """Windows of 512 words that overlap by 50."""
     out = lines.overlapping_chunks(A.table(spark, sf_dir, "documents").select("doc_id", "text"), id_col="doc_id", text_col="text")
