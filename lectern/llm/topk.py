@@ -3,15 +3,16 @@
 Vectors hold integers; dimensions and signs are the terms: a vector is posted under (d, +) or (d, -) with the size of its
 component.  A query's terms are the lists that add to a score (same sign, bound: its weight times the list's largest
 size); lists of the opposite sign only lower it and have bound zero.  A shard is a block of ``SHARD`` vectors with its
-postings; queries come in blocks of ``BLOCK``.  For each query and shard:
+postings; queries come in blocks of ``BLOCK``.  For each block and shard:
 
-1. terms are ordered by bound; the leading ones whose bounds add up to less than the query's threshold are non-essential:
+1. a query's terms are ordered by bound; the least ones whose bounds add up to less than its threshold are non-essential:
    a vector that is in none of the others can't enter the result;
-2. the essential lists are traversed and their contributions added up;
-3. candidates are probed in the other terms, opposite signs included, from the largest bound down, and leave as soon as their
-   sum and the bounds that are left fall below the threshold.
+2. the essential lists are traversed and their contributions added up (for the whole block as one matrix product, since
+   a list of an embedding's dimension holds about half of the vectors);
+3. vectors whose sum and the bounds of the non-essential terms reach the threshold are probed in the terms that are left, opposite
+   signs included.
 
-The threshold is the query's k-th score so far (ties stay in, since a smaller vec_id wins them).  Shards return k rows a
+The threshold is the query's k-th score so far, that of the shard's first rows included (ties stay in, since a smaller vec_id wins them).  Shards return k rows a
 query; a window by query with a partial limit merges them, so no task sees more than k rows of each shard.
 
 Queries against all rows is the stated task: each query block meets each shard once, by an equi-join on a shard group
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import materialize, share_code, table
 
 SCALE, TOP, EVERY, SHARD, BLOCK, GROUPS = 256, 5, 50, 4096, 512, 64
+SEEDS, PROBES, KNOWN = 256, 1 << 17, 256
 PACKED = "group int, ids binary, dims int, data binary"
 
 
@@ -66,63 +68,55 @@ def pack(block: int, groups: int):
 
 
 class Shard:
-    """Postings of a block of vectors: for each (dimension, sign) the rows and sizes of its components, and the largest size."""
+    """Postings of a block of vectors: column d holds the sizes of positive components of dimension d, column dims + d those of negative ones."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
         self.ids, self.data = ids, data
-        self.lists, self.most = {}, {}
-        for d in range(data.shape[1]):
-            for sign in (1, -1):
-                rows = np.flatnonzero(data[:, d] * sign > 0)
-                if len(rows):
-                    sizes = data[rows, d] * sign
-                    self.lists[d, sign], self.most[d, sign] = (rows, sizes), int(sizes.max())
-
-    def search(self, qid: int, q: np.ndarray, k: int, threshold: int | None) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of this shard that reach ``threshold``, best first."""
-        n = min(len(q), self.data.shape[1])
-        terms = sorted(((abs(int(q[d])) * self.most[t], t) for d in range(n) if q[d] and (t := (d, 1 if q[d] > 0 else -1)) in self.lists), reverse=True)
-        total, cut = sum(b for b, _ in terms), len(terms)
-        if threshold is not None:
-            if total < threshold:
-                return []
-            while cut and sum(b for b, _ in terms[cut - 1 :]) < threshold:
-                cut -= 1
-        score = np.zeros(len(self.ids), np.int64)
-        met = np.full(len(self.ids), threshold is None or cut == len(terms) and threshold <= 0)
-        for _, (d, sign) in terms[:cut]:  # essential postings
-            rows, sizes = self.lists[d, sign]
-            score[rows] += abs(int(q[d])) * sizes
-            met[rows] = True
-        rows = np.flatnonzero(met & (self.ids != qid))
-        score, left = score[rows], sum(b for b, _ in terms[cut:])
-        rest = [(b, d) for b, (d, _) in terms[cut:]]
-        if threshold is not None:
-            stay = score + left >= threshold
-            rows, score = rows[stay], score[stay]
-        # Probes: what the traversal left out, first components that lower a score, then non-essential terms by bound.
-        lowering = [d for d in range(n) if q[d] and ((d, -1 if q[d] > 0 else 1) in self.lists)]
-        essential = {d for _, (d, _) in terms[:cut]}
-        for lo in range(0, len(lowering), 8):
-            part = lowering[lo : lo + 8]
-            own = self.data[np.ix_(rows, part)] * q[part]
-            add = np.where(own < 0, own, 0)
-            score = score + add.sum(axis=1)
-            if threshold is not None:
-                stay = score + left >= threshold
-                rows, score = rows[stay], score[stay]
-        for bound, d in rest:
-            assert d not in essential
-            score = score + np.maximum(self.data[rows, d] * q[d], 0)
-            left -= bound
-            if threshold is not None:
-                stay = score + left >= threshold
-                rows, score = rows[stay], score[stay]
-        if len(rows) > 4 * k:
-            floor = np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[score >= floor], score[score >= floor]
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return [(int(score[i]), int(self.ids[rows[i]])) for i in best]
+        self.lists = np.concatenate((np.maximum(data, 0), np.maximum(-data, 0)), axis=1).astype(np.float64)
+        self.most = self.lists.max(axis=0, initial=0.0)
+
+    def search(self, qids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's number, vec_id, score) of rows that may be among the k best, given each query's k-th score so far (-inf: none)."""
+        n = min(queries.shape[1], self.data.shape[1])
+        q, x = queries[:, :n], self.data[:, :n]
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(n, 1) < 2**53  # else doubles would round
+        score = lambda rows, of: (x[rows].astype(object) * q[of].astype(object)).sum(axis=1).astype(np.int64) if not exact else np.einsum("ij,ij->i", x[rows], q[of])
+        if not exact:
+            of, rows = np.nonzero(qids[:, None] != self.ids[None, :])
+            return self._best(of, rows, score(rows, of), k)
+        # The first rows of the shard raise thresholds before any list is traversed.
+        few = min(len(self.ids), SEEDS)
+        first = q.astype(np.float64) @ x[:few].astype(np.float64).T
+        first[qids[:, None] == self.ids[None, :few]] = -np.inf
+        if few >= k:
+            least = np.maximum(least, np.partition(first, few - k, axis=1)[:, few - k])
+        weight = np.concatenate((np.maximum(q, 0), np.maximum(-q, 0)), axis=1).astype(np.float64)
+        most = np.concatenate((self.most[:n], self.most[self.data.shape[1] : self.data.shape[1] + n]))
+        bound = weight * most
+        order = np.argsort(bound, axis=1)
+        upto = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+        optional = upto < least[:, None]  # the terms of least bound whose sum stays below the threshold
+        left = np.max(np.where(optional, upto, 0.0), axis=1, initial=0.0)
+        essential = weight.copy()
+        np.put_along_axis(essential, order, np.where(optional, 0.0, np.take_along_axis(weight, order, axis=1)), axis=1)
+        lists = self.lists if n == self.data.shape[1] else np.concatenate((self.lists[:, :n], self.lists[:, self.data.shape[1] : self.data.shape[1] + n]), axis=1)
+        part = essential @ lists.T  # all essential postings of the block of queries
+        part += left[:, None]
+        of, rows = np.nonzero((part >= least[:, None]) & (qids[:, None] != self.ids[None, :]))
+        total = np.concatenate([np.zeros(0, np.int64), *(score(rows[lo : lo + PROBES], of[lo : lo + PROBES]) for lo in range(0, len(of), PROBES))])
+        stay = total >= least[of]
+        return self._best(of[stay], rows[stay], total[stay], k)
+
+    def _best(self, of: np.ndarray, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return best_of(of, self.ids[rows], score, k)
+
+
+def best_of(of: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query: highest score, then least vec_id."""
+    order = np.lexsort((ids, -score, of))
+    of, ids, score = of[order], ids[order], score[order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    return of[place < k], ids[place < k], score[place < k]
 
 
 def _unpack(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -135,21 +129,23 @@ def search_blocks(k: int):
 
     def run(batches):
         shard, of = None, None
-        known: dict[int, list[tuple[int, int]]] = {}
+        known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for ids, dims, data, qids, qdims, qdata in zip(*(batch.column(c).to_pylist() for c in ("ids", "dims", "data", "qids", "qdims", "qdata"))):
                 if of != (ids, data):
                     of, shard = (ids, data), Shard(*_unpack(ids, dims, data))
                 queries, vectors = _unpack(qids, qdims, qdata)
-                out: list[tuple[int, int, int]] = []
-                for qid, q in zip(queries.tolist(), vectors):
-                    best = known.get(qid, [])
-                    found = shard.search(qid, q, k, best[-1][0] if len(best) >= k else None)
-                    out += [(qid, v, s) for s, v in found]
-                    if len(known) < 50_000 or qid in known:
-                        known[qid] = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
-                cols = list(zip(*out)) if out else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                none = np.zeros(0, np.int64)
+                best = known.get(qids, (none, none, none))
+                least = np.full(len(queries), -np.inf)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(queries)) == k)
+                if len(full):
+                    np.minimum.at(low := np.full(len(queries), np.inf), best[0], best[2])
+                    least[full] = low[full]
+                found = shard.search(queries, vectors, k, least)
+                if len(known) < KNOWN or qids in known:
+                    known[qids] = best_of(*(np.concatenate(x) for x in zip(best, found)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(queries[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "vec_id", "score"])
 
     return run
 
