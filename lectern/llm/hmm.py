@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, materialize, share_code
+from lectern.llm.common import documents, materialize, share_code, slices
 
 STATES, VOCAB, OWN, TAILS, WINDOW, ALPHA = 8, 200_000, 48_000, 4_096, 64, 0.1
-WARM, FULL, LONGEST, FLUSH, BLOCK, PRIOR = 3, 3, 64, 300_000, 4096, 50.0
-STEP_TOKENS, LONG = 2_000_000, 4096
+WARM, FULL, LONGEST, FLUSH, BLOCK, PRIOR = 3, 3, 64, 200_000, 4096, 50.0
+STEP_TOKENS, LONG = 1_000_000, 4096
 END = b""
 
 
@@ -60,7 +60,7 @@ def count_words(batches):
         held.clear()
         return out
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             if text:
                 held.update(text.lower().split())
@@ -116,10 +116,8 @@ def encode(version: int, lexicon: Lexicon):
         if not _tables or _tables[0][0] != version:
             _tables[:] = [(version, Table(zip(lexicon.words, range(len(lexicon.words)))))]
         find = _tables[0][1].__getitem__
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             docs = [(t or b"").lower().split() + [END] for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            if not docs:
-                continue
             size = np.fromiter(map(len, docs), np.int64, len(docs))
             at = np.fromiter((i for d in docs for i in map(find, d)), np.int32, int(size.sum()))
             first, known = np.cumsum(size) - size, at >= 0
@@ -271,7 +269,7 @@ def expect(model: Hmm):
 def grouped(batches):
     """Lists of sequences with about ``STEP_TOKENS`` tokens."""
     docs, n = [], 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "ids")):
         for raw in batch.column("ids").to_pylist():
             docs.append(np.frombuffer(raw, np.uint16))
             n += len(docs[-1])
@@ -323,7 +321,7 @@ def score(model: Hmm):
     """Batches with ids to their rows with ``class_lp`` for ids."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
             docs = [np.frombuffer(raw, np.uint16) for raw in batch.column("ids").to_pylist()]
             names = [n for n in batch.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(model.log10(docs), pa.float64())], names=[*names, "class_lp"])
