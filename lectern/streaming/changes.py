@@ -31,8 +31,11 @@ def debounced(events: DataFrame, *, key: str, time: str, ident: str, seconds: fl
     return events.join(ids, F.col(ident) == F.col("kept_id"), "left_semi")
 
 
-def debounced_stream(events: DataFrame, *, key: str, time: str, seconds: float = rules.DEBOUNCE_SECONDS, forget: str = "1 hour") -> DataFrame:
-    """The stateful form of ``debounced``: the last accepted time of each key, forgotten after ``forget`` without events."""
+def debounced_stream(events: DataFrame, *, key: str, time: str, seconds: float = rules.DEBOUNCE_SECONDS, late: str = "1 minute", forget: str = "1 hour") -> DataFrame:
+    """The stateful form of ``debounced`` (``time`` a timestamp): the last accepted time of each key.
+
+    A key's state goes when event time has passed its last accepted event by ``forget``; events later than ``late`` are left out.
+    """
     gap, millis = pd.Timedelta(seconds=seconds), int(pd.Timedelta(forget).total_seconds() * 1000)
     names, kinds = events.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
 
@@ -46,11 +49,12 @@ def debounced_stream(events: DataFrame, *, key: str, time: str, seconds: float =
         for t in rows[time]:
             keep.append(last is None or t - last >= gap)
             last = t if keep[-1] else last
-        state.update((int(last.value // 1000),))
-        state.setTimeoutDuration(millis)
+        micros = int((last - pd.Timestamp(0)) / pd.Timedelta(microseconds=1))
+        state.update((micros,))
+        state.setTimeoutTimestamp(max(micros // 1000 + millis, state.getCurrentWatermarkMs() + 1))
         yield rows[keep][names]
 
-    return events.groupBy(key).applyInPandasWithState(run, kinds, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, kinds, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settled(events: DataFrame, *, key: str, time: str, gap: str = f"{rules.SETTLE_SECONDS} seconds") -> DataFrame:

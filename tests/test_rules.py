@@ -228,9 +228,9 @@ def test_debounce_stream(spark, tmp_path):
     e = spark.createDataFrame([(i, "p", f"2026-01-01 00:00:{s:06.3f}") for i, s in enumerate([0, 1, 1.9, 2.5, 4.4, 4.5])], "id long, k string, s string").withColumn("ts", F.col("s").cast("timestamp"))
     e.coalesce(1).write.parquet(str(src))
     stream = changes.debounced_stream(spark.readStream.schema(e.schema).parquet(str(src)), key="k", time="ts")
-    q = stream.writeStream.format("memory").queryName("deb").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = stream.writeStream.format("memory").queryName("deb").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120)
         assert sorted(r.id for r in spark.table("deb").collect()) == [0, 3, 5]
     finally:
         q.stop()
