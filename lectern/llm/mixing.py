@@ -16,7 +16,7 @@ document's key with its leaf's last key.
 
 Tokens are words.  Null text: no tokens (taken when its place in the order is within the prefix).  Null lang or source, or a name without
 a weight: weight ``DEFAULT``; nulls count as the name ``none``.  Empty table: empty result.  Repeated rows share their key.  Extra columns
-are kept by ``mix_documents``.
+are kept by ``mix_documents``, which reserves names that begin with ``mix_``.
 """
 
 from __future__ import annotations
@@ -110,10 +110,11 @@ def mix_documents(docs: DataFrame, seed: int = SEED, narrow: bool = False, **tre
     rows = leaf_columns(docs)
     thin = materialize(rows.select("doc_id", *LEAF, "mix_tokens"), "mix-rows")
     deal = plan(thin, seed, **tree)
-    met = (thin if narrow else rows).join(deal, [F.col(c) == F.col(c.replace("mix", "p")) for c in LEAF])
-    copies = F.col("epoch") + F.when(key_of(F.col("epoch"), seed) <= F.col("last_key"), 1).otherwise(0)
-    met = met.withColumn("mix_budget", F.col("budget")).withColumn("mix_copies", copies)
-    return met.where("mix_copies > 0").drop("p_domain", "p_lang", "p_source", "budget", "epoch", "last_key")
+    deal = deal.select(*[F.col(c).alias(f"mix_{c}") for c in deal.columns])
+    met = (thin if narrow else rows).join(deal, [F.col(c) == F.col(c.replace("mix", "mix_p")) for c in LEAF])
+    copies = F.col("mix_epoch") + F.when(key_of(F.col("mix_epoch"), seed) <= F.col("mix_last_key"), 1).otherwise(0)
+    met = met.withColumn("mix_copies", copies)
+    return met.where("mix_copies > 0").drop("mix_p_domain", "mix_p_lang", "mix_p_source", "mix_epoch", "mix_last_key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,13 +98,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = materialize(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
     named = near_duplicates(rows).withColumnRenamed("fp", "f")
     kept = rows.join(named, F.col("fp") == F.col("f")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialize(kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"), F.min("fp").alias("kept_fp")), "kept")
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")))
-    once = met.where("kept_rows = 1")
-    if kept.where("kept_rows > 1").isEmpty():  # repeated doc_ids are rare: only their rows are sorted
+    kept = materialize(kept.groupBy(F.col("doc_id").alias("simhash_kept_id")).agg(F.count("*").alias("simhash_kept_rows")), "kept")
+    # The ids that stay grow with the table, so they are never broadcast, however small a table's are.
+    met = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("simhash_kept_id")))
+    once = met.where("simhash_kept_rows = 1")
+    if kept.where("simhash_kept_rows > 1").isEmpty():  # repeated doc_ids are rare: only their rows are sorted
         return once.select(docs.columns)
-    again = met.where("kept_rows > 1").withColumn("kept_n", F.row_number().over(W.partitionBy("kept_id").orderBy(F.xxhash64("text"))))
-    return once.select(docs.columns).union(again.where("kept_n = 1").select(docs.columns))
+    again = met.where("simhash_kept_rows > 1").withColumn("simhash_kept_n", F.row_number().over(W.partitionBy("simhash_kept_id").orderBy(F.xxhash64("text"))))
+    return once.select(docs.columns).union(again.where("simhash_kept_n = 1").select(docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
