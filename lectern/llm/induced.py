@@ -33,14 +33,20 @@ FLAT = 128
 CAP = 32_000
 
 
+#: Bytes of arrays that a sort keeps in memory; what comes after goes to files.
+MEMORY = 128 << 20
+
+
 class Scratch:
-    """Memory-mapped arrays in a folder of the task's own, removed at the end."""
+    """Arrays of a sort: the first ``MEMORY`` bytes in memory, the others mapped from files in a folder of the task's own, removed at the end."""
 
-    def __init__(self):
-        self.root, self.n = tempfile.mkdtemp(prefix="induced-"), 0
+    def __init__(self, memory: int | None = None):
+        self.root, self.n, self.left = tempfile.mkdtemp(prefix="induced-"), 0, MEMORY if memory is None else memory
 
     def array(self, n: int, dtype) -> np.ndarray:
-        if n < 1 << 16:
+        size = n * np.dtype(dtype).itemsize
+        if size < 1 << 12 or size <= self.left:
+            self.left -= size
             return np.zeros(n, dtype)
         self.n += 1
         path = f"{self.root}/{self.n}"
@@ -53,8 +59,8 @@ class Scratch:
 
 
 @contextlib.contextmanager
-def scratch():
-    held = Scratch()
+def scratch(memory: int | None = None):
+    held = Scratch(memory)
     try:
         yield held
     finally:
@@ -258,11 +264,20 @@ def _ranked(keys: np.ndarray, files: Scratch) -> np.ndarray:
 
 
 def doubled(text: np.ndarray, files: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and common prefixes by doubling ranks; each step's ranks stay in a file."""
-    n, width, ranks = len(text), 1, []
-    rank = _ranked(text, files)
+    """Suffix order and common prefixes by doubling ranks; each step's ranks stay in a file.
+
+    The first ranks are those of as many symbols as fit into 62 bits.
+    """
+    n = len(text)
+    bits = int(text.max(initial=0) + 1).bit_length()
+    start = max(1, min(62 // bits, 8, n))
+    keys = np.zeros(n, np.int64)
+    for k in range(start):
+        keys <<= bits
+        keys[: n - k] |= text[k:].astype(np.int64) + 1
+    width, ranks, rank = start, [], _ranked(keys, files)
     while True:
-        ranks.append(rank)
+        ranks.append((width, rank))
         if n < 2 or rank.max() == n - 1:
             break
         keys = rank.astype(np.int64) * (n + 1)
@@ -270,15 +285,16 @@ def doubled(text: np.ndarray, files: Scratch) -> tuple[np.ndarray, np.ndarray]:
         keys[:-width] += 1
         rank = _ranked(keys, files)
         width *= 2
-    order = np.argsort(rank)
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
     a, b = order[:-1].copy(), order[1:].copy()
     shared = np.zeros(n, np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
+    for width, rank in [*reversed(ranks), *[(1, text)] * (start - 1)]:
         inside = (a < n) & (b < n)
-        equal = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
-        shared[1:][equal] += 1 << k
-        a[equal] += 1 << k
-        b[equal] += 1 << k
+        equal = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+        shared[1:][equal] += width
+        a[equal] += width
+        b[equal] += width
     return order, shared
 
 

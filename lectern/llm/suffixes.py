@@ -4,7 +4,7 @@ Every byte covered by a ``LEAST``-byte string that starts anywhere else too is r
 
 1. *Anchors.*  Each window of ``LEAST`` bytes has an anchor: its ``GRAM``-byte piece of least hash (the leftmost of equals).  Equal
    windows have equal anchors, and consecutive windows mostly share theirs, so a text has one anchor for about 75 bytes.
-   Anchors are counted with partial sums; those that occur once can't belong to a repeated window and leave.
+   Anchors of one text alone that it holds once can't belong to a repeated window and leave (grouped minima and maxima of text numbers).
 2. *Contexts.*  The bytes of all windows of a repeated anchor are its context.  Equal contexts of an anchor are counted
    before they move (``copies``); a context that occurs twice has only repeated windows.
 3. *Shards.*  Distinct contexts go to shards by anchor, so equal windows meet in one shard.  A shard sorts all suffixes of its contexts
@@ -31,10 +31,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, materialize, share_code, text_bytes
+from lectern.llm.common import discard, documents, materialize, share_code, slices, text_bytes
 from lectern.llm.induced import repeated_starts
 
-LEAST, GRAM, GROUP, SHARD_BYTES = 200, 50, 256, 8 << 20
+LEAST, GRAM, GROUP, SHARD_BYTES = 200, 50, 256, 2 << 20
 #: Buffers of the anchor search: positions take this many bits beside the hash.
 ROOM_BITS = 20
 RESULT = "struct<n_removed: bigint, n_spans: bigint, kept_sha256: string>"
@@ -64,6 +64,39 @@ def window_hashes(buffer: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
         return out ^ out >> np.uint64(32)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if not _kept or len(_kept[0][0]) < n:
+        base, inverse = int(_A), pow(int(_A), -1, 1 << 64)
+        out = []
+        for x in (base, inverse):
+            with np.errstate(over="ignore"):
+                p = np.ones(1, np.uint64)
+                while len(p) < n:
+                    p = np.concatenate((p, p * np.uint64(pow(x, len(p), 1 << 64))))
+            out.append(p)
+        _kept[:] = [tuple(out)]
+    return _kept[0][0][:n], _kept[0][1][:n]
+
+
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
+_LETTERS = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+
+
+def gram_hashes(buffer: np.ndarray, width: int) -> np.ndarray:
+    """64-bit polynomial hashes of all strings of ``width`` bytes, from running sums; equal strings have equal hashes."""
+    n = len(buffer) - width + 1
+    up, down = _powers(len(buffer) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(_LETTERS[buffer] * up[:-1], out=sums[1:])
+        out = sums[width:] - sums[:n]
+        out *= down[:n]
+        out ^= out >> np.uint64(32)
+        out *= _B
+        return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values, from running minima of blocks in both directions."""
     n = len(values) - width + 1
@@ -82,36 +115,49 @@ def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if len(buffer) < LEAST:
         return none, none, none, none
-    hashes = window_hashes(buffer, GRAM)
-    keys = hashes >> np.uint64(ROOM_BITS) << np.uint64(ROOM_BITS) | np.arange(len(hashes), dtype=np.uint64)
-    at = (sliding_min(keys, LEAST - GRAM + 1) & np.uint64((1 << ROOM_BITS) - 1)).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), size)[: len(at)]
+    hashes = gram_hashes(buffer, GRAM)
+    keys = hashes >> np.uint64(ROOM_BITS) << np.uint64(ROOM_BITS)
+    keys |= np.arange(len(hashes), dtype=np.uint64)
+    least = sliding_min(keys, LEAST - GRAM + 1)
+    change = np.empty(len(least), bool)
+    change[0] = True
+    np.not_equal(least[1:], least[:-1], out=change[1:])
     end = np.cumsum(size)
-    starts = np.flatnonzero(np.arange(len(at)) + LEAST <= end[text])
-    at, text = at[starts], text[starts]
-    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))[: len(at)]
-    last = np.append(new[1:], len(at)) - 1
-    base = (end - size)[text[new]]
-    return text[new], hashes[at[new]].view(np.int64), starts[new] - base, starts[last] - base
+    change[end[:-1][end[:-1] < len(least)]] = True
+    first = np.flatnonzero(change)
+    last = np.append(first[1:], len(least)) - 1
+    text = np.searchsorted(end, first, side="right")
+    last = np.minimum(last, end[text] - LEAST)  # windows don't reach into the next text
+    fine = np.flatnonzero(last >= first)
+    first, last, text = first[fine], last[fine], text[fine]
+    at = (least[first] & np.uint64((1 << ROOM_BITS) - 1)).astype(np.int64)
+    base = (end - size)[text]
+    return text, hashes[at].view(np.int64), first - base, last - base
 
 
 def find_anchors(batches):
-    """Batches (key, data) to rows (anchor, key, first, last); a text is searched once in a task."""
+    """Batches (key, data) to rows (anchor, text, first, last, twice); a text is searched once in a task.
+
+    text: the first eight bytes of its key; twice: the text has this anchor at more than one place.
+    """
     seen: set[bytes] = set()
     room = 1 << ROOM_BITS
-    held: list[tuple[bytes, int, bytes]] = []
+    held: list[tuple[int, int, bytes]] = []
 
     def flush():
-        text, anchor, first, last = anchors_of([x for _, _, x in held])
-        keys, shift = [k for k, _, _ in held], np.fromiter((s for _, s, _ in held), np.int64, len(held))
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(keys, pa.binary()).take(pa.array(text)) if len(text) else pa.array([], pa.binary()), pa.array((first + shift[text]).astype(np.int32)), pa.array((last + shift[text]).astype(np.int32))], names=["anchor", "key", "first", "last"]
-        )
+        which, anchor, first, last = anchors_of([x for _, _, x in held])
+        number = np.fromiter((k for k, _, _ in held), np.int64, len(held))[which]
+        shift = np.fromiter((s for _, s, _ in held), np.int64, len(held))[which]
+        order = np.lexsort((anchor, number))
+        same = np.flatnonzero((anchor[order][1:] == anchor[order][:-1]) & (number[order][1:] == number[order][:-1]))
+        twice = np.zeros(len(anchor), bool)
+        twice[order[same]] = twice[order[same + 1]] = True
+        cut = np.fromiter((len(x) == room - 1 for _, _, x in held), bool, len(held))[which]  # pieces of one long text don't see each other
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(number), pa.array((first + shift).astype(np.int32)), pa.array((last + shift).astype(np.int32)), pa.array(twice | cut | (shift > 0))], names=["anchor", "text", "first", "last", "twice"])
 
     used = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "data")):
         for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist()):
             if len(data) < LEAST or key in seen:
                 continue
@@ -123,7 +169,7 @@ def find_anchors(batches):
                 if used + len(piece) > room:
                     yield flush()
                     used = 0
-                held.append((key, lo, piece))
+                held.append((int.from_bytes(key[:8], "big", signed=True), lo, piece))
                 used += len(piece)
     if held:
         yield flush()
@@ -133,20 +179,22 @@ def cut_contexts(batches):
     """Batches (key, data, found) to rows (key, first, anchor, ctx, piece); a piece comes once in a task, a text's contexts too."""
     known: set[bytes] = set()
     texts: set[bytes] = set()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "data")):
         rows: tuple[list, ...] = ([], [], [], [], [])
         for key, data, found in zip(*(batch.column(c).to_pylist() for c in ("key", "data", "found"))):
             if key in texts:
                 continue
             if len(texts) < 1 << 20:
                 texts.add(key)
-            for f in found:
-                piece = data[f["first"] : f["last"] + LEAST]
+            for anchor, first, last in sorted({(f["anchor"], f["first"], f["last"]) for f in found}):  # copies find theirs too
+                if last + LEAST > len(data):  # of another text with the same number
+                    continue
+                piece = data[first : last + LEAST]
                 ctx = xxhash.xxh3_128_digest(piece)
                 fresh = ctx not in known
                 if fresh and len(known) < 1 << 20:
                     known.add(ctx)
-                for column, value in zip(rows, (key, f["first"], f["anchor"], ctx, piece if fresh else None)):
+                for column, value in zip(rows, (key, first, anchor, ctx, piece if fresh else None)):
                     column.append(value)
         kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["key", "first", "anchor", "ctx", "piece"])
@@ -188,7 +236,7 @@ def sort_shard(batches):
 
 def cut_windows(batches):
     """Contexts of crowded anchors to their windows: rows (h1, h2, ctx, start, copies)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "piece")):
         for ctx, piece, n in zip(*(batch.column(c).to_pylist() for c in ("ctx", "piece", "copies"))):
             buffer = np.frombuffer(piece, np.uint8)
             h1, h2 = (window_hashes(buffer, LEAST, seed).view(np.int64) for seed in (1, 77))
@@ -219,28 +267,42 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(key, spans array<struct<lo, hi>>) of the texts of rows (key, data) that hold repeated windows; spans may overlap."""
     spark = texts.sparkSession
     share_code(spark)
-    anchors = materialize(texts.mapInArrow(find_anchors, "anchor long, key binary, first int, last int"), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = anchors.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("found"))
-    met = texts.where(F.octet_length("data") >= LEAST).join(found, "key").select("key", "data", "found")
+    anchors = materialize(texts.mapInArrow(find_anchors, "anchor long, text long, first int, last int, twice boolean"), "anchors")
+    often = anchors.groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.max("twice").alias("t")).where("a <> b or t").select("anchor")
+    # Texts meet their anchors by half of their key: a text that shares it with another one only gets contexts too many.
+    found = anchors.join(often, "anchor", "left_semi").groupBy("text").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("found"))
+    found = materialize(found, "found-anchors")
+    discard(anchors)
+    number = F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")
+    met = texts.where(F.octet_length("data") >= LEAST).withColumn("text", number).join(found, "text").select("key", "data", "found")
     rows = materialize(met.mapInArrow(cut_contexts, "key binary, first int, anchor long, ctx binary, piece binary"), "contexts")
+    discard(found)
     distinct = rows.groupBy("anchor", "ctx").agg(F.max("piece").alias("piece"), F.count("*").alias("copies"))
     distinct = materialize(distinct, "distinct-contexts")
-    crowded = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor")
-    total = distinct.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)).alias("n")).first().n
-    shards = max(1, -(-total // SHARD_BYTES))
-    calm = distinct.join(crowded, "anchor", "left_anti").repartition(shards, "anchor").select("ctx", "piece", "copies")
-    sorted_ = calm.mapInArrow(sort_shard, "ctx binary, lo int, hi int")
-    windows = distinct.join(crowded, "anchor", "left_semi").select("ctx", "piece", "copies").mapInArrow(cut_windows, "h1 long, h2 long, ctx binary, start int, copies long")
-    windows = materialize(windows, "windows")
+    members = materialize(rows.select("key", "first", "ctx"), "members")
+    discard(rows)
+    size = F.octet_length("piece")
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"), F.first("ctx").alias("ctx"), F.first(size).alias("size"), F.max("copies").alias("most"))
+    groups = materialize(groups, "anchor-groups")
+    # An anchor with one context needs no order: its windows are repeated if the context is.
+    alone = groups.where("n = 1 and most > 1").select("ctx", F.lit(0).alias("lo"), (F.col("size") - LEAST).alias("hi"))
+    shared = groups.where((F.col("n") > 1) & (F.col("n") <= GROUP))
+    shards = max(1, -(-(shared.agg(F.sum("bytes").alias("b")).first().b or 0) // SHARD_BYTES))
+    calm = distinct.join(shared.select("anchor"), "anchor", "left_semi").repartition(shards, "anchor").select("ctx", "piece", "copies")
+    crowded = distinct.join(groups.where((F.col("n") > 1) & (F.col("n") > GROUP)).select("anchor"), "anchor", "left_semi").select("ctx", "piece", "copies")
+    windows = materialize(crowded.mapInArrow(cut_windows, "h1 long, h2 long, ctx binary, start int, copies long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-    alone = windows.join(twice, ["h1", "h2"], "left_semi").select("ctx", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    verdicts = materialize(sorted_.union(alone), "repeated-windows").withColumnRenamed("ctx", "c")
-    spans = rows.select("key", "first", "ctx").join(verdicts, F.col("ctx") == F.col("c"))
+    one_by_one = windows.join(twice, ["h1", "h2"], "left_semi").select("ctx", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    verdicts = materialize(alone.union(calm.mapInArrow(sort_shard, "ctx binary, lo int, hi int")).union(one_by_one), "repeated-windows")
+    discard(distinct, groups, windows)
+    verdicts = verdicts.withColumnRenamed("ctx", "c")
+    spans = members.join(verdicts, F.col("ctx") == F.col("c"))
     spans = spans.select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + LEAST).alias("hi"))
     copied = texts.where(F.octet_length("data") >= LEAST).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     spans = spans.union(copied.select("key", F.lit(0), F.lit((1 << 31) - 1)))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    discard(members)
+    return spans
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -274,7 +336,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with repeat_data, repeat_key and repeat_spans (null: none)."""
     rows = keyed(docs)
     spans = repeated_spans(rows.select(F.col("repeat_key").alias("key"), F.col("repeat_data").alias("data")))
-    return rows.join(spans.withColumnRenamed("spans", "repeat_spans"), F.col("repeat_key") == F.col("key"), "left").drop("key")
+    spans = spans.select(F.col("key").alias("repeat_of"), F.col("spans").alias("repeat_spans"))
+    return rows.join(spans, F.col("repeat_key") == F.col("repeat_of"), "left").drop("repeat_of")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
