@@ -10,8 +10,9 @@ Every byte covered by a ``LEAST``-byte string that starts anywhere else too is r
 3. *Shards.*  Distinct contexts go to shards by anchor, so equal windows meet in one shard.  A shard sorts all suffixes of its contexts
    with their common prefixes by external induced sorting (``lectern.llm.induced``); a window is repeated if a neighbour in
    that order shares ``LEAST`` bytes.  Anchors with more than ``GROUP`` distinct contexts (the rim of a passage that many
-   documents hold, each with its own neighbourhood) would pile up in one shard.  Their windows are compared one by one
-   instead, by a 128-bit hash and a grouped count; nothing is dropped.
+   documents hold, each with its own neighbourhood) would pile up in one shard.  Their contexts are cut into parts of ``STEP`` windows that
+   are grouped by what these windows share, and decided likewise; the windows of parts that still crowd are compared one
+   by one by a 128-bit hash and a grouped count.  Nothing is dropped.
 4. *Spans.*  Repeated windows become spans of texts, are gathered for each distinct text and met with the texts by key (md5).
    Texts that occur twice (and have ``LEAST`` bytes) are removed whole.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import discard, documents, materialize, share_code, slices, text_bytes
 from lectern.llm.induced import repeated_starts
 
-LEAST, GRAM, GROUP, SHARD_BYTES = 200, 50, 256, 2 << 20
+LEAST, GRAM, GROUP, STEP, SHARD_BYTES = 200, 50, 256, 8, 2 << 20
 #: Buffers of the anchor search: positions take this many bits beside the hash.
 ROOM_BITS = 20
 RESULT = "struct<n_removed: bigint, n_spans: bigint, kept_sha256: string>"
@@ -234,6 +235,28 @@ def sort_shard(batches):
         yield _verdicts(out[lo : lo + 50_000])
 
 
+def cut_parts(batches):
+    """Contexts of crowded anchors to parts: rows (anchor, ctx, piece, copies, parent, offset).
+
+    A part holds the windows of a context whose distance to the anchor has the same quotient by ``STEP``; its new anchor is the
+    hash of what all windows at these distances share, so equal windows meet again and the rims of a passage part.
+    """
+    for batch in (part for whole in batches for part in slices(whole, "piece")):
+        rows: tuple[list, ...] = ([], [], [], [], [], [])
+        for anchor, ctx, piece, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "ctx", "piece", "copies"))):
+            at = int(np.flatnonzero(gram_hashes(np.frombuffer(piece, np.uint8), GRAM).view(np.int64) == anchor)[0])
+            nearest, farthest = at - (len(piece) - LEAST), at
+            for j in range(nearest // STEP, farthest // STEP + 1):
+                lo, hi = at - min(j * STEP + STEP - 1, farthest), at - max(j * STEP, nearest)
+                core = piece[at - j * STEP : at - j * STEP + LEAST - STEP + 1]
+                part = piece[lo : hi + LEAST]
+                key = int.from_bytes(xxhash.xxh3_64_digest(core, j), "big", signed=True)
+                for column, value in zip(rows, (key, xxhash.xxh3_128_digest(part), part, n, ctx, lo)):
+                    column.append(value)
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["anchor", "ctx", "piece", "copies", "parent", "offset"])
+
+
 def cut_windows(batches):
     """Contexts of crowded anchors to their windows: rows (h1, h2, ctx, start, copies)."""
     for batch in (part for whole in batches for part in slices(whole, "piece")):
@@ -263,6 +286,20 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def decided(distinct: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repeated windows (ctx, lo, hi) of all anchors of (anchor, ctx, piece, copies) but crowded ones; the rows of these; a table to discard at the end."""
+    size = F.octet_length("piece")
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"), F.first("ctx").alias("ctx"), F.first(size).alias("size"), F.max("copies").alias("most"))
+    groups = materialize(groups, "anchor-groups")
+    # An anchor with one context needs no order: its windows are repeated if the context is.
+    alone = groups.where("n = 1 and most > 1").select("ctx", F.lit(0).alias("lo"), (F.col("size") - LEAST).alias("hi"))
+    shared = groups.where((F.col("n") > 1) & (F.col("n") <= GROUP))
+    shards = max(1, -(-(shared.agg(F.sum("bytes").alias("b")).first().b or 0) // SHARD_BYTES))
+    calm = distinct.join(shared.select("anchor"), "anchor", "left_semi").repartition(shards, "anchor").select("ctx", "piece", "copies")
+    crowded = distinct.join(groups.where((F.col("n") > 1) & (F.col("n") > GROUP)).select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "piece", "copies")
+    return alone.union(calm.mapInArrow(sort_shard, "ctx binary, lo int, hi int")), crowded, groups
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(key, spans array<struct<lo, hi>>) of the texts of rows (key, data) that hold repeated windows; spans may overlap."""
     spark = texts.sparkSession
@@ -282,19 +319,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     members = materialize(rows.select("key", "first", "ctx"), "members")
     discard(rows)
     size = F.octet_length("piece")
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"), F.first("ctx").alias("ctx"), F.first(size).alias("size"), F.max("copies").alias("most"))
-    groups = materialize(groups, "anchor-groups")
-    # An anchor with one context needs no order: its windows are repeated if the context is.
-    alone = groups.where("n = 1 and most > 1").select("ctx", F.lit(0).alias("lo"), (F.col("size") - LEAST).alias("hi"))
-    shared = groups.where((F.col("n") > 1) & (F.col("n") <= GROUP))
-    shards = max(1, -(-(shared.agg(F.sum("bytes").alias("b")).first().b or 0) // SHARD_BYTES))
-    calm = distinct.join(shared.select("anchor"), "anchor", "left_semi").repartition(shards, "anchor").select("ctx", "piece", "copies")
-    crowded = distinct.join(groups.where((F.col("n") > 1) & (F.col("n") > GROUP)).select("anchor"), "anchor", "left_semi").select("ctx", "piece", "copies")
-    windows = materialize(crowded.mapInArrow(cut_windows, "h1 long, h2 long, ctx binary, start int, copies long"), "windows")
+    first, crowded, groups = decided(distinct)
+    parts = materialize(crowded.mapInArrow(cut_parts, "anchor long, ctx binary, piece binary, copies long, parent binary, offset int"), "parts")
+    small = materialize(parts.groupBy("anchor", "ctx").agg(F.max("piece").alias("piece"), F.sum("copies").alias("copies")), "distinct-parts")
+    second, rest, part_groups = decided(small)
+    windows = materialize(rest.select("ctx", "piece", "copies").mapInArrow(cut_windows, "h1 long, h2 long, ctx binary, start int, copies long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-    one_by_one = windows.join(twice, ["h1", "h2"], "left_semi").select("ctx", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    verdicts = materialize(alone.union(calm.mapInArrow(sort_shard, "ctx binary, lo int, hi int")).union(one_by_one), "repeated-windows")
-    discard(distinct, groups, windows)
+    third = windows.join(twice, ["h1", "h2"], "left_semi").select("ctx", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    of_parts = second.union(third).select(F.col("ctx").alias("p"), "lo", "hi").join(parts.select("ctx", "parent", "offset"), F.col("p") == F.col("ctx"))
+    of_parts = of_parts.select(F.col("parent").alias("ctx"), (F.col("lo") + F.col("offset")).alias("lo"), (F.col("hi") + F.col("offset")).alias("hi"))
+    verdicts = materialize(first.union(of_parts), "repeated-windows")
+    discard(distinct, groups, parts, small, part_groups, windows)
     verdicts = verdicts.withColumnRenamed("ctx", "c")
     spans = members.join(verdicts, F.col("ctx") == F.col("c"))
     spans = spans.select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + LEAST).alias("hi"))
