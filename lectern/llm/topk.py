@@ -1,177 +1,226 @@
-"""Operator 3: exact top-k search with MaxScore.
-
-Vectors hold integers; dimensions and signs are the terms: a vector is posted under (d, +) or (d, -) with the size of its
-component.  A query's terms are the lists that add to a score (same sign, bound: its weight times the list's largest
-size); lists of the opposite sign only lower it and have bound zero.  A shard is a block of ``SHARD`` vectors with its
-postings; queries come in blocks of ``BLOCK``.  For each block and shard:
-
-1. a query's terms are ordered by bound; the least ones whose bounds add up to less than its threshold are non-essential:
-   a vector that is in none of the others can't enter the result;
-2. the essential lists are traversed and their contributions added up (for the whole block as one matrix product, since
-   a list of an embedding's dimension holds about half of the vectors);
-3. vectors whose sum and the bounds of the non-essential terms reach the threshold are probed in the terms that are left, opposite
-   signs included.
-
-The threshold is the query's k-th score so far, that of the shard's first rows included (ties stay in, since a smaller vec_id wins them).  Shards return k rows a
-query; a window by query with a partial limit merges them, so no task sees more than k rows of each shard.
-
-Queries against all rows is the stated task: each query block meets each shard once, by an equi-join on a shard group
-that only the (50 times smaller) queries are copied for.  Vectors that are null or hold a null or non-finite component take no part; vectors of
-different lengths are compared over the shorter one.  A row is its vec_id: rows that repeat a vec_id are never
-candidates of that id's query, and repeated rows give repeated results.  An empty table gives an empty result, extra columns are ignored.
+"""Operator 3: exact top-k search with MaxScore over sparse postings.
+
+Vectors hold integers; a dimension with a sign is a term: a vector is posted under (d, +) or (d, -) with the size of its
+component.  A shard is a block of ``SHARD`` vectors with its inverted index: for every term the sorted numbers of its
+vectors, their sizes and the largest size.  The index is built once, when shards are written to the shared folder.
+
+A query's terms of the same sign add to a score (bound: weight times the shard's largest size); those of the opposite sign lower it and
+have bound zero.  For each query and shard:
+
+1. terms are ordered by bound; the least ones whose bounds add up to less than the threshold (the query's k-th score so
+   far) are non-essential: a vector that is in none of the others can't enter the result;
+2. the postings of the essential terms are traversed, and no others;
+3. vectors whose sum and the bounds left reach the threshold are candidates.  They are probed in the remaining terms, the
+   largest first, by binary search in the postings, and leave as soon as their sum and what is left of the bounds stay
+   below the threshold (ties stay in, since a smaller vec_id wins them).
+
+Thresholds carry over from shard to shard of a group (about ``GROUP`` shards, so the number of groups grows with the table).  A task
+holds the shards of one group and streams all blocks of queries past them; a window with a partial limit merges the k best of each group.
+Queries against all rows is the stated task: only the (50 times smaller) queries are copied, once for each group.
+
+A row is itself, whatever its vec_id: a query leaves out its own row alone, repeated rows are candidates like any others, and
+rows that repeat a query's vec_id are queries of their own with results each.  Vectors that are null or hold a null or
+non-finite component take no part; vectors of different lengths are compared over the shorter one (components that are
+absent are zero).  Components beyond a long saturate; sums that may leave 63 bits are done in unbounded integers, and scores saturate.
+An empty table gives an empty result, rows without vec_id take no part, extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, share_code, table
+from lectern.llm.common import discard, materialize, share_code, table
 
-SCALE, TOP, EVERY, SHARD, BLOCK, GROUPS = 256, 5, 50, 4096, 512, 64
-SEEDS, PROBES, KNOWN = 256, 1 << 17, 256
-PACKED = "group int, ids binary, dims int, data binary"
+SCALE, TOP, EVERY, SHARD, BLOCK, GROUP = 256, 5, 50, 2048, 512, 4
+PACKED = "ids binary, rows binary, dims int, first binary, at binary, size binary"
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>) of the rows whose vector is complete and finite."""
+    """(row, vec_id, v array<long>) of the rows whose vector is complete and finite; ``row`` tells rows apart once written."""
     x = F.col("embedding").cast("array<double>")
     fine = F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return rows.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    kept = rows.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
+    return kept.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids, lists = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, vec_ids and the vectors as one matrix, shorter ones filled with zeros."""
+    rows, ids = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "vec_id"))
+    lists = batch.column("v")
     size = np.diff(lists.offsets.to_numpy())
-    flat, width = lists.flatten().to_numpy(zero_copy_only=False), int(size.max(initial=0))
-    out = np.zeros((len(ids), width), np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(ids), int(size.max(initial=0))), np.int64)
     out[np.repeat(np.arange(len(ids)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-    return ids.astype(np.int64), out
+    return rows, ids, out
 
 
-def pack(block: int, groups: int):
-    """Batches of (vec_id, v) to rows of ``block`` packed vectors, dealt over ``groups``."""
+class Shard:
+    """Postings of some vectors: list t holds the positive components of dimension t, list dims + t the sizes of its negative ones."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, dims: int, first: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.ids, self.rows, self.dims, self.first, self.at, self.size = ids, rows, dims, first, at, size
+        self.most = np.array([size[a:b].max(initial=0) for a, b in zip(first, first[1:])], np.int64)
+
+    @classmethod
+    def of(cls, rows: np.ndarray, ids: np.ndarray, data: np.ndarray) -> Shard:
+        data = np.maximum(data, -MOST)  # the one value without an opposite
+        both = np.concatenate((np.maximum(data, 0), np.maximum(-data, 0)), axis=1).T
+        term, at = np.nonzero(both)
+        first = np.searchsorted(term, np.arange(2 * data.shape[1] + 1))
+        return cls(ids, rows, data.shape[1], first.astype(np.int64), at.astype(np.int32), both[term, at])
+
+    def pack(self) -> list:
+        return [self.ids.tobytes(), self.rows.tobytes(), self.dims, self.first.tobytes(), self.at.tobytes(), self.size.tobytes()]
+
+    @classmethod
+    def unpack(cls, ids: bytes, rows: bytes, dims: int, first: bytes, at: bytes, size: bytes) -> Shard:
+        return cls(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), dims, np.frombuffer(first, np.int64), np.frombuffer(at, np.int32), np.frombuffer(size, np.int64))
+
+    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.first[term], self.first[term + 1]
+        return self.at[a:b], self.size[a:b]
+
+    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]], seen: Counter | None = None) -> list[tuple[int, int]]:
+        """The k best (-score, vec_id) of ``best`` and this shard's rows for a query vector; ``own`` is its row.
+
+        seen: counts essential postings traversed, postings that a full traversal would take, and probes.
+        """
+        n = min(len(query), self.dims)
+        d = np.flatnonzero(query[:n])
+        weight = np.abs(np.maximum(query[d], -MOST))
+        up = np.where(query[d] > 0, d, d + self.dims)  # the terms that add
+        down = np.where(query[d] > 0, d + self.dims, d)  # the terms that subtract
+        room = sum(int(w) * int(max(self.most[a], self.most[b])) for w, a, b in zip(weight, up, down))
+        kind = np.int64 if room < 1 << 62 else object  # numbers of the same value either way
+        weight = weight.astype(kind)
+        bound = weight * self.most[up].astype(kind)
+        order = np.argsort(bound, kind="stable")
+        upto = np.cumsum(bound[order])
+        least = -best[-1][0] if len(best) == k else None
+        cut = 0 if least is None else int(np.searchsorted(upto, least, side="left"))  # the first ``cut`` terms are non-essential
+        left = int(upto[cut - 1]) if cut else 0
+        part = np.zeros(len(self.ids), kind)
+        for i in order[cut:]:
+            at, size = self.postings(up[i])
+            part[at] += weight[i] * size.astype(kind, copy=False)
+            if seen is not None:
+                seen["traversed"] += len(at)
+        if seen is not None:
+            seen["all"] += sum(len(self.postings(t)[0]) for t in up)
+        alive = self.rows != own
+        if least is not None:
+            alive &= (part + left >= least).astype(bool)
+        at = np.flatnonzero(alive)
+        total = part[at]
+        rest = [(int(bound[i]), weight[i], up[i], int(bound[i])) for i in order[:cut]]
+        rest += [(int(weight[i]) * int(self.most[t]), -weight[i], t, 0) for i, t in enumerate(down)]
+        for _, w, term, gain in sorted(rest, key=lambda x: -x[0]):
+            if not len(at):
+                break
+            found, size = self.postings(term)
+            if len(found):
+                spot = np.minimum(np.searchsorted(found, at), len(found) - 1)
+                total = total + np.where(found[spot] == at, size[spot], 0).astype(kind, copy=False) * w
+            left -= gain
+            if seen is not None:
+                seen["probed"] += len(at)
+            if least is not None:
+                fine = (total + left >= least).astype(bool)
+                at, total = at[fine], total[fine]
+        if len(at) > 4 * k:  # all ties with the k-th stay
+            fine = total >= np.partition(total, len(total) - k)[len(total) - k]
+            at, total = at[fine], total[fine]
+        return sorted(best + [(-int(s), int(i)) for s, i in zip(total, self.ids[at])])[:k]
+
+
+def pack(rows: int):
+    """Batches of (row, vec_id, v) to shards of ``rows`` vectors."""
 
     def run(batches):
-        at = 0
         for batch in batches:
-            for lo in range(0, len(batch), block):
-                ids, data = _matrix(batch.slice(lo, block))
-                at += 1
-                group = int(ids.sum() * 31 + at) % groups
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([ids.tobytes()]), pa.array([data.shape[1]], pa.int32()), pa.array([data.tobytes()])], names=["group", "ids", "dims", "data"])
+            for lo in range(0, len(batch), rows):
+                cols = list(zip(Shard.of(*_matrix(batch.slice(lo, rows))).pack()))
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ids", "rows", "dims", "first", "at", "size"])
 
     return run
 
 
-class Shard:
-    """Postings of a block of vectors: column d holds the sizes of positive components of dimension d, column dims + d those of negative ones."""
-
-    def __init__(self, ids: np.ndarray, data: np.ndarray):
-        self.ids, self.data = ids, data
-        self.lists = np.concatenate((np.maximum(data, 0), np.maximum(-data, 0)), axis=1).astype(np.float64)
-        self.most = self.lists.max(axis=0, initial=0.0)
-
-    def search(self, qids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's number, vec_id, score) of rows that may be among the k best, given each query's k-th score so far (-inf: none)."""
-        n = min(queries.shape[1], self.data.shape[1])
-        q, x = queries[:, :n], self.data[:, :n]
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(n, 1) < 2**53  # else doubles would round
-        score = lambda rows, of: (x[rows].astype(object) * q[of].astype(object)).sum(axis=1).astype(np.int64) if not exact else np.einsum("ij,ij->i", x[rows], q[of])
-        if not exact:
-            of, rows = np.nonzero(qids[:, None] != self.ids[None, :])
-            return self._best(of, rows, score(rows, of), k)
-        # The first rows of the shard raise thresholds before any list is traversed.
-        few = min(len(self.ids), SEEDS)
-        first = q.astype(np.float64) @ x[:few].astype(np.float64).T
-        first[qids[:, None] == self.ids[None, :few]] = -np.inf
-        if few >= k:
-            least = np.maximum(least, np.partition(first, few - k, axis=1)[:, few - k])
-        weight = np.concatenate((np.maximum(q, 0), np.maximum(-q, 0)), axis=1).astype(np.float64)
-        most = np.concatenate((self.most[:n], self.most[self.data.shape[1] : self.data.shape[1] + n]))
-        bound = weight * most
-        order = np.argsort(bound, axis=1)
-        upto = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
-        optional = upto < least[:, None]  # the terms of least bound whose sum stays below the threshold
-        left = np.max(np.where(optional, upto, 0.0), axis=1, initial=0.0)
-        essential = weight.copy()
-        np.put_along_axis(essential, order, np.where(optional, 0.0, np.take_along_axis(weight, order, axis=1)), axis=1)
-        lists = self.lists if n == self.data.shape[1] else np.concatenate((self.lists[:, :n], self.lists[:, self.data.shape[1] : self.data.shape[1] + n]), axis=1)
-        part = essential @ lists.T  # all essential postings of the block of queries
-        part += left[:, None]
-        of, rows = np.nonzero((part >= least[:, None]) & (qids[:, None] != self.ids[None, :]))
-        total = np.concatenate([np.zeros(0, np.int64), *(score(rows[lo : lo + PROBES], of[lo : lo + PROBES]) for lo in range(0, len(of), PROBES))])
-        stay = total >= least[of]
-        return self._best(of[stay], rows[stay], total[stay], k)
-
-    def _best(self, of: np.ndarray, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return best_of(of, self.ids[rows], score, k)
-
-
-def best_of(of: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query: highest score, then least vec_id."""
-    order = np.lexsort((ids, -score, of))
-    of, ids, score = of[order], ids[order], score[order]
-    place = np.arange(len(of)) - np.searchsorted(of, of)
-    return of[place < k], ids[place < k], score[place < k]
-
-
-def _unpack(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(data, np.int64).reshape(len(own), dims)
-
-
-def search_blocks(k: int):
-    """Rows (shard ids, dims, data, query ids, dims, data) to the k best of each query in each shard; thresholds carry over within a task."""
+def pack_queries(rows: int):
+    """Batches of (row, vec_id, v) to blocks of ``rows`` dense vectors, in a shard's columns."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), rows):
+                own, ids, data = _matrix(batch.slice(lo, rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids.tobytes()]), pa.array([own.tobytes()]), pa.array([data.shape[1]], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([data.tobytes()])],
+                    names=["ids", "rows", "dims", "first", "at", "size"],
+                )
+
+    return run
+
+
+def search_groups(k: int):
+    """Rows sorted by group, shards before blocks of queries, to the k best of each query in each group."""
 
     def run(batches):
-        shard, of = None, None
-        known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        shards: list[Shard] = []
+        of = None
         for batch in batches:
-            for ids, dims, data, qids, qdims, qdata in zip(*(batch.column(c).to_pylist() for c in ("ids", "dims", "data", "qids", "qdims", "qdata"))):
-                if of != (ids, data):
-                    of, shard = (ids, data), Shard(*_unpack(ids, dims, data))
-                queries, vectors = _unpack(qids, qdims, qdata)
-                none = np.zeros(0, np.int64)
-                best = known.get(qids, (none, none, none))
-                least = np.full(len(queries), -np.inf)
-                full = np.flatnonzero(np.bincount(best[0], minlength=len(queries)) == k)
-                if len(full):
-                    np.minimum.at(low := np.full(len(queries), np.inf), best[0], best[2])
-                    least[full] = low[full]
-                found = shard.search(queries, vectors, k, least)
-                if len(known) < KNOWN or qids in known:
-                    known[qids] = best_of(*(np.concatenate(x) for x in zip(best, found)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "vec_id", "score"])
+            for group, kind, *packed in zip(*(batch.column(c).to_pylist() for c in ("group", "kind", "ids", "rows", "dims", "first", "at", "size"))):
+                if group != of:
+                    of, shards = group, []
+                if kind == 0:
+                    shards.append(Shard.unpack(*packed))
+                    continue
+                ids, rows = np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], np.int64)
+                vectors = np.frombuffer(packed[5], np.int64).reshape(len(ids), packed[2])
+                out: list[tuple[int, int, int, int]] = []
+                for query, row, vector in zip(ids.tolist(), rows.tolist(), vectors):
+                    best: list[tuple[int, int]] = []
+                    for shard in shards:
+                        best = shard.search(vector, row, k, best)
+                    out += [(row, query, i, max(LEAST, min(MOST, -s))) for s, i in best]
+                cols = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, groups: int = GROUPS) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows (vec_id, v) for each query (vec_id, v), its own id left out."""
+def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """query_row, query_id, rank, vec_id and score of the k best of ``rows`` (row, vec_id, v) for each of ``queries`` (alike), its own row left out."""
     share_code(rows.sparkSession)
-    shards = materialize(rows.mapInArrow(pack(SHARD, groups), PACKED), "shards")
-    asked = queries.mapInArrow(pack(BLOCK, 1), PACKED).select(F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qgroup"))
-    pairs = asked.join(shards, F.col("qgroup") == F.col("group")).select("ids", "dims", "data", "qids", "qdims", "qdata")
-    found = pairs.mapInArrow(search_blocks(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    shards = materialize(rows.mapInArrow(pack(SHARD), PACKED).withColumn("number", F.monotonically_increasing_id()), "shards")
+    groups = max(1, -(-shards.count() // GROUP))
+    dealt = shards.select(F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "ids", "rows", "dims", "first", "at", "size")
+    asked = queries.mapInArrow(pack_queries(BLOCK), PACKED).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "ids", "rows", "dims", "first", "at", "size")
+    met = dealt.unionByName(asked).repartition("group").sortWithinPartitions("group", "kind")
+    found = met.mapInArrow(search_groups(k), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every query vector."""
-    rows = whole_vectors(table(spark, sf_dir, "embeddings"))
-    return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0))
+    rows = materialize(whole_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    out = materialize(top_k(rows, rows.where(F.col("vec_id") % EVERY == 0)).select("query_id", "rank", "vec_id", "score"), "top")
+    discard(rows)
+    return out
 
 
 SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.n <> q.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {TOP}
 """

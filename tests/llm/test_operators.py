@@ -140,22 +140,62 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
 # 3
 
 
-def test_topk(spark, tmp_path):
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
+
+
+def best_five(data):
+    """Brute force over rows: a query leaves out its own row alone."""
+    v = [(n, i, [math.floor(256 * float(np.float32(x))) for x in e]) for n, (i, e, *_) in enumerate(data) if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = Counter()
+    for n, q, x in v:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for m, c, y in v if m != n)[:5]
+            want.update((q, rank, c, -s) for rank, (s, c) in enumerate(best, 1))
+    return want
+
+
+def top_rows(got):
+    return Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+
+
+def test_topk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 16)  # many shards, several groups
     rng = np.random.default_rng(2)
     data = [(i, (rng.normal(size=8) / 4).astype(np.float32).tolist(), 0) for i in range(170)]
     data[5] = (5, None, 0)
     data[6] = (6, [0.1, None] + [0.0] * 6, 0)
     data[7] = (7, [float("nan")] + [0.0] * 7, 0)
     data[8] = (8, [float("inf")] + [0.0] * 7, 0)
+    data[9] = (None, [0.5] * 8, 0)
     data[60] = (60, data[50][1], 0)
     data[61] = (61, data[50][1], 0)
-    got = query(spark, tmp_path, registry.QUERIES["op3_topk"], data, "embeddings", "vec_id long, embedding array<float>, label int")
-    v = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e, _ in data if e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    want = set()
-    for q in (i for i in v if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
-        want |= {(q, rank, c, -s) for rank, (s, c) in enumerate(best, 1)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+    data += [data[50], data[50], data[3], (100, data[100][1][:5], 0), (171, [], 0), (150, [0.0] * 8, 0)]  # repeated rows and ids, short, empty and zero vectors
+    assert top_rows(query(spark, tmp_path, registry.QUERIES["op3_topk"], data, "embeddings", EMBEDDINGS)) == best_five(data)
+
+
+def test_topk_with_clashing_columns(spark, tmp_path):
+    data = [(i, [float(i % 7), 1.0], 0, "x", "y") for i in range(60)]
+    got = query(spark, tmp_path, registry.QUERIES["op3_topk"], data, "embeddings", EMBEDDINGS + ", row string, rank string")
+    assert top_rows(got) == best_five(data)
+
+
+def test_topk_skips_postings():
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(800, 16)) * 1000 / 1.6 ** np.arange(16)  # bounds fall, so the least terms together stay below the threshold
+    data = data.astype(np.int64)
+    one, two = (topk.Shard.of(np.arange(a, b), np.arange(a, b), data[a:b]) for a, b in ((0, 400), (400, 800)))
+    for q in range(0, 800, 50):
+        seen = Counter()
+        best = two.search(data[q], q, 5, one.search(data[q], q, 5, []), seen)
+        assert best == sorted((-int(data[q] @ data[i]), i) for i in range(800) if i != q)[:5]
+        assert seen["traversed"] < seen["all"] and seen["probed"] < 400 * 32
+    assert seen["traversed"] < seen["all"] / 2
+
+
+def test_topk_beyond_63_bits():
+    big = np.array([[1 << 40, 1], [1 << 41, -1], [-(1 << 40), 5]])
+    shard = topk.Shard.of(np.arange(3), np.arange(3), big)
+    assert shard.search(big[1], 1, 5, []) == [(-((1 << 81) - 1), 0), ((1 << 81) + 5, 2)]
 
 
 # 4
