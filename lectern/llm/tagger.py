@@ -1,18 +1,21 @@
 """Operator 4: language identification with a linear-chain conditional random field.
 
-Words of a text form a chain whose labels are languages.  A word's features are hashed: the word itself (lexicon), its
-prefixes and suffixes of 1 to 3 characters, and its character 1- to 3-grams with boundary marks; transitions between neighbouring
-labels are learned.  Forward-backward gives each word's posterior over labels, so code-switched text is labelled word by word;
-a document's language is the label with the largest mean posterior over its words with letters, and that mean is the score.
-
-Training fits the field by stochastic gradient ascent on the conditional log-likelihood (AdaGrad) on the driver, over windows of
-``WINDOW`` words of a bounded sample: at most ``SAMPLE`` labelled rows of each language, those with the lowest md5 of
-their doc_id, and at most ``WINDOWS`` windows of each, spread over the whole text.  Languages beyond the ``MAX_LANGS`` most frequent
-have no label.  Sample chains are joined from windows of different documents, so switches occur in training.
+Words of a text form a chain whose labels are languages.  A word's features are hashed: the word itself, its prefixes and
+suffixes of 1 to 3 characters, its character 1- to 3-grams with boundary marks, and the lexicons it is in (the ``LEXICON`` most
+frequent words of each language's sample; a word in none has a feature of its own).  Start weights and transitions between neighbouring labels
+are learned too.  Forward-backward gives each word's posterior over labels, so code-switched text is labelled word by
+word; a document's language is the label with the largest mean posterior over its words with letters, and that mean is the score.
+
+Training is gradient ascent (AdaGrad, ``STEPS`` full passes) on the conditional log-likelihood of a bounded sample: at most ``SAMPLE``
+labelled rows of each language, distinct texts, those with the lowest md5 of their doc_id.  The sample stays in the shared folder; every partition
+runs forward-backward over the whole texts of its rows and emits its part of the exact gradient, summed by distinct feature; Spark adds the parts up, and
+the driver holds one row of numbers for each hashed feature (2^``SPACE_BITS`` at most).  Every language with a labelled row is a label.  Chains
+are ``CHAIN`` documents laid end to end, so that switches occur in training.
 
 Prediction is one pass without a shuffle.  Emission scores are computed once for each distinct word of a batch with numpy,
 and forward-backward runs over many texts in step.  Null texts and texts without a letter: ``und`` with score 0.  No labelled rows: ``und``.
-Very long texts are whole chains; repeated rows give repeated results; extra columns are ignored.
+Very long texts are whole chains; repeated rows give repeated results and count once in the sample; a null doc_id isn't
+held out; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, share_code
+from lectern.llm.common import discard, documents, materialize, share_code
 
-SPACE_BITS, SAMPLE, WINDOW, WINDOWS, MAX_LANGS = 18, 200, 40, 12, 64
-EPOCHS, RATE, DECAY = 3, 0.25, 1e-6
+SPACE_BITS, SAMPLE, LEXICON, CHAIN, PARTS = 18, 200, 2000, 3, 16
+STEPS, RATE, DECAY = 6, 0.5, 1e-6
 STEP_WORDS = 400_000
 RESULT = "struct<lang_pred: string, score: double>"
 
@@ -44,7 +47,16 @@ def _hash(x: np.ndarray, kind: int) -> np.ndarray:
     return (x >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def entry_of(word: str) -> str:
+    """A word's form in lexicons: lower case, without what stands before its first and behind its last letter."""
+    low = word.lower()
+    if low.isalpha():
+        return low
+    letters = [i for i, c in enumerate(low) if c.isalpha()]
+    return low[letters[0] : letters[-1] + 1] if letters else ""
+
+
+def word_features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """(owner, feature) pairs of the words' affixes, n-grams and lexicon entries, ordered by kind."""
     x, size = points_of(words)
     end = np.cumsum(size)
@@ -68,33 +80,26 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 part = np.where(inside, x * powers[np.where(kind < 8, place, back) % len(powers)], np.uint64(0))
                 owners.append(np.arange(len(words)))
                 feats.append(_hash(np.add.reduceat(part, start), kind))
+    listed = [lexicon.get(entry_of(w), (-1,)) for w in words]
+    owners.append(np.repeat(np.arange(len(words)), np.fromiter(map(len, listed), np.int64, len(words))))
+    feats.append(_hash(np.fromiter((j + 2 for js in listed for j in js), np.uint64), 11))
     return np.concatenate(owners), np.concatenate(feats)
 
 
-def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Scores of each word for each label: the mean weight of its features, scaled by the root of their number."""
-    owner, feat = word_features(words)
-    n = np.bincount(owner, minlength=len(words))
-    out = np.stack([np.bincount(owner, weights[feat, k], len(words)) for k in range(weights.shape[1])], axis=1)
-    return out / np.sqrt(n)[:, None]
-
-
-def posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Label posteriors at every word of chains laid end to end: scaled forward-backward, all chains in step, longest first."""
-    k = scores.shape[1]
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    t = np.exp(trans - trans.max())
+def _steps(e: np.ndarray, lengths: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward messages of chains laid end to end, all in step, longest first; and the forward scales."""
+    k = e.shape[1]
     order = np.argsort(-lengths, kind="stable")
     first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    alpha, beta = np.empty_like(e), np.empty_like(e)
+    alpha, beta, scale = np.empty_like(e), np.empty_like(e), np.empty(len(e))
     live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-    s = np.exp(start - start.max())
     prev = np.zeros((0, k))
     for i, m in enumerate(live):
         at = first[:m] + i
         now = e[at] * (s if i == 0 else prev[:m] @ t)
-        prev = now / now.sum(axis=1, keepdims=True)
-        alpha[at] = prev
+        total = now.sum(axis=1)
+        prev = now / total[:, None]
+        alpha[at], scale[at] = prev, total
     nxt = np.ones((len(size), k))
     for i in range(len(live) - 1, -1, -1):
         m = live[i]
@@ -104,52 +109,65 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start
             b[:c] = (nxt[:c] * e[at[:c] + 1]) @ t.T
         b /= b.sum(axis=1, keepdims=True)
         beta[at], nxt = b, b
+    return alpha, beta, scale
+
+
+def posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Label posteriors at every word of chains laid end to end, by scaled forward-backward."""
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    alpha, beta, _ = _steps(e, lengths, np.exp(trans - trans.max()), np.exp(start - start.max()))
     out = alpha * beta
     return out / out.sum(axis=1, keepdims=True)
 
 
 class Field:
-    """Labels, hashed emission weights, transition and start weights."""
+    """Labels, hashed emission weights, transition and start weights, and lexicons (word to numbers of labels)."""
 
-    def __init__(self, labels: list[str]):
+    def __init__(self, labels: list[str], lexicon: dict[str, tuple[int, ...]] | None = None):
         k = len(labels)
-        self.labels = labels
-        self.weights = np.zeros((1 << SPACE_BITS, k), np.float64)
+        self.labels, self.lexicon = labels, lexicon or {}
+        self.weights = np.zeros((1 << SPACE_BITS, k))
         self.trans, self.start = np.zeros((k, k)), np.zeros(k)
 
-    def fit(self, chains: list[tuple[list[str], list[int]]], epochs: int = EPOCHS, rate: float = RATE) -> Field:
-        """AdaGrad on the conditional log-likelihood, batches of 32 chains in a fixed shuffled order."""
-        rng, k = np.random.default_rng(5), len(self.labels)
-        seen, seen_t = np.full_like(self.weights, 1e-8), np.full((k, k), 1e-8)
-        for _ in range(epochs):
-            order = rng.permutation(len(chains))
-            for lo in range(0, len(order), 32):
-                part = [chains[i] for i in order[lo : lo + 32]]
-                words = [w for c, _ in part for w in c]
-                gold = np.array([y for _, ys in part for y in ys])
-                lengths = np.array([len(c) for c, _ in part])
-                owner, feat = word_features(words)
-                scale = 1 / np.sqrt(np.bincount(owner, minlength=len(words)))
-                scores = np.stack([np.bincount(owner, self.weights[feat, j], len(words)) for j in range(k)], axis=1) * scale[:, None]
-                p = posteriors(scores, lengths, self.trans, self.start)
-                g = (np.eye(k)[gold] - p) * scale[:, None]
-                used, at = np.unique(feat, return_inverse=True)
-                grad = np.stack([np.bincount(at, g[owner, j], len(used)) for j in range(k)], axis=1) - DECAY * self.weights[used]
-                seen[used] += grad**2
-                self.weights[used] += rate * grad / np.sqrt(seen[used])
-                inner = np.ones(len(words), bool)
-                inner[np.cumsum(lengths) - 1] = False
-                i = np.flatnonzero(inner)
-                want = np.zeros((k, k))
-                np.add.at(want, (gold[i], gold[i + 1]), 1)
-                e = np.exp(scores[i + 1] - scores[i + 1].max(axis=1, keepdims=True))
-                pair = p[i][:, :, None] * np.exp(self.trans)[None] * e[:, None, :]  # posterior of the next label given this one's
-                pair /= pair.sum(axis=2, keepdims=True)
-                pair *= p[i][:, :, None]
-                gt = want - pair.sum(axis=0)
-                seen_t += gt**2
-                self.trans += rate * gt / np.sqrt(seen_t)
-        return self
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of each word for each label: the sum of its features' weights over the root of their number."""
+        owner, feat = word_features(words, self.lexicon)
+        n = np.bincount(owner, minlength=len(words))
+        out = np.stack([np.bincount(owner, self.weights[feat, k], len(words)) for k in range(self.weights.shape[1])], axis=1)
+        return out / np.sqrt(n)[:, None]
+
+    def gradient(self, chains: list[list[str]], gold: list[list[int]]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Conditional log-likelihood of labelled chains and its exact gradient: used features, their rows, transitions, starts."""
+        k = len(self.labels)
+        ids: dict[str, int] = {}
+        where = np.fromiter((ids.setdefault(w, len(ids)) for c in chains for w in c), np.int64)
+        y = np.fromiter((j for ys in gold for j in ys), np.int64)
+        lengths = np.fromiter(map(len, chains), np.int64, len(chains))
+        owner, feat = word_features(list(ids), self.lexicon)
+        norm = 1 / np.sqrt(np.bincount(owner, minlength=len(ids)))
+        by_word = np.stack([np.bincount(owner, self.weights[feat, j], len(ids)) for j in range(k)], axis=1) * norm[:, None]
+        scores = by_word[where]
+        top = scores.max(axis=1, keepdims=True)
+        e, t, s = np.exp(scores - top), np.exp(self.trans - self.trans.max()), np.exp(self.start - self.start.max())
+        alpha, beta, scale = _steps(e, lengths, t, s)
+        p = alpha * beta
+        p /= p.sum(axis=1, keepdims=True)
+        first = np.cumsum(lengths) - lengths
+        inner = np.ones(len(y), bool)
+        inner[first + lengths - 1] = False
+        i = np.flatnonzero(inner)
+        ahead = e[i + 1] * beta[i + 1]
+        z = ((alpha[i] @ t) * ahead).sum(axis=1, keepdims=True)
+        pairs = t * ((alpha[i] / z).T @ ahead)  # expected transitions: forward message, weight, emission and backward message
+        moves, begin = np.zeros((k, k)), np.bincount(y[first], minlength=k)
+        np.add.at(moves, (y[i], y[i + 1]), 1)
+        log_z = np.log(scale).sum() + top.sum() + len(i) * self.trans.max() + len(first) * self.start.max()
+        value = scores[np.arange(len(y)), y].sum() + (moves * self.trans).sum() + (begin * self.start).sum() - log_z
+        miss = np.eye(k)[y] - p
+        g = np.stack([np.bincount(where, miss[:, j], len(ids)) for j in range(k)], axis=1) * norm[:, None]
+        used, at = np.unique(feat, return_inverse=True)
+        rows = np.stack([np.bincount(at, g[owner, j], len(used)) for j in range(k)], axis=1)
+        return float(value), used, rows, moves - pairs, begin - p[first].sum(axis=0)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
@@ -158,7 +176,7 @@ class Field:
         while at < len(texts):
             docs, n = [], 0
             while at < len(texts) and (not docs or n < STEP_WORDS):
-                docs.append([w for w in (texts[at] or "").split() if any(map(str.isalpha, w))])
+                docs.append(lettered(texts[at] or ""))
                 n += len(docs[-1])
                 at += 1
             words = [w for d in docs for w in d]
@@ -168,7 +186,7 @@ class Field:
             ids: dict[str, int] = {}
             where = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
             lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-            p = posteriors(emissions(list(ids), self.weights)[where], lengths[lengths > 0], self.trans, self.start)
+            p = posteriors(self.emissions(list(ids))[where], lengths[lengths > 0], self.trans, self.start)
             owner = np.repeat(np.arange(len(docs)), lengths)
             mean = np.stack([np.bincount(owner, p[:, j], len(docs)) for j in range(p.shape[1])], axis=1) / np.maximum(lengths, 1)[:, None]
             for row, m in zip(mean, lengths):
@@ -177,32 +195,116 @@ class Field:
         return out
 
 
-def windows(text: str, n: int = WINDOWS) -> list[list[str]]:
-    """Up to ``n`` windows of WINDOW words, evenly spread over the whole text."""
-    words = [w for w in text.split() if any(map(str.isalpha, w))]
-    starts = range(0, max(1, len(words) - WINDOW + 1))
-    picks = sorted({round(i * (len(starts) - 1) / max(1, n - 1)) for i in range(n)})
-    return [w for p in picks if (w := words[p : p + WINDOW])]
-
-
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
+def lettered(text: str) -> list[str]:
+    """The words of a text that have a letter."""
+    return [w for w in text.split() if w.isalpha() or any(map(str.isalpha, w))]
+
+
+def chains_of(batches, labels: list[str]):
+    """Chains of ``CHAIN`` documents, and their labels, from batches (lang, text); about ``STEP_WORDS`` words at once."""
+    number = {x: i for i, x in enumerate(labels)}
+    chains, gold, n = [], [], 0
+    words, ys, docs = [], [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            own = lettered(text)
+            words, ys, docs = words + own, ys + [number[lang]] * len(own), docs + 1
+            if docs == CHAIN and words:
+                chains.append(words)
+                gold.append(ys)
+                n += len(words)
+                words, ys, docs = [], [], 0
+                if n > STEP_WORDS:
+                    yield chains, gold
+                    chains, gold, n = [], [], 0
+    if words:
+        chains.append(words)
+        gold.append(ys)
+    if chains:
+        yield chains, gold
+
+
+def part_gradient(field):
+    """Batches (lang, text) to rows (cell, g0, g1, ...): features from 0 on, -1 - i for transitions from i, -1 - labels for starts."""
+
+    def run(batches):
+        f = field.value
+        k = len(f.labels)
+        total = {}
+        for chains, gold in chains_of(batches, f.labels):
+            _, used, rows, moves, begin = f.gradient(chains, gold)
+            cells = np.concatenate([used, -1 - np.arange(k + 1)])
+            rows = np.concatenate([rows, moves, begin[None]])
+            total = (cells, rows) if not total else (np.concatenate([total[0], cells]), np.concatenate([total[1], rows]))
+        if total:
+            cells, at = np.unique(total[0], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), *(pa.array(np.bincount(at, total[1][:, j], len(cells))) for j in range(k))], names=["cell", *(f"g{j}" for j in range(k))])
+
+    return run
+
+
+def sample_of(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of at most ``sample`` distinct texts a language, with the lowest md5 of their doc_id; in the shared folder."""
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("rank"), F.xxhash64("text").alias("key"))
+    # Rows are chosen without their texts; a window with a limit keeps ``sample`` rows of each partition at most.
+    once = rows.groupBy("lang", "key").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("rank", "key"))
+    picked = once.withColumn("place", place).where(F.col("place") <= sample).select(F.col("lang").alias("l"), F.col("key").alias("k"))
+    # The chosen rows are bounded by ``sample`` a language.
+    met = rows.join(F.broadcast(picked), (F.col("lang") == F.col("l")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["lang", "key"])
+    return materialize(met.repartition(PARTS, "key").sortWithinPartitions("key").select("lang", "text"), "labelled")
+
+
+def lexicons(chosen: DataFrame, labels: list[str]) -> dict[str, tuple[int, ...]]:
+    """Word to the labels whose ``LEXICON`` most frequent words it is among."""
+
+    def words(batches):
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                own = [e for w in lettered(text) if (e := entry_of(w))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string())], names=["lang", "word"])
+
+    counts = chosen.mapInArrow(words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    top = counts.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= LEXICON)
+    out: dict[str, tuple[int, ...]] = {}
+    for r in top.select("lang", "word").orderBy("lang", "word").collect():  # at most LEXICON rows a language
+        out[r.word] = (*out.get(r.word, ()), labels.index(r.lang))
+    return out
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS, rate: float = RATE) -> Field:
     """Fit on rows (doc_id, text, lang) with a language; the sample is bounded by ``sample`` rows a language."""
-    rows = docs.where("lang is not null and text is not null")
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    cut = rows.select("doc_id", "lang", "text").where(F.col("lang").isin(langs))
-    # Ids are chosen without their texts, so the window sorts narrow rows and keeps ``sample`` of each partition at most.
-    ids = cut.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")).alias("n")).where(F.col("n") <= sample)
-    picked = {r.doc_id for r in ids.collect()}
-    texts = cut.where(F.col("doc_id").isin(list(picked))).orderBy("lang", "doc_id").limit(sample * len(langs))
-    labels = sorted(langs)
-    runs = [(w, labels.index(r.lang)) for r in texts.toLocalIterator() for w in windows(r.text)]
-    rng = np.random.default_rng(3)
-    chains = []
-    order_ = rng.permutation(len(runs))
-    for lo in range(0, len(order_), 3):  # three windows of any documents make a chain
-        part = [runs[i] for i in order_[lo : lo + 3]]
-        chains.append(([x for w, _ in part for x in w], [y for w, y in part for _ in w]))
-    return Field(labels).fit(chains)
+    spark = docs.sparkSession
+    share_code(spark)
+    chosen = sample_of(docs, sample)
+    labels = sorted(r.lang for r in chosen.select("lang").distinct().collect())
+    field = Field(labels, lexicons(chosen, labels))
+    k = len(labels)
+    if not k:
+        return field
+    schema = "cell int, " + ", ".join(f"g{j} double" for j in range(k))
+    seen, seen_t, seen_s = np.full_like(field.weights, 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
+    for _ in range(steps):
+        held = spark.sparkContext.broadcast(field)
+        got = chosen.mapInArrow(part_gradient(held), schema).groupBy("cell").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(k)]).toArrow()
+        if not len(got):
+            break
+        cell, rows = got["cell"].to_numpy(), np.stack([got[f"g{j}"].to_numpy() for j in range(k)], axis=1)
+        used = cell[cell >= 0]
+        grad = rows[cell >= 0] - DECAY * field.weights[used]
+        seen[used] += grad**2
+        field.weights[used] += rate * grad / np.sqrt(seen[used])
+        moves, begin = np.zeros((k, k)), np.zeros(k)
+        moved = (cell < 0) & (cell >= -k)
+        moves[-1 - cell[moved]] = rows[moved]
+        begin += rows[cell == -1 - k].sum(axis=0)
+        seen_t += moves**2
+        seen_s += begin**2
+        field.trans += rate * moves / np.sqrt(seen_t)
+        field.start += rate * begin / np.sqrt(seen_s)
+        held.destroy()
+    discard(chosen)
+    return field
 
 
 def predict_column(text: Column, field: Field, spark: SparkSession) -> Column:

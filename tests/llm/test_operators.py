@@ -224,6 +224,43 @@ def test_forward_backward():
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True))
 
 
+def test_field_gradient_is_exact():
+    """Against finite differences of the log-likelihood, and against the sum over all paths."""
+    rng = np.random.default_rng(6)
+    field = tagger.Field(["de", "en", "fr"], {"house": (1,), "der": (0, 2)})
+    field.weights += rng.normal(size=field.weights.shape) / 2
+    field.trans, field.start = rng.normal(size=(3, 3)), rng.normal(size=3)
+    chains, gold = [["der", "house", "la", "la", "x1"], ["House."], ["une", "maison"]], [[0, 1, 2, 2, 0], [1], [2, 2]]
+    value, used, rows, moves, begin = field.gradient(chains, gold)
+    e = field.emissions(chains[0])
+    weigh = lambda path: math.exp(field.start[path[0]] + sum(e[i, k] for i, k in enumerate(path)) + sum(field.trans[a, b] for a, b in zip(path, path[1:])))
+    alone = field.gradient(chains[:1], gold[:1])[0]
+    assert math.isclose(alone, math.log(weigh(gold[0]) / sum(map(weigh, itertools.product(range(3), repeat=5)))))
+    for array, grad, places in ((field.weights, dict(zip(used.tolist(), rows)), [(int(u), j) for u in used[::7] for j in range(3)]), (field.trans, moves, list(itertools.product(range(3), repeat=2))), (field.start, begin, [0, 1, 2])):
+        for at in places:
+            was = array[at]
+            array[at] = was + 1e-5
+            up = field.gradient(chains, gold)[0]
+            array[at] = was - 1e-5
+            down = field.gradient(chains, gold)[0]
+            array[at] = was
+            got = grad[at[0]][at[1]] if isinstance(grad, dict) else grad[at]
+            assert abs((up - down) / 2e-5 - got) < 1e-6
+
+
+def test_language_of_repeated_and_switching_rows(spark):
+    rows = corpus(90, seed=2)[:90] + [(7, "the the the", "en", "s", 0)] * 400 + [(None, "der die das und", None, None, None)]
+    docs = frame(spark, rows, CLASH + " lang_pred score held_out")
+    field = tagger.train(docs, sample=40)
+    assert field.labels == ["de", "en", "fr"] and field.start.any() and field.trans.any()
+    assert np.trace(field.trans) / 3 > field.trans.mean()
+    rng = random.Random(1)
+    mixed = prose(rng, "en", 30).split() + prose(rng, "de", 30).split()
+    p = tagger.posteriors(field.emissions(mixed), np.array([60]), field.trans, field.start)
+    assert (p[:28].argmax(axis=1) == 1).mean() > 0.9 and (p[32:].argmax(axis=1) == 0).mean() > 0.9
+    assert field.predict([None, "", "12 .", "der die das und"])[:3] == [("und", 0.0)] * 3
+
+
 # 5
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
