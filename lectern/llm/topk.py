@@ -1,18 +1,19 @@
-"""Operator 3: exact top-k search with MaxScore over sparse postings.
+"""Operator 3: exact top-k search with MaxScore over postings.
 
-Vectors hold integers; a dimension with a sign is a term: a vector is posted under (d, +) or (d, -) with the size of its
-component.  A shard is a block of ``SHARD`` vectors with its inverted index: for every term the sorted numbers of its
-vectors, their sizes and the largest size.  The index is built once, when shards are written to the shared folder.
+Vectors hold integers; a dimension is a term: a vector is posted under it with its signed component unless that is zero.  A
+shard is a block of ``SHARD`` vectors with its inverted index: for every term the numbers of its vectors, their components, the
+largest and the least of them.  A list that holds more than one in ``DENSE`` of the shard's vectors is stored as a column, the others
+as sorted pairs.  The index is built once, when shards are written to the shared folder.
 
-A query's terms of the same sign add to a score (bound: weight times the shard's largest size); those of the opposite sign lower it and
-have bound zero.  For each query and shard:
+A term's bound for a query is the most that it can add: its weight times the largest (of a negative weight: the least)
+component of the shard, zero at least.  For each query and shard:
 
 1. terms are ordered by bound; the least ones whose bounds add up to less than the threshold (the query's k-th score so
-   far) are non-essential: a vector that is in none of the others can't enter the result;
+   far) are non-essential: a vector that is in none of the other lists can't enter the result;
 2. the postings of the essential terms are traversed, and no others;
 3. vectors whose sum and the bounds left reach the threshold are candidates.  They are probed in the remaining terms, the
-   largest first, by binary search in the postings, and leave as soon as their sum and what is left of the bounds stay
-   below the threshold (ties stay in, since a smaller vec_id wins them).
+   largest first, and leave as soon as their sum and what is left of the bounds stay below the threshold (ties stay in, since
+   a smaller vec_id wins them).
 
 Thresholds carry over from shard to shard of a group (about ``GROUP`` shards, so the number of groups grows with the table).  A task
 holds the shards of one group and streams all blocks of queries past them; a window with a partial limit merges the k best of each group.
@@ -21,7 +22,7 @@ Queries against all rows is the stated task: only the (50 times smaller) queries
 A row is itself, whatever its vec_id: a query leaves out its own row alone, repeated rows are candidates like any others, and
 rows that repeat a query's vec_id are queries of their own with results each.  Vectors that are null or hold a null or
 non-finite component take no part; vectors of different lengths are compared over the shorter one (components that are
-absent are zero).  Components beyond a long saturate; sums that may leave 63 bits are done in unbounded integers, and scores saturate.
+absent are zero).  Components beyond a long saturate; sums that may leave 52 bits are done in unbounded integers, and scores saturate.
 An empty table gives an empty result, rows without vec_id take no part, extra columns are ignored.
 """
 
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import discard, materialize, share_code, table
 
-SCALE, TOP, EVERY, SHARD, BLOCK, GROUP = 256, 5, 50, 2048, 512, 4
-PACKED = "ids binary, rows binary, dims int, first binary, at binary, size binary"
+SCALE, TOP, EVERY, SHARD, BLOCK, GROUP, DENSE = 256, 5, 50, 4096, 512, 2, 4
+PACKED = "ids binary, rows binary, dims int, dense binary, columns binary, first binary, at binary, size binary"
+NAMES = [x.split()[0] for x in PACKED.split(", ")]
+KINDS = [pa.int32() if x.endswith("int") else pa.binary() for x in PACKED.split(", ")]
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -62,108 +65,126 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """Postings of some vectors: list t holds the positive components of dimension t, list dims + t the sizes of its negative ones."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, dims: int, first: np.ndarray, at: np.ndarray, size: np.ndarray):
-        self.ids, self.rows, self.dims, self.first, self.at, self.size = ids, rows, dims, first, at, size
-        self.most = np.array([size[a:b].max(initial=0) for a, b in zip(first, first[1:])], np.int64)
+    """Postings of some vectors, by dimension: ``dense`` numbers the lists kept as ``columns`` (-1: pairs of ``at`` and ``size``)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, dense: np.ndarray, columns: np.ndarray, first: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.ids, self.rows, self.dims, self.dense, self.first, self.at, self.size = ids, rows, len(dense), dense, first, at, size
+        self.columns = columns.reshape(-1, len(ids)) if len(ids) else columns.reshape(0, 0)
+        ends = [(0, 0)] * self.dims
+        for d in range(self.dims):
+            values = self.columns[dense[d]] if dense[d] >= 0 else size[first[d] : first[d + 1]]
+            ends[d] = (int(values.max(initial=0)), int(values.min(initial=0)))
+        self.most, self.least = [x for x, _ in ends], [x for _, x in ends]
+        self.floats = self.columns.astype(np.float64)
 
     @classmethod
     def of(cls, rows: np.ndarray, ids: np.ndarray, data: np.ndarray) -> Shard:
-        data = np.maximum(data, -MOST)  # the one value without an opposite
-        both = np.concatenate((np.maximum(data, 0), np.maximum(-data, 0)), axis=1).T
-        term, at = np.nonzero(both)
-        first = np.searchsorted(term, np.arange(2 * data.shape[1] + 1))
-        return cls(ids, rows, data.shape[1], first.astype(np.int64), at.astype(np.int32), both[term, at])
+        n, dims = data.shape
+        many = (data != 0).sum(axis=0) * DENSE > n
+        dense = np.where(many, np.cumsum(many) - 1, -1)
+        term, at = np.nonzero(np.where(many, 0, data).T)
+        first = np.searchsorted(term, np.arange(dims + 1))
+        return cls(ids, rows, dense.astype(np.int32), np.ascontiguousarray(data.T[many]), first.astype(np.int64), at.astype(np.int32), data.T[term, at])
 
     def pack(self) -> list:
-        return [self.ids.tobytes(), self.rows.tobytes(), self.dims, self.first.tobytes(), self.at.tobytes(), self.size.tobytes()]
+        return [self.ids.tobytes(), self.rows.tobytes(), self.dims, self.dense.tobytes(), self.columns.tobytes(), self.first.tobytes(), self.at.tobytes(), self.size.tobytes()]
 
     @classmethod
-    def unpack(cls, ids: bytes, rows: bytes, dims: int, first: bytes, at: bytes, size: bytes) -> Shard:
-        return cls(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), dims, np.frombuffer(first, np.int64), np.frombuffer(at, np.int32), np.frombuffer(size, np.int64))
-
-    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.first[term], self.first[term + 1]
-        return self.at[a:b], self.size[a:b]
-
-    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]], seen: Counter | None = None) -> list[tuple[int, int]]:
+    def unpack(cls, ids: bytes, rows: bytes, dims: int, dense: bytes, columns: bytes, first: bytes, at: bytes, size: bytes) -> Shard:
+        long = lambda x: np.frombuffer(x, np.int64)
+        return cls(long(ids), long(rows), np.frombuffer(dense, np.int32), long(columns), long(first), np.frombuffer(at, np.int32), long(size))
+
+    def length(self, term: int) -> int:
+        return len(self.ids) if self.dense[term] >= 0 else int(self.first[term + 1] - self.first[term])
+
+    def traverse(self, term: int, weight, part: np.ndarray) -> None:
+        """Add a list's contributions to the sums of all vectors."""
+        column = self.dense[term]
+        if column >= 0:
+            part += (self.floats if part.dtype == np.float64 else self.columns.astype(object))[column] * weight
+        else:
+            a, b = self.first[term], self.first[term + 1]
+            part[self.at[a:b]] += self.size[a:b].astype(part.dtype) * weight
+
+    def probe(self, term: int, weight, at: np.ndarray, kind) -> np.ndarray:
+        """A list's contributions to the vectors ``at``: a look-up in a column, a binary search in pairs."""
+        column = self.dense[term]
+        if column >= 0:
+            return (self.floats[column][at] if kind == np.float64 else self.columns[column][at].astype(object)) * weight
+        found, size = self.at[self.first[term] : self.first[term + 1]], self.size[self.first[term] : self.first[term + 1]]
+        if not len(found):
+            return np.zeros(len(at), kind)
+        spot = np.minimum(np.searchsorted(found, at), len(found) - 1)
+        return np.where(found[spot] == at, size[spot], 0).astype(kind) * weight
+
+    def search(self, query: list[int], own: int, k: int, best: list[tuple[int, int]], seen: Counter | None = None) -> list[tuple[int, int]]:
         """The k best (-score, vec_id) of ``best`` and this shard's rows for a query vector; ``own`` is its row.
 
         seen: counts essential postings traversed, postings that a full traversal would take, and probes.
         """
-        n = min(len(query), self.dims)
-        d = np.flatnonzero(query[:n])
-        weight = np.abs(np.maximum(query[d], -MOST))
-        up = np.where(query[d] > 0, d, d + self.dims)  # the terms that add
-        down = np.where(query[d] > 0, d + self.dims, d)  # the terms that subtract
-        room = sum(int(w) * int(max(self.most[a], self.most[b])) for w, a, b in zip(weight, up, down))
-        kind = np.int64 if room < 1 << 62 else object  # numbers of the same value either way
-        weight = weight.astype(kind)
-        bound = weight * self.most[up].astype(kind)
-        order = np.argsort(bound, kind="stable")
-        upto = np.cumsum(bound[order])
-        least = -best[-1][0] if len(best) == k else None
-        cut = 0 if least is None else int(np.searchsorted(upto, least, side="left"))  # the first ``cut`` terms are non-essential
-        left = int(upto[cut - 1]) if cut else 0
+        terms = []
+        room = 0
+        for d, w in enumerate(query[: self.dims]):
+            if w:
+                terms.append((max(w * self.most[d], w * self.least[d], 0), d, w))
+                room += abs(w) * max(self.most[d], -self.least[d])
+        terms.sort()
+        kind = np.float64 if room < 1 << 52 else object  # whole numbers either way
+        threshold = -best[-1][0] if len(best) == k else None
+        cut = left = 0
+        if threshold is not None:
+            while cut < len(terms) and left + terms[cut][0] < threshold:  # non-essential
+                left += terms[cut][0]
+                cut += 1
         part = np.zeros(len(self.ids), kind)
-        for i in order[cut:]:
-            at, size = self.postings(up[i])
-            part[at] += weight[i] * size.astype(kind, copy=False)
-            if seen is not None:
-                seen["traversed"] += len(at)
+        for _, d, w in terms[cut:]:
+            self.traverse(d, w, part)
         if seen is not None:
-            seen["all"] += sum(len(self.postings(t)[0]) for t in up)
+            seen["traversed"] += sum(self.length(d) for _, d, _ in terms[cut:])
+            seen["all"] += sum(self.length(d) for _, d, _ in terms)
         alive = self.rows != own
-        if least is not None:
-            alive &= (part + left >= least).astype(bool)
+        if threshold is not None:
+            alive &= (part >= threshold - left).astype(bool)
         at = np.flatnonzero(alive)
         total = part[at]
-        rest = [(int(bound[i]), weight[i], up[i], int(bound[i])) for i in order[:cut]]
-        rest += [(int(weight[i]) * int(self.most[t]), -weight[i], t, 0) for i, t in enumerate(down)]
-        for _, w, term, gain in sorted(rest, key=lambda x: -x[0]):
+        for bound, d, w in reversed(terms[:cut]):
             if not len(at):
                 break
-            found, size = self.postings(term)
-            if len(found):
-                spot = np.minimum(np.searchsorted(found, at), len(found) - 1)
-                total = total + np.where(found[spot] == at, size[spot], 0).astype(kind, copy=False) * w
-            left -= gain
+            total = total + self.probe(d, w, at, kind)
+            left -= bound
             if seen is not None:
                 seen["probed"] += len(at)
-            if least is not None:
-                fine = (total + left >= least).astype(bool)
-                at, total = at[fine], total[fine]
+            fine = (total >= threshold - left).astype(bool)
+            at, total = at[fine], total[fine]
         if len(at) > 4 * k:  # all ties with the k-th stay
             fine = total >= np.partition(total, len(total) - k)[len(total) - k]
             at, total = at[fine], total[fine]
         return sorted(best + [(-int(s), int(i)) for s, i in zip(total, self.ids[at])])[:k]
 
 
+def _packed(items: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*items), KINDS)], names=NAMES)
+
+
 def pack(rows: int):
     """Batches of (row, vec_id, v) to shards of ``rows`` vectors."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), rows):
-                cols = list(zip(Shard.of(*_matrix(batch.slice(lo, rows))).pack()))
-                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ids", "rows", "dims", "first", "at", "size"])
+                yield _packed([Shard.of(*_matrix(batch.slice(lo, rows))).pack()])
 
     return run
 
 
 def pack_queries(rows: int):
-    """Batches of (row, vec_id, v) to blocks of ``rows`` dense vectors, in a shard's columns."""
+    """Batches of (row, vec_id, v) to blocks of ``rows`` vectors, in a shard's columns."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), rows):
                 own, ids, data = _matrix(batch.slice(lo, rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids.tobytes()]), pa.array([own.tobytes()]), pa.array([data.shape[1]], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([data.tobytes()])],
-                    names=["ids", "rows", "dims", "first", "at", "size"],
-                )
+                yield _packed([[ids.tobytes(), own.tobytes(), data.shape[1], b"", data.tobytes(), b"", b"", b""]])
 
     return run
 
@@ -175,14 +196,14 @@ def search_groups(k: int):
         shards: list[Shard] = []
         of = None
         for batch in batches:
-            for group, kind, *packed in zip(*(batch.column(c).to_pylist() for c in ("group", "kind", "ids", "rows", "dims", "first", "at", "size"))):
+            for group, kind, *packed in zip(*(batch.column(c).to_pylist() for c in ("group", "kind", *NAMES))):
                 if group != of:
                     of, shards = group, []
                 if kind == 0:
                     shards.append(Shard.unpack(*packed))
                     continue
                 ids, rows = np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], np.int64)
-                vectors = np.frombuffer(packed[5], np.int64).reshape(len(ids), packed[2])
+                vectors = np.frombuffer(packed[4], np.int64).reshape(len(ids), packed[2]).tolist()
                 out: list[tuple[int, int, int, int]] = []
                 for query, row, vector in zip(ids.tolist(), rows.tolist(), vectors):
                     best: list[tuple[int, int]] = []
@@ -200,9 +221,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     share_code(rows.sparkSession)
     shards = materialize(rows.mapInArrow(pack(SHARD), PACKED).withColumn("number", F.monotonically_increasing_id()), "shards")
     groups = max(1, -(-shards.count() // GROUP))
-    dealt = shards.select(F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "ids", "rows", "dims", "first", "at", "size")
-    asked = queries.mapInArrow(pack_queries(BLOCK), PACKED).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "ids", "rows", "dims", "first", "at", "size")
-    met = dealt.unionByName(asked).repartition("group").sortWithinPartitions("group", "kind")
+    dealt = shards.select(F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), *NAMES)
+    asked = queries.mapInArrow(pack_queries(BLOCK), PACKED).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), *NAMES)
+    # As many partitions as groups: rows are few and work is much, so partitions must not be merged by size.
+    met = dealt.unionByName(asked).repartition(2 * groups, "group").sortWithinPartitions("group", "kind")
     found = met.mapInArrow(search_groups(k), "query_row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
