@@ -24,11 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a local one for a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir: other hosts can't read a local folder")
         root = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -44,6 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop an external table together with its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    spark.sql(f"DROP TABLE {name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more, and let the driver drop the shuffle files of finished jobs.
 

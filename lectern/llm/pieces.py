@@ -3,36 +3,44 @@
 The library marks each space (and the text's start) with U+2581 before it merges.  Where no piece of the
 model holds a marker behind another character, no merge crosses the start of a run of markers, so a text's
 ids are those of its chunks (a run of markers with what follows it) in their order.  Chunks repeat far more
-than texts do: each worker keeps a table of distinct chunks, lets the library segment those that it meets
-for the first time, and joins ids and decoded strings back by position.  The table belongs to a worker
-because a shuffled one would move every word occurrence (many times the input) to save a few encodings.
-It holds at most ``TABLE`` chunks of ``LONGEST`` characters; a full table is emptied and longer chunks are
-segmented where they stand, which changes nothing but the time.
+than texts do:
+
+1. *Coding.*  Texts are cut into chunks and dealt to blocks of about ``BLOCK_BYTES`` as they are read.  A block holds its distinct
+   chunks once, the most frequent first, and for each text the numbers of its chunks by position.  Blocks are written as
+   a table bucketed by block (one row each), so that they need no shuffle later on.
+2. *Distinct chunks.*  All blocks' chunks meet by chunk.  Each distinct chunk of the corpus is segmented and decoded by the library
+   exactly once, and its ids go back to every (block, number) that has it.
+3. *Join by position.*  The answers of a block meet its row, and ids and decoded strings are taken by number at each position.
+
+What moves is the distinct chunks of every block and not the words: one chunk's places are as many as there are blocks at most.
 
 ``check_model`` verifies the conditions (identity normalisation, dummy prefix, no crossing piece) on the
 driver and raises otherwise.  The model's bytes travel to the workers by broadcast; a model file is a fixed
 input whose size is checked against ``MODEL_BYTES``.
 
-Null and empty text: no ids, hashes of the empty string.  Very long texts are split like any other.
-Extra columns are kept by ``encode_column`` and ignored by the query; repeated rows give repeated results.
+Null and empty text: no ids, hashes of the empty string.  A very long text is a block of its own, a very long chunk an entry like any
+other.  Repeated rows give repeated results, null ids stay null; an empty table gives an empty result.  ``encode`` keeps any columns
+of the caller, whatever their names, inside one struct; the query ignores extra columns.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, share_code
+from lectern.llm.common import documents, drop_table, materialize, share_code, shared_dir, slices
 
-TABLE, LONGEST, MODEL_BYTES = 150_000, 64, 32 << 20
+BLOCK_BYTES, MODEL_BYTES = 32 << 20, 32 << 20
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-RESULT = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
-FULL = "struct<ids: array<int>, decoded: string>"
 
 
 def default_model() -> str:
@@ -60,24 +68,79 @@ def check_model(path: str) -> bytes:
     return raw
 
 
-class ChunkTable:
-    """Distinct chunks, without their first marker, and what they give: ids as text, decoded text."""
+def chunks(text: str) -> list[str]:
+    """A text's chunks without their first marker."""
+    if not text:
+        return []
+    return [x[1:] for x in CHUNKS.findall(MARK + text.replace(" ", MARK))]
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Order of the texts taken, where each one's chunks end, and all chunks; plain texts are cut by Arrow, others by ``chunks``."""
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, MARK), pc.or_(pc.starts_with(texts, " "), pc.equal(pc.binary_length(texts), 0))))
+    odd = odd.to_numpy(zero_copy_only=False)
+    order = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    flat, size = plain.flatten(), np.diff(plain.offsets.to_numpy())
+    if odd.any():
+        own = [chunks(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+        flat = pa.concat_arrays([flat, pa.array([c for x in own for c in x], pa.large_string())])
+        size = np.concatenate((size, np.fromiter(map(len, own), np.int64, len(own))))
+    return order, np.cumsum(size).astype(np.int64), flat
+
+
+def squeeze(codes: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def spread(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def code_blocks(block_bytes: int):
+    """Batches (kept, text) to blocks: (block, kept, ends, codes, words)."""
+
+    def block(kept: list[pa.Array], texts: list[pa.Array]):
+        order, ends, flat = cut(pa.concat_arrays(texts))
+        coded = flat.dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
+        rows = pa.concat_arrays(kept).take(pa.array(order))
+        one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+        number = uuid.uuid4().int >> 65  # only the attempt that is committed is ever read
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), one(rows), pa.array([ends.tobytes()]), pa.array([squeeze(rank[codes])]), one(words.take(pa.array(often)).cast(pa.string()))],
+            names=["block", "kept", "ends", "codes", "words"],
+        )
+
+    def run(batches):
+        kept, texts, size = [], [], 0
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            texts.append(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
+            kept.append(batch.column("kept"))
+            size += texts[-1].nbytes
+            if size >= block_bytes:
+                yield block(kept, texts)
+                kept, texts, size = [], [], 0
+        if texts:
+            yield block(kept, texts)
+
+    return run
+
+
+class Pieces:
+    """The library's segmentation of chunks."""
 
     def __init__(self, raw: bytes):
         import sentencepiece
 
-        self.raw, self.model = raw, sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.lone = str(self.model.piece_to_id(MARK))
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if not text:
-            return []
-        if "  " not in text and text[0] != " " and MARK not in text:
-            return text.split(" ")
-        return [x[1:] for x in CHUNKS.findall(MARK + text.replace(" ", MARK))]
 
     def segment(self, new: list[str]) -> tuple[list[str], list[str]]:
         """Ids joined by commas and decoded text of chunks; the library adds the first marker itself."""
@@ -85,70 +148,86 @@ class ChunkTable:
         text = self.model.decode(ids, num_threads=1)
         return [",".join(map(str, x)) if c else self.lone for c, x in zip(new, ids)], [" " + x for x in text]
 
-    def look_up(self, docs: list[list[str]]) -> None:
-        """Make the table hold every chunk of ``docs``; it is emptied first if it is full."""
-        if len(self.ids) > TABLE:
-            self.ids, self.text = {}, {}
-        new = list(set().union(*docs).difference(self.ids))
-        if new:
-            ids, text = self.segment(new)
-            self.ids.update(zip(new, ids))
-            self.text.update(zip(new, text))
-
-    def forget_long(self) -> None:
-        for x in [x for x in self.ids if len(x) > LONGEST]:
-            del self.ids[x], self.text[x]
-
-
-_tables: list[ChunkTable] = []
-
-
-def table_of(raw: bytes) -> ChunkTable:
-    if not _tables or _tables[0].raw != raw:
-        _tables[:] = [ChunkTable(raw)]
-    return _tables[0]
 
+def segment_sorted(raw):
+    """Batches (chunk, block, code) sorted by chunk to (block, code, ids, text); a chunk is segmented when it first comes."""
+
+    def run(batches):
+        pieces, last = Pieces(raw.value), None  # last: the chunk at the end of the batch before, with its answer
+        for batch in (part for whole in batches for part in slices(whole, "chunk")):
+            if not len(batch):
+                continue
+            chunk = batch.column("chunk")
+            fresh = np.ones(len(chunk), bool)
+            fresh[1:] = pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)
+            new = chunk.filter(pa.array(fresh)).to_pylist()
+            known = last is not None and last[0] == new[0]
+            ids, text = pieces.segment(new[known:])
+            if known:
+                ids, text = [last[1], *ids], [last[2], *text]
+            last = (new[-1], ids[-1], text[-1])
+            at = pa.array(np.cumsum(fresh) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(ids, pa.string()).take(at), pa.array(text, pa.string()).take(at)], names=["block", "code", "ids", "text"])
+
+    return run
+
+
+def joined(full: bool):
+    """A block's row and its answers to rows (kept, n_tokens, ids_sha256, decoded_sha256), or (kept, ids, decoded) with ``full``."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        order = pa.array(np.argsort(answers["code"].to_numpy()))
+        ids, text = (answers[c].combine_chunks().take(order) for c in ("ids", "text"))
+        pieces = np.array(pc.count_substring(ids, ","), np.int64) + 1
+        rows, n, a, b = [], [], [], []
+        for kept, ends, codes in zip(block["kept"].combine_chunks(), block["ends"].to_pylist(), block["codes"].to_pylist()):
+            ends, codes = np.frombuffer(ends, np.int64), spread(codes)
+            rows.append(kept.values)
+            begin, at = np.concatenate(([0], ends[:-1])).astype(np.int64), 0
+            total = np.concatenate(([0], np.cumsum(pieces[codes]))) if len(codes) else np.zeros(1, np.int64)
+            n += (total[ends] - total[begin]).tolist()
+            while at < len(ends):  # a few texts at once: joined strings are as large as these texts
+                to = max(at + 1, int(np.searchsorted(ends, begin[at] + (1 << 19), side="right")))
+                own = pa.array(codes[begin[at] : ends[to - 1]])
+                places = pa.array((np.append(begin[at:to], ends[to - 1]) - begin[at]).astype(np.int32))
+                for out, words, mark in ((a, ids, ","), (b, text, "")):
+                    lines = pc.binary_join(pa.ListArray.from_arrays(places, words.take(own)), mark).to_pylist()
+                    lines = lines if mark else [x[1:] for x in lines]
+                    out += ([[int(y) for y in x.split(",") if y] for x in lines] if mark else lines) if full else [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+                at = to
+        kept = pa.concat_arrays(rows)
+        if full:
+            return pa.Table.from_arrays([kept, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())], names=["kept", "ids", "decoded"])
+        return pa.Table.from_arrays([kept, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["kept", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def encoded(texts: list[str | None], raw: bytes, group_chars: int = 1 << 20):
-    """(ids joined by commas, decoded text) of each text, looking chunks up for about ``group_chars`` at once."""
-    table, at = table_of(raw), 0
-    while at < len(texts):
-        docs, size = [], 0
-        while at < len(texts) and (not docs or size < group_chars):
-            docs.append(table.chunks(texts[at] or ""))
-            size += len(texts[at] or "")
-            at += 1
-        table.look_up(docs)
-        for doc in docs:
-            yield ",".join(map(table.ids.__getitem__, doc)), "".join(map(table.text.__getitem__, doc))[1:]
-        if size > group_chars or any(len(x) > LONGEST for doc in docs for x in doc[:1]):
-            table.forget_long()
+    return run
 
 
-def encode_column(text: Column, spark: SparkSession, model: str | None = None, full: bool = False) -> Column:
-    """Token count and hashes of ``text``, or with ``full`` the ids and the decoded text themselves."""
+def encode(docs: DataFrame, keep: list[str], model: str | None = None, full: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns ``keep`` of every row with n_tokens, ids_sha256 and decoded_sha256 of ``text``, or with ``full`` its ids and decoded text."""
+    spark = docs.sparkSession
     share_code(spark)
     raw = spark.sparkContext.broadcast(check_model(model or default_model()))
-
-    def run(batch: pa.Array) -> pa.Array:
-        rows = encoded(batch.to_pylist(), raw.value)
-        if full:
-            return pa.array([{"ids": [int(x) for x in ids.split(",") if x], "decoded": text} for ids, text in rows], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
-        n, a, b = [], [], []
-        for ids, text in rows:
-            n.append(ids.count(",") + 1 if ids else 0)
-            a.append(hashlib.sha256(ids.encode()).hexdigest())
-            b.append(hashlib.sha256(text.encode()).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    run.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, FULL if full else RESULT)(text)
+    rows = docs.select(F.struct(*keep).alias("kept"), "text")
+    kind = rows.schema["kept"].dataType.simpleString()
+    name = f"lectern_blocks_{uuid.uuid4().hex}"
+    coded = rows.mapInArrow(code_blocks(block_bytes), f"block long, kept array<{kind}>, ends binary, codes binary, words array<string>")
+    # As many buckets as shuffle partitions at least, else Spark would shuffle the blocks after all.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), coded.rdd.getNumPartitions())
+    coded.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
+    entries = blocks.select("block", F.posexplode("words").alias("code", "chunk")).repartition("chunk").sortWithinPartitions("chunk")
+    answers = entries.select("block", "code", "chunk").mapInArrow(segment_sorted(raw), "block long, code int, ids string, text string")
+    extra = "ids array<int>, decoded string" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    met = blocks.select("block", "kept", "ends", "codes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined(full), f"kept {kind}, {extra}")
+    out = materialize(met.select("kept.*", *(["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])), "encoded")
+    drop_table(spark, name)
+    return out
 
 
 def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``."""
-    out = docs.select("doc_id", encode_column(F.col("text"), docs.sparkSession, model).alias("e"))
-    return out.select("doc_id", "e.n_tokens", "e.ids_sha256", "e.decoded_sha256")
+    return encode(docs, ["doc_id"], model)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

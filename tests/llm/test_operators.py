@@ -186,16 +186,21 @@ def test_topk_skips_postings():
     one, two = (topk.Shard.of(np.arange(a, b), np.arange(a, b), data[a:b]) for a, b in ((0, 400), (400, 800)))
     for q in range(0, 800, 50):
         seen = Counter()
-        best = two.search(data[q], q, 5, one.search(data[q], q, 5, []), seen)
+        best = two.search(data[q].tolist(), q, 5, one.search(data[q].tolist(), q, 5, []), seen)
         assert best == sorted((-int(data[q] @ data[i]), i) for i in range(800) if i != q)[:5]
-        assert seen["traversed"] < seen["all"] and seen["probed"] < 400 * 32
+        assert seen["traversed"] < seen["all"] and seen["probed"] < 400 * 16
     assert seen["traversed"] < seen["all"] / 2
+    sparse = data * (rng.random(data.shape) < 0.1)  # lists of pairs
+    one, two = (topk.Shard.unpack(*topk.Shard.of(np.arange(a, b), np.arange(a, b), sparse[a:b]).pack()) for a, b in ((0, 400), (400, 800)))
+    for q in range(0, 800, 50):
+        best = two.search(data[q].tolist(), q, 5, one.search(data[q].tolist(), q, 5, []))
+        assert best == sorted((-int(data[q] @ sparse[i]), i) for i in range(800) if i != q)[:5]
 
 
 def test_topk_beyond_63_bits():
     big = np.array([[1 << 40, 1], [1 << 41, -1], [-(1 << 40), 5]])
     shard = topk.Shard.of(np.arange(3), np.arange(3), big)
-    assert shard.search(big[1], 1, 5, []) == [(-((1 << 81) - 1), 0), ((1 << 81) + 5, 2)]
+    assert shard.search(big[1].tolist(), 1, 5, []) == [(-((1 << 81) - 1), 0), ((1 << 81) + 5, 2)]
 
 
 # 4
@@ -419,6 +424,42 @@ def test_pieces(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
 
 
+def test_each_chunk_is_segmented_once(spark):
+    """Over several blocks, with repeated rows, null ids, clashing columns and a long text of long words."""
+    rows = ROWS + [ROWS[3]] * 5 + [(None, "lone  row", "en", None, None), (77, ("x" * 90_000 + " ") * 30, "en", "s", 0)]
+    docs = frame(spark, rows, CLASH + " block kept ends codes words ids chunk code")
+    out = pieces.encode(docs, ["doc_id", "block", "ids"], full=False, block_bytes=20_000)
+    assert out.columns == ["doc_id", "block", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == len(rows)
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = Counter((i, hashlib.sha256(",".join(map(str, model.encode(t or ""))).encode()).hexdigest()) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.ids_sha256) for r in out.collect()) == want
+    whole = {(r.doc_id, tuple(r.ids), r.decoded) for r in pieces.encode(docs.where("doc_id < 20"), ["doc_id"], full=True).collect()}
+    assert whole == {(i, tuple(model.encode(t or "")), model.decode(model.encode(t or ""))) for i, t, *_ in rows if i is not None and i < 20}
+
+
+def test_segments_are_counted(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+
+    class Counting(pieces.Pieces):
+        def segment(self, new):
+            asked.extend(new)
+            return super().segment(new)
+
+    monkeypatch.setattr(pieces, "Pieces", Counting)
+    entries = sorted([(c, b, n) for b in range(3) for n, c in enumerate(["the", "of", "", "water"][b:] + [f"own{b}"])])
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[0] for e in part]), pa.array([e[1] for e in part]), pa.array([e[2] for e in part], pa.int32())], names=["chunk", "block", "code"]) for part in (entries[:4], entries[4:5], entries[5:])]
+
+    class Raw:
+        value = pieces.check_model(pieces.default_model())
+
+    got = [r for b in pieces.segment_sorted(Raw)(batches) for r in b.to_pylist()]
+    assert len(got) == len(entries) and Counter(asked) == Counter({e[0] for e in entries})
+
+
 # 10
 
 
