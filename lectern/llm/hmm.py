@@ -1,7 +1,8 @@
 """Operator 7: a hidden Markov language model trained by Baum-Welch over partitions.
 
-Tokens are the lower-cased (A-Z) words of a text and one end.  Every word belongs to a class: the ``OWN`` most frequent
-words are classes of their own, all others share ``TAILS`` classes by the checksum of their last three bytes.  The model is
+Tokens are the lower-cased (A-Z) words of a text and one end.  Every word belongs to a class: a word that makes up one in ``OWN`` of all
+training words or more (and has ``LONGEST`` bytes at most) is a class of its own (so there are ``OWN`` of them at most, and the same ones whatever the corpus's size);
+all others share ``TAILS`` classes by the checksum of their last three bytes.  The model is
 
     P(text) = sum over state paths of  start * transitions * P(class | state)  times the product of P(word | class),
 
@@ -11,13 +12,13 @@ training doesn't know are one event of their class, as they are one event of the
 Work on the corpus, all of it over every row:
 
 1. words of the training texts are counted by partition and summed (the table grows with the corpus and is never collected);
-2. the words above the lowest count that leaves ``VOCAB`` of them, with their counts, go to the workers (a fixed bound); each text becomes
-   a sequence of class numbers and a list of its other words with their numbers; both are written to the shared folder;
-3. Baum-Welch: workers run scaled forward-backward over windows of ``WINDOW`` tokens of every training sequence and emit expected
-   counts by class and transition; Spark adds them up and the driver re-estimates (``OWN + TAILS`` rows of ``STATES`` numbers).
-   ``WARM`` passes over one sixteenth of the sequences each break the symmetry, ``FULL`` passes take all of them;
-4. scaled forward recursion over whole sequences gives the exact likelihood of the class sequence (a long one is cut into
-   pieces whose transfer matrices are multiplied, which changes nothing but the order of work);
+2. the most frequent words, with their counts, go to the workers (``VOCAB`` at most; the others' counts come by a join, with the same results);
+   each text becomes a sequence of class numbers and a list of its other words with their numbers; both are written to the shared folder;
+3. Baum-Welch: in each of ``PASSES`` passes workers run scaled forward-backward over every whole training sequence and emit
+   expected counts by class and transition; Spark adds them up and the driver re-estimates (``OWN + TAILS`` rows of ``STATES``
+   numbers at most).  A sequence longer than ``LONG`` is worked on in pieces side by side, with the messages at their borders
+   carried over by the pieces' transfer matrices, so it counts as the one sequence that it is;
+4. scaled forward recursion over whole sequences gives the exact likelihood of the class sequence (long ones by transfer matrices likewise);
 5. the other words meet the count table in a join on the word and are summed by row.
 
 Null and empty texts are a lone end.  A null doc_id isn't held out.  Rows are told apart by a row number, so repeated
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, materialize, share_code, slices
 
-STATES, VOCAB, OWN, TAILS, WINDOW, ALPHA = 8, 200_000, 48_000, 4_096, 64, 0.1
-WARM, FULL, LONGEST, FLUSH, BLOCK, PRIOR = 3, 3, 64, 200_000, 4096, 50.0
-STEP_TOKENS, LONG = 1_000_000, 4096
+STATES, VOCAB, OWN, TAILS, ALPHA = 8, 200_000, 48_000, 4_096, 0.1
+PASSES, LONGEST, FLUSH, PRIOR = 4, 64, 200_000, 50.0
+STEP_TOKENS, LONG, PIECE = 1_000_000, 2048, 256
 END = b""
 
 
@@ -47,8 +48,8 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAILS
+def tail_class(word: bytes, tails: int) -> int:
+    return zlib.crc32(word[-3:]) % tails
 
 
 def count_words(batches):
@@ -74,8 +75,8 @@ class Lexicon:
 
     def __init__(self, words: list[bytes], n: np.ndarray, ends: int, tokens: int, distinct: int, tails: dict[int, tuple[int, int]]):
         """words: by falling count; ends: training rows; tokens, distinct: of all training words; tails: class to (tokens, words), own words included."""
-        own = min(OWN, len(words))
-        self.words = [END, *words]
+        own = int(np.searchsorted(-n * OWN, -tokens, side="right"))  # words with n / tokens >= 1 / OWN
+        self.words, self.own, self.tails = [END, *words], OWN, TAILS  # workers know these by the lexicon
         n = np.concatenate(([ends], n)).astype(np.float64)
         self.tokens = tokens + ends
         base_den = self.tokens + ALPHA * (distinct + (ends > 0) + 1)
@@ -85,7 +86,7 @@ class Lexicon:
         tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
         for c, (t, v) in tails.items():
             tail_n[c], tail_v[c] = t, v
-        tail = np.array([tail_class(w) for w in words], np.int64) if words else np.zeros(0, np.int64)
+        tail = np.array([tail_class(w, TAILS) for w in words], np.int64) if words else np.zeros(0, np.int64)
         np.subtract.at(tail_n, tail[:own], n[1 : own + 1])
         np.subtract.at(tail_v, tail[:own], 1)
         self.classes = 1 + OWN + TAILS
@@ -102,8 +103,10 @@ class Lexicon:
 class Table(dict):
     """Word to its place in the lexicon; other words give -1 less their tail class."""
 
+    tails = TAILS
+
     def __missing__(self, word: bytes) -> int:
-        return -1 - tail_class(word)
+        return -1 - tail_class(word, self.tails)
 
 
 _tables: list[tuple[int, Table]] = []
@@ -115,6 +118,7 @@ def encode(version: int, lexicon: Lexicon):
     def run(batches):
         if not _tables or _tables[0][0] != version:
             _tables[:] = [(version, Table(zip(lexicon.words, range(len(lexicon.words)))))]
+            _tables[0][1].tails = lexicon.tails
         find = _tables[0][1].__getitem__
         for batch in (part for whole in batches for part in slices(whole, "text")):
             docs = [(t or b"").lower().split() + [END] for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -122,7 +126,7 @@ def encode(version: int, lexicon: Lexicon):
             at = np.fromiter((i for d in docs for i in map(find, d)), np.int32, int(size.sum()))
             first, known = np.cumsum(size) - size, at >= 0
             place, tail = np.where(known, at, 0), np.where(known, 0, -1 - at)
-            ids = np.where(known, lexicon.class_of[place], 1 + OWN + tail).astype(np.uint16)
+            ids = np.where(known, lexicon.class_of[place], 1 + lexicon.own + tail).astype(np.uint16)
             base = np.add.reduceat(np.where(known, lexicon.base[place], -lexicon.log_den), first)
             within = np.add.reduceat(np.where(known, lexicon.within[place], -lexicon.tail_den[tail]), first)
             n_known = np.add.reduceat((known & lexicon.known[place]).astype(np.int64), first)
@@ -141,10 +145,10 @@ def encode(version: int, lexicon: Lexicon):
 
 
 class Hmm:
-    """start (states), marginal (states), trans (states x states), emit (classes and a padding class x states)."""
+    """start (states), trans (states x states), emit (classes and a padding class x states)."""
 
-    def __init__(self, start: np.ndarray, marginal: np.ndarray, trans: np.ndarray, emit: np.ndarray):
-        self.start, self.marginal, self.trans = start, marginal, trans
+    def __init__(self, start: np.ndarray, trans: np.ndarray, emit: np.ndarray):
+        self.start, self.trans = start, trans
         self.emit = np.concatenate([emit, np.ones((1, emit.shape[1]))])
 
     @classmethod
@@ -152,56 +156,106 @@ class Hmm:
         """The unigram model with a fixed noise for each state, and states that tend to stay."""
         emit = prior[:, None] * np.random.default_rng(11).gamma(2.0, 0.5, (len(prior), states))
         even = np.full(states, 1 / states)
-        return cls(even, even, 0.8 * np.eye(states) + 0.2 / states, emit / np.maximum(emit.sum(axis=0), 1e-300))
+        return cls(even, 0.8 * np.eye(states) + 0.2 / states, emit / np.maximum(emit.sum(axis=0), 1e-300))
 
     def update(self, prior: np.ndarray, start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> Hmm:
         """The model of expected counts, with a Dirichlet prior of ``PRIOR`` unigram tokens for each state."""
         k = len(start)
         e = emit + PRIOR * prior[:, None]
         t = trans + 1.0 / k
-        total = emit.sum(axis=0) + 1 / k
-        return Hmm((start + 1 / k) / (start + 1 / k).sum(), total / total.sum(), t / t.sum(axis=1, keepdims=True), e / e.sum(axis=0))
+        return Hmm((start + 1 / k) / (start + 1 / k).sum(), t / t.sum(axis=1, keepdims=True), e / e.sum(axis=0))
 
     def expected(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected start, transition and emission counts of sequences, in windows of ``WINDOW`` tokens."""
+        """Expected start, transition and emission counts of whole sequences."""
         k, pad = len(self.start), len(self.emit) - 1
-        emit32, trans = self.emit.astype(np.float32), self.trans.astype(np.float32)
-        begin, inside, ones = self.start.astype(np.float32), self.marginal.astype(np.float32), np.ones(k, np.float32)
-        start, moves, cells = np.zeros(k), np.zeros((k, k)), np.zeros((k, pad + 1))
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
-        size = np.fromiter(map(len, docs), np.int64, len(docs))
-        parts = -(-size // WINDOW)
-        doc = np.repeat(np.arange(len(docs)), parts)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-        at, length = (np.cumsum(size) - size)[doc] + nth * WINDOW, np.minimum(WINDOW, size[doc] - nth * WINDOW)
-        order = np.argsort(-length, kind="stable")
-        for lo in range(0, len(order), BLOCK):
-            w = order[lo : lo + BLOCK]
-            steps = int(length[w[0]])
-            when = np.arange(steps)[:, None]
-            live = when < length[w]
-            ids = np.where(live, flat[np.minimum(at[w] + when, len(flat) - 1)], pad)
-            e = emit32[ids]
-            alpha, scale = np.empty_like(e), np.empty((steps, len(w), 1), np.float32)
-            a = np.where((nth[w] == 0)[:, None], begin, inside)
-            for t in range(steps):
-                a = (a if t == 0 else a @ trans) * e[t]
-                scale[t, :, 0] = a @ ones
-                a /= scale[t]
-                alpha[t] = a
-            b = np.ones((len(w), k), np.float32)
-            for t in range(steps - 1, -1, -1):
-                if t < steps - 1:
-                    g = e[t + 1] * b / scale[t + 1]
-                    moves += self.trans * (alpha[t].T @ (g * live[t + 1][:, None]))
-                    b = g @ trans.T
-                alpha[t] *= b  # from here on the posterior
-            start += alpha[0][nth[w] == 0].sum(axis=0)
-            flat_ids, gamma = ids.ravel(), alpha.reshape(-1, k).T
-            for j in range(k):
-                cells[j] += np.bincount(flat_ids, gamma[j], pad + 1)
+        self._emit32, self._trans32 = self.emit.astype(np.float32), self.trans.astype(np.float32)
+        sums = np.zeros(k), np.zeros((k, k)), np.zeros((k, pad + 1))
+        begin, ones = self.start.astype(np.float32), np.ones(k, np.float32)
+        short = [d for d in docs if 0 < len(d) <= LONG]
+        if short:
+            self._sweep(short, np.tile(begin, (len(short), 1)), np.zeros(len(short), bool), np.tile(ones, (len(short), 1)), sums)
+        for d in docs:
+            if len(d) > LONG:
+                pieces = [d[lo : lo + PIECE] for lo in range(0, len(d), PIECE)]
+                before, behind = self._borders(pieces)
+                self._sweep(pieces, before, np.arange(len(pieces)) > 0, behind, sums)
+        start, moves, cells = sums
         return start, moves, cells[:, :pad]
 
+    def _sweep(self, seqs: list[np.ndarray], before: np.ndarray, inner: np.ndarray, behind: np.ndarray, sums) -> None:
+        """Add the expected counts of sequences, all in step.
+
+        before: start weights, or (inner) the forward message of the token before; behind: the backward message at the last token, up to scale.
+        """
+        start, moves, cells = sums
+        emit, trans = self._emit32, self._trans32
+        ones = np.ones(emit.shape[1], np.float32)
+        size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        order = np.argsort(-size, kind="stable")
+        size, inner, before, behind = size[order], inner[order], before[order], behind[order]
+        live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # sequences that have a token t
+        first = np.cumsum(live) - live
+        flat = np.concatenate([seqs[i] for i in order])
+        rank, place = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        ids = np.empty(len(flat), np.int64)
+        ids[first[place] + rank] = flat  # token by token, so each step reads one stretch
+        e = emit[ids]
+        alpha, scale = np.empty_like(e), np.empty((len(e), 1), np.float32)
+        a = np.where(inner[:, None], before @ trans, before)
+        for t, (lo, m) in enumerate(zip(first.tolist(), live.tolist())):
+            a = (a if t == 0 else a[:m] @ trans) * e[lo : lo + m]
+            s = scale[lo : lo + m]
+            s[:, 0] = a @ ones
+            a /= s
+            alpha[lo : lo + m] = a
+        ends = first[size - 1] + np.arange(len(size))
+        last = behind / (alpha[ends] * behind).sum(axis=1, keepdims=True)
+        b = last[: live[-1]]
+        for t in range(len(live) - 1, -1, -1):
+            lo, m = int(first[t]), int(live[t])
+            if len(b) < m:  # sequences that end here
+                b = np.concatenate((b, last[len(b) : m]))
+            g = e[lo : lo + m] * b / scale[lo : lo + m]
+            if t:
+                was = int(first[t - 1])
+                moves += self.trans * (alpha[was : was + m].T @ g)
+                b_next = g @ trans.T
+            else:
+                moves += self.trans * ((before * inner[:, None]).T @ g)
+            alpha[lo : lo + m] *= b  # from here on the posterior
+            b = b_next if t else b
+        start += alpha[: len(size)][~inner].sum(axis=0)
+        gamma = alpha.T
+        for j in range(len(gamma)):
+            cells[j] += np.bincount(ids, gamma[j], cells.shape[1])
+
+    def _borders(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The messages at the borders of a sequence's pieces, from the pieces' transfer matrices: what ``_sweep`` takes."""
+        k = len(self.start)
+        n = len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, n)  # all but the last are of one length
+        m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+        ids = np.full((n, int(size[0])), 0, np.int64)
+        for i, x in enumerate(pieces):
+            ids[i, : len(x)] = x
+        for t in range(int(size[0])):
+            c = n if t < size[-1] else n - 1
+            move = m[:c].reshape(-1, k) @ self.trans if t else None
+            now = (move.reshape(c, k, k) if t else np.broadcast_to(self.trans, (c, k, k))) * self.emit[ids[:c, t]][:, None, :]
+            m[:c] = now / now.sum(axis=(1, 2), keepdims=True)
+        before, behind = np.empty((n, k)), np.ones((n, k))
+        before[0] = self.start
+        v = self.start * self.emit[pieces[0][0]]
+        for x in pieces[0][1:]:
+            v = (v / v.sum()) @ self.trans * self.emit[x]
+        for i in range(1, n):
+            before[i] = v / v.sum()
+            v = before[i] @ m[i]
+        for i in range(n - 2, -1, -1):
+            w = m[i + 1] @ behind[i + 1]
+            behind[i] = w / w.sum()
+        return before.astype(np.float32), behind.astype(np.float32)
+
     def log10(self, docs: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each (non-empty) sequence by the scaled forward recursion."""
         out = np.zeros(len(docs))
@@ -280,17 +334,15 @@ def grouped(batches):
         yield docs
 
 
-def train(sequences: DataFrame, prior: np.ndarray, states: int = STATES, warm: int = WARM, full: int = FULL) -> Hmm:
-    """Baum-Welch over rows (key, ids)."""
-    spark = sequences.sparkSession
+def train(sequences: DataFrame, prior: np.ndarray, states: int = STATES, passes: int = PASSES) -> Hmm:
+    """Baum-Welch over all rows (ids), ``passes`` times."""
     model = Hmm.seed(prior, states)
     schema = "cell int, " + ", ".join(f"c{j} double" for j in range(states))
-    for turn in range(warm + full):
-        part = sequences.where(F.pmod(F.xxhash64("key"), F.lit(16)) == turn) if turn < warm else sequences
-        counts = part.select("ids").mapInArrow(expect(model), schema).groupBy("cell").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(states)])
+    for _ in range(passes):
+        counts = sequences.select("ids").mapInArrow(expect(model), schema).groupBy("cell").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(states)])
         got = counts.toArrow()  # at most one row a class, state and start
         if not len(got):
-            continue
+            break
         cell, rows = got["cell"].to_numpy(), np.stack([got[f"c{j}"].to_numpy() for j in range(states)], axis=1)
         emit, moves = np.zeros((len(prior), states)), np.zeros((states, states))
         emit[cell[cell >= 0]] = rows[cell >= 0]
@@ -342,7 +394,7 @@ def score_documents(docs: DataFrame, states: int = STATES) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_sum double, within_sum double, ids binary, rare array<binary>, rare_n array<long>")
     rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "sequences")
-    model = train(rows.where("not held_out").select("key", "ids"), lexicon.prior, states)
+    model = train(rows.where("not held_out").select("ids"), lexicon.prior, states)
     others = rows.where(F.size("rare") > 0).select("key", F.explode(F.arrays_zip(F.col("rare").alias("w"), F.col("rare_n").alias("m"))).alias("x")).select("key", F.col("x.w").alias("w"), F.col("x.m").alias("m"))
     met = others.join(counts.where(~inside), F.col("w") == F.col("word"), "left")
     c = F.coalesce("n", F.lit(0))

@@ -361,7 +361,7 @@ def test_hmm_scores(spark, tmp_path):
 def test_hmm_recursion_is_exact(monkeypatch):
     rng = np.random.default_rng(6)
     emit = rng.random((7, 3))
-    model = hmm.Hmm(np.array([0.2, 0.5, 0.3]), np.full(3, 1 / 3), rng.dirichlet(np.ones(3), 3), emit / emit.sum(axis=0))
+    model = hmm.Hmm(np.array([0.2, 0.5, 0.3]), rng.dirichlet(np.ones(3), 3), emit / emit.sum(axis=0))
     ids = rng.integers(0, 7, 6).astype(np.uint16)
     total = sum(model.start[p[0]] * math.prod(model.emit[ids[i], k] for i, k in enumerate(p)) * math.prod(model.trans[a, b] for a, b in zip(p, p[1:])) for p in itertools.product(range(3), repeat=6))
     assert math.isclose(model.log10([ids, ids[:1]])[0], math.log10(total))
@@ -371,6 +371,81 @@ def test_hmm_recursion_is_exact(monkeypatch):
     assert math.isclose(model.log10([long])[0], short_way)
 
 
+def plain_counts(model, docs):
+    """Expected counts by the textbook recursions, one token at a time."""
+    k, pad = len(model.start), len(model.emit) - 1
+    start, moves, cells = np.zeros(k), np.zeros((k, k)), np.zeros((k, pad))
+    for ids in docs:
+        a = [model.start * model.emit[ids[0]]]
+        for x in ids[1:]:
+            a.append((a[-1] / a[-1].sum()) @ model.trans * model.emit[x])
+        b = np.ones(k)
+        for t in range(len(ids) - 1, -1, -1):
+            p = a[t] * b / (a[t] * b).sum()
+            cells[:, ids[t]] += p
+            if t:
+                pair = (a[t - 1] / a[t - 1].sum())[:, None] * model.trans * (model.emit[ids[t]] * b)[None]
+                moves += pair / pair.sum()
+                b = model.trans @ (model.emit[ids[t]] * b)
+                b /= b.sum()
+        start += p
+    return start, moves, cells
+
+
+def test_expected_counts_of_whole_sequences(monkeypatch):
+    rng = np.random.default_rng(8)
+    model = hmm.Hmm.seed(np.full(12, 1 / 12), 3)
+    docs = [rng.integers(0, 12, n).astype(np.uint16) for n in (1, 7, 1, 300, 41, 95)]
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    for long in (4096, 40):  # 40: two sequences in pieces, the last piece of one shorter
+        monkeypatch.setattr(hmm, "LONG", long)
+        for got, want in zip(model.expected(docs), plain_counts(model, docs)):
+            assert np.allclose(got, want, rtol=1e-3, atol=1e-4)
+
+
+def test_hmm_score_by_brute_force(spark, monkeypatch):
+    """Lexicon, classes, every pass of Baum-Welch and the likelihood, written down once more over plain words."""
+    monkeypatch.setattr(hmm, "OWN", 60)
+    monkeypatch.setattr(hmm, "TAILS", 16)
+    rows = [r for r in ROWS if r[0] % 3 == 0]
+    docs = {i: [*(t or "").encode().lower().split(), b""] for i, t, *_ in rows}
+    seen = [docs[i] for i in docs if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for d in seen for w in d[:-1])
+    n = sum(counts.values())
+    own = [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if counts[w] * 60 >= n]
+    place = {b"": 0} | {w: i for i, w in enumerate(own, 1)}
+    tail = lambda w: 61 + zlib.crc32(w[-3:]) % 16
+    of = lambda w: place.get(w, tail(w))
+    size, words = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in place:
+            size[tail(w)] += c
+            words[tail(w)] += 1
+    prior = np.zeros(61 + 16)
+    prior[0] = len(seen) + 0.1
+    for w in own:
+        prior[place[w]] = counts[w] + 0.1
+    for c in range(61, 77):
+        prior[c] = size[c] + 0.1 * (words[c] + 1)
+    prior /= prior.sum()
+    model = hmm.Hmm.seed(prior, 3)
+    coded = [np.array([of(w) for w in d]) for d in seen]
+    for _ in range(hmm.PASSES):
+        start, moves, cells = plain_counts(model, coded)
+        e, t = cells.T + hmm.PRIOR * prior[:, None], moves + 1 / 3
+        model = hmm.Hmm((start + 1 / 3) / (start + 1 / 3).sum(), t / t.sum(axis=1, keepdims=True), e / e.sum(axis=0))
+    got = {r.doc_id: r.score for r in hmm.score_documents(frame(spark, rows, CLASH), states=3).collect()}
+    for i, d in docs.items():
+        a, total = model.start, 0.0
+        for j, w in enumerate(d):
+            a = (a if j == 0 else a @ model.trans) * model.emit[of(w)]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+            if w not in place:
+                total += math.log10((counts[w] + 0.1) / (size[tail(w)] + 0.1 * (words[tail(w)] + 1)))
+        assert math.isclose(got[i], total, rel_tol=1e-4), (i, got[i], total)
+
+
 def test_baum_welch_gains():
     rng = np.random.default_rng(7)
     docs = [np.where(rng.random(60) < 0.9, rng.integers(0, 5, 60) + 5 * (i % 2), rng.integers(0, 10, 60)).astype(np.uint16) for i in range(80)]
