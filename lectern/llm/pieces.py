@@ -6,10 +6,10 @@ ids are those of its chunks (a run of markers with what follows it) in their ord
 than texts do:
 
 1. *Coding.*  Texts are cut into chunks and dealt to blocks of about ``BLOCK_BYTES`` as they are read.  A block holds its distinct
-   chunks once, the most frequent first, and for each text the numbers of its chunks by position.  Blocks are written as
-   a table bucketed by block (one row each), so that they need no shuffle later on.
+   chunks once, the ``OFTEN`` most frequent first and the others in alphabetical order (which compresses best), and for each text the
+   numbers of its chunks by position.  Blocks are written as a table bucketed by block (one row each), so that they need no shuffle later on.
 2. *Distinct chunks.*  All blocks' chunks meet by chunk.  Each distinct chunk of the corpus is segmented and decoded by the library
-   exactly once, and its ids go back to every (block, number) that has it.
+   exactly once, and its ids go back to every (block, number) that has it, packed by block (the decoded text only where it isn't the chunk).
 3. *Join by position.*  The answers of a block meet its row, and ids and decoded strings are taken by number at each position.
 
 What moves is the distinct chunks of every block and not the words: one chunk's places are as many as there are blocks at most.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, drop_table, materialize, share_code, shared_dir, slices
 
-BLOCK_BYTES, MODEL_BYTES = 32 << 20, 32 << 20
+BLOCK_BYTES, MODEL_BYTES, OFTEN, FLUSH = 32 << 20, 32 << 20, 1 << 16, 250_000
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -107,7 +107,11 @@ def code_blocks(block_bytes: int):
         order, ends, flat = cut(pa.concat_arrays(texts))
         coded = flat.dictionary_encode()
         codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")[:OFTEN]
+        rare = np.ones(len(words), bool)
+        rare[often] = False
+        sorted_ = pc.sort_indices(words).to_numpy()
+        often = np.concatenate((often, sorted_[rare[sorted_]]))
         rank = np.empty(len(often), np.int64)
         rank[often] = np.arange(len(often))
         rows = pa.concat_arrays(kept).take(pa.array(order))
@@ -140,20 +144,37 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.lone = str(self.model.piece_to_id(MARK))
+        self.lone = [self.model.piece_to_id(MARK)]
 
-    def segment(self, new: list[str]) -> tuple[list[str], list[str]]:
-        """Ids joined by commas and decoded text of chunks; the library adds the first marker itself."""
+    def segment(self, new: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids and decoded text of chunks; the library adds the first marker itself."""
         ids = self.model.encode(new, num_threads=1)
-        text = self.model.decode(ids, num_threads=1)
-        return [",".join(map(str, x)) if c else self.lone for c, x in zip(new, ids)], [" " + x for x in text]
+        return [x if c else self.lone for c, x in zip(new, ids)], self.model.decode(ids, num_threads=1)
+
+
+ANSWER = "block long, codes binary, sizes binary, ids binary, odd array<int>, odd_text array<string>"
 
 
 def segment_sorted(raw):
-    """Batches (chunk, block, code) sorted by chunk to (block, code, ids, text); a chunk is segmented when it first comes."""
+    """Batches (chunk, block, code) sorted by chunk to rows of ANSWER; a chunk is segmented when it first comes."""
+
+    def flush(held):
+        block, code, size, ids, odd, text = (np.concatenate(x) if isinstance(x[0], np.ndarray) else [y for part in x for y in part] for x in zip(*held))
+        order = np.argsort(block, kind="stable")
+        first = np.cumsum(size) - size
+        starts = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1])))
+        rows = []
+        for part in np.split(order, starts[1:]):
+            n = size[part]
+            flat = ids[np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            strange = part[odd[part]]
+            rows.append((int(block[part[0]]), squeeze(code[part]), squeeze(n), squeeze(flat), code[strange].tolist(), [text[i] for i in strange]))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "codes", "sizes", "ids", "odd", "odd_text"])
 
     def run(batches):
         pieces, last = Pieces(raw.value), None  # last: the chunk at the end of the batch before, with its answer
+        held, n = [], 0
         for batch in (part for whole in batches for part in slices(whole, "chunk")):
             if not len(batch):
                 continue
@@ -166,8 +187,19 @@ def segment_sorted(raw):
             if known:
                 ids, text = [last[1], *ids], [last[2], *text]
             last = (new[-1], ids[-1], text[-1])
-            at = pa.array(np.cumsum(fresh) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(ids, pa.string()).take(at), pa.array(text, pa.string()).take(at)], names=["block", "code", "ids", "text"])
+            at = np.cumsum(fresh) - 1
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+            own = size[at]
+            spots = np.repeat((np.cumsum(size) - size)[at] - np.cumsum(own) + own, own) + np.arange(int(own.sum()))
+            odd = np.fromiter((a != b for a, b in zip(new, text)), bool, len(new))[at]
+            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy(), own, flat[spots], odd, [text[i] if o else None for i, o in zip(at, odd)]))
+            n += len(at) + len(spots) // 4
+            if n > FLUSH:
+                yield flush(held)
+                held, n = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
@@ -176,22 +208,36 @@ def joined(full: bool):
     """A block's row and its answers to rows (kept, n_tokens, ids_sha256, decoded_sha256), or (kept, ids, decoded) with ``full``."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        order = pa.array(np.argsort(answers["code"].to_numpy()))
-        ids, text = (answers[c].combine_chunks().take(order) for c in ("ids", "text"))
-        pieces = np.array(pc.count_substring(ids, ","), np.int64) + 1
         rows, n, a, b = [], [], [], []
-        for kept, ends, codes in zip(block["kept"].combine_chunks(), block["ends"].to_pylist(), block["codes"].to_pylist()):
+        if len(answers):
+            codes, sizes, ids = (np.concatenate([spread(x) for x in answers[c].to_pylist()]) for c in ("codes", "sizes", "ids"))
+            order = np.argsort(codes)
+            first, pieces = (np.cumsum(sizes) - sizes)[order], sizes[order]
+            flat = ids[np.repeat(first - np.cumsum(pieces) + pieces, pieces) + np.arange(len(ids))]
+            digits = pa.array([str(i) for i in range(int(flat.max(initial=0)) + 1)])
+            shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(pieces))).astype(np.int32)), digits.take(pa.array(flat))), ",")
+            other = {c: x for cs, xs in zip(answers["odd"].to_pylist(), answers["odd_text"].to_pylist()) for c, x in zip(cs, xs)}
+        for kept, ends, codes, words in zip(block["kept"].combine_chunks(), block["ends"].to_pylist(), block["codes"].to_pylist(), block["words"].combine_chunks()):
             ends, codes = np.frombuffer(ends, np.int64), spread(codes)
             rows.append(kept.values)
+            if not len(codes):
+                shown, pieces, text = pa.array([], pa.string()), np.zeros(0, np.int64), pa.array([], pa.string())
+            else:
+                text = pc.binary_join_element_wise(" ", words.values, "")
+                if other:
+                    plain = text.to_pylist()
+                    for c, x in other.items():
+                        plain[c] = " " + x
+                    text = pa.array(plain, pa.string())
             begin, at = np.concatenate(([0], ends[:-1])).astype(np.int64), 0
-            total = np.concatenate(([0], np.cumsum(pieces[codes]))) if len(codes) else np.zeros(1, np.int64)
+            total = np.concatenate(([0], np.cumsum(pieces[codes])))
             n += (total[ends] - total[begin]).tolist()
             while at < len(ends):  # a few texts at once: joined strings are as large as these texts
                 to = max(at + 1, int(np.searchsorted(ends, begin[at] + (1 << 19), side="right")))
                 own = pa.array(codes[begin[at] : ends[to - 1]])
                 places = pa.array((np.append(begin[at:to], ends[to - 1]) - begin[at]).astype(np.int32))
-                for out, words, mark in ((a, ids, ","), (b, text, "")):
-                    lines = pc.binary_join(pa.ListArray.from_arrays(places, words.take(own)), mark).to_pylist()
+                for out, items, mark in ((a, shown, ","), (b, text, "")):
+                    lines = pc.binary_join(pa.ListArray.from_arrays(places, items.take(own)), mark).to_pylist()
                     lines = lines if mark else [x[1:] for x in lines]
                     out += ([[int(y) for y in x.split(",") if y] for x in lines] if mark else lines) if full else [hashlib.sha256(x.encode()).hexdigest() for x in lines]
                 at = to
@@ -214,12 +260,12 @@ def encode(docs: DataFrame, keep: list[str], model: str | None = None, full: boo
     coded = rows.mapInArrow(code_blocks(block_bytes), f"block long, kept array<{kind}>, ends binary, codes binary, words array<string>")
     # As many buckets as shuffle partitions at least, else Spark would shuffle the blocks after all.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), coded.rdd.getNumPartitions())
-    coded.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
+    coded.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
     entries = blocks.select("block", F.posexplode("words").alias("code", "chunk")).repartition("chunk").sortWithinPartitions("chunk")
-    answers = entries.select("block", "code", "chunk").mapInArrow(segment_sorted(raw), "block long, code int, ids string, text string")
+    answers = entries.select("block", "code", "chunk").mapInArrow(segment_sorted(raw), ANSWER)
     extra = "ids array<int>, decoded string" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    met = blocks.select("block", "kept", "ends", "codes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined(full), f"kept {kind}, {extra}")
+    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined(full), f"kept {kind}, {extra}")
     out = materialize(met.select("kept.*", *(["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])), "encoded")
     drop_table(spark, name)
     return out
