@@ -2,21 +2,25 @@
 
 Rules (kinds assign, access, hex) are regular expressions.  Besides them, each run of 20 or more base64 characters
 is a candidate if an encoding can be inferred: hex, base32, base36 or base64, each with letters *and* digits (a word
-or a number has no encoding).  A candidate's characters become symbols of that alphabet and meet three tests of the
+or a number has no encoding).  A run without an encoding is a candidate by its parts of 20 or more letters and digits
+(``sk_live_...``).  A candidate's characters become symbols of that alphabet and meet three tests of the
 hypothesis that they are drawn at random: chi-squared uniformity over the alphabet (Wilson-Hilferty), runs above
 and below the alphabet's middle (Wald-Wolfowitz) and serial correlation at lag one.  The least of the three p-values,
-corrected for three tests (Sidak), is the candidate's p: spread evenly for random strings, near zero for structured ones.
+corrected for three tests (Sidak), is the candidate's score: spread evenly for random strings, near zero for structured ones.
 
-False discoveries are controlled for each encoding and length band, since short strings give the tests little power.
-In a band, twice the number of p above one half estimates how many are random; what exceeds that estimate (less two
-standard deviations) among those above a threshold is the share of false discoveries.  A band takes the lowest of
-``LEVELS`` that brings this share to ``RATE`` or less, and none of its candidates if no level does.  The counts of bands
-(at most 4 encodings x ``BANDS`` rows) are all that reaches the driver.
+A discovery is a string that looks random; a false one is structured all the same.  What structured strings score is
+measured on the corpus: every distinct text gives, for each length band, a null string of the band's least length
+(so the tests have no more power over it than over candidates), cut out of its words run together at a place set by the text's hash
+written in one of the four encodings and closed by a number, as identifiers are.  A candidate's p-value is conformal: one more than the null strings
+of its encoding and band that score as high or higher, over one more than all of them.  Benjamini and Hochberg's procedure at ``RATE`` over
+the distinct candidates of each encoding and length band then bounds the expected share of false discoveries there, so short strings have to
+score higher than long ones, and a lone string in a small corpus is never a discovery.  Scores are counted in cells (``CELLS`` to a factor of ten, rounded against
+the candidate); the cells of the bands (4 encodings x 6 bands x 97 at most) are all that reaches the driver.
 
 Spans are (kind, start, end) in code points, end exclusive.  Added spans have kind ``random``; those inside a rule's
 span are left out.  Null and empty texts have no spans (the hash of the empty string).  Positions come from running sums
-over blocks of ``BLOCK`` matches, so a long text with many matches stays cheap.  Repeated rows give repeated results; an
-empty table gives an empty result; extra columns are kept by ``redact`` and ignored by the query.
+over blocks of ``BLOCK`` matches, and redaction cuts a text in blocks likewise, so a long text with many matches stays cheap.
+Repeated rows give repeated results and count once in every statistic; an empty table gives an empty result; extra columns are kept by ``redact`` and ignored by the query.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, materialize
+from lectern.llm.common import discard, documents, materialize
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: (regex, group, least length of the group).  A minimum within the regex finds the same spans as dropping short runs
@@ -34,9 +38,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 RULES = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]{16,}", 0, 20), "hex": ("[0-9a-f]{24,}", 0, 24)}
 #: Only texts with a match of these are cut up at all.
 HINTS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "random": "[A-Za-z0-9+/_-]{20}"}
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE, PART = "[A-Za-z0-9+/_-]{20,}={0,2}", "[A-Za-z0-9]{20,}"
 ENCODINGS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-LEVELS, RATE, BANDS, BLOCK = (0.001, 0.01, 0.05, 0.1, 0.2), 0.05, 40, 256
+#: Length bands, by twice the binary logarithm; the last one holds all longer strings.  Cells of scores: CELLS to a factor of ten, DEPTH factors.
+FIRST_BAND, LAST_BAND, RATE, BLOCK, CELLS, DEPTH = 8, 13, 0.05, 256, 8, 12
 KINDS = ["assign", "access", "hex", "random"]
 
 
@@ -57,6 +62,15 @@ def _before(lengths: Column) -> Column:
     return let(blocks, lambda bs: let(F.transform(bs, lambda b: _sum(b)), lambda sums: F.flatten(F.transform(bs, lambda b, j: let(_sum(F.slice(sums, F.lit(1), j)), lambda base: inner(b, base))))))
 
 
+def _peak_before(ends: Column) -> Column:
+    """Exclusive running maxima of an array of ints, blockwise; zero where nothing stands before."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda j: F.slice(ends, j * BLOCK + 1, F.lit(BLOCK)))
+    peak = lambda items: F.coalesce(F.array_max(items), F.lit(0))
+    inner = lambda b, base: F.transform(b, lambda x, i: F.greatest(base, peak(F.slice(b, F.lit(1), i))))
+    return let(blocks, lambda bs: let(F.transform(bs, peak), lambda tops: F.flatten(F.transform(bs, lambda b, j: let(peak(F.slice(tops, F.lit(1), j)), lambda base: inner(b, base))))))
+
+
 def matches(text: Column, kind: str, regex: str, group: int, least: int) -> Column:
     """Array of (start, end, word) of the leftmost non-overlapping matches whose ``group`` has ``least`` characters or more."""
     gaps = F.transform(F.split(text, regex, -1), F.length)
@@ -94,7 +108,9 @@ def battery(symbols: Column, k: Column) -> Column:
 
     def test(x: Column) -> Column:
         n, free = F.size(x).cast("double"), k.cast("double") - 1
-        squares = _sum(F.transform(F.sequence(F.lit(0), k - 1), lambda s: let(F.size(F.filter(x, lambda v: v == s)), lambda c: c * c)))
+        # In sorted order the n-th of equal symbols adds 2 n - 1, which makes the square of their number.
+        step = lambda a, v: let(F.when(v == a["last"], a["run"] + 1).otherwise(1), lambda r: F.struct(v.alias("last"), r.alias("run"), (a["total"] + 2 * r - 1).alias("total")))
+        squares = F.aggregate(F.array_sort(x), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total")), step, lambda a: a["total"])
         chi = k / n * squares - n
         p1 = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
         next_ = lambda items: F.slice(items, F.lit(2), F.size(items) - 1)
@@ -119,23 +135,56 @@ def battery(symbols: Column, k: Column) -> Column:
     return let(symbols, test)
 
 
+def band_of(length: Column) -> Column:
+    return F.least(F.lit(LAST_BAND), F.floor(F.log2(length) * 2)).cast("int")
+
+
+def score_of(word: Column, encoding: Column) -> Column:
+    """The battery's p of a string in its encoding."""
+    alphabet = F.lit("")
+    for name, letters in ENCODINGS.items():
+        alphabet = F.when(encoding == name, F.lit(letters)).otherwise(alphabet)
+    plain = F.translate(F.regexp_replace(word, "=+$", ""), "-_", "+/")
+    plain = F.when(encoding.isin("hex", "base36"), F.lower(plain)).otherwise(plain)
+    symbols = let(alphabet, lambda a: F.transform(F.split(plain, ""), lambda c: F.expr("0") + F.instr(a, c) - 1))
+    return battery(symbols, F.length(alphabet))
+
+
 def tested(words: Column) -> Column:
     """Array of (start, end, word, encoding, band, p) of those of ``words`` (start, end, word) that have an encoding."""
 
     def one(x: Column, encoding: Column) -> Column:
-        alphabet = F.lit("")
-        for name, letters in ENCODINGS.items():
-            alphabet = F.when(encoding == name, F.lit(letters)).otherwise(alphabet)
-        plain = F.translate(F.regexp_replace(x["word"], "=+$", ""), "-_", "+/")
-        plain = F.when(encoding.isin("hex", "base36"), F.lower(plain)).otherwise(plain)
-        symbols = let(alphabet, lambda a: F.transform(F.split(plain, ""), lambda c: F.expr("0") + F.instr(a, c) - 1))
-        band = F.least(F.lit(BANDS), F.floor(F.log2(F.length(x["word"])) * 2)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"), encoding.alias("encoding"), band.alias("band"), battery(symbols, F.length(alphabet)).alias("p"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"), encoding.alias("encoding"), band_of(F.length(x["word"])).alias("band"), score_of(x["word"], encoding).alias("p"))
 
     coded = F.filter(words, lambda x: encoding_of(x["word"]).isNotNull())
     return F.transform(coded, lambda x: let(encoding_of(x["word"]), lambda e: one(x, e)))
 
 
+def null_run(text: Column) -> Column:
+    """(encoding, run): the text's words run together, written in one of the encodings."""
+    names = list(ENCODINGS)
+    encoding = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(text, F.lit("encoding")), F.lit(4)) + 1).cast("int"))
+    low = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+    camel = F.regexp_replace(F.initcap(text), "[^A-Za-z0-9]+", "")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    folded = "".join("0123456789abcdef"[i % 16] for i in range(26))
+    written = (
+        F.when(encoding == "hex", F.translate(low, letters, folded)).when(encoding == "base32", F.translate(F.upper(low), "0189", "ABCD")).when(encoding == "base36", low).otherwise(camel)
+    )
+    return F.struct(encoding.alias("encoding"), written.alias("run"))
+
+
+def null_strings(null: Column, key: Column) -> Column:
+    """Array of (encoding, band, p): one string of ``null`` (encoding, run) for each length band, at places set by ``key``."""
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(max(20, -int(-(2 ** (b / 2)) // 1))).alias("size")) for b in range(FIRST_BAND, LAST_BAND + 1)])
+    fits = F.filter(bands, lambda b: b["size"] <= F.length(null["run"]))
+    place = lambda b: F.pmod(F.xxhash64(key, b["band"]), (F.length(null["run"]) - b["size"] + 1).cast("long")).cast("int")
+    # Digits 2 to 7 are in every alphabet: a number of four makes an identifier of the words.
+    number = lambda b: F.translate(F.lpad(F.pmod(F.xxhash64(key, b["band"], F.lit(1)), F.lit(10_000)).cast("string"), 4, "0"), "0189", "3456")
+    string = lambda b: F.concat(F.substring(null["run"], place(b) + 1, b["size"] - 4), number(b))
+    return F.transform(fits, lambda b: F.struct(null["encoding"].alias("encoding"), b["band"].alias("band"), score_of(string(b), null["encoding"]).alias("p")))
+
+
 def rule_spans(text: Column) -> Column:
     """Sorted (start, rank of the kind, end) of the rules' matches."""
     def ranked(rank: int) -> Callable[[Column], Column]:
@@ -145,32 +194,56 @@ def rule_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def random_candidates(text: Column) -> Column:
-    return tested(matches(text, "random", CANDIDATE, 0, 20))
+def candidates_of(runs: Column, parts: Column) -> Column:
+    """The tested runs, and the tested parts that lie in none of them."""
+    return F.concat(runs, F.filter(parts, lambda x: ~F.exists(runs, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]))))
 
 
-def thresholds(candidates: DataFrame, levels=LEVELS, rate: float = RATE) -> dict[str, float]:
-    """Level of each band (``encoding:band``) from rows (word, encoding, band, p); each string counts once."""
-    above = [F.sum((F.col("p") > t).cast("long")).alias(f"m{i}") for i, t in enumerate(levels)]
+def scanned(docs: DataFrame, nulls: bool) -> DataFrame:
+    """``docs`` with lectern_base, lectern_random (start, end, word, encoding, band, p) and, with ``nulls``, lectern_key and lectern_null (encoding, band, p)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.select("*", rule_spans(text).alias("lectern_base"), matches(text, "random", CANDIDATE, 0, 20).alias("lectern_runs"), matches(text, "random", PART, 0, 20).alias("lectern_parts"), *([F.xxhash64(text).alias("lectern_key"), null_run(text).alias("lectern_run")] if nulls else []))
+    out = out.withColumn("lectern_runs", tested(F.col("lectern_runs"))).withColumn("lectern_parts", tested(F.col("lectern_parts")))
+    if nulls:
+        out = out.withColumn("lectern_null", null_strings(F.col("lectern_run"), F.col("lectern_key"))).drop("lectern_run")
+    return out.withColumn("lectern_random", candidates_of(F.col("lectern_runs"), F.col("lectern_parts"))).drop("lectern_runs", "lectern_parts")
+
+
+def cell_of(p: Column) -> Column:
+    """0 for the highest scores."""
+    return F.floor(-F.log10(F.greatest(p, F.lit(10.0**-DEPTH))) * CELLS).cast("int")
+
+
+def thresholds(candidates: DataFrame, nulls: DataFrame, rate: float = RATE) -> dict[str, int]:
+    """The last cell that each band (``encoding:band``) accepts.
+
+    candidates: rows (word, encoding, band, p), each string counts once; nulls: rows (text_key, encoding, band, p), each text counts once.
+    """
     once = candidates.groupBy("word").agg(F.first("encoding").alias("encoding"), F.first("band").alias("band"), F.first("p").alias("p"))
+    seen = once.groupBy("encoding", "band", cell_of(F.col("p")).alias("cell")).agg(F.count("*").alias("n"))
+    null = nulls.groupBy("text_key", "encoding", "band").agg(F.first("p").alias("p")).groupBy("encoding", "band", cell_of(F.col("p")).alias("cell")).agg(F.count("*").alias("n"))
+    cells: dict[tuple[str, int], dict[int, list[int]]] = {}
+    for r in seen.withColumn("kind", F.lit(0)).union(null.withColumn("kind", F.lit(1))).collect():  # 4 encodings x 6 bands x 97 cells at most, of two kinds
+        cells.setdefault((r.encoding, r.band), {}).setdefault(r.cell, [0, 0])[r.kind] += r.n
     out = {}
-    for r in once.groupBy("encoding", "band").agg(F.sum((F.col("p") > 0.5).cast("long")).alias("high"), *above).collect():  # at most 4 x BANDS rows
-        for i, t in enumerate(levels):
-            m, random = r[f"m{i}"], 2 * (1 - t) * r.high
-            if m and (m - random - 2 * m**0.5) / m <= rate:
-                out[f"{r.encoding}:{r.band}"] = t
-                break
+    for (encoding, band), counts in cells.items():
+        m, n = (sum(x[kind] for x in counts.values()) for kind in (0, 1))
+        found = random = 0
+        for cell in sorted(counts):
+            found, random = found + counts[cell][0], random + counts[cell][1]
+            if counts[cell][0] and m * (1 + random) / (1 + n) <= rate * found:
+                out[f"{encoding}:{band}"] = cell
     return out
 
 
-def all_spans(base: Column, candidates: Column, levels: dict[str, float]) -> Column:
+def all_spans(base: Column, candidates: Column, levels: dict[str, int]) -> Column:
     """Sorted spans of the rules and of the candidates that their band accepts and no rule's span holds."""
-    level = F.lit(1.0)
+    level = F.lit(-1)
     if levels:
         known = F.create_map(*[F.lit(v) for item in sorted(levels.items()) for v in item])
     pick = lambda x: F.coalesce(F.try_element_at(known, F.concat_ws(":", x["encoding"], x["band"].cast("string"))), level) if levels else level
     free = lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
-    kept = F.filter(candidates, lambda x: (x["p"] > pick(x)) & free(x))
+    kept = F.filter(candidates, lambda x: (cell_of(x["p"]) <= pick(x)) & free(x))
     added = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(len(RULES)).alias("rank"), x["end"].alias("end")))
     return F.array_sort(F.concat(base, added))
 
@@ -182,10 +255,9 @@ def join_spans(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, scan_base and scan_spans (start, rank in KINDS, end) of every row of ``docs`` (doc_id, text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = materialize(docs.select("doc_id", rule_spans(text).alias("scan_base"), random_candidates(text).alias("scan_random")), "scanned")
-    levels = thresholds(scanned.select(F.inline("scan_random")))
-    return scanned.select("doc_id", "scan_base", all_spans(F.col("scan_base"), F.col("scan_random"), levels).alias("scan_spans"))
+    found = materialize(scanned(docs.select("doc_id", "text"), True).drop("text"), "scanned")
+    levels = thresholds(found.select(F.inline("lectern_random")), found.select(F.col("lectern_key").alias("text_key"), F.inline("lectern_null")))
+    return found.select("doc_id", F.col("lectern_base").alias("scan_base"), all_spans(F.col("lectern_base"), F.col("lectern_random"), levels).alias("scan_spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -194,16 +266,25 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Texts are scanned twice (for the thresholds, then row by row), so that none is shuffled or stored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    levels = thresholds(docs.select(F.explode(random_candidates(text)).alias("x")).select("x.word", "x.encoding", "x.band", "x.p"))
-
-    def piece(spans: Column, x: Column, i: Column) -> Column:
-        done = F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda y: y["end"])), F.lit(0))
-        return let(done, lambda d: F.when(x["start"] >= d, F.concat(F.substring(text, d + 1, x["start"] - d), F.lit(mark))).otherwise(""))
-
-    tail = lambda s: F.substring(text, F.array_max(F.transform(s, lambda y: y["end"])) + 1, F.length(text))
-    cut = lambda s: F.when(F.size(s) > 0, F.concat(F.concat_ws("", F.transform(s, lambda x, i: piece(s, x, i))), tail(s))).otherwise(F.col("text"))
-    clean = let(rule_spans(text), lambda base: let(all_spans(base, random_candidates(text), levels), cut))
-    return docs.withColumn("text", clean).select(docs.columns)
+    tests = materialize(scanned(docs.select("text"), True).select("lectern_key", "lectern_null", F.transform("lectern_random", lambda x: x.dropFields("start", "end")).alias("r")), "tests")
+    levels = thresholds(tests.select(F.inline("r")), tests.select(F.col("lectern_key").alias("text_key"), F.inline("lectern_null")))
+    discard(tests)
+
+    def block(part: Column) -> Column:
+        """What some consecutive spans leave of the text between the first one's ``done`` and the last one's end, cut out once."""
+        base, end = F.get(part, F.lit(0))["done"], F.greatest(F.array_max(F.transform(part, lambda y: y["end"])), F.get(part, F.lit(0))["done"])
+        keep = lambda held, at, x: F.when(x["start"] >= x["done"], F.concat(F.substring(held, x["done"] - at + 1, x["start"] - x["done"]), F.lit(mark))).otherwise("")
+        return let(F.struct(base.alias("at"), F.substring(text, base + 1, end - base).alias("held")), lambda h: F.concat_ws("", F.transform(part, lambda x: keep(h["held"], h["at"], x))))
+
+    def cut(spans: Column) -> Column:
+        ends = F.transform(spans, lambda y: y["end"])
+        placed = F.zip_with(spans, _peak_before(ends), lambda x, d: F.struct(x["start"].alias("start"), x["end"].alias("end"), d.alias("done")))
+        blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda j: block(F.slice(p, j * BLOCK + 1, F.lit(BLOCK))))
+        tail = F.substring(text, F.array_max(ends) + 1, F.length(text))
+        return F.when(F.size(spans) > 0, F.concat(F.concat_ws("", let(placed, blocks)), tail)).otherwise(F.col("text"))
+
+    out = scanned(docs, False).withColumn("lectern_spans", all_spans(F.col("lectern_base"), F.col("lectern_random"), levels))
+    return out.withColumn("text", cut(F.col("lectern_spans"))).select(docs.columns)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

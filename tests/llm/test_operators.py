@@ -298,6 +298,73 @@ def test_secrets(spark, tmp_path):
         assert set(shown) <= set(r["spans"].split(",") if r["spans"] else [])
 
 
+def plain_score(word, k, alphabet):
+    """The battery with exact special functions from the standard library."""
+    x = [alphabet.index(c) for c in word]
+    n = len(x)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = k / n * sum(c * c for c in Counter(x).values()) - n
+    free = k - 1
+    p1 = tail(((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+    up = [2 * v >= k for v in x]
+    both = 2 * sum(up) * (n - sum(up))
+    var = both * (both - n) / (n * n * (n - 1))
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    p2 = 2 * tail(abs((runs - both / n - 1) / math.sqrt(var))) if var > 0 else 0.0
+    mean = sum(x) / n
+    s = sum((v - mean) ** 2 for v in x)
+    p3 = 2 * tail(abs((sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / s + 1 / n) * math.sqrt(n))) if s > 0 else 0.0
+    return 1 - (1 - max(0.0, min(p1, p2, p3))) ** 3
+
+
+def test_battery_values(spark):
+    rng = random.Random(2)
+    words = [("".join(rng.choice(secrets.ENCODINGS[e]) for _ in range(n)), e) for e in secrets.ENCODINGS for n in (20, 41, 90)] + [("a1" * 15, "base36"), ("Chapter7AboutTheHistoryOfRome", "base64"), ("a" * 19 + "1", "hex")]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(w, e) for w, e in words], "w string, e string")
+    for r in df.select("w", "e", secrets.score_of(F.col("w"), F.col("e")).alias("p")).collect():
+        assert math.isclose(r.p, plain_score(r.w, len(secrets.ENCODINGS[r.e]), secrets.ENCODINGS[r.e]), abs_tol=1e-6), r
+
+
+def planted(n_docs, n_secrets, seed=5):
+    """Prose with structured identifiers in every text, and random strings in some; (rows, planted strings)."""
+    rng = random.Random(seed)
+    b64 = secrets.ENCODINGS["base64"][:62]
+    rows, keys = [], set()
+    for i in range(n_docs):
+        words = prose(rng, ("en", "fr", "de")[i % 3], 60).split()
+        words.insert(20, "".join(w.strip(".").capitalize() for w in words[:4])[:28] + str(rng.randrange(100, 10_000)))
+        if i < n_secrets:
+            keys.add(key := "".join(rng.choice(b64) for _ in range(rng.choice((32, 40, 64)))))
+            words.insert(40, key)
+        rows.append((i, " ".join(words), "en", "s", None))
+    return rows, keys
+
+
+def test_false_discoveries_are_bounded(spark):
+    """Figure: share of false discoveries among random spans at the stated rate, and share of planted strings found."""
+    rows, keys = planted(1200, 120)
+    out = secrets.find_secrets(frame(spark, rows)).collect()
+    text = {i: t for i, t, *_ in rows}
+    found = [text[r.doc_id][s.start : s.end] for r in out for s in r.scan_spans if s.rank == 3]
+    false = sum(x not in keys for x in found)
+    coded = {k for k in keys if any(c.isdigit() for c in k)}
+    assert len(found) - false > 0.8 * len(coded) and false <= 2 * secrets.RATE * len(found)  # 107 of 120 planted strings and 1 other
+
+
+def test_lone_string_is_no_discovery(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["see Chapter7AboutTheHistoryOfRome now", prose(random.Random(1), "en", 90), "short", None])]
+    assert all(not r.scan_spans for r in secrets.find_secrets(frame(spark, rows)).collect())
+    assert {r.text for r in secrets.redact(frame(spark, rows)).collect()} == {t for _, t, *_ in rows}
+
+
+def test_redaction_of_many_spans(spark):
+    text = " ".join(f"é token=abcdef{i} and" for i in range(3000))
+    out = secrets.redact(frame(spark, [(1, text, "en", "s", 0)])).first().text
+    assert out == " ".join("é [SECRET] and" for _ in range(3000))
+
+
 def test_redaction(spark):
     df = frame(spark, secret_rows(), CLASH)
     out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
@@ -532,7 +599,7 @@ def test_segments_are_counted(monkeypatch):
         value = pieces.check_model(pieces.default_model())
 
     got = [r for b in pieces.segment_sorted(Raw)(batches) for r in b.to_pylist()]
-    assert len(got) == len(entries) and Counter(asked) == Counter({e[0] for e in entries})
+    assert sum(len(pieces.spread(r["codes"])) for r in got) == len(entries) and Counter(asked) == Counter({e[0] for e in entries})
 
 
 # 10
