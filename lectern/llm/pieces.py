@@ -110,7 +110,7 @@ def code_blocks(block_bytes: int):
         often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")[:OFTEN]
         rare = np.ones(len(words), bool)
         rare[often] = False
-        sorted_ = pc.sort_indices(words).to_numpy()
+        sorted_ = pc.sort_indices(words).to_numpy().astype(np.int64)
         often = np.concatenate((often, sorted_[rare[sorted_]]))
         rank = np.empty(len(often), np.int64)
         rank[often] = np.arange(len(often))
