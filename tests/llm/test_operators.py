@@ -61,19 +61,96 @@ def test_quality(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
-def test_kneser_ney_sums_to_one():
-    code, size = ngram.symbols_of(["house", "home", "mouse"] * 3)
-    counts, level = {}, None
-    grams, n = np.unique(code, return_counts=True)
-    level = (grams, n)
+def plain_symbols(text):
+    """Symbols of a text, by the rules of the docstring."""
+    out, last = [], " "
+    for c in text:
+        x = int(ngram._SYMBOL[ord(c)]) if ord(c) < 0x3000 else 31 + ord(c) % 24
+        mark = x == 0 or 28 <= x <= 30 or x >= 55
+        if not (mark and c == last) and not (x == 0 and (not out or out[-1] == 0)):
+            out.append(x)
+        last = c
+    return out
+
+
+class PlainModel:
+    """Interpolated modified Kneser-Ney written down once more, over tuples."""
+
+    def __init__(self, texts):
+        self.counts = {4: Counter()}
+        for t in texts:
+            s = [0, 0, 0, *plain_symbols(t)]
+            self.counts[4].update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+        for k in (3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.d, self.by = {}, {}
+        for k, c in self.counts.items():
+            n = Counter(c.values())
+            if all(n[i] for i in (1, 2, 3, 4)):
+                y = n[1] / (n[1] + 2 * n[2])
+                self.d[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+            else:
+                self.d[k] = [0, 0.5, 1, 1.5]
+            for g, x in c.items():
+                self.by.setdefault(g[:-1], []).append(x)
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / 64
+        below = self.p(gram[1:])
+        if gram[:-1] not in self.by:
+            return below
+        xs, d = self.by[gram[:-1]], self.d[k]
+        x = self.counts[k][gram]
+        return ((x - d[min(x, 3)] if x else 0) + sum(d[min(y, 3)] for y in xs) * below) / sum(xs)
+
+    def logp(self, text):
+        s = [0, 0, 0, *plain_symbols(text)]
+        return sum(math.log10(self.p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)), len(s) - 3
+
+
+def test_quality_by_brute_force(spark):
+    """Perplexity of every text, and the verdict by its bands, for a language of many and one of few texts."""
+    rows = [r for r in ROWS if r[2] == "fr" and (r[1] is None or len(r[1]) < 2000)] + [(900, "ab cd ab cd " * 20, "xx", "s", 0), (901, None, None, None, None)]
+    got = {r.doc_id: r for r in ngram.score_documents(frame(spark, rows, CLASH)).collect()}
+    for lang in ("fr", "xx"):
+        texts = {i: t for i, t, la, *_ in rows if la == lang and t is not None}
+        model = PlainModel(texts.values())
+        good = {}
+        for i, t in texts.items():
+            logp, n = model.logp(t)
+            if n:
+                assert math.isclose(got[i].log10_ppl, -logp / n, rel_tol=1e-5), i
+            if not got[i].base_failed:
+                good[t] = -logp / n
+        if good:
+            mid = np.median(list(good.values()))
+            for i, t in texts.items():
+                r = got[i]
+                if not r.base_failed:
+                    assert abs((r.low + r.high) / 2 - mid) < 2e-4 and r.kept == (r.low <= r.log10_ppl <= r.high)
+                else:
+                    assert not r.kept
+
+
+def test_salad_is_less_likely(spark):
+    """Contexts cross words: the same words in another order, with other neighbours, score worse."""
+    rng = random.Random(1)
+    line = "the house of the river and the winter garden of the morning table "
+    texts = [(line * 4)[rng.randrange(20) :] for _ in range(40)]
+    codes = np.concatenate([ngram.symbols_of([t])[0] for t in texts])
+    counts, level = {}, np.unique(codes.astype(np.int64), return_counts=True)
     for order in range(ngram.ORDER, 0, -1):
         counts[0, order] = level
-        shorter = level[0] & (1 << ngram.BITS * (order - 1)) - 1
-        level = np.unique(shorter, return_counts=True)
+        level = np.unique(level[0] & (1 << ngram.BITS * (order - 1)) - 1, return_counts=True)
     model = ngram.Model(["en"], counts)
-    context = int(code[3]) >> ngram.BITS << ngram.BITS & (1 << ngram.BITS * ngram.ORDER) - 1
-    total = (10 ** model.score("en", np.arange(1 << ngram.BITS) | context)).sum()
-    assert math.isclose(total, 1, rel_tol=1e-3)
+    words = line.split() * 4
+    rng.shuffle(words)
+    ordered, mixed = (x[1] / x[0] for x in model.text_scores("en", [line * 4, " ".join(words)]))
+    assert ordered > mixed + 0.02
+    context = int(codes[30]) >> ngram.BITS << ngram.BITS & (1 << ngram.BITS * ngram.ORDER) - 1
+    assert math.isclose((10 ** model.score("en", np.arange(1 << ngram.BITS) | context)).sum(), 1, rel_tol=1e-3)
 
 
 # 2
