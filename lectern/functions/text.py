@@ -54,11 +54,10 @@ def hyphen_words(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Tokens as an index holds them: all words, the parts of hyphened words once more, CJK runs by bigrams."""
-    base = words(text)
-    parts = F.flatten(F.transform(hyphen_words(text), words))
-    plain = F.concat(base, parts)
-    cut = F.flatten(F.transform(plain, lambda t: F.when(t.rlike(CJK), segmented(t)).otherwise(F.array(t))))
-    return F.coalesce(F.when(text.rlike(CJK), cut).otherwise(plain), F.array().cast("array<string>"))
+    plain = F.when(text.contains("-"), F.concat(words(text), F.flatten(F.transform(hyphen_words(text), words)))).otherwise(words(text))
+    cut = lambda t: F.flatten(F.transform(t, lambda x: F.when(x.rlike(CJK), segmented(x)).otherwise(F.array(x))))
+    whole = F.get(F.transform(F.array(plain), lambda t: F.when(text.rlike(CJK), cut(t)).otherwise(t)), F.lit(0))
+    return F.coalesce(whole, F.array().cast("array<string>"))
 
 
 def camel_parts(token: Column) -> Column:

@@ -1,7 +1,9 @@
 """Full-text search: BM25 over weighted columns, filters, paging, boosts, symbol search and bundles.
 
-A search reads the text column once for its matches and once for the corpus totals (a scalar subquery of one row); nothing is
-shuffled but the final top-k.  Totals always come from the whole table, filters apply to matches only.
+A search over plain text reads the column once for its matches and once for the corpus totals (one row, joined to every match); a row's
+tokens and counts are made once, inside a generator that also drops rows without a match, so no filter repeats them.  Nothing is
+shuffled but the final top-k.  Totals always come from the whole table, filters apply to matches only.  ``operators.index`` answers the
+same from stored postings.
 """
 
 from __future__ import annotations
@@ -30,36 +32,42 @@ def phrase_hits(tokens: Column, phrase: Phrase) -> Column:
     return F.transform(F.array(tokens), starts)[0]
 
 
+def idf(docs: Column, matches: Column) -> Column:
+    raw = F.ln((docs - matches + 0.5) / (matches + 0.5))
+    return F.when(raw > 0, raw).otherwise(rules.LEAST_IDF)
+
+
+def term_score(weight: Column, f: Column, length: Column, average: Column) -> Column:
+    return weight * f * (rules.K1 + 1) / (f + rules.K1 * (1 - rules.B + rules.B * length / average))
+
+
+def once(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed a single time however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bm25(docs: DataFrame, query: str, columns: list[tuple[Column, float]], *, any_term: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` that match, with ``score``; columns: (token array, weight).  An empty query matches nothing."""
     phrases = parse(query, any_term=any_term)
     keep = keep or docs.columns
     if not phrases:
         return docs.select(*keep).where(F.lit(False)).withColumn("score", F.lit(0.0))
-    names = [f"bm_t{i}" for i in range(len(columns))]
-    arrays = docs.select(*keep, *[c.alias(n) for (c, _), n in zip(columns, names)])
-
-    def weighted(p: Phrase) -> Column:
-        out = F.lit(0.0)
-        for n, (_, w) in zip(names, columns):
-            out = out + phrase_hits(F.col(n), p) * w
-        return out
-
-    length = sum((F.size(n) for n in names[1:]), F.size(names[0]))
-    hits = arrays.select(*keep, length.alias("bm_len"), *[weighted(p).alias(f"bm_f{i}") for i, p in enumerate(phrases)])
-    counted = [F.count_if(F.col(f"bm_f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]
-    totals = hits.agg(F.count("*").alias("docs"), F.avg("bm_len").alias("avg"), *counted)
-    s = totals.select(F.struct(*totals.columns).alias("s")).scalar()
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        raw = F.ln((s["docs"] - s[f"n{i}"] + 0.5) / (s[f"n{i}"] + 0.5))
-        f = F.col(f"bm_f{i}")
-        score = score + F.when(raw > 0, raw).otherwise(rules.LEAST_IDF) * f * (rules.K1 + 1) / (f + rules.K1 * (1 - rules.B + rules.B * F.col("bm_len") / s["avg"]))
-    found = [F.col(f"bm_f{i}") > 0 for i in range(len(phrases))]
-    match = found[0]
-    for other in found[1:]:
-        match = match | other if any_term else match & other
-    return hits.where(match).select(*keep, score.alias("score"))
+    n = len(phrases)
+
+    def counted(t: Column) -> Column:
+        fields = [t[f"t{i}"] for i in range(len(columns))]
+        weighted = [sum((phrase_hits(x, p) * w for x, (_, w) in zip(fields, columns)), F.lit(0.0)) for p in phrases]
+        return F.struct(sum((F.size(x) for x in fields[1:]), F.size(fields[0])).alias("length"), F.array(*weighted).alias("f"))
+
+    rows = F.transform(F.array(F.struct(*[c.alias(f"t{i}") for i, (c, _) in enumerate(columns)])), counted)
+    every = docs.select(F.explode(rows).alias("bm"))
+    totals = every.agg(F.count("*").alias("docs"), F.avg("bm.length").alias("average"), F.array(*[F.count_if(F.col("bm.f")[i] > 0) for i in range(n)]).alias("n"))
+    s = F.broadcast(totals.select(F.struct("docs", "average", "n").alias("bm_s")))  # one row
+    found = (F.exists if any_term else F.forall)
+    hits = docs.select(*keep, F.explode(F.filter(rows, lambda x: found(x["f"], lambda f: f > 0))).alias("bm"))
+    t = F.col("bm_s")
+    score = sum((term_score(idf(t["docs"], t["n"][i]), F.col("bm.f")[i], F.col("bm.length"), t["average"]) for i in range(n)), F.lit(0.0))
+    return hits.crossJoin(s).select(*keep, score.alias("score"))
 
 
 def text_columns(text: str) -> list[tuple[Column, float]]:
@@ -135,8 +143,12 @@ def route(query: str, *, path: str | None = None, glob: str | None = None, mode:
 
 
 def grouped_hits(hits: DataFrame, *, file_col: str, page_col: str, most: int = 10) -> DataFrame:
-    """Hits by file: its best page and score, up to ``most`` other pages in order of score, best file first."""
-    rest = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(page_col).alias("p"))))
-    out = hits.groupBy(file_col).agg(F.max("score").alias("best_score"), rest.alias("all"))
-    pages = F.transform(F.slice("all", 2, most), lambda x: x["p"])
-    return out.select(file_col, "best_score", F.col("all")[0]["p"].alias("best_page"), pages.alias("other_pages")).orderBy(F.desc("best_score"), file_col)
+    """Hits by file: its best page and score, up to ``most`` other pages in order of score, best file first.
+
+    Pages are ranked and cut before they are gathered, so a file of many pages is never one row.
+    """
+    place = F.row_number().over(W.partitionBy(file_col).orderBy(F.desc("score"), page_col))
+    top = hits.select(file_col, F.col(page_col).alias("p"), "score", place.alias("k")).where(F.col("k") <= most + 1)
+    rest = F.array_sort(F.collect_list(F.when(F.col("k") > 1, F.struct("k", "p"))))
+    out = top.groupBy(file_col).agg(F.max("score").alias("best_score"), F.max(F.when(F.col("k") == 1, F.col("p"))).alias("best_page"), F.transform(rest, lambda x: x["p"]).alias("other_pages"))
+    return out.orderBy(F.desc("best_score"), file_col)

@@ -6,6 +6,7 @@ places, since sums of doubles depend on their order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from lectern.operators import evals, lines, links, memory, search, symbols, work
 from lectern.operators.index import Index
 from lectern.plans import adapters as A
 from lectern.plans import oracle as O
+from lectern.session import shared_dir
 from lectern.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +49,26 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 # --- full-text search -------------------------------------------------------------------------------------------
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of all documents: built at its first use in an application, then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        Index.build(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").write(path)
+        _indexes[key] = path
+    return Index.read(spark, _indexes[key])
+
+
 def _top(any_term: bool, two: bool, text: str, k: int, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
-        columns = search.text_columns("text")[: 2 if two else 1]
-        found = search.bm25(docs, text, columns, any_term=any_term, keep=["doc_id"])
+        if two:
+            found = document_index(spark, sf_dir).match(text, docs, id_col="doc_id", text_col="text", any_term=any_term).withColumnRenamed("id", "doc_id")
+        else:  # one column's lengths are its own: a scan of the text
+            found = search.bm25(docs, text, search.text_columns("text")[:1], any_term=any_term, keep=["doc_id"])
         return rounded(found.orderBy(F.desc("score"), "doc_id").offset(offset).limit(k), "score")
 
     return run
@@ -89,7 +106,7 @@ def search_filtered(spark, sf_dir):
 @query("search_batch")
 def search_batch(spark, sf_dir):
     """Every benchmark passage as a query over an index of all documents: ten best documents each."""
-    index = Index.build(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    index = document_index(spark, sf_dir)
     asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.token_set(F.col("text")).alias("terms"))
     return rounded(index.search(asked, 10), "score")
 
