@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, drop_table, materialize, share_code, shared_dir, slices
 
-BLOCK_BYTES, MODEL_BYTES, OFTEN, FLUSH = 32 << 20, 32 << 20, 1 << 16, 250_000
+BLOCK_BYTES, MODEL_BYTES, OFTEN, FLUSH = 40 << 20, 32 << 20, 1 << 16, 250_000
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -92,7 +92,7 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def squeeze(codes: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
     planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
 
 
 def spread(data: bytes) -> np.ndarray:
@@ -160,7 +160,7 @@ def segment_sorted(raw):
 
     def flush(held):
         block, code, size, ids, odd, text = (np.concatenate(x) if isinstance(x[0], np.ndarray) else [y for part in x for y in part] for x in zip(*held))
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((code, block))  # ascending codes, kept as steps
         first = np.cumsum(size) - size
         starts = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1])))
         rows = []
@@ -168,7 +168,7 @@ def segment_sorted(raw):
             n = size[part]
             flat = ids[np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
             strange = part[odd[part]]
-            rows.append((int(block[part[0]]), squeeze(code[part]), squeeze(n), squeeze(flat), code[strange].tolist(), [text[i] for i in strange]))
+            rows.append((int(block[part[0]]), squeeze(np.diff(code[part], prepend=0)), squeeze(n), squeeze(flat), code[strange].tolist(), [text[i] for i in strange]))
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "codes", "sizes", "ids", "odd", "odd_text"])
 
@@ -210,7 +210,8 @@ def joined(full: bool):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         rows, n, a, b = [], [], [], []
         if len(answers):
-            codes, sizes, ids = (np.concatenate([spread(x) for x in answers[c].to_pylist()]) for c in ("codes", "sizes", "ids"))
+            codes = np.concatenate([np.cumsum(spread(x)) for x in answers["codes"].to_pylist()])
+            sizes, ids = (np.concatenate([spread(x) for x in answers[c].to_pylist()]) for c in ("sizes", "ids"))
             order = np.argsort(codes)
             first, pieces = (np.cumsum(sizes) - sizes)[order], sizes[order]
             flat = ids[np.repeat(first - np.cumsum(pieces) + pieces, pieces) + np.arange(len(ids))]
