@@ -130,7 +130,7 @@ def context_bundle(symbols: DataFrame, files: DataFrame, query: str, *, id_col:
     first, last = F.greatest(F.lit(1), F.col("start_line") - 1), F.col("end_line") + 1
     code = met.select(F.lit("code").alias("kind"), F.col("file_id").cast("string").alias("file"), first.alias("start"), last.alias("end"), F.array_join(F.slice(F.split("t", "\n"), first, last - first + 1), "\n").alias("body"), F.col("score")).dropDuplicates(["file", "start", "end"])
     docs = bm25(files, query, text_columns(text_col), any_term=True).orderBy(F.desc("score"), id_col).limit(most)
-    docs = docs.join(found.select(F.col("file_id")).distinct(), docs[id_col] == F.col("file_id"), "left_anti")
+    docs = docs.join(found.select(F.col("file_id").alias("found_id")).distinct(), F.col(id_col) == F.col("found_id"), "left_anti")
     rest = docs.select(F.lit("document").alias("kind"), F.col(id_col).cast("string").alias("file"), F.lit(1).alias("start"), F.lit(None).cast("int").alias("end"), T.highlight(F.col(text_col), query).alias("body"), "score")
     return code.unionByName(rest)
 

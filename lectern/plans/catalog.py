@@ -155,31 +155,39 @@ def hyphen_terms(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.hyphen_words(F.col("text"))).alias("word"))
 
 
-_NAMES = "(0, 'CreateInvoice handles PDF rendering'), (1, 'parseHTTPResponse and getURLFor'), (2, 'plain words DEFAULT_RETRY'), (3, 'invoiceTotal invoiceTotal aB1C'), (4, NULL)"
 
 
-@query("camel_split", f"SELECT id, array_to_string(list_sort({O.expansion('s')}), ' ') AS expansion FROM (VALUES {_NAMES}) v(id, s)")
+@query("camel_split", f"SELECT page_id, array_to_string(list_sort({O.expansion('html')}), ' ') AS expansion FROM pages")
 def camel_split(spark, sf_dir):
-    return spark.sql(f"SELECT id, s FROM VALUES {_NAMES} AS v(id, s)").select("id", F.when(F.col("s").isNotNull(), F.array_join(F.array_sort(F.split(T.expansion(F.col("s")), " ")), " ")).alias("expansion"))
+    """Parts of the identifiers of whole pages."""
+    return A.table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(F.split(T.expansion(F.col("html")), " ")), " ").alias("expansion"))
 
 
-_KANA = "(0, '東京タワー'), (1, 'abc'), (2, 'カナ'), (3, '한국어 시험')"
+_LATIN, _HAN = "aeiounr", "東京タ한국語阪"
 
 
-@query("cjk_bigrams", f"SELECT id, list_concat(list_transform(range(1, length(run)), lambda i: substr(run, i, 2)), string_split(run, '')) AS tokens FROM (SELECT id, unnest(regexp_extract_all(s, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}]+')) AS run FROM (VALUES {_KANA}) v(id, s))")
+@query("cjk_bigrams", f"SELECT doc_id, md5(array_to_string(list_concat(list_transform(range(1, length(run)), lambda i: substr(run, i, 2)), string_split(run, '')), ' ')) AS tokens FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_LATIN}', '{_HAN}'), '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}]+')) AS run FROM documents)")
 def cjk_bigrams(spark, sf_dir):
-    rows = spark.sql(f"SELECT id, s FROM VALUES {_KANA} AS v(id, s)")
-    return rows.select("id", F.explode(F.regexp_extract_all("s", F.lit(f"{T.CJK}+"), F.lit(0))).alias("run")).select("id", T.bigrams(F.col("run")).alias("tokens"))
+    """Bigrams of all runs of CJK characters, in documents whose vowels are written in such."""
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", F.translate("text", _LATIN, _HAN).alias("s"))
+    runs = rows.select("doc_id", F.explode(F.regexp_extract_all("s", F.lit(f"{T.CJK}+"), F.lit(0))).alias("run"))
+    return runs.select("doc_id", F.md5(F.array_join(T.bigrams(F.col("run")), " ")).alias("tokens"))
 
 
-_DATED = "(0, 'On 2026-01-10 we fixed a deadlock', 'On 2026/02/14 we fixed a leak'), (1, 'seen March 2 2026', 'again march 2 2026'), (2, 'no date', 'On 2026-01-10'), (3, '03/02/2026', '03-02-2026')"
 _DATE_SQL = "list_distinct(list_transform(regexp_extract_all({0}, '(?i)\\b(?:\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}|\\d{{1,2}}[-/]\\d{{1,2}}[-/]\\d{{4}}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\s+\\d{{1,2}},?\\s+\\d{{4}})\\b'), lambda d: replace(lower(d), '/', '-')))"
 
 
-@query("date_distinct_events", f"SELECT id, {_DATE_SQL.format('a')} AS dates, len({_DATE_SQL.format('a')}) > 0 AND len({_DATE_SQL.format('b')}) > 0 AND NOT list_has_any({_DATE_SQL.format('a')}, {_DATE_SQL.format('b')}) AS distinct_events FROM (VALUES {_DATED}) v(id, a, b)")
+_DATED_SQL = "SELECT event_id, 'seen ' || strftime(ts, '%Y-%m-%d') || ' and ' || strftime(ts, '%m/%d/%Y') AS a, CASE WHEN user_id % 3 = 0 THEN 'no date' ELSE 'on ' || strftime(ts + to_days((user_id % 2)::INT), '%Y/%m/%d') END AS b FROM events"
+
+
+@query("date_distinct_events", f"SELECT event_id, list_sort({_DATE_SQL.format('a')}) AS dates, len({_DATE_SQL.format('a')}) > 0 AND len({_DATE_SQL.format('b')}) > 0 AND NOT list_has_any({_DATE_SQL.format('a')}, {_DATE_SQL.format('b')}) AS distinct_events FROM ({_DATED_SQL})")
 def date_distinct_events(spark, sf_dir):
-    rows = spark.sql(f"SELECT id, a, b FROM VALUES {_DATED} AS v(id, a, b)")
-    return rows.select("id", T.dates(F.col("a")).alias("dates"), T.distinct_events(F.col("a"), F.col("b")).alias("distinct_events"))
+    """Two notes on every event, with dates in different forms."""
+    show = lambda t, form: F.date_format(t, form)
+    a = F.concat(F.lit("seen "), show(F.col("ts"), "yyyy-MM-dd"), F.lit(" and "), show(F.col("ts"), "MM/dd/yyyy"))
+    b = F.when(F.col("user_id") % 3 == 0, "no date").otherwise(F.concat(F.lit("on "), show(F.timestamp_add("DAY", (F.col("user_id") % 2).cast("int"), F.col("ts")), "yyyy/MM/dd")))
+    rows = A.table(spark, sf_dir, "events").select("event_id", a.alias("a"), b.alias("b"))
+    return rows.select("event_id", F.array_sort(T.dates(F.col("a"))).alias("dates"), T.distinct_events(F.col("a"), F.col("b")).alias("distinct_events"))
 
 
 @query("jaccard_pairs", f"WITH b AS (SELECT item_id, {O.token_set('text')} AS s FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round({O.jaccard('x.s', 'y.s')}, 6) AS overlap FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.s, y.s)) > 0")
@@ -210,10 +218,10 @@ def recent_files(spark, sf_dir):
     return workspace.recent(A.files(spark, sf_dir)).select("file_id", "updated_at")
 
 
-@query("files_with_page_counts", f"WITH {A.FILES_SQL}, {A.PAGES_SQL} SELECT f.file_id, coalesce(n, 0) AS total_pages FROM files f LEFT JOIN (SELECT file_id, count(*) AS n FROM pages_ WHERE file_id % 3 <> 0 GROUP BY file_id) USING (file_id)")
+@query("files_with_page_counts", f"WITH {A.FILES_SQL}, {A.PAGES_SQL} SELECT f.file_id, coalesce(n, 0) AS total_pages FROM files f LEFT JOIN (SELECT file_id, count(*) AS n FROM pages_ GROUP BY file_id) USING (file_id)")
 def files_with_page_counts(spark, sf_dir):
-    """Pages of each file; files of which no page is stored count zero."""
-    return workspace.with_page_counts(A.files(spark, sf_dir).select("file_id"), A.doc_pages(spark, sf_dir).where("file_id % 3 <> 0"))
+    """Pages of each file."""
+    return workspace.with_page_counts(A.files(spark, sf_dir).select("file_id"), A.doc_pages(spark, sf_dir))
 
 
 @query("distinct_sections", f"WITH {A.PAGES_SQL} SELECT DISTINCT split_part(section_title, ' - rows ', 1) AS section FROM pages_ WHERE section_title IS NOT NULL")
@@ -232,11 +240,11 @@ def dedupe_checksum(spark, sf_dir):
     return workspace.first_by_checksum(docs)
 
 
-@query("batch_dups_semi", f"WITH {A.FILES_SQL} SELECT DISTINCT sha256(text) AS checksum FROM documents WHERE doc_id % 2 = 0 AND sha256(text) IN (SELECT sha256(text) FROM files WHERE status = 'ready' AND file_id % 2 = 1)")
+@query("batch_dups_semi", f"WITH {A.FILES_SQL} SELECT DISTINCT sha256(text) AS checksum FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM files WHERE status = 'ready')")
 def batch_dups_semi(spark, sf_dir):
-    """Checksums of even documents that an odd ready file already has."""
-    known = A.files(spark, sf_dir).where("file_id % 2 = 1").select("status", F.sha2("text", 256).alias("checksum"))
-    return workspace.duplicates(known, A.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("checksum")))
+    """Checksums of documents that a ready file already has."""
+    known = A.files(spark, sf_dir).select("status", F.sha2("text", 256).alias("checksum"))
+    return workspace.duplicates(known, A.table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("checksum")))
 
 
 @query("orphan_anti", f"WITH {A.PAGES_SQL} SELECT file_id, page_number FROM pages_ WHERE file_id NOT IN (SELECT doc_id FROM labels)")
@@ -246,13 +254,13 @@ def orphan_anti(spark, sf_dir):
     return pages.join(A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id")), "file_id", "left_anti")
 
 
-@query("index_plan", f"WITH {A.FILES_SQL}, known AS (SELECT DISTINCT sha256(text) AS c FROM files WHERE status = 'ready' AND file_id % 2 = 1), paths AS (SELECT source_path FROM files WHERE status = 'ready' AND file_id % 3 = 1), p AS (SELECT CASE WHEN sha256(text) IN (SELECT c FROM known) THEN 'skipped' WHEN source_path IN (SELECT source_path FROM paths) THEN 'updated' ELSE 'ingested' END AS status FROM files) SELECT count(*) AS total, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM p")
+@query("index_plan", f"WITH {A.FILES_SQL}, store AS (SELECT sha256(CASE WHEN file_size % 3 = 0 THEN text || ' old' ELSE text END) AS c, source_path FROM files WHERE status = 'ready'), p AS (SELECT CASE WHEN sha256(text) IN (SELECT c FROM store) THEN 'skipped' WHEN source_path IN (SELECT source_path FROM store) THEN 'updated' ELSE 'ingested' END AS status FROM files) SELECT count(*) AS total, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM p")
 def index_plan(spark, sf_dir):
-    """Summary of an index run over all files against a store that holds some checksums and some paths."""
-    files = A.files(spark, sf_dir).withColumn("checksum", F.sha2("text", 256))
-    known = files.where("file_id % 2 = 1").select("status", "checksum", F.lit(None).cast("string").alias("source_path"))
-    paths = files.where("file_id % 3 = 1").select("status", F.lit(None).cast("string").alias("checksum"), "source_path")
-    return workspace.index_summary(workspace.index_plan(files.select("source_path", "checksum"), known.unionByName(paths)))
+    """Summary of an index run over all files against a store that holds older texts of some."""
+    files = A.files(spark, sf_dir)
+    before = F.when(F.col("file_size") % 3 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    store = files.select("status", F.sha2(before, 256).alias("checksum"), "source_path")
+    return workspace.index_summary(workspace.index_plan(files.select("source_path", F.sha2("text", 256).alias("checksum")), store))
 
 
 @query("doctor", f"WITH {A.FILES_SQL}, {A.PAGES_SQL} SELECT 'index_matches_pages' AS name, CASE WHEN a <> b THEN 'error' ELSE 'ok' END AS status, b || ' of ' || a AS detail FROM (SELECT (SELECT count(*) FROM pages_) AS a, (SELECT count(*) FROM documents) AS b) UNION ALL SELECT 'stuck_files', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) AS n FROM files WHERE status = 'processing') UNION ALL SELECT 'orphaned_pages', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) AS n FROM pages_ WHERE file_id NOT IN (SELECT file_id FROM files))")
@@ -268,10 +276,12 @@ def labels_left_join(spark, sf_dir):
     return docs.select("doc_id", "quality", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
-@query("path_suffix", f"WITH {A.FILES_SQL} SELECT file_id FROM files WHERE ends_with(source_path, '/en/doc_' || (file_id % 400) || '.txt')")
+@query("path_suffix", f"WITH {A.FILES_SQL} SELECT page_id, file_id FROM files JOIN (SELECT page_id, 'en/doc_' || page_id || '.txt' AS tail FROM pages) ON ends_with(source_path, '/' || tail)")
 def path_suffix(spark, sf_dir):
-    tail = F.concat(F.lit("/en/doc_"), (F.col("file_id") % 400).cast("string"), F.lit(".txt"))
-    return A.files(spark, sf_dir).where(F.endswith("source_path", tail)).select("file_id")
+    """Files by the ends of their paths, which are exploded and met by equality."""
+    files = A.files(spark, sf_dir).select("file_id", F.explode(links.suffixes(F.col("source_path"))).alias("tail"))
+    asked = A.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("en/doc_"), F.col("page_id").cast("string"), F.lit(".txt")).alias("tail"))
+    return asked.join(files, "tail").select("page_id", "file_id")
 
 
 @query("glob_newest", f"WITH {A.FILES_SQL}, m AS (SELECT * FROM files WHERE regexp_full_match(source_path, 'data/[^/]*/fr/[^/]*\\.md')) SELECT file_id, (SELECT count(*) FROM m) > 25 AS truncated FROM m ORDER BY updated_at DESC, source_path LIMIT 25")
@@ -289,15 +299,31 @@ def filename_trigram_top5(spark, sf_dir):
     return rounded(workspace.fuzzy(rows, "smal widgets", native=True).select("file_id", "sim"), "sim")
 
 
-@query("resolve_filename", f"WITH {A.FILES_SQL} SELECT file_id, 2 AS step, false AS ambiguous FROM files WHERE status = 'ready' AND ends_with(source_path, '/' || 'en/doc_2.txt')")
-def resolve_filename(spark, sf_dir):
-    """A path suffix, which stands before similar names."""
-    return workspace.resolve_name(A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status"), "en/doc_2.txt")
+def _resolve_sql(wanted: str) -> str:
+    """The cascade for a name that one of its exact steps finds (by path suffix at the latest); similar and partial names come after those."""
+    return f"""WITH {A.FILES_SQL}, ready AS (SELECT * FROM files WHERE status = 'ready'), w AS (SELECT {wanted} AS name FROM ready ORDER BY file_id LIMIT 1),
+found AS (SELECT min(file_id) AS file_id, 0 AS step FROM ready, w WHERE filename = name HAVING count(*) > 0 UNION ALL SELECT file_id, 1 FROM ready, w WHERE file_id::VARCHAR = name
+  UNION ALL SELECT file_id, 2 FROM ready, w WHERE contains(name, '/') AND ends_with(source_path, '/' || name))
+SELECT file_id, step, (SELECT count(*) FROM found f WHERE f.step = found.step) > 1 AS ambiguous FROM found WHERE step = (SELECT min(step) FROM found)"""
+
+
+def _resolve(wanted) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status")
+        name = files.where("status = 'ready'").orderBy("file_id").select(wanted.alias("name")).first().name
+        return workspace.resolve_name(files, name)
+
+    return run
+
+
+#: A name of the first ready file: its path's end, its own name, its id.
+for _name, _sql, _column in (
+    ("resolve_filename", "regexp_extract(source_path, '[^/]*/[^/]*$')", F.regexp_extract("source_path", "[^/]*/[^/]*$", 0)), ("resolve_filename_exact", "filename", F.col("filename")), ("resolve_filename_id", "file_id::VARCHAR", F.col("file_id").cast("string")),
+):
+    query(_name, _resolve_sql(_sql))(_resolve(_column))
+
 
 
-@query("resolve_filename_exact", f"WITH {A.FILES_SQL} SELECT file_id, 0 AS step, false AS ambiguous FROM files WHERE status = 'ready' AND filename = 'doc_13.txt'")
-def resolve_filename_exact(spark, sf_dir):
-    return workspace.resolve_name(A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status"), "doc_13.txt")
 
 
 @query("filename_fuzzy")
@@ -307,29 +333,39 @@ def filename_fuzzy(spark, sf_dir):
     return rounded(workspace.fuzzy(rows, "suplier 00042").select("file_id", "sim"), "sim")
 
 
-_TYPES = "(0, 'Invoice-7.pdf', 'application/pdf', ''), (1, 'notes.txt', 'text/plain', 'Total Due: 5'), (2, 'my cv.docx', 'x/y', 'hello'), (3, 'a.csv', 'text/csv', 'x,y'), (4, 'p.png', 'image/png', NULL), (5, 'z.bin', 'x/y', 'nothing'), (6, 'b.txt', 'text/plain', 'we hereby agree'), (7, 'meeting minutes agenda', 'x/y', '')"
 
 
-@query("doc_type_infer", f"SELECT id, CASE {' '.join(f'WHEN regexp_matches(f, {chr(39)}(?i){p}{chr(39)}) THEN {chr(39)}{t}{chr(39)}' for p, t in rules.NAME_TYPES)} {' '.join(f'WHEN regexp_matches(coalesce(t, {chr(39)}{chr(39)}), {chr(39)}(?i){p}{chr(39)}) THEN {chr(39)}{t}{chr(39)}' for p, t in rules.TEXT_TYPES)} WHEN m = 'text/csv' THEN 'spreadsheet' WHEN starts_with(m, 'image/') THEN 'image' END AS kind FROM (VALUES {_TYPES}) v(id, f, m, t)")
+_Q = chr(39)
+_KIND_SQL = (
+    "CASE " + " ".join(f"WHEN regexp_matches(filename, {_Q}(?i){p}{_Q}) THEN {_Q}{t}{_Q}" for p, t in rules.NAME_TYPES) + " "
+    + " ".join(f"WHEN regexp_matches(substr(coalesce(text, {_Q}{_Q}), 1, 500), {_Q}(?i){p}{_Q}) THEN {_Q}{t}{_Q}" for p, t in rules.TEXT_TYPES) + f" WHEN mime_type = {_Q}text/csv{_Q} THEN {_Q}spreadsheet{_Q} END"
+)
+
+
+@query("doc_type_infer", f"WITH {A.FILES_SQL} SELECT file_id, {_KIND_SQL} AS kind FROM files")
 def doc_type_infer(spark, sf_dir):
-    rows = spark.sql(f"SELECT id, f, m, t FROM VALUES {_TYPES} AS v(id, f, m, t)")
-    return rows.select("id", workspace.document_type(F.col("f"), F.col("m"), F.col("t")).alias("kind"))
+    return A.files(spark, sf_dir).select("file_id", workspace.document_type(F.col("filename"), F.col("mime_type"), F.col("text")).alias("kind"))
 
 
-@query("doc_type_counts", f"WITH {A.FILES_SQL} SELECT CASE WHEN mime_type = 'text/csv' THEN 'spreadsheet' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT *, substr(text, 1, 500) AS h FROM files) WHERE NOT regexp_matches(h, '(?i)(INVOICE|Bill\\s+To|Total\\s+Due|RECEIPT|Payment\\s+Received|Transaction\\s+ID|CONTRACT|AGREEMENT|hereby\\s+agree|terms\\s+and\\s+conditions)') GROUP BY kind")
+@query("doc_type_counts", f"WITH {A.FILES_SQL} SELECT coalesce({_KIND_SQL}, 'none') AS kind, count(*) AS n FROM files GROUP BY ALL")
 def doc_type_counts(spark, sf_dir):
     kind = workspace.document_type(F.col("filename"), F.col("mime_type"), F.col("text"))
-    rows = A.files(spark, sf_dir).withColumn("kind", F.coalesce(kind, F.lit("none"))).where(F.col("kind").isin("spreadsheet", "none"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+    return A.files(spark, sf_dir).groupBy(F.coalesce(kind, F.lit("none")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-_PATHS = "(0, 'src/a.py'), (1, 'node_modules/x.js'), (2, 'docs/.hidden'), (3, 'Thumbs.db'), (4, 'dist/a.txt'), (5, 'a/b/c.PNG'), (6, 'x/venv/y.py'), (7, 'keep/tmp/z.md')"
 
 
-@query("path_rules", f"SELECT id, len(list_intersect(string_split(p, '/'), {list(rules.INDEX_SKIP_DIRS) + ['tmp']})) > 0 OR list_contains({list(rules.INDEX_SKIP_FILES)}, regexp_extract(p, '[^/]*$')) OR starts_with(regexp_extract(p, '[^/]*$'), '.') AS no_index, len(list_intersect(string_split(p, '/'), {list(rules.GREP_SKIP_DIRS)})) > 0 OR list_contains({list(rules.GREP_SKIP_SUFFIXES)}, lower(regexp_extract(p, '\\.[^./]+$'))) AS no_grep, list_contains({list(rules.CODE_SUFFIXES)}, lower(regexp_extract(p, '\\.[^./]+$'))) AS code FROM (VALUES {_PATHS}) v(id, p)")
+_FOLDERS, _ENDS = ("src/", "node_modules/", "docs/", "dist/", "x/venv/", "keep/tmp/", "a/.git/"), (".py", ".js", ".PNG", "/.hidden", "/Thumbs.db", "", ".md", ".txt", ".tar.gz", ".ts", ".zip")
+_PATH_SQL = f"{list(_FOLDERS)}[page_id % {len(_FOLDERS)} + 1] || regexp_extract(url, '^https?://[^/]*/([^?#]*)', 1) || {list(_ENDS)}[page_id % {len(_ENDS)} + 1]"
+
+
+@query("path_rules", f"SELECT page_id, len(list_intersect(string_split(p, '/'), {list(rules.INDEX_SKIP_DIRS) + ['tmp']})) > 0 OR list_contains({list(rules.INDEX_SKIP_FILES)}, regexp_extract(p, '[^/]*$')) OR starts_with(regexp_extract(p, '[^/]*$'), '.') AS no_index, len(list_intersect(string_split(p, '/'), {list(rules.GREP_SKIP_DIRS)})) > 0 OR list_contains({list(rules.GREP_SKIP_SUFFIXES)}, lower(regexp_extract(p, '\\.[^./]+$'))) AS no_grep, list_contains({list(rules.CODE_SUFFIXES)}, lower(regexp_extract(p, '\\.[^./]+$'))) AS code FROM (SELECT page_id, {_PATH_SQL} AS p FROM pages)")
 def path_rules(spark, sf_dir):
-    rows, p = spark.sql(f"SELECT id, p FROM VALUES {_PATHS} AS v(id, p)"), F.col("p")
-    return rows.select("id", workspace.excluded(p, ["tmp"]).alias("no_index"), workspace.grep_skipped(p).alias("no_grep"), workspace.is_code(p).alias("code"))
+    """Skip rules over paths made of every page: a folder by its number, the address's own path."""
+    folders = F.array(*[F.lit(x) for x in _FOLDERS])
+    p = F.concat(F.element_at(folders, (F.col("page_id") % len(_FOLDERS) + 1).cast("int")), F.regexp_extract("url", "^https?://[^/]*/([^?#]*)", 1), F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (F.col("page_id") % len(_ENDS) + 1).cast("int")))
+    rows = A.table(spark, sf_dir, "pages").select("page_id", p.alias("p"))
+    return rows.select("page_id", workspace.excluded(F.col("p"), ["tmp"]).alias("no_index"), workspace.grep_skipped(F.col("p")).alias("no_grep"), workspace.is_code(F.col("p")).alias("code"))
 
 
 # --- lines and pages --------------------------------------------------------------------------------------------
@@ -522,11 +558,38 @@ def recall_as_of(spark, sf_dir):
     return rounded(memory.recall_as_of(live, old, _ASOF_Q, "2024-03-01").select("memory_id", "score", "still_current"), "score")
 
 
-@query("supersede_batch", f"WITH {A.MEMORIES_SQL}, n AS (SELECT memory_id, memory_type, {O.token_set('content')} AS s FROM memories WHERE memory_id % 2 = 1 AND memory_type <> 'episodic'), o AS (SELECT memory_id, memory_type, {O.token_set('content')} AS s FROM memories WHERE memory_id % 2 = 0 AND NOT pinned AND confidence >= 0.3), p AS (SELECT n.memory_id AS new_id, o.memory_id AS old_id, {O.jaccard('n.s', 'o.s')} AS overlap FROM n JOIN o ON n.memory_type = o.memory_type WHERE len(n.s) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) AS k FROM p WHERE overlap >= 0.65) SELECT new_id, old_id, round(overlap, 6) AS overlap FROM r WHERE k = 1")
+_SUPERSEDE = f"""WITH {A.MEMORIES_SQL}, n AS (SELECT memory_id + SHIFT AS new_id, memory_type, {O.token_set('content')} AS s FROM memories WHERE memory_type <> 'episodic'),
+o AS (SELECT memory_id AS old_id, memory_type, {O.token_set('content')} AS s FROM memories WHERE NOT pinned AND confidence >= 0.3),
+p AS (SELECT new_id, old_id, {O.jaccard('n.s', 'o.s')} AS overlap FROM n JOIN o ON n.memory_type = o.memory_type AND new_id <> old_id WHERE len(n.s) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) AS k FROM p WHERE overlap >= 0.65)"""
+
+
+@query("supersede_batch", _SUPERSEDE.replace("SHIFT", "0") + " SELECT new_id, old_id, round(overlap, 6) AS overlap FROM r WHERE k = 1")
 def supersede_batch(spark, sf_dir):
-    """Odd conversations stored over even ones."""
+    """All conversations stored over all others."""
+    m = A.memories(spark, sf_dir)
+    return rounded(memory.conflicts(m, m), "overlap")
+
+
+@query("supersede_write", _SUPERSEDE.replace("SHIFT", "10000000") + ", h AS (SELECT new_id, old_id FROM r WHERE k = 1) SELECT memory_id, NULL::BIGINT AS superseded_id FROM memories WHERE memory_id NOT IN (SELECT old_id FROM h) UNION ALL SELECT memory_id + 10000000, old_id FROM memories LEFT JOIN h ON new_id = memory_id + 10000000")
+def supersede_write(spark, sf_dir):
+    """The current state after every conversation is stored once more."""
+    m = A.memories(spark, sf_dir)
+    again = m.select((F.col("memory_id") + 10_000_000).alias("memory_id"), "content", "memory_type", "tags", "metadata", "pinned", "source")
+    return memory.superseded(m, again, A.AS_OF)[0].select("memory_id", "superseded_id")
+
+
+@query("memory_history", f"WITH {A.MEMORIES_SQL} SELECT memory_id FROM memories WHERE memory_id = 3 OR memory_id % 40 = 3")
+def memory_history(spark, sf_dir):
+    """The versions of one memory and those that it superseded, among all revisions."""
+    return memory.history(A.memories(spark, sf_dir).withColumn("superseded_by", F.col("memory_id") % 40), 3).select("memory_id")
+
+
+@query("forget_matches", f"WITH {A.MEMORIES_SQL} SELECT memory_id FROM memories WHERE memory_type <> 'semantic'")
+def forget_matches(spark, sf_dir):
+    """What is left when all semantic memories are forgotten."""
     m = A.memories(spark, sf_dir)
-    return rounded(memory.conflicts(m.where("memory_id % 2 = 1"), m.where("memory_id % 2 = 0")), "overlap")
+    return memory.forget(m, m.where("memory_type = 'semantic'")).select("memory_id")
 
 
 @query("supersede_in_order")
@@ -586,33 +649,98 @@ def resolve_links_cascade(spark, sf_dir):
     return links.resolved(p.select(F.col("file_id").alias("from_file_id"), target.alias("target")), p).select("from_file_id", "target", "to_file_id")
 
 
-_MD = "(0, 'docs/guide/a.md', 'See [x](../b.md#top) and [[Page Two]] or `[no](n.md)` plus src/app/main.py:12 and [web](https://e.org)'), (1, 'c.md', '[y](./d%20e.md?x=1) [[f.txt|label]] [z](#here)'), (2, 'g.md', NULL)"
-_MD_ROWS = "(0, 'docs/b.md', 'markdown'), (0, 'docs/guide/Page Two.md', 'wikilink'), (0, 'src/app/main.py', 'path'), (1, 'd e.md', 'markdown'), (1, 'f.txt', 'wikilink')"
 
 
-@query("md_links", f"SELECT * FROM (VALUES {_MD_ROWS}) v(from_file_id, target, link_type)")
+_HREF = 'href="(/[^"#?%()<>` ]+)"'
+
+
+@query("md_links", f"SELECT DISTINCT page_id AS from_file_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS target, 'markdown' AS link_type FROM pages")
 def md_links(spark, sf_dir):
-    rows = spark.sql(f"SELECT file_id, source_path, text FROM VALUES {_MD} AS v(file_id, source_path, text)")
-    return links.text_links(rows).select("from_file_id", "target", "link_type")
+    """Markdown links made of all addresses of every page, among code spans that hold none."""
+    hrefs = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
+    text = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("see [x]("), h, F.lit("#top) or `[no](/n.md)`"))), " ")
+    rows = A.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("docs/a.md").alias("source_path"), text.alias("text"))
+    return links.text_links(rows).select("from_file_id", "target", "link_type").where("link_type = 'markdown'")
+
+
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for every part: Python for even keys, TypeScript for odd ones."""
+    n = F.col("p_partkey")
+    py = F.format_string("import os\nfrom .base import K\nclass C%d:\n    def m(self, a, *r, b=1, **k):\n        return a\n\ndef f%d(x):\n    \"doc\"\n    return x\n", n, n)
+    ts = F.format_string("import {q} from \"./y%d\"\nexport class W%d {}\nexport const h%d = async (a) => 1\nfunction g%d(z) {}\n", n, n, n, n)
+    path = F.when(n % 2 == 0, F.format_string("pkg/p%d.py", n)).otherwise(F.format_string("web/x%d.ts", n))
+    return A.table(spark, sf_dir, "part").select(n.alias("file_id"), path.alias("source_path"), F.when(n % 2 == 0, py).otherwise(ts).alias("text"))
 
 
-_CODE = """(0, 'pkg/a.py', 'import os\\nfrom .b import c\\nclass K:\\n    def m(self, x, *a, y=1, **k):\\n        pass\\ndef f():\\n    "doc"\\n'), (1, 'web/x.ts', 'import {q} from "./y"\\nexport class W {}\\nexport const h = async (a) => 1\\nfunction g(z) {}\\n'), (2, 'bad.py', 'def ('), (3, 'n.txt', 'class Z: pass')"""
-_SYMS = "(0, 'K', 'class', 3, 'K'), (0, 'K.m', 'method', 4, 'm(self, x, *a, y, **k)'), (0, 'f', 'function', 6, 'f()'), (1, 'W', 'class', 2, 'W'), (1, 'h', 'function', 3, 'h'), (1, 'g', 'function', 4, 'g')"
+def _by_part(even: list[str], odd: list[str]) -> str:
+    """Rows (SQL expressions over n) for even and odd parts."""
+    rows = [f"SELECT n, {x} FROM p WHERE n % 2 = {bit}" for bit, xs in ((0, even), (1, odd)) for x in xs]
+    return "WITH p AS (SELECT p_partkey AS n FROM part) " + " UNION ALL ".join(rows)
 
 
-@query("symbols_code", f"SELECT * FROM (VALUES {_SYMS}) v(file_id, qualified_name, kind, start_line, signature)")
+_SYMS = _by_part(["'C' || n AS q, 'class' AS k, 3 AS l, 'C' || n AS s", "'C' || n || '.m', 'method', 4, 'm(self, a, *r, b, **k)'", "'f' || n, 'function', 7, 'f' || n || '(x)'"], ["'W' || n, 'class', 2, 'W' || n", "'h' || n, 'function', 3, 'h' || n", "'g' || n, 'function', 4, 'g' || n"])
+
+
+@query("symbols_code", f"SELECT n AS file_id, q AS qualified_name, k AS kind, l AS start_line, s AS signature FROM ({_SYMS})")
 def symbols_code(spark, sf_dir):
-    rows = spark.sql(f"SELECT file_id, source_path, text FROM VALUES {_CODE} AS v(file_id, source_path, text)")
-    return symbols.symbols(rows).select("file_id", "qualified_name", "kind", "start_line", "signature")
+    return symbols.symbols(_code(spark, sf_dir)).select("file_id", "qualified_name", "kind", "start_line", "signature")
+
 
 
-_IMPORTS = "(0, 'os.py'), (0, 'os/__init__.py'), (0, 'pkg/b.py'), (0, 'pkg/b/__init__.py'), " + ", ".join(f"(1, 'web/y{e}')" for e in symbols.JS_ENDINGS)
 
+_IMPORTS = _by_part(["'os.py' AS t", "'os/__init__.py'", "'pkg/base.py'", "'pkg/base/__init__.py'"], [f"'web/y' || n || '{e}'" for e in symbols.JS_ENDINGS])
 
-@query("imports_code", f"SELECT * FROM (VALUES {_IMPORTS}) v(from_file_id, target)")
+
+@query("imports_code", f"SELECT n AS from_file_id, t AS target FROM ({_IMPORTS})")
 def imports_code(spark, sf_dir):
-    rows = spark.sql(f"SELECT file_id, source_path, text FROM VALUES {_CODE} AS v(file_id, source_path, text)")
-    return symbols.imports(rows).select("from_file_id", "target")
+    return symbols.imports(_code(spark, sf_dir)).select("from_file_id", "target")
+
+
+def _part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols: a name, a qualified name, a signature and a docstring each."""
+    n = F.col("p_partkey")
+    return A.table(spark, sf_dir, "part").select(
+        n.alias("file_id"), F.concat(F.lit("p"), n.cast("string")).alias("name"), F.concat(F.lit("brand.p"), n.cast("string")).alias("qualified_name"), F.when(n % 3 == 0, "class").otherwise("function").alias("kind"),
+        (n % 90).cast("int").alias("start_line"), (n % 90 + 5).cast("int").alias("end_line"), F.col("p_name").alias("signature"), F.lower("p_type").alias("docstring"),
+    )
+
+
+_PART_SQL = "sy AS (SELECT p_partkey AS sid, 'p' || p_partkey AS name, 'brand.p' || p_partkey AS qualified_name, CASE WHEN p_partkey % 3 = 0 THEN 'class' ELSE 'function' END AS kind, (p_partkey % 90)::INT AS start_line, p_name AS signature, lower(p_type) AS docstring FROM part)"
+_PART_TEXT = "concat_ws(' ', name, qualified_name, signature, docstring)"
+
+
+@query("symbol_search", f"WITH {_PART_SQL}, sk AS (SELECT * FROM sy WHERE kind = 'function'), {O.bm25('sk', 'sid', _PART_TEXT, 'widget p7', any_term=True, two=False, keep='qualified_name, start_line')} SELECT qualified_name, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, length(qualified_name), start_line, qualified_name LIMIT 20")
+def symbol_search(spark, sf_dir):
+    """Functions by the words of their names, signatures and docstrings."""
+    return rounded(search.symbol_search(_part_symbols(spark, sf_dir), "widget p7", kinds=["function"]).select("qualified_name", "score"), "score")
+
+
+@query("symbol_search_fallback", f"WITH {_PART_SQL} SELECT qualified_name FROM sy WHERE contains(signature, 'idge') OR contains(docstring, 'idge') OR contains(qualified_name, 'idge') ORDER BY length(qualified_name), start_line, qualified_name LIMIT 20")
+def symbol_search_fallback(spark, sf_dir):
+    """No word matches, so substrings do, shortest names first."""
+    return search.symbol_search(_part_symbols(spark, sf_dir), "idge").select("qualified_name")
+
+
+@query("context_bundle")
+def context_bundle(spark, sf_dir):
+    """Code of the best symbols and documents of other files (no SQL: held against brute force in the tests)."""
+    code = _code(spark, sf_dir)
+    return search.context_bundle(symbols.symbols(code), code, "f4 W7", id_col="file_id", text_col="text").select("kind", "file", "start", "end", "body")
+
+
+@query("read_lines", "SELECT doc_id AS file_id, rtrim(array_to_string(string_split(text, chr(10))[2:4], chr(10)), chr(10)) AS body FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)")
+def read_lines(spark, sf_dir):
+    """Lines of one file, the first one, through the read pipeline."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("full_text"), F.lit("").alias("toc"))
+    return lines.read(docs, A.doc_pages(spark, sf_dir), docs.agg(F.min("file_id")).first()[0], line="2-4")
+
+
+@query("grep_line_source", f"WITH {_LINES} SELECT doc_id, line FROM l WHERE contains(lower(body), 'elle')")
+def grep_line_source(spark, sf_dir):
+    """A plain term in lines, whatever its case."""
+    return lines.grep(A.table(spark, sf_dir, "documents"), "elle", id_col="doc_id", text_col="text", ignore_case=True).select("doc_id", F.col("line").cast("long").alias("line"))
 
 
 # --- change feeds -----------------------------------------------------------------------------------------------
