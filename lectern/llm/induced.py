@@ -3,19 +3,20 @@
 A string's suffixes are L (larger than the next one) or S; the S suffixes that follow an L one (LMS) order all others:
 
 1. the LMS substrings are sorted by an induction whose seeds stand in text order, and named by their rank;
-2. the string of names is sorted by the same procedure, recursively, which orders the LMS suffixes; common prefixes
-   come back in names and are converted to symbols (whole substrings by their lengths, the last one by comparison);
+2. if names repeat, the string of names is sorted by the same procedure, recursively, until a level's names are all
+   different; that orders the LMS suffixes, and common prefixes come back in names and are converted to symbols (whole
+   substrings by their lengths, the last one by comparison);
 3. an induction from the sorted LMS suffixes orders the L suffixes, one from those the S suffixes.
 
-An induction is a run over a priority queue of (first symbol, order of arrival) that carries suffix tuples (position,
-common prefix with the tuple before).  The queue lives in files: arrays with a slot range for each symbol, filled
-by scatter and emptied symbol by symbol, so memory holds one symbol's tuples at a time, whatever the shard's size.  The text,
-its types and runs are memory-mapped files too.  All tuples of one symbol are handled in bulk with numpy; the common prefix of two
-pushed suffixes is one more than the range minimum between their sources, and suffixes whose sources have different
-symbols share exactly one.
+An induction is a run over a priority queue of (first symbol, order of arrival) that carries suffix tuples (position, common
+prefix with the tuple before).  The queue is on disk: tuples gather in a buffer of ``BUFFER``; a full buffer is sorted by symbol and
+written as a run, and what leaves the queue is merged from the runs, each read in blocks of ``BLOCK``.  Runs follow each other in
+time, so taking their tuples run by run keeps the order of arrival within a symbol.  Text, types, run lengths and results are mapped
+files beyond ``MEMORY`` bytes.  Memory thus holds the buffer, a block of each run and the tuples that leave at once, whatever the shard's size.
 
-The recursion ends where the alphabet is nearly as large as the string (``FLAT``): there names repeat little and ranks are
-completed by doubling, with common prefixes read off the ranks of each step.
+Tuples leave for as many symbols at once as are complete: a symbol is when all of its tuples but those of its own runs have
+arrived, which their known number tells.  They are handled in bulk with numpy; the common prefix of two pushed suffixes is one more than the
+range minimum between their sources, and suffixes whose sources have different symbols share exactly one.
 """
 
 from __future__ import annotations
@@ -27,29 +28,34 @@ import tempfile
 
 import numpy as np
 
-#: Recursion stops when the alphabet times this exceeds the string's length.
-FLAT = 128
 #: Common prefixes are kept up to this; none that matters to a caller may be longer.
 CAP = 32_000
-
-
 #: Bytes of arrays that a sort keeps in memory; what comes after goes to files.
-MEMORY = 128 << 20
+MEMORY = 32 << 20
+#: Tuples in a queue's buffer, tuples of a run that are read at once, symbols that are looked at for one step.
+BUFFER, BLOCK, AHEAD = 1 << 15, 1 << 13, 1 << 10
 
 
 class Scratch:
-    """Arrays of a sort: the first ``MEMORY`` bytes in memory, the others mapped from files in a folder of the task's own, removed at the end."""
+    """Files of a sort in a folder of the task's own, removed at the end; arrays are in memory up to ``memory`` bytes.
+
+    written: runs of queues; deepest: levels of the recursion.
+    """
 
-    def __init__(self, memory: int | None = None):
+    def __init__(self, memory: int | None = None, buffer: int | None = None):
         self.root, self.n, self.left = tempfile.mkdtemp(prefix="induced-"), 0, MEMORY if memory is None else memory
+        self.buffer, self.written, self.deepest = BUFFER if buffer is None else buffer, 0, 0
+
+    def path(self) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n}"
 
     def array(self, n: int, dtype) -> np.ndarray:
         size = n * np.dtype(dtype).itemsize
         if size < 1 << 12 or size <= self.left:
             self.left -= size
             return np.zeros(n, dtype)
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = self.path()
         out = np.asarray(np.memmap(path, dtype, "w+", shape=(n,)))
         os.unlink(path)  # the mapping keeps the file; it goes when the array does
         return out
@@ -59,33 +65,92 @@ class Scratch:
 
 
 @contextlib.contextmanager
-def scratch(memory: int | None = None):
-    held = Scratch(memory)
+def scratch(memory: int | None = None, buffer: int | None = None):
+    held = Scratch(memory, buffer)
     try:
         yield held
     finally:
         held.close()
 
 
+class Run:
+    """Tuples sorted by key in a file, read in blocks."""
+
+    KINDS = (np.dtype(np.int32), np.dtype(np.int32), np.dtype(np.int16))
+
+    def __init__(self, path: str, columns: tuple[np.ndarray, ...]):
+        self.path, self.n, self.at = path, len(columns[0]), 0
+        with open(path, "wb") as f:
+            for x, kind in zip(columns, self.KINDS):
+                f.write(np.ascontiguousarray(x, kind).tobytes())
+        self.block: tuple[np.ndarray, ...] | None = None
+
+    def _load(self) -> None:
+        n, base, out = min(BLOCK, self.n - self.at), 0, []
+        for kind in self.KINDS:
+            out.append(np.fromfile(self.path, kind, n, offset=base + self.at * kind.itemsize))
+            base += self.n * kind.itemsize
+        self.block = tuple(out)
+        self.at += n
+
+    def take(self, key: int, into: list[tuple[np.ndarray, ...]]) -> bool:
+        """Move all tuples below ``key`` to ``into``; whether any are left."""
+        while True:
+            if self.block is None:
+                if self.at == self.n:
+                    os.unlink(self.path)
+                    return False
+                self._load()
+            i = int(np.searchsorted(self.block[0], key))
+            if i:
+                into.append(tuple(x[:i] for x in self.block))
+            if i < len(self.block[0]):
+                self.block = tuple(x[i:] for x in self.block) if i else self.block
+                return True
+            self.block = None
+
+
 class Queue:
-    """Tuples (position, common prefix) by symbol in order of arrival, in files; a slot range for each symbol."""
+    """The priority queue of an induction; ``down``: largest symbol first."""
 
-    def __init__(self, room: np.ndarray, files: Scratch):
-        self.first = np.concatenate(([0], np.cumsum(room)))
-        self.end = self.first[:-1].copy()
-        self.pos, self.lcp = files.array(int(self.first[-1]), np.int32), files.array(int(self.first[-1]), np.int16)
+    def __init__(self, sigma: int, files: Scratch, down: bool):
+        self.sigma, self.files, self.down = sigma, files, down
+        self.arrived = np.zeros(sigma, np.int64)
+        self.runs: list[Run] = []
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
 
     def push(self, symbols: np.ndarray, pos: np.ndarray, lcp: np.ndarray, heads: np.ndarray) -> None:
         """symbols: ascending; heads: where each symbol's part starts."""
-        size = np.diff(np.append(heads, len(symbols)))
-        own = symbols[heads]
-        slots = np.arange(len(symbols)) + np.repeat(self.end[own] - heads, size)
-        self.pos[slots], self.lcp[slots] = pos, lcp
-        self.end[own] += size
-
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.first[symbol], self.end[symbol]
-        return np.array(self.pos[a:b]), np.array(self.lcp[a:b])
+        self.arrived[symbols[heads]] += np.diff(np.append(heads, len(symbols)))
+        self.held.append((self.sigma - 1 - symbols if self.down else symbols, pos, lcp))
+        self.n += len(symbols)
+        if self.n > self.files.buffer:
+            key, pos, lcp = (np.concatenate(x) for x in zip(*self.held))
+            order = np.argsort(key, kind="stable")
+            self.runs.append(Run(self.files.path(), (key[order], pos[order], lcp[order])))
+            self.files.written += 1
+            self.held, self.n = [], 0
+
+    def pop(self, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pos, lcp) of all tuples up to symbol ``last``, by symbol in order of arrival."""
+        key = (self.sigma - last) if self.down else last + 1
+        out: list[tuple[np.ndarray, ...]] = []
+        self.runs = [r for r in self.runs if r.take(key, out)]
+        if self.held:
+            keys, pos, lcp = (np.concatenate(x) for x in zip(*self.held)) if len(self.held) > 1 else self.held[0]
+            mine = keys < key
+            if mine.any():
+                out.append((keys[mine], pos[mine], lcp[mine]))
+                keys, pos, lcp = keys[~mine], pos[~mine], lcp[~mine]
+            self.held, self.n = [(keys, pos, lcp)], len(keys)
+        if not out:
+            return np.zeros(0, np.int32), np.zeros(0, np.int16)
+        keys, pos, lcp = (np.concatenate(x) for x in zip(*out)) if len(out) > 1 else out[0]
+        if len(keys) > 1 and (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys, kind="stable")
+            pos, lcp = pos[order], lcp[order]
+        return np.array(pos, np.int32), np.array(lcp, np.int16)
 
 
 def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -108,9 +173,10 @@ def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 class Level:
     """A string of symbols 0..sigma-1 whose last symbol is the only 0, with suffix types and runs."""
 
-    def __init__(self, text: np.ndarray, sigma: int, files: Scratch):
+    def __init__(self, text: np.ndarray, sigma: int, files: Scratch, depth: int = 0):
         n = len(text)
-        self.text, self.sigma, self.files, self.n = text, sigma, files, n
+        self.text, self.sigma, self.files, self.n, self.depth = text, sigma, files, n, depth
+        files.deepest = max(files.deepest, depth + 1)
         changes = np.flatnonzero(text[1:] != text[:-1])  # the last place of each run
         size = np.diff(np.concatenate(([-1], changes, [n - 1])))
         last = np.repeat(np.append(changes, n - 1), size)
@@ -123,47 +189,76 @@ class Level:
         self.lms = files.array(len(starts), np.int32)
         self.lms[:] = starts
         count = lambda mask: np.bincount(text[mask], minlength=sigma)
-        self.n_s = count(self.is_s)
-        self.n_l = np.bincount(text, minlength=sigma) - self.n_s
+        self.n_l = count(~self.is_s)
+        # What a symbol gets from others: its suffixes less those that follow in a run of the symbol itself.
+        inner = self.run > 1
+        self.runs_l, self.runs_s = count(~self.is_s & inner), count(self.is_s & inner)
+        self.from_l, self.from_s = self.n_l - self.runs_l, count(self.is_s) - self.runs_s
+        self.from_s[0] = 0  # nothing induces the last suffix
+
+    def _step(self, queue: Queue, c: int) -> int:
+        """The last symbol, from ``c`` on in the queue's direction, of a stretch that can leave at once."""
+        runs, due = (self.runs_s, self.from_s) if queue.down else (self.runs_l, self.from_l)
+        if runs[c]:
+            return c
+        part = slice(max(0, c - AHEAD + 1), c + 1) if queue.down else slice(c, min(self.sigma, c + AHEAD))
+        ready = (queue.arrived[part] == due[part]) & (runs[part] == 0)
+        if queue.down:
+            ready = ready[::-1]
+        n = len(ready) if ready.all() else int(ready.argmin())
+        return c - max(n, 1) + 1 if queue.down else c + max(n, 1) - 1
+
+    def _joined(self, pos: np.ndarray, lcp: np.ndarray, more: np.ndarray, more_lcp: np.ndarray, down: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Tuples of some symbols and others that follow them within each symbol, with common prefixes where the two kinds meet."""
+        both, shared = np.concatenate((pos, more)), np.concatenate((lcp, more_lcp))
+        if not len(both):
+            return both, shared
+        symbols = self.text[both].astype(np.int64)
+        later = np.arange(len(both)) >= len(pos)
+        if len(pos) and len(more):
+            order = np.argsort(-symbols if down else symbols, kind="stable")
+            both, shared, symbols, later = both[order], shared[order], symbols[order], later[order]
+        start = np.append(True, symbols[1:] != symbols[:-1])
+        meet = np.flatnonzero(later[1:] & ~later[:-1] & ~start[1:]) + 1
+        shared[meet] = np.minimum(self.run[both[meet - 1]], self.run[both[meet]])
+        shared[start] = 0
+        return both, shared
 
     def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, visit) -> None:
-        """Order all suffixes from LMS suffixes in order.  ``visit(kind, pos, lcp, junction)`` gets each symbol's suffixes, largest symbol first.
-
-        kind "s" comes with descending positions and the common prefix of each with the one before, kind "l" likewise; junction is the
-        common prefix of the least S and the largest L suffix of a symbol (given with kind "l").
-        """
-        text, is_s = self.text, self.is_s
-        queue = Queue(self.n_l, self.files)
-        seed_symbol = text[seeds]
-        bounds = np.searchsorted(seed_symbol, np.arange(self.sigma + 1))
-        ordered = Queue(self.n_l, self.files)  # the L suffixes, kept for the second run
-        for c in range(self.sigma):
-            pos, lcp = queue.pop(c)
-            if len(pos):
+        """Order all suffixes from LMS suffixes in order.  ``visit(pos, lcp)`` gets them from the largest to the least,
+        whole symbols at once, each with its common prefix with the one before (0 at a symbol's first)."""
+        queue = Queue(self.sigma, self.files, False)
+        bounds = np.searchsorted(self.text[seeds], np.arange(self.sigma + 1))
+        held = np.concatenate(([0], np.cumsum(self.n_l)))
+        l_pos, l_lcp = self.files.array(int(held[-1]), np.int32), self.files.array(int(held[-1]), np.int16)  # the L suffixes, kept for the second run
+        c = 0
+        while c < self.sigma:
+            last = self._step(queue, c)
+            pos, lcp = queue.pop(last)
+            if len(pos) and self.runs_l[c]:
                 pos, lcp = self._runs(pos, lcp, c, False)
-                ordered.push(np.full(len(pos), c), pos, lcp, np.zeros(1, np.int64))
-            a, b = bounds[c], bounds[c + 1]
+            pos, lcp = self._joined(pos, lcp, np.zeros(0, np.int32), np.zeros(0, np.int16), False)
+            l_pos[held[c] : held[last + 1]], l_lcp[held[c] : held[last + 1]] = pos, lcp
+            a, b = bounds[c], bounds[last + 1]
             if b > a:
-                own, more = seeds[a:b], np.array(seed_lcp[a:b])
-                more[0] = min(self.run[pos[-1]], self.run[own[0]]) if len(pos) else 0
-                pos, lcp = np.concatenate((pos, own)), np.concatenate((lcp, more))
-            self._push(queue, pos, lcp, c, False)
-        queue = Queue(self.n_s, self.files)
-        for c in range(self.sigma - 1, -1, -1):
-            pos, lcp = queue.pop(c)
-            if len(pos):
+                pos, lcp = self._joined(pos, lcp, seeds[a:b], np.array(seed_lcp[a:b]), False)
+            self._push(queue, pos, lcp)
+            c = last + 1
+        queue = Queue(self.sigma, self.files, True)
+        c = self.sigma - 1
+        while c >= 0:
+            last = self._step(queue, c)
+            pos, lcp = queue.pop(last)
+            if len(pos) and self.runs_s[c]:
                 pos, lcp = self._runs(pos, lcp, c, True)
-                visit("s", pos, lcp, 0)
-            down, down_lcp = ordered.pop(c)
-            if len(down):
-                down, down_lcp = down[::-1], np.concatenate((down_lcp[:1] * 0, down_lcp[:0:-1]))
-                if len(pos):
-                    down_lcp[0] = min(self.run[pos[-1]], self.run[down[0]])
-                visit("l", down, down_lcp, int(down_lcp[0]) if len(pos) else 0)
-                pos, lcp = np.concatenate((pos, down)), np.concatenate((lcp, down_lcp))
-            elif c == 0:
-                pos, lcp = np.array([self.n - 1], np.int32), np.zeros(1, np.int16)
-            self._push(queue, pos, lcp, c, True)
+            part = slice(held[last], held[c + 1])
+            back, back_lcp = l_pos[part][::-1], np.append(0, l_lcp[part][:0:-1]).astype(np.int16)
+            if last == 0:
+                pos, lcp = np.append(pos, np.int32(self.n - 1)), np.append(lcp, np.int16(0))
+            pos, lcp = self._joined(pos, lcp, back, back_lcp[: len(back)], True)
+            visit(pos, lcp)
+            self._push(queue, pos, lcp)
+            c = last - 1
 
     def _runs(self, pos: np.ndarray, lcp: np.ndarray, c: int, down: bool) -> tuple[np.ndarray, np.ndarray]:
         """A symbol's tuples completed by those whose sources have the same symbol, round by round."""
@@ -183,13 +278,13 @@ class Level:
             all_lcp.append(np.minimum(least + 1, CAP).astype(np.int16))
         return (np.concatenate(all_pos), np.concatenate(all_lcp)) if len(all_pos) > 1 else (all_pos[0], all_lcp[0])
 
-    def _push(self, queue: Queue, pos: np.ndarray, lcp: np.ndarray, c: int, down: bool) -> None:
-        """Push what precedes the suffixes of symbol ``c`` and has another symbol and the wanted type."""
+    def _push(self, queue: Queue, pos: np.ndarray, lcp: np.ndarray) -> None:
+        """Push what precedes the suffixes and has another symbol and the wanted type."""
         if not len(pos):
             return
         before = np.maximum(pos - 1, 0)
         symbols = self.text[before]
-        at = np.flatnonzero((pos > 0) & (self.is_s[before] == down) & (symbols != c))
+        at = np.flatnonzero((pos > 0) & (self.is_s[before] == queue.down) & (symbols != self.text[pos]))
         if not len(at):
             return
         symbols = symbols[at]
@@ -206,17 +301,19 @@ class Level:
 
     def name(self) -> tuple[np.ndarray, int]:
         """Ranks of the LMS substrings in text order, and their number."""
-        found: list[np.ndarray] = []
         is_lms = self.files.array(self.n, np.bool_)
         is_lms[self.lms] = True
+        order, end = self.files.array(len(self.lms), np.int32), len(self.lms)  # filled from its end
 
-        def visit(kind: str, pos: np.ndarray, lcp: np.ndarray, junction: int) -> None:
-            if kind == "s":
-                found.append(pos[is_lms[pos]])
+        def visit(pos: np.ndarray, lcp: np.ndarray) -> None:
+            nonlocal end
+            mine = pos[is_lms[pos]]
+            order[end - len(mine) : end] = mine[::-1]
+            end -= len(mine)
 
         by_symbol = self.lms[np.argsort(self.text[self.lms], kind="stable")]
         self.induce(by_symbol, np.zeros(len(by_symbol), np.int16), visit)
-        order = np.concatenate([np.zeros(0, np.int32), *found])[::-1]  # ascending; the sentinel is not among them
+        order = order[1:]  # without the last suffix
         index = np.searchsorted(self.lms, order)
         length = np.diff(np.append(self.lms, self.n))
         same = np.zeros(len(order), bool)
@@ -238,7 +335,7 @@ class Level:
     def sorted_lms(self) -> tuple[np.ndarray, np.ndarray]:
         """LMS suffixes in order, each with its common prefix with the one before."""
         names, sigma = self.name()
-        order, shared = sort_suffixes(names, sigma, self.files)
+        order, shared = sort_suffixes(names, sigma, self.files, self.depth + 1)
         pos = self.lms[order]
         lcp = np.zeros(len(pos), np.int64)
         if len(pos) > 1:
@@ -255,111 +352,62 @@ class Level:
         return pos, np.minimum(lcp, CAP).astype(np.int16)
 
 
-def _ranked(keys: np.ndarray, files: Scratch) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    out = files.array(len(keys), np.int32)
-    out[order] = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
-    return out
-
-
-def doubled(text: np.ndarray, files: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and common prefixes by doubling ranks; each step's ranks stay in a file.
-
-    The first ranks are those of as many symbols as fit into 62 bits.
-    """
-    n = len(text)
-    bits = int(text.max(initial=0) + 1).bit_length()
-    start = max(1, min(62 // bits, 8, n))
-    keys = np.zeros(n, np.int64)
-    for k in range(start):
-        keys <<= bits
-        keys[: n - k] |= text[k:].astype(np.int64) + 1
-    width, ranks, rank = start, [], _ranked(keys, files)
-    while True:
-        ranks.append((width, rank))
-        if n < 2 or rank.max() == n - 1:
-            break
-        keys = rank.astype(np.int64) * (n + 1)
-        keys[:-width] += rank[width:]
-        keys[:-width] += 1
-        rank = _ranked(keys, files)
-        width *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    a, b = order[:-1].copy(), order[1:].copy()
-    shared = np.zeros(n, np.int64)
-    for width, rank in [*reversed(ranks), *[(1, text)] * (start - 1)]:
-        inside = (a < n) & (b < n)
-        equal = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-        shared[1:][equal] += width
-        a[equal] += width
-        b[equal] += width
-    return order, shared
-
-
-def sort_suffixes(text: np.ndarray, sigma: int, files: Scratch) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(text: np.ndarray, sigma: int, files: Scratch, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of a string of 0..sigma-1 (its last symbol the only 0) and each one's common prefix with the one before."""
-    if sigma * FLAT > len(text):
-        return doubled(text, files)
-    level = Level(text, sigma, files)
+    pos_out, lcp_out = files.array(len(text), np.int32), files.array(len(text), np.int16)
+    if sigma == len(text):  # every symbol once
+        pos_out[text] = np.arange(len(text))
+        return pos_out, lcp_out
+    level = Level(text, sigma, files, depth)
     seeds, lcp = level.sorted_lms()
-    pos_out, lcp_out = files.array(len(text), np.int32), files.array(len(text), np.int64)
     end = len(text)
 
-    def visit(kind: str, pos: np.ndarray, lcp: np.ndarray, junction: int) -> None:
+    def visit(pos: np.ndarray, lcp: np.ndarray) -> None:
         nonlocal end
         pos_out[end - len(pos) : end] = pos[::-1]
         lcp_out[end - len(pos) + 1 : end] = lcp[:0:-1]
-        lcp_out[end - len(pos)] = 0
-        if kind == "l" and end < len(text):
-            lcp_out[end] = junction
         end -= len(pos)
 
     level.induce(seeds, lcp, visit)
-    pos_out[0], lcp_out[0] = len(text) - 1, 0
     return pos_out, lcp_out
 
 
-def repeated_starts(pieces: list[bytes], least: int) -> np.ndarray:
-    """For the pieces laid end to end: which places start a string of ``least`` bytes, within its piece, that starts elsewhere too."""
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    if not len(size):
-        return np.zeros(0, bool)
-    raw = np.frombuffer(b"\n".join(pieces) + b"\n\0", np.uint8).astype(np.uint16) + 2
-    ends = np.cumsum(size + 1) - 1
-    raw[ends], raw[-1] = 1, 0  # 1 between pieces, 0 at the end
-    used = np.flatnonzero(np.bincount(raw, minlength=258))
-    dense = np.zeros(258, np.uint16)
-    dense[used] = np.arange(len(used))
-    with scratch() as files:
-        text = files.array(len(raw), np.uint16)
+class Shard:
+    """Pieces laid end to end in a file as they come; only their lengths stay in memory."""
+
+    def __init__(self, files: Scratch):
+        self.files, self.path, self.size = files, files.path(), []
+        self.out = open(self.path, "wb")
+
+    def add(self, piece: bytes) -> None:
+        self.out.write((np.frombuffer(piece, np.uint8).astype(np.uint16) + 2).tobytes() + b"\1\0")  # 1 between pieces
+        self.size.append(len(piece))
+
+    def repeated_starts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, ends): a mark at each place of the laid-out pieces that starts a string of ``least`` bytes, within its piece,
+        that starts elsewhere too; where each piece ends there."""
+        self.out.write(b"\0\0")
+        self.out.close()
+        size = np.array(self.size, np.int64)
+        ends = np.cumsum(size + 1) - 1
+        raw = np.memmap(self.path, np.uint16, "r")
+        used = np.flatnonzero(np.bincount(raw, minlength=258))
+        dense = np.zeros(258, np.uint16)
+        dense[used] = np.arange(len(used))
+        text, hit = self.files.array(len(raw), np.uint16), self.files.array(len(raw), np.bool_)
         text[:] = dense[raw]
         del raw
-        hit = files.array(len(text), np.bool_)
-        if len(used) * FLAT > len(text):
-            order, lcp = doubled(text, files)
-            _mark(hit, order, lcp, least)
-        else:
-            level = Level(text, len(used), files)
+        os.unlink(self.path)
+        if len(used) < len(text):
+            level = Level(text, len(used), self.files)
             seeds, seed_lcp = level.sorted_lms()
-            last = -1
 
-            def visit(kind: str, pos: np.ndarray, lcp: np.ndarray, junction: int) -> None:
-                nonlocal last
-                _mark(hit, pos, lcp, least)
-                if kind == "l" and junction >= least:
-                    hit[pos[0]] = hit[last] = True
-                last = int(pos[-1])
+            def visit(pos: np.ndarray, lcp: np.ndarray) -> None:
+                at = np.flatnonzero(lcp[1:] >= least) + 1
+                hit[pos[at]] = True
+                hit[pos[at - 1]] = True
 
             level.induce(seeds, seed_lcp, visit)
-        keep = np.ones(len(text), bool)
-        keep[ends] = keep[-1] = False
-        left = np.repeat(np.cumsum(size), size) - np.arange(int(size.sum()))
-        return np.array(hit[keep]) & (left >= least)
-
-
-def _mark(hit: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> None:
-    at = np.flatnonzero(lcp[1:] >= least) + 1
-    hit[order[at]] = True
-    hit[order[at - 1]] = True
+        for a, b in zip(ends - size, ends):  # a common prefix that runs on beyond the piece is none
+            hit[max(a, b - least + 1) : b + 1] = False
+        return hit, ends

@@ -32,10 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import induced
 from lectern.llm.common import discard, documents, materialize, share_code, slices, text_bytes
-from lectern.llm.induced import repeated_starts
+from lectern.llm.induced import Shard, scratch
 
-LEAST, GRAM, GROUP, STEP, SHARD_BYTES = 200, 50, 256, 8, 2 << 20
+LEAST, GRAM, GROUP, STEP, SHARD_BYTES = 200, 50, 256, 8, 4 << 20
 #: Buffers of the anchor search: positions take this many bits beside the hash.
 ROOM_BITS = 20
 RESULT = "struct<n_removed: bigint, n_spans: bigint, kept_sha256: string>"
@@ -214,25 +215,38 @@ def _verdicts(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["ctx", "lo", "hi"])
 
 
-def sort_shard(batches):
-    """All distinct contexts (ctx, piece, copies) of a shard to rows (ctx, first, last) of repeated windows."""
-    ids: list[bytes] = []
-    pieces: list[bytes] = []
-    copies: list[int] = []
-    for batch in batches:
-        ids += batch.column("ctx").to_pylist()
-        pieces += batch.column("piece").to_pylist()
-        copies += batch.column("copies").to_pylist()
-    if not ids:
-        return
-    hit = repeated_starts(pieces, LEAST)
-    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-    out: list[tuple[bytes, int, int]] = []
-    for ctx, piece, n, end in zip(ids, pieces, copies, ends.tolist()):
-        starts = np.arange(len(piece) - LEAST + 1) if n > 1 else np.flatnonzero(hit[end - len(piece) : end])
-        out += [(ctx, a, b) for a, b in _runs(starts)]
-    for lo in range(0, len(out), 50_000):
-        yield _verdicts(out[lo : lo + 50_000])
+def sort_shard(memory: int, buffer: int, seen=None):
+    """All distinct contexts (ctx, piece, copies) of a shard to rows (ctx, first, last) of repeated windows.
+
+    Pieces go to a file as they come.  seen: accumulators that get the runs written by queues and the levels of recursion.
+    """
+
+    def run(batches):
+        ids: list[bytes] = []
+        copies: list[int] = []
+        with scratch(memory, buffer) as files:
+            shard = Shard(files)
+            for batch in (part for whole in batches for part in slices(whole, "piece")):
+                ids += batch.column("ctx").to_pylist()
+                copies += batch.column("copies").to_pylist()
+                for piece in batch.column("piece"):
+                    shard.add(piece.as_py())
+            if not ids:
+                return
+            hit, ends = shard.repeated_starts(LEAST)
+            if seen is not None:
+                seen[0].add(files.written)
+                seen[1].add(files.deepest)
+            out: list[tuple[bytes, int, int]] = []
+            for ctx, n, size, end in zip(ids, copies, shard.size, ends.tolist()):
+                starts = np.arange(size - LEAST + 1) if n > 1 else np.flatnonzero(hit[end - size : end])
+                out += [(ctx, a, b) for a, b in _runs(starts)]
+                if len(out) > 50_000:
+                    yield _verdicts(out)
+                    out = []
+            yield _verdicts(out)
+
+    return run
 
 
 def cut_parts(batches):
@@ -286,7 +300,7 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def decided(distinct: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def decided(distinct: DataFrame, seen=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Repeated windows (ctx, lo, hi) of all anchors of (anchor, ctx, piece, copies) but crowded ones; the rows of these; a table to discard at the end."""
     size = F.octet_length("piece")
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"), F.first("ctx").alias("ctx"), F.first(size).alias("size"), F.max("copies").alias("most"))
@@ -297,10 +311,10 @@ def decided(distinct: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shards = max(1, -(-(shared.agg(F.sum("bytes").alias("b")).first().b or 0) // SHARD_BYTES))
     calm = distinct.join(shared.select("anchor"), "anchor", "left_semi").repartition(shards, "anchor").select("ctx", "piece", "copies")
     crowded = distinct.join(groups.where((F.col("n") > 1) & (F.col("n") > GROUP)).select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "piece", "copies")
-    return alone.union(calm.mapInArrow(sort_shard, "ctx binary, lo int, hi int")), crowded, groups
+    return alone.union(calm.mapInArrow(sort_shard(induced.MEMORY, induced.BUFFER, seen), "ctx binary, lo int, hi int")), crowded, groups
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, seen=None) -> DataFrame:
     """(key, spans array<struct<lo, hi>>) of the texts of rows (key, data) that hold repeated windows; spans may overlap."""
     spark = texts.sparkSession
     share_code(spark)
@@ -319,10 +333,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     members = materialize(rows.select("key", "first", "ctx"), "members")
     discard(rows)
     size = F.octet_length("piece")
-    first, crowded, groups = decided(distinct)
+    first, crowded, groups = decided(distinct, seen)
     parts = materialize(crowded.mapInArrow(cut_parts, "anchor long, ctx binary, piece binary, copies long, parent binary, offset int"), "parts")
     small = materialize(parts.groupBy("anchor", "ctx").agg(F.max("piece").alias("piece"), F.sum("copies").alias("copies")), "distinct-parts")
-    second, rest, part_groups = decided(small)
+    second, rest, part_groups = decided(small, seen)
     windows = materialize(rest.select("ctx", "piece", "copies").mapInArrow(cut_windows, "h1 long, h2 long, ctx binary, start int, copies long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
     third = windows.join(twice, ["h1", "h2"], "left_semi").select("ctx", F.col("start").alias("lo"), F.col("start").alias("hi"))

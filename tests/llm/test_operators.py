@@ -188,19 +188,39 @@ def test_suffix_dedup_keeps_columns(spark):
     assert out.columns == df.columns and out.count() == 21 and out.where("doc_id = 99").first().text is None
 
 
-@pytest.mark.parametrize("flat", [induced.FLAT, 4])
-def test_induced_sorting(monkeypatch, flat):
-    monkeypatch.setattr(induced, "FLAT", flat)  # 4: recursion goes deep
+@pytest.mark.parametrize("memory, buffer", [(None, None), (0, 8), (None, 60)])
+def test_induced_sorting(memory, buffer):
+    """Order and common prefixes against sorting, with arrays in memory and in files, and queues of some runs."""
     rng = np.random.default_rng(1)
+    deepest = written = 0
     for trial in range(80):
         t = rng.integers(1, int(rng.integers(2, 7)), int(rng.integers(1, 250)))
         t = np.tile(t[: max(1, len(t) // 7)], 9) if trial % 3 == 0 else np.repeat(t, 3) if trial % 5 == 0 else t
         u = np.unique(np.append(t, 0), return_inverse=True)[1].astype(np.uint16)
         suffixes_ = sorted(range(len(u)), key=lambda i: u[i:].tolist())
         shared = [0] + [next(k for k in itertools.count() if a + k >= len(u) or b + k >= len(u) or u[a + k] != u[b + k]) for a, b in zip(suffixes_, suffixes_[1:])]
-        with induced.scratch(0 if trial % 2 else None) as files:  # in files, in memory
+        with induced.scratch(memory, buffer) as files:
             order, lcp = induced.sort_suffixes(u, int(u.max()) + 1, files)
+            deepest, written = max(deepest, files.deepest), written + files.written
         assert list(order) == suffixes_ and list(lcp) == shared
+    assert deepest >= 3 and (written > 100) == (buffer == 8)
+
+
+def test_dedup_sorts_on_disk(spark, monkeypatch):
+    """The whole operator with shards larger than memory and buffer: runs are written, the recursion goes deep, spans stay right."""
+    monkeypatch.setattr(induced, "MEMORY", 1 << 14)
+    monkeypatch.setattr(induced, "BUFFER", 500)
+    rng = random.Random(4)
+    texts = [prose(rng, "en", 150) for _ in range(40)]
+    texts += [texts[i][:700] + "@" + texts[i + 1][100:] for i in range(20)] + [texts[3][200:500] * 4]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    seen = [spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)]
+    keyed = suffixes.keyed(frame(spark, rows, CLASH))
+    spans = {bytes(r.key): r.spans for r in suffixes.repeated_spans(keyed.selectExpr("repeat_key AS key", "repeat_data AS data"), seen).collect()}
+    for t, want in zip(texts, removed_spans([t.encode() for t in texts], 200)):
+        got = suffixes.merged([(s.lo, s.hi) for s in spans.get(hashlib.md5(t.encode()).digest(), ())], len(t.encode()))
+        assert got == want
+    assert seen[0].value > 10 and seen[1].value >= 3
 
 
 def test_long_texts_are_cut_with_overlap(monkeypatch):
