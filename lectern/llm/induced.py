@@ -177,6 +177,7 @@ class Level:
         n = len(text)
         self.text, self.sigma, self.files, self.n, self.depth = text, sigma, files, n, depth
         files.deepest = max(files.deepest, depth + 1)
+        self.shared = True  # naming needs no common prefixes
         changes = np.flatnonzero(text[1:] != text[:-1])  # the last place of each run
         size = np.diff(np.concatenate(([-1], changes, [n - 1])))
         last = np.repeat(np.append(changes, n - 1), size)
@@ -210,18 +211,20 @@ class Level:
 
     def _joined(self, pos: np.ndarray, lcp: np.ndarray, more: np.ndarray, more_lcp: np.ndarray, down: bool) -> tuple[np.ndarray, np.ndarray]:
         """Tuples of some symbols and others that follow them within each symbol, with common prefixes where the two kinds meet."""
+        if not len(more) and (len(pos) < 2 or self.text[pos[0]] == self.text[pos[-1]]):
+            lcp[:1] = 0
+            return pos, lcp
         both, shared = np.concatenate((pos, more)), np.concatenate((lcp, more_lcp))
-        if not len(both):
-            return both, shared
         symbols = self.text[both].astype(np.int64)
         later = np.arange(len(both)) >= len(pos)
         if len(pos) and len(more):
             order = np.argsort(-symbols if down else symbols, kind="stable")
             both, shared, symbols, later = both[order], shared[order], symbols[order], later[order]
         start = np.append(True, symbols[1:] != symbols[:-1])
-        meet = np.flatnonzero(later[1:] & ~later[:-1] & ~start[1:]) + 1
-        shared[meet] = np.minimum(self.run[both[meet - 1]], self.run[both[meet]])
-        shared[start] = 0
+        if self.shared:
+            meet = np.flatnonzero(later[1:] & ~later[:-1] & ~start[1:]) + 1
+            shared[meet] = np.minimum(self.run[both[meet - 1]], self.run[both[meet]])
+            shared[start] = 0
         return both, shared
 
     def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, visit) -> None:
@@ -295,7 +298,7 @@ class Level:
         np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
         out = np.ones(len(at), np.int16)
         same = np.flatnonzero(~new)
-        if len(same):
+        if len(same) and self.shared:
             out[same] = np.minimum(range_min(lcp, at[same - 1] + 1, at[same]).astype(np.int64) + 1, CAP)
         queue.push(symbols, pos[at] - 1, out, np.flatnonzero(new))
 
@@ -312,7 +315,9 @@ class Level:
             end -= len(mine)
 
         by_symbol = self.lms[np.argsort(self.text[self.lms], kind="stable")]
+        self.shared = False
         self.induce(by_symbol, np.zeros(len(by_symbol), np.int16), visit)
+        self.shared = True
         order = order[1:]  # without the last suffix
         index = np.searchsorted(self.lms, order)
         length = np.diff(np.append(self.lms, self.n))
