@@ -77,6 +77,13 @@ def slices(batch, column: str, most: int = 4 << 20):
         lo = hi
 
 
+def free_prefix(columns: list[str], prefix: str = "lectern_") -> str:
+    """``prefix`` with as many underscores more as it takes to begin no column's name."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def text_bytes(col):
     """UTF-8 bytes of a string column, null as empty."""
     return F.encode(F.coalesce(col, F.lit("")), "UTF-8")

@@ -16,7 +16,7 @@ document's key with its leaf's last key.
 
 Tokens are words.  Null text: no tokens (taken when its place in the order is within the prefix).  Null lang or source, or a name without
 a weight: weight ``DEFAULT``; nulls count as the name ``none``.  Empty table: empty result.  Repeated rows share their key.  Extra columns
-are kept by ``mix_documents``, which reserves names that begin with ``mix_``.
+are kept by ``mix_documents``; the columns that it adds begin with ``mix_``, or with more underscores where a column of the caller's does.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, documents, materialize
+from lectern.llm.common import WORD, documents, free_prefix, materialize
 
 DOMAINS = {"web": 50, "books": 30, "reference": 20}
 LANGS = {"en": 40, "de": 20, "fr": 20, "es": 20}
@@ -72,11 +72,11 @@ def budgets(leaves: DataFrame, share=SHARE, epochs: int = EPOCHS, domains=DOMAIN
     return fill(low, [d, la], s).select(*LEAF, "leaf_rows", "leaf_tokens", F.col("got").alias("budget"))
 
 
-def leaf_columns(docs: DataFrame) -> DataFrame:
+def leaf_columns(docs: DataFrame, prefix: str = "mix_") -> DataFrame:
     source = F.coalesce(F.col("source").cast("string"), F.lit("none"))
     return docs.withColumns({
-        "mix_domain": domain_of(source), "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit("none")), "mix_source": source,
-        "mix_tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        f"{prefix}domain": domain_of(source), f"{prefix}lang": F.coalesce(F.col("lang").cast("string"), F.lit("none")), f"{prefix}source": source,
+        f"{prefix}tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
     })
 
 
@@ -106,15 +106,20 @@ def plan(rows: DataFrame, seed: int = SEED, **tree) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, narrow: bool = False, **tree) -> DataFrame:
-    """Rows of ``docs`` that are taken, with their columns, mix_domain, mix_lang, mix_source, mix_tokens, mix_budget and mix_copies."""
-    rows = leaf_columns(docs)
-    thin = materialize(rows.select("doc_id", *LEAF, "mix_tokens"), "mix-rows")
+    """Rows of ``docs`` that are taken, with their columns (``narrow``: doc_id alone), and domain, lang, source, tokens, budget and copies behind ``free_prefix``."""
+    p = free_prefix(docs.columns, "mix_")
+    rows = leaf_columns(docs, p)
+    own = [f"{p}{c}" for c in ("domain", "lang", "source", "tokens")]
+    thin = materialize(rows.select("doc_id", *[F.col(c).alias(f"mix_{c[len(p):]}") for c in own]), "mix-rows")
     deal = plan(thin, seed, **tree)
-    deal = deal.select(*[F.col(c).alias(f"mix_{c}") for c in deal.columns])
-    met = (thin if narrow else rows).join(deal, [F.col(c) == F.col(c.replace("mix", "mix_p")) for c in LEAF])
-    copies = F.col("mix_epoch") + F.when(key_of(F.col("mix_epoch"), seed) <= F.col("mix_last_key"), 1).otherwise(0)
-    met = met.withColumn("mix_copies", copies)
-    return met.where("mix_copies > 0").drop("mix_p_domain", "mix_p_lang", "mix_p_source", "mix_epoch", "mix_last_key")
+    deal = deal.select(*[F.col(c).alias(f"{p}_{c}") for c in deal.columns])
+    rows = rows.select("doc_id", *own) if narrow else rows
+    same = [F.col(f"{p}{c}") == F.col(f"{p}_p_{c}") for c in ("domain", "lang", "source")]
+    met = rows.join(deal, same)
+    copies = F.col(f"{p}_epoch") + F.when(key_of(F.col(f"{p}_epoch"), seed) <= F.col(f"{p}_last_key"), 1).otherwise(0)
+    met = met.withColumn(f"{p}copies", copies).withColumnRenamed(f"{p}_budget", f"{p}budget")
+    out = met.where(F.col(f"{p}copies") > 0).select(*(["doc_id"] if narrow else docs.columns), *own, f"{p}budget", f"{p}copies")
+    return out
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,11 @@ the rest of an arc continues clockwise to the next shards that still have room.
 
 All of it is DataFrame work.  What reaches the driver is one count for each arc
 (``shards * vnodes`` numbers, a parameter, whatever the data); the overflow is settled on these counts
-and comes back as a table of arc segments, at most ``shards * vnodes * 2 + shards`` rows.
+and comes back as a table of arc segments, at most ``shards * vnodes * 2 + shards`` rows.  A key's rank in its arc is its rank among
+the keys of the arc in one of 2^``CELL_BITS`` cells of the ring, plus the arc's count in earlier cells (at most 2^``CELL_BITS`` +
+``shards * vnodes`` rows, broadcast), so no task sorts a whole arc.
+
+Movement: one more shard takes an even share of the rows; beyond that, rows move where the rooms of others shrink and overflow shifts.
 
 Repeated rows: equal (doc_id, size, checksum) rows are first counted, split into chunks of
 ``CHUNK`` copies with ring positions of their own, and expanded again at the end, so that a key that holds
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, materialize
 
-SHARDS, VNODES, CHUNK = 24, 64, 4096
+SHARDS, VNODES, CHUNK, CELL_BITS = 24, 64, 4096, 14
 RING = 1 << 32
 
 
@@ -102,15 +106,20 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> D
     keys = materialize(
         keys.withColumn("arc", arc_of(F.col("hash").bitwiseAND(RING - 1), [p for p, _ in points])).drop("copies"), "ring-keys"
     )
+    keys = keys.withColumn("cell", F.shiftright(F.col("hash").bitwiseAND(RING - 1), 32 - CELL_BITS).cast("int"))
+    cells = materialize(keys.groupBy("arc", "cell").agg(F.sum("n").alias("in_cell")), "ring-cells")
     count = [0] * len(points)
-    for r in keys.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # one row for each arc: shards * vnodes at most
+    for r in cells.groupBy("arc").agg(F.sum("in_cell").alias("n")).collect():  # one row for each arc: shards * vnodes at most
         count[r.arc] = r.n
     segments = spark.createDataFrame(
         settle([s for _, s in points], count, shards), "arc int, first long, end long, shard int, slot0 long"
     )
     order = [F.col("hash").bitwiseAND(RING - 1), F.col("hash"), F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("chunk")]
-    upto = F.sum("n").over(W.partitionBy("arc").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    placed = keys.withColumn("last", upto).withColumn("start", F.col("last") - F.col("n"))
+    before = W.partitionBy("arc").orderBy(F.col("cell"))
+    cells = cells.select(F.col("arc").alias("a"), F.col("cell").alias("c"), (F.sum("in_cell").over(before) - F.col("in_cell")).alias("earlier"))
+    upto = F.sum("n").over(W.partitionBy("arc", "cell").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    placed = keys.withColumn("in_cell", upto).join(F.broadcast(cells), (F.col("arc") == F.col("a")) & (F.col("cell") == F.col("c")))
+    placed = placed.withColumn("last", F.col("earlier") + F.col("in_cell")).withColumn("start", F.col("last") - F.col("n"))
     placed = placed.join(F.broadcast(segments), "arc").where((F.col("start") < F.col("end")) & (F.col("last") > F.col("first")))
     lo, hi = F.greatest("start", "first"), F.least("last", "end")
     return placed.select(

@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, documents, materialize
+from lectern.llm.common import discard, documents, free_prefix, materialize
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: (regex, group, least length of the group).  A minimum within the regex finds the same spans as dropping short runs
@@ -199,14 +199,15 @@ def candidates_of(runs: Column, parts: Column) -> Column:
     return F.concat(runs, F.filter(parts, lambda x: ~F.exists(runs, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]))))
 
 
-def scanned(docs: DataFrame, nulls: bool) -> DataFrame:
-    """``docs`` with lectern_base, lectern_random (start, end, word, encoding, band, p) and, with ``nulls``, lectern_key and lectern_null (encoding, band, p)."""
+def scanned(docs: DataFrame, nulls: bool, p: str) -> DataFrame:
+    """``docs`` with base, random (start, end, word, encoding, band, p) and, with ``nulls``, key and null (encoding, band, p), all behind the prefix ``p``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("*", rule_spans(text).alias("lectern_base"), matches(text, "random", CANDIDATE, 0, 20).alias("lectern_runs"), matches(text, "random", PART, 0, 20).alias("lectern_parts"), *([F.xxhash64(text).alias("lectern_key"), null_run(text).alias("lectern_run")] if nulls else []))
-    out = out.withColumn("lectern_runs", tested(F.col("lectern_runs"))).withColumn("lectern_parts", tested(F.col("lectern_parts")))
+    more = [F.xxhash64(text).alias(f"{p}key"), null_run(text).alias(f"{p}run")] if nulls else []
+    out = docs.select("*", rule_spans(text).alias(f"{p}base"), matches(text, "random", CANDIDATE, 0, 20).alias(f"{p}runs"), matches(text, "random", PART, 0, 20).alias(f"{p}parts"), *more)
+    out = out.withColumn(f"{p}runs", tested(F.col(f"{p}runs"))).withColumn(f"{p}parts", tested(F.col(f"{p}parts")))
     if nulls:
-        out = out.withColumn("lectern_null", null_strings(F.col("lectern_run"), F.col("lectern_key"))).drop("lectern_run")
-    return out.withColumn("lectern_random", candidates_of(F.col("lectern_runs"), F.col("lectern_parts"))).drop("lectern_runs", "lectern_parts")
+        out = out.withColumn(f"{p}null", null_strings(F.col(f"{p}run"), F.col(f"{p}key"))).drop(f"{p}run")
+    return out.withColumn(f"{p}random", candidates_of(F.col(f"{p}runs"), F.col(f"{p}parts"))).drop(f"{p}runs", f"{p}parts")
 
 
 def cell_of(p: Column) -> Column:
@@ -255,7 +256,7 @@ def join_spans(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, scan_base and scan_spans (start, rank in KINDS, end) of every row of ``docs`` (doc_id, text)."""
-    found = materialize(scanned(docs.select("doc_id", "text"), True).drop("text"), "scanned")
+    found = materialize(scanned(docs.select("doc_id", "text"), True, "lectern_").drop("text"), "scanned")
     levels = thresholds(found.select(F.inline("lectern_random")), found.select(F.col("lectern_key").alias("text_key"), F.inline("lectern_null")))
     return found.select("doc_id", F.col("lectern_base").alias("scan_base"), all_spans(F.col("lectern_base"), F.col("lectern_random"), levels).alias("scan_spans"))
 
@@ -266,7 +267,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Texts are scanned twice (for the thresholds, then row by row), so that none is shuffled or stored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    tests = materialize(scanned(docs.select("text"), True).select("lectern_key", "lectern_null", F.transform("lectern_random", lambda x: x.dropFields("start", "end")).alias("r")), "tests")
+    tests = materialize(scanned(docs.select("text"), True, "lectern_").select("lectern_key", "lectern_null", F.transform("lectern_random", lambda x: x.dropFields("start", "end")).alias("r")), "tests")
     levels = thresholds(tests.select(F.inline("r")), tests.select(F.col("lectern_key").alias("text_key"), F.inline("lectern_null")))
     discard(tests)
 
@@ -283,8 +284,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         tail = F.substring(text, F.array_max(ends) + 1, F.length(text))
         return F.when(F.size(spans) > 0, F.concat(F.concat_ws("", let(placed, blocks)), tail)).otherwise(F.col("text"))
 
-    out = scanned(docs, False).withColumn("lectern_spans", all_spans(F.col("lectern_base"), F.col("lectern_random"), levels))
-    return out.withColumn("text", cut(F.col("lectern_spans"))).select(docs.columns)
+    p = free_prefix(docs.columns)
+    out = scanned(docs, False, p).withColumn(f"{p}spans", all_spans(F.col(f"{p}base"), F.col(f"{p}random"), levels))
+    return out.withColumn("text", cut(F.col(f"{p}spans"))).select(docs.columns)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -640,6 +640,40 @@ def test_ring(spark, tmp_path):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
 
 
+def test_ring_placement_by_brute_force(spark):
+    """Every key's shard and slot: keys go clockwise one by one, own arcs first, what a full shard can't take to the next ones with room."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    df = frame(spark, ROWS + [(7777, "same", "en", "s", 4)] * 30 + [(None, None, None, None, None)] * 2, CLASH)
+    shards, vnodes = 5, 3
+    got = ring.shard_rows(df, shards, vnodes).collect()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = df.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("c")).withColumn("h", F.xxhash64("doc_id", "size", "c", F.lit(0))).collect()
+    points = ring.ring(shards, vnodes)
+    at = [p for p, _ in points]
+    arcs = [[] for _ in points]
+    for r in keys:
+        arcs[bisect.bisect_left(at, r.h % (1 << 32)) % len(at)].append((r.h % (1 << 32), r.h, -1 if r.doc_id is None else r.doc_id, r.size, r.c))
+    room = [len(keys) // shards + (x < len(keys) % shards) for x in range(shards)]
+    slots, late = [[] for _ in range(shards)], []
+    for (_, owner), arc in zip(points, arcs):
+        late.append([])
+        for key in sorted(arc):
+            (slots[owner] if len(slots[owner]) < room[owner] else late[-1]).append(key)
+    for i, rest in enumerate(late):
+        for key in rest:
+            j = i
+            while True:
+                j = (j + 1) % len(points)
+                if len(slots[points[j][1]]) < room[points[j][1]]:
+                    slots[points[j][1]].append(key)
+                    break
+    want = Counter((None if k[2] == -1 else k[2], k[3], k[4], x, n) for x, keys_ in enumerate(slots) for n, k in enumerate(keys_))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
 def test_ring_moves_little(spark):
     df = frame(spark, [(i, f"text {i}", "en", "s", None) for i in range(3000)], CLASH)
     a = {r.doc_id: r.shard for r in ring.shard_rows(df, 10).collect()}
@@ -743,8 +777,11 @@ def test_mixing(spark, tmp_path):
                 want[i] = (b, copies)
             before += docs[i][3]
     assert {i: (r["leaf_budget"], r["copies"]) for i, r in got.items()} == want
-    df = frame(spark, ROWS, "key bucket budget epoch")
-    assert set(df.columns) <= set(mixing.mix_documents(df).columns)
+    df = frame(spark, ROWS, "key bucket budget epoch mix_tokens mix__p_lang Mix_copies")
+    out = mixing.mix_documents(df)
+    assert set(df.columns) <= set(out.columns)
+    assert {tuple(r) for r in out.select("mix_tokens", "mix__p_lang", "Mix_copies").distinct().collect()} == {("clash",) * 3}
+    assert {r.doc_id: r["mix___copies"] for r in out.collect()} == {i: c for i, (_, c) in want.items()}
 
 
 # the pipeline
