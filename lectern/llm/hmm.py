@@ -172,13 +172,16 @@ class Hmm:
         sums = np.zeros(k), np.zeros((k, k)), np.zeros((k, pad + 1))
         begin, ones = self.start.astype(np.float32), np.ones(k, np.float32)
         short = [d for d in docs if 0 < len(d) <= LONG]
-        if short:
-            self._sweep(short, np.tile(begin, (len(short), 1)), np.zeros(len(short), bool), np.tile(ones, (len(short), 1)), sums)
-        for d in docs:
-            if len(d) > LONG:
-                pieces = [d[lo : lo + PIECE] for lo in range(0, len(d), PIECE)]
-                before, behind = self._borders(pieces)
-                self._sweep(pieces, before, np.arange(len(pieces)) > 0, behind, sums)
+        before, inner, behind = [np.tile(begin, (len(short), 1))], [np.zeros(len(short), bool)], [np.tile(ones, (len(short), 1))]
+        long = [[d[lo : lo + PIECE] for lo in range(0, len(d), PIECE)] for d in docs if len(d) > LONG]
+        if long:
+            x, y = self._borders(long)
+            before.append(x)
+            behind.append(y)
+            inner += [np.arange(len(pieces)) > 0 for pieces in long]
+        seqs = short + [p for pieces in long for p in pieces]
+        if seqs:
+            self._sweep(seqs, np.concatenate(before), np.concatenate(inner), np.concatenate(behind), sums)
         start, moves, cells = sums
         return start, moves, cells[:, :pad]
 
@@ -229,31 +232,38 @@ class Hmm:
         for j in range(len(gamma)):
             cells[j] += np.bincount(ids, gamma[j], cells.shape[1])
 
-    def _borders(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The messages at the borders of a sequence's pieces, from the pieces' transfer matrices: what ``_sweep`` takes."""
+    def _borders(self, docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The messages at the borders of sequences' pieces, from the pieces' transfer matrices: what ``_sweep`` takes for all of them."""
         k = len(self.start)
-        n = len(pieces)
-        size = np.fromiter(map(len, pieces), np.int64, n)  # all but the last are of one length
-        m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-        ids = np.full((n, int(size[0])), 0, np.int64)
-        for i, x in enumerate(pieces):
-            ids[i, : len(x)] = x
-        for t in range(int(size[0])):
-            c = n if t < size[-1] else n - 1
-            move = m[:c].reshape(-1, k) @ self.trans if t else None
-            now = (move.reshape(c, k, k) if t else np.broadcast_to(self.trans, (c, k, k))) * self.emit[ids[:c, t]][:, None, :]
-            m[:c] = now / now.sum(axis=(1, 2), keepdims=True)
-        before, behind = np.empty((n, k)), np.ones((n, k))
-        before[0] = self.start
-        v = self.start * self.emit[pieces[0][0]]
-        for x in pieces[0][1:]:
-            v = (v / v.sum()) @ self.trans * self.emit[x]
-        for i in range(1, n):
-            before[i] = v / v.sum()
-            v = before[i] @ m[i]
-        for i in range(n - 2, -1, -1):
-            w = m[i + 1] @ behind[i + 1]
-            behind[i] = w / w.sum()
+        pieces = [p for d in docs for p in d]
+        head = np.concatenate([np.arange(len(d)) == 0 for d in docs])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")
+        ids = np.zeros((int(size.max()), len(pieces)), np.int64)
+        for i, at in enumerate(order):
+            ids[: size[at], i] = pieces[at]
+        live = np.searchsorted(-size[order], -np.arange(len(ids)), side="left")
+        # A head's matrix starts behind the start weights, the others' with a transition.
+        m = np.where(head[order][:, None, None], np.eye(k), self.trans) * self.emit[ids[0]][:, None, :]
+        for t in range(1, len(ids)):
+            n = live[t]
+            now = (m[:n].reshape(-1, k) @ self.trans).reshape(n, k, k)
+            now *= self.emit[ids[t, :n]][:, None, :]
+            m[:n] = now / now.sum(axis=(1, 2), keepdims=True) if t % 8 == 7 else now
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        m = m[back] / m[back].sum(axis=(1, 2), keepdims=True)
+        before, behind = np.empty((len(pieces), k)), np.ones((len(pieces), k))
+        at = 0
+        for d in docs:
+            before[at] = v = self.start
+            for i in range(at + 1, at + len(d)):
+                v = v @ m[i - 1]
+                before[i] = v = v / v.sum()
+            for i in range(at + len(d) - 2, at - 1, -1):
+                w = m[i + 1] @ behind[i + 1]
+                behind[i] = w / w.sum()
+            at += len(d)
         return before.astype(np.float32), behind.astype(np.float32)
 
     def log10(self, docs: list[np.ndarray]) -> np.ndarray:
