@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import rules
+from lectern.functions.tokenizers import Tokenizers
 from lectern.operators import lines, links, memory, search, symbols, workspace
+from lectern.operators.index import Index
 from lectern.plans.query import safe_pattern
 from lectern.sources import files as sources
+from lectern.sources import local
 from lectern.sources.store import Store, ingest
 
 MEMORY = (
@@ -24,6 +28,10 @@ MEMORY = (
 )
 
 
+#: A page's id in the index: zero-padded, so that ties stand in order of pages.
+PAGE_ID = F.format_string("%s#%06d", F.col("file_id"), F.col("page_number"))
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str, store: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -56,14 +64,35 @@ class Workspace:
                     kept = links.without_file(before, gone) if name == "links" else workspace.delete_files(before, gone)
                     new[name] = kept.unionByName(df)
                 new["links"] = links.reconciled(new["links"], new["files"])
-            self.store.commit(new)
+            self._commit(new)
             summary["failed"] = self._table("files").where("status = 'failed'").count()
         return summary
 
+    def ensure_indexed(self, as_of=None) -> bool:
+        """Index the folder if it has no tables yet; whether it has some now.  Errors are reported by the answer alone."""
+        try:
+            if self.store.table("files") is None:
+                self.index(as_of=as_of)
+            return True
+        except Exception:  # a helper for tools that go on without an index
+            return False
+
+    def ingest_bytes(self, name: str, content: bytes, *, tags: list[str] | None = None, as_of=None) -> dict[str, int]:
+        """Put a file into the folder and index it."""
+        path = local.confined(self.root, name)
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_bytes(content)
+        return self.index(tags=tags, as_of=as_of)
+
+    def _commit(self, tables: dict[str, DataFrame]) -> None:
+        """Publish tables, with the index of their pages."""
+        index = Index.build(tables["pages"].withColumn("page_id", PAGE_ID), "page_id", "text")
+        self.store.commit(tables | {"postings": index.dealt(), "lengths": index.lengths}, {"tokenizer": Tokenizers().fingerprint()}, {"postings": ["bucket"]})
+
     def delete(self, file_id: str) -> None:
         gone = self.spark.createDataFrame([(file_id,)], "file_id string")
         tables = {n: workspace.delete_files(self._table(n), gone) for n in ("files", "pages", "texts", "symbols")}
-        self.store.commit(tables | {"links": links.without_file(self._table("links"), gone)})
+        self._commit(tables | {"links": links.without_file(self._table("links"), gone)})
 
     def resolve(self, name: str) -> str:
         """The file_id that a name means."""
@@ -83,11 +112,13 @@ class Workspace:
         """Full-text hits on pages, or matching lines of files when a path or glob (or mode grep) asks for them."""
         files = self._table("files").where("status = 'ready'")
         if search.route(query, path=path, glob=glob, mode=mode) == "grep":
-            rows = sources.lines(self.spark, f"{self.root}/{path}" if path else self.root, pattern=glob)
+            rows = sources.lines(self.spark, local.confined(self.root, path) if path else self.root, pattern=glob)
             return lines.grep(rows, safe_pattern(query), id_col="source_path", text_col="text", ignore_case=ignore_case, context=context, limit=limit)
         own = files.select("file_id", "filename", "source_path", "tags", "metadata", "created_at")
-        pages = self._table("pages").join(own, "file_id")
-        hits = search.search(pages, query, id_col="file_id", text_col="text", limit=limit, offset=offset, where=where)
+        pages = self._table("pages").join(own, "file_id").withColumn("page_id", PAGE_ID)
+        index = Index(self._table("postings"), self._table("lengths"))
+        found = index.match(query, pages, id_col="page_id", text_col="text").withColumnRenamed("id", "page_id")
+        hits = search.page_of(search.filtered(pages.join(found, "page_id"), **where), query, id_col="page_id", text_col="text", limit=limit, offset=offset).drop("page_id")
         return search.backlink_boost(hits, links.backlinks(self._table("links")).withColumnRenamed("to_file_id", "file_id"), id_col="file_id", weight=boost) if boost else hits
 
     def context(self, query: str) -> DataFrame:

@@ -91,3 +91,41 @@ def weight_grid(candidates: DataFrame, gold: DataFrame, weights: list[float]) ->
     best = grid.groupBy("question_id", "weight").agg(F.max_by("id", F.struct(score, -F.col("id"))).alias("id"))
     hit = best.join(gold.select("question_id", "id", F.lit(1).alias("hit")).distinct(), ["question_id", "id"], "left")
     return hit.groupBy("weight").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("top1"))
+
+
+def leave_one_out(candidates: DataFrame, gold: DataFrame, cases: DataFrame, weights: list[float]) -> DataFrame:
+    """(category, weight, top1): for each category the weight that does best on all other categories, and its share of hits on this one.
+
+    candidates: (question_id, id, lexical, recency); cases: (question_id, category).  Ties go to the least weight.
+    """
+    grid = candidates.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    score = F.col("lexical") + F.col("weight") * F.col("recency")
+    best = grid.groupBy("question_id", "weight").agg(F.max_by("id", F.struct(score, -F.col("id"))).alias("id"))
+    hit = best.join(gold.select("question_id", "id", F.lit(1).alias("hit")).distinct(), ["question_id", "id"], "left")
+    own = hit.join(cases, "question_id").groupBy("category", "weight").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count("*").alias("n"))
+    every = own.groupBy(F.col("weight").alias("w")).agg(F.sum("hits").alias("all_hits"), F.sum("n").alias("all_n"))
+    rest = own.join(every, F.col("weight") == F.col("w")).withColumn("train", (F.col("all_hits") - F.col("hits")) / F.nullif(F.col("all_n") - F.col("n"), F.lit(0)))
+    pick = rest.groupBy("category").agg(F.max_by(F.struct("weight", (F.col("hits") / F.col("n")).alias("top1")), F.struct(F.coalesce("train", F.lit(0.0)), -F.col("weight"))).alias("p"))
+    return pick.select("category", "p.weight", "p.top1")
+
+
+def run_metrics(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Medians and ranges over successful runs (status, total_tokens, wall_seconds, tool_calls) of each group, and the share of successes."""
+    fine = F.col("status") == "success"
+    of = lambda c: F.when(fine, F.col(c))
+    return runs.groupBy(*by).agg(
+        F.coalesce(F.floor(F.median(of("total_tokens"))), F.lit(0)).alias("median_tokens"), F.coalesce(F.min(of("total_tokens")), F.lit(0)).alias("min_tokens"), F.coalesce(F.max(of("total_tokens")), F.lit(0)).alias("max_tokens"),
+        F.round(F.coalesce(F.median(of("wall_seconds")), F.lit(0.0)), 1).alias("median_time"), F.round(F.coalesce(F.min(of("wall_seconds")), F.lit(0.0)), 1).alias("min_time"), F.round(F.coalesce(F.max(of("wall_seconds")), F.lit(0.0)), 1).alias("max_time"),
+        F.round(F.avg(fine.cast("int")), 2).alias("success_rate"), F.coalesce(F.floor(F.median(of("tool_calls"))), F.lit(0)).alias("median_tool_calls"),
+    )
+
+
+def weighted_choice(key, choices: dict[str, int], seed: int = 0):
+    """One of ``choices`` for each row with probability by weight: a seeded hash of ``key``, so a row's choice never changes."""
+    total, upto = sum(choices.values()), 0
+    spot = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(total))
+    out = F.lit(None).cast("string")
+    for name, weight in reversed(choices.items()):
+        upto += weight
+        out = F.when(spot >= total - upto, F.lit(name)).otherwise(out) if upto == weight else F.when((spot >= total - upto) & (spot < total - upto + weight), F.lit(name)).otherwise(out)
+    return out

@@ -79,7 +79,7 @@ def recall(memories: DataFrame, query: str, as_of, *, memory_type: str | None =
 
 
 def recall_totals(memories: DataFrame, query: str, *, memory_type: str | None = None, tags: list[str] | None = None, window: int = rules.WINDOW) -> DataFrame:
-    """(total, truncated): matches in all, and whether the candidate window cuts them short."""
+    """(total, truncated): matches in all, and whether the candidate window cuts them short; ``recall(...).count()`` is what survives ranking."""
     found = scoped(bm25(memories.where("valid_to is null"), query, text_columns("content"), any_term=True), memory_type=memory_type, tags=tags)
     return found.agg(F.count("*").alias("total"), (F.count("*") > window).alias("truncated"))
 
@@ -153,7 +153,8 @@ def conflicts(new: DataFrame, live: DataFrame, *, base: float = 0.3) -> DataFram
     pairs = left.join(right, "w").select("new_id", "old_id").distinct().where("new_id <> old_id")
     met = pairs.join(a, "new_id").join(b, "old_id").where("type_a = type_b").withColumn("overlap", T.jaccard(F.col("set_a"), F.col("set_b")))
     fine = met.where((F.col("overlap") >= F.col("least")) & ~T.distinct_events(F.col("text_a"), F.col("text_b")))
-    return fine.groupBy("new_id").agg(F.max_by(F.struct("old_id", "overlap"), F.struct(F.col("overlap"), (-F.col("old_id")) if dict(fine.dtypes)["old_id"] in ("bigint", "int") else F.lit(0))).alias("p")).select("new_id", "p.old_id", "p.overlap")
+    best = fine.groupBy("new_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "old_id")).alias("p"))
+    return best.select("new_id", "p.old_id", (-F.col("p.less")).alias("overlap"))
 
 
 def superseded(memories: DataFrame, new: DataFrame, as_of, *, base: float = 0.3) -> tuple[DataFrame, DataFrame]:
@@ -191,6 +192,19 @@ def forget(memories: DataFrame, hits: DataFrame) -> DataFrame:
     return memories.join(hits.select("memory_id"), "memory_id", "left_anti")
 
 
+def anchored(anchors: DataFrame, new: DataFrame) -> DataFrame:
+    """Anchors (memory_id, file_path, symbol, ...) after an upsert: the new one replaces that of the same memory, file and symbol (none is one too)."""
+    key = F.coalesce("symbol", F.lit(""))
+    rows = anchors.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)), allowMissingColumns=True).withColumn("sym", key)
+    names = [c for c in rows.columns if c not in ("turn", "sym")]
+    return rows.groupBy("memory_id", "file_path", "sym").agg(F.max_by(F.struct(*names), "turn").alias("v")).select("v.*")
+
+
+def revalidated(anchors: DataFrame, symbols: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
+    """``anchors_checked`` of the anchors into the changed files (source_path) alone; a whole-file anchor is missing once its file is gone."""
+    return anchors_checked(anchors.join(changed.select(F.col("source_path").alias("file_path")).distinct(), "file_path", "left_semi"), symbols, files)
+
+
 def anchors_checked(anchors: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Anchors (anchor_id, file_path, symbol, sig_hash, span_hash) with state and new_path.
 

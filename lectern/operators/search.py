@@ -94,6 +94,11 @@ def search(docs: DataFrame, query: str, *, id_col: str, text_col: str, any_term:
     """The page of best matches with score, highlight and rank, ties by id."""
     columns = text_columns(text_col) if two_columns else text_columns(text_col)[:1]
     found = filtered(bm25(docs, query, columns, any_term=any_term), **(where or {}))
+    return page_of(found, query, id_col=id_col, text_col=text_col, limit=limit, offset=offset)
+
+
+def page_of(found: DataFrame, query: str, *, id_col: str, text_col: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of scored matches with rank and highlight, ties by id."""
     page = found.orderBy(F.desc("score"), id_col).offset(offset).limit(limit)
     place = F.row_number().over(W.orderBy(F.desc("score"), id_col)) + offset  # of one page
     return page.withColumn("rank", place).withColumn("highlight", T.highlight(F.col(text_col), query))

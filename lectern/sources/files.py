@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import rules
@@ -26,7 +27,7 @@ Page = tuple[int, str | None, str, str]
 MOST_PAGES, ZIP_BYTES, ZIP_RATIO, ZIP_CHECKED = 5000, 512 << 20, 200, 32 << 20
 
 HEADING = re.compile(r"^#{1,3}\s+(.+)$", re.M)
-CAPITALS = re.compile(r"^[A-Z][A-Z\s\d:.\-]+$")
+CAPITALS = re.compile(r"^[A-Z][A-Z0-9\s]{2,78}$")
 
 
 def decoded(raw: bytes) -> str:
@@ -95,7 +96,7 @@ def parse_csv(raw: bytes, name: str) -> list[Page]:
             if i % rules.HEADER_EVERY == 0:
                 lines.append(head)
             lines.append(" | ".join(row))
-        title = name if len(body) <= rules.SHEET_ROWS else f"{name} - rows {lo + 1}-{lo + len(part)}"
+        title = None if len(body) <= rules.SHEET_ROWS else f"Data - rows {lo + 2}-{lo + 1 + len(part)}"  # the header is row 1
         out.append((len(out) + 1, title, "\n".join(lines or [head]), "table"))
     return out
 
@@ -233,14 +234,19 @@ def chunk_column(text: Column) -> Column:
 
 
 def sheets(spark: SparkSession, path: str) -> DataFrame:
-    """(row_number, page_number, values) of a CSV file with a header, 100 rows a page."""
+    """(row_number, page_number, values) of a CSV file with a header, 100 rows a page.
+
+    Rows are numbered within the partitions that read them; a partition's offset comes from the counts of those before it.
+    """
     rows = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
     pairs = F.struct(*[F.col(f"`{c}`").alias(c) for c in rows.columns])
-    numbered = rows.select(pairs.alias("values"), F.monotonically_increasing_id().alias("at"))
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.orderBy("at"))  # of one file
-    return numbered.select(number.alias("row_number"), (F.floor((number - 1) / rules.SHEET_ROWS) + 1).cast("int").alias("page_number"), "values")
+    at = F.monotonically_increasing_id()
+    numbered = rows.select(pairs.alias("values"), F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at"))
+    counts = numbered.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = counts.select(F.col("part").alias("p"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    number = F.col("at") + F.col("before") + 1
+    met = numbered.join(F.broadcast(offsets), F.col("part") == F.col("p"))
+    return met.select(number.alias("row_number"), (F.floor((number - 1) / rules.SHEET_ROWS) + 1).cast("int").alias("page_number"), "values")
 
 
 def structured(raw: bytes, mime: str, name: str, sheet: str | None = None) -> dict:

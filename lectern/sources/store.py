@@ -1,12 +1,15 @@
-"""Tables of a workspace in Parquet: an append-only log with a manifest, published as a whole.
+"""Tables of a workspace in Parquet: an append-only log of manifests, published as a whole.
 
-Every commit writes new files below ``<root>/<table>/<version>`` and then replaces the manifest by a rename, so readers see all
-tables of a version or none.  A single writer on the driver is assumed (a lock file tells a second one).
+Every commit writes new files below ``<root>/<table>/`` and then creates ``manifest-<version>.json``, which fails if another writer has
+made that version.  Readers take the highest manifest that is complete, so they see all tables of a version or none, and a
+writer that dies leaves nothing that blocks the next one.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -25,36 +28,44 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def manifest(self) -> dict:
-        """{version, schema_version, tables: name to folder, properties}."""
-        at = self._path("manifest.json")
-        if not self._fs.exists(at):
-            return {"version": 0, "schema_version": SCHEMA_VERSION, "tables": {}, "properties": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(str(at)).collect()))
+        """{version, schema_version, tables: name to folder, properties} of the latest complete commit."""
+        found = []
+        if self._fs.exists(self._path()):
+            names = [f.getPath().getName() for f in self._fs.listStatus(self._path())]
+            found = sorted((int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), reverse=True)
+        for version in found:
+            try:
+                return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest-{version}.json").collect()))
+            except json.JSONDecodeError:
+                continue  # its writer died; the next commit takes the version after it
+        return {"version": 0, "schema_version": SCHEMA_VERSION, "tables": {}, "properties": {}}
+
+    def _latest(self) -> int:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path())] if self._fs.exists(self._path()) else []
+        return max([int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))], default=0)
 
     def table(self, name: str) -> DataFrame | None:
         folder = self.manifest()["tables"].get(name)
         return None if folder is None else self.spark.read.parquet(f"{self.root}/{folder}")
 
-    def commit(self, tables: dict[str, DataFrame], properties: dict[str, str] | None = None) -> int:
-        """Write the given tables as a new version and publish it; other tables keep their folders.  An error publishes nothing."""
+    def commit(self, tables: dict[str, DataFrame], properties: dict[str, str] | None = None, partition: dict[str, list[str]] | None = None) -> int:
+        """Write the given tables as a new version and publish it; other tables keep their folders.  An error publishes nothing.
+
+        FileExistsError: another writer has published this version in the meantime.
+        """
         now = self.manifest()
-        version = now["version"] + 1
-        lock = self._path(f"commit-{version}.lock")
+        version = self._latest() + 1
         self._fs.mkdirs(self._path())
-        self._fs.create(lock, False).close()  # fails if another writer is at this version
-        try:
-            for name, df in tables.items():
-                df.write.mode("overwrite").parquet(f"{self.root}/{name}/{version}")
-            now = now | {"version": version, "tables": now["tables"] | {n: f"{n}/{version}" for n in tables}, "properties": now["properties"] | (properties or {})}
-            new = self._path(f"manifest-{version}.json")
-            out = self._fs.create(new, True)
-            out.write(bytearray(json.dumps(now).encode()))
-            out.close()
-            if self._fs.exists(self._path("manifest.json")):
-                self._fs.delete(self._path("manifest.json"), False)
-            self._fs.rename(new, self._path("manifest.json"))
-        finally:
-            self._fs.delete(lock, False)
+        folders = {name: f"{name}/{version}-{uuid.uuid4().hex[:8]}" for name in tables}
+        for name, df in tables.items():
+            df.write.partitionBy(*(partition or {}).get(name, [])).parquet(f"{self.root}/{folders[name]}")
+        now = now | {"version": version, "tables": now["tables"] | folders, "properties": now["properties"] | (properties or {})}
+        at = self._path(f"manifest-{version}.json")
+        if self._fs.exists(at):
+            raise FileExistsError(str(at))
+        out = self._fs.create(at, False)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
         return version
 
     def migrate(self, steps: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]], to: int) -> None:

@@ -1,14 +1,16 @@
 """Change feeds: debounce, quiescence, application, counters and rate limits, as batch expressions and as streams.
 
-Debounce and rate limit are greedy (an event counts from the last *accepted* one), so they keep keyed state;
-their batch forms fold each key's ordered events with a column expression.
+Debounce and rate limit are greedy (an event counts from the last *accepted* one), so they keep keyed state.  Their batch forms deal
+events by key, sort them and fold them as they stream past: what is held is one key's state and never its events.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,18 +19,91 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lectern.functions import rules
 
 
+def in_order(events: DataFrame, *, key: str, time: str, ident: str, fresh: Callable[[], Callable[[int], bool]]) -> DataFrame:
+    """``events`` with ``accepted``: ``fresh()`` gives a key's function of the next event's time in microseconds."""
+    at = "fold_micros"
+    rows = events.withColumn(at, F.unix_micros(F.col(time).cast("timestamp"))).repartition(key).sortWithinPartitions(key, at, ident)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def run(batches):
+        last, decide = object(), None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist()):
+                if k != last:
+                    last, decide = k, fresh()
+                out.append(decide(t))
+            names = [n for n in batch.schema.names if n != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.bool_())], names=[*names, "accepted"])
+
+    return rows.mapInArrow(run, f"{fields}, accepted boolean")
+
+
+def _after_gap(gap: int) -> Callable[[], Callable[[int], bool]]:
+    def fresh():
+        last: list[int] = []
+
+        def decide(t: int) -> bool:
+            take = not last or t - last[0] >= gap
+            if take:
+                last[:] = [t]
+            return take
+
+        return decide
+
+    return fresh
+
+
+def _below_rate(most: int, span: int) -> Callable[[], Callable[[int], bool]]:
+    def fresh():
+        times: deque[int] = deque()
+
+        def decide(t: int) -> bool:
+            while times and times[0] <= t - span:
+                times.popleft()
+            if len(times) < most:
+                times.append(t)
+                return True
+            return False
+
+        return decide
+
+    return fresh
+
+
 def debounced(events: DataFrame, *, key: str, time: str, ident: str, seconds: float = rules.DEBOUNCE_SECONDS) -> DataFrame:
-    """Events at least ``seconds`` after the last accepted one of their key, found by a fold over the key's ordered times."""
-    held = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(ident).alias("id"))))
-    gap = int(seconds * 1_000_000)
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(None).cast("bigint").alias("last"))
+    """Events at least ``seconds`` after the last accepted one of their key, ties by ``ident``."""
+    return in_order(events, key=key, time=time, ident=ident, fresh=_after_gap(int(seconds * 1_000_000))).where("accepted").drop("accepted")
+
+
+def rate_limited(events: DataFrame, *, key: str, time: str, ident: str, most: int, seconds: int = rules.RATE_SECONDS) -> DataFrame:
+    """``events`` with ``accepted``: fewer than ``most`` accepted ones of the key within the last ``seconds``, rejected ones not counting."""
+    return in_order(events, key=key, time=time, ident=ident, fresh=_below_rate(most, seconds * 1_000_000))
 
-    def step(acc, e):
-        take = acc["last"].isNull() | (e["t"] - acc["last"] >= gap)
-        return F.struct(F.when(take, F.concat(acc["ids"], F.array(e["id"].cast("bigint")))).otherwise(acc["ids"]).alias("ids"), F.when(take, e["t"]).otherwise(acc["last"]).alias("last"))
 
-    ids = events.groupBy(key).agg(F.aggregate(held, start, step, lambda a: a["ids"]).alias("ids")).select(F.explode("ids").alias("kept_id"))
-    return events.join(ids, F.col(ident) == F.col("kept_id"), "left_semi")
+def rate_limited_stream(events: DataFrame, *, key: str, time: str, most: int, seconds: int = rules.RATE_SECONDS, late: str = "1 minute") -> DataFrame:
+    """The stateful form of ``rate_limited`` (``time`` a timestamp): the accepted times of each key within the window, dropped when it has passed."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    span = seconds * 1_000_000
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = deque(state.get[0]) if state.exists else deque()
+        rows = pd.concat(list(batches)).sort_values(time)
+        keep = []
+        for t in rows[time].astype("datetime64[us]").astype("int64"):
+            while times and times[0] <= t - span:
+                times.popleft()
+            keep.append(len(times) < most)
+            if keep[-1]:
+                times.append(int(t))
+        state.update((list(times),))
+        state.setTimeoutTimestamp(max((times[-1] if times else 0) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(accepted=keep)
+
+    return events.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, f"{kinds}, accepted boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced_stream(events: DataFrame, *, key: str, time: str, seconds: float = rules.DEBOUNCE_SECONDS, late: str = "1 minute", forget: str = "1 hour") -> DataFrame:
@@ -63,6 +138,12 @@ def settled(events: DataFrame, *, key: str, time: str, gap: str = f"{rules.SETTL
     return out.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("settled_at"), "changes")
 
 
+def gave_up(events: DataFrame, *, key: str, time: str, gap: str = f"{rules.SETTLE_SECONDS} seconds", most: float = 30.0) -> DataFrame:
+    """``settled`` bursts with ``ready``: false for those that kept changing for ``most`` seconds, which a watcher gives up on."""
+    out = settled(events, key=key, time=time, gap=gap)
+    return out.withColumn("ready", (F.unix_micros("settled_at") - F.unix_micros("started")) <= int(most * 1_000_000))
+
+
 def applied(view: DataFrame, events: DataFrame, *, key: str = "path") -> DataFrame:
     """A current view (key, value) after events (key, action, dest, value, seq): the last one of each key counts; a move is a delete and an upsert."""
     plain = events.select(key, "action", "value", "seq")
@@ -89,21 +170,6 @@ def windowed(events: DataFrame, *, time: str, width: str, late: str, by: list[st
     return rows.groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), *by, "n")
 
 
-def rate_limited(events: DataFrame, *, key: str, time: str, ident: str, most: int, seconds: int = rules.RATE_SECONDS) -> DataFrame:
-    """``events`` with ``accepted``: fewer than ``most`` accepted ones of the key within the last ``seconds``, rejected ones not counting."""
-    held = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(ident).alias("id"))))
-    span = seconds * 1_000_000
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<bigint>").alias("times"))
-
-    def step(acc, e):
-        recent = F.filter(acc["times"], lambda t: t > e["t"] - span)
-        take = F.size(recent) < most
-        return F.struct(F.when(take, F.concat(acc["ids"], F.array(e["id"].cast("bigint")))).otherwise(acc["ids"]).alias("ids"), F.when(take, F.concat(recent, F.array(e["t"]))).otherwise(recent).alias("times"))
-
-    ids = events.groupBy(key).agg(F.aggregate(held, start, step, lambda a: a["ids"]).alias("ids")).select(F.explode("ids").alias("kept_id"), F.lit(True).alias("hit"))
-    return events.join(ids, F.col(ident) == F.col("kept_id"), "left").withColumn("accepted", F.coalesce("hit", F.lit(False))).drop("kept_id", "hit")
-
-
 def in_window(events: DataFrame, *, key: str, time: str, seconds: int = rules.RATE_SECONDS) -> DataFrame:
     """``events`` with ``recent``: events of the key within the last ``seconds``, itself included."""
     micros = F.unix_micros(F.col(time).cast("timestamp"))

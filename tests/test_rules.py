@@ -157,7 +157,7 @@ def test_parsers():
     assert [len(p) for p in parts] == [2002, 2002, 2002, 1000]
     table = b"a,b\n" + b"".join(b"%d,y\n" % i for i in range(150))
     sheet = sources.parse_csv(table, "s")
-    assert [p[1] for p in sheet] == ["s - rows 1-100", "s - rows 101-150"] and sheet[0][2].count("a | b") == 2
+    assert [p[1] for p in sheet] == ["Data - rows 2-101", "Data - rows 102-151"] and sheet[0][2].count("a | b") == 2
     assert sources.decoded(b"\xff") == "ÿ" and sources.decoded("\ufeffé".encode()) == "é"
     assert "hidden" not in sources.parse_html(b"<title>T</title><script>hidden</script><p>seen</p>", "x")[0][2]
     with pytest.raises(ValueError):
@@ -206,6 +206,9 @@ def test_store(spark, tmp_path):
     with pytest.raises(Exception):
         store.commit({"t": spark.range(2).select(F.raise_error(F.lit("x")))})
     assert store.table("t").count() == 3
+    (tmp_path / "s" / "manifest-7.json").write_text('{"vers')  # a writer that died
+    assert store.table("t").count() == 3
+    assert store.commit({"u": spark.range(1)}) == 8 and store.table("t").count() == 3
     r = Registry(str(tmp_path / "r.json"))
     a, b = r.upsert("/a", "2026-01-01"), r.upsert("/b", "2026-02-01")
     r.use(b)
@@ -244,3 +247,115 @@ def test_evaluation(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 1 and back.select(F.length("query")).first()[0] == 51_200
     assert render.recall_block([{"memory_type": "semantic", "content": "a ``` b", "score": 1.0}], "q").count("```") == 2
+
+
+def test_rate_stream(spark, tmp_path):
+    e = spark.createDataFrame([(i, "p", f"2026-01-01 00:00:{s:06.3f}") for i, s in enumerate([0, 1, 1.9, 2.5, 4.4, 4.5])], "id long, k string, s string").withColumn("ts", F.col("s").cast("timestamp"))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = changes.rate_limited_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), key="k", time="ts", most=2, seconds=2)
+    q = stream.writeStream.format("memory").queryName("rate").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert q.awaitTermination(120)
+        assert sorted((r.id, r.accepted) for r in spark.table("rate").collect()) == [(0, True), (1, True), (2, False), (3, True), (4, True), (5, True)]
+    finally:
+        q.stop()
+
+
+def test_greedy_folds_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, f"k{rng.randrange(6)}" if i % 3 else "hot", rng.randrange(4000)) for i in range(1500)]
+    e = spark.createDataFrame(rows, "id long, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    kept, accepted = set(), {}
+    for key in {k for _, k, _ in rows}:
+        last, times = None, []
+        for t, i in sorted((t, i) for i, k, t in rows if k == key):
+            if last is None or t - last >= 30:
+                kept.add(i)
+                last = t
+            times = [x for x in times if x > t - 60]
+            accepted[i] = len(times) < 5
+            times += [t] * accepted[i]
+    assert {r.id for r in changes.debounced(e, key="k", time="ts", ident="id", seconds=30).collect()} == kept
+    assert {r.id: r.accepted for r in changes.rate_limited(e, key="k", time="ts", ident="id", most=5, seconds=60).collect()} == accepted
+
+
+def test_watch(spark, tmp_path):
+    import time
+
+    from lectern.streaming.watch import Watches
+
+    root, seen = tmp_path / "w", []
+    root.mkdir()
+    (root / "a.txt").write_text("one")
+    watches = Watches(spark, str(tmp_path / "state"))
+    w = watches.start(str(root), lambda df: seen.extend(map(tuple, df.collect())), seconds=0.5)
+    try:
+        with pytest.raises(ValueError):
+            watches.start(str(root), print)
+        until = time.time() + 60
+        while time.time() < until and ("a.txt", "upsert") not in seen:
+            time.sleep(0.3)
+        (root / "b.txt").write_text("two")
+        (root / "a.txt").unlink()
+        while time.time() < until and not {("b.txt", "upsert"), ("a.txt", "delete")} <= set(seen):
+            time.sleep(0.3)
+        assert set(seen) == {("a.txt", "upsert"), ("b.txt", "upsert"), ("a.txt", "delete")}
+        assert watches.get(w.watch_id).counts["delete"] == 1
+    finally:
+        watches.stop(w.watch_id)
+    assert watches.list() == []
+
+
+def test_local_files(spark, tmp_path):
+    from lectern.sources import local
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "n.md").write_text("# Title\n\nalpha beta\ngamma")
+    assert "alpha beta" in local.read(spark, str(tmp_path), "d/n.md") and local.read(spark, str(tmp_path), "d/n.md", line="3-3")
+    assert [r.source_path for r in local.glob(spark, str(tmp_path), "d/*.md").collect()] == ["d/n.md"]
+    assert local.grep(spark, str(tmp_path), "GAMMA").count() == 1
+    for bad in ("../x", "/etc/passwd", "d/../../x"):
+        with pytest.raises(PermissionError):
+            local.confined(str(tmp_path), bad)
+    assert local.git_head(str(tmp_path)) is None
+
+
+def test_tokenizers(spark):
+    from lectern.functions.tokenizers import Tokenizers
+
+    t = Tokenizers()
+    assert t.fingerprint() == "unicode/builtin/rules2"
+    t.register("pairs", "chinese", lambda run: [run[i : i + 2] for i in range(0, len(run), 2)], "3")
+    assert t.fingerprint() == "pairs/3/rules2"
+    df = spark.createDataFrame([("数据库abc 词", ), ("plain-words", ), (None, )], "s string")
+    assert [r.t for r in df.select(t.index_tokens(F.col("s")).alias("t")).collect()] == [["数据", "库", "abc", "词"], ["plain", "words", "plain", "words"], []]
+    with pytest.raises(ValueError):
+        t.register("x", "klingon", list)
+
+
+def test_anchors_upsert(spark):
+    old = spark.createDataFrame([("m", "a.py", "f", "1"), ("m", "a.py", None, "2")], "memory_id string, file_path string, symbol string, sig_hash string")
+    new = spark.createDataFrame([("m", "a.py", "f", "9"), ("n", "a.py", "f", "3")], old.schema)
+    assert {tuple(r) for r in memory.anchored(old, new).collect()} == {("m", "a.py", "f", "9"), ("m", "a.py", None, "2"), ("n", "a.py", "f", "3")}
+
+
+def test_evaluation_extras(spark):
+    c = spark.createDataFrame([(1, 1, 1.0, 0.0), (1, 2, 0.5, 1.0), (2, 1, 1.0, 0.0), (2, 2, 0.5, 1.0), (3, 1, 1.0, 0.0), (3, 2, 0.5, 1.0)], "question_id long, id long, lexical double, recency double")
+    gold = spark.createDataFrame([(1, 2), (2, 2), (3, 1)], "question_id long, id long")
+    cases = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "question_id long, category string")
+    assert {tuple(r) for r in evals.leave_one_out(c, gold, cases, [0.0, 1.0]).collect()} == {("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 1.0, 0.0)}
+    runs = spark.createDataFrame([("t", "success", 10, 1.0, 3), ("t", "success", 20, 2.0, 4), ("t", "failed", 99, 9.0, 9), ("u", "failed", 1, 1.0, 1)], "task string, status string, total_tokens long, wall_seconds double, tool_calls long")
+    got = {r.task: r for r in evals.run_metrics(runs, ["task"]).collect()}
+    assert (got["t"].median_tokens, got["t"].min_tokens, got["t"].max_tokens, got["t"].median_time, got["t"].success_rate, got["t"].median_tool_calls) == (15, 10, 20, 1.5, 0.67, 3)
+    assert (got["u"].median_tokens, got["u"].success_rate) == (0, 0.0)
+    picks = spark.range(4000).select(evals.weighted_choice(F.col("id"), {"x": 1, "y": 3, "z": 0}, 7).alias("c")).groupBy("c").count().collect()
+    share = {r.c: r["count"] / 4000 for r in picks}
+    assert set(share) == {"x", "y"} and abs(share["x"] - 0.25) < 0.03
+
+
+def test_sheet_rows_are_numbered(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a,b\n" + "\n".join(f"{i},x" for i in range(1, 351)))
+    got = sources.sheets(spark, str(tmp_path / "s.csv")).collect()
+    assert sorted((r.row_number, r.page_number) for r in got) == [(i, (i - 1) // 100 + 1) for i in range(1, 351)] and all(r["values"].a == str(r.row_number) for r in got)
