@@ -8,7 +8,8 @@ than texts do:
 1. *Coding.*  Texts are cut into chunks and dealt to blocks of about ``BLOCK_BYTES`` as they are read.  A block holds its distinct
    chunks once, the ``OFTEN`` most frequent first and the others in alphabetical order (which compresses best), and for each text the
    numbers of its chunks by position.  Blocks are written as a table bucketed by block (one row each), so that they need no shuffle later on.
-2. *Distinct chunks.*  All blocks' chunks meet by chunk.  Each distinct chunk of the corpus is segmented and decoded by the library
+2. *Distinct chunks.*  All blocks' chunks meet in buckets by a hash of the chunk (``SPREAD`` buckets for each block, so a bucket's size doesn't
+   grow with the corpus).  A bucket is a part of the table of distinct chunks: each of them is segmented and decoded by the library
    exactly once, and its ids go back to every (block, number) that has it, packed by block (the decoded text only where it isn't the chunk).
 3. *Join by position.*  The answers of a block meet its row, and ids and decoded strings are taken by number at each position.
 
@@ -30,6 +31,7 @@ import re
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, drop_table, materialize, share_code, shared_dir, slices
 
-BLOCK_BYTES, MODEL_BYTES, OFTEN, FLUSH = 40 << 20, 32 << 20, 1 << 16, 250_000
+BLOCK_BYTES, MODEL_BYTES, OFTEN, SPREAD = 32 << 20, 32 << 20, 1 << 16, 4
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -155,51 +157,70 @@ class Pieces:
 ANSWER = "block long, codes binary, sizes binary, ids binary, odd array<int>, odd_text array<string>"
 
 
-def segment_sorted(raw):
-    """Batches (chunk, block, code) sorted by chunk to rows of ANSWER; a chunk is segmented when it first comes."""
-
-    def flush(held):
-        block, code, size, ids, odd, text = (np.concatenate(x) if isinstance(x[0], np.ndarray) else [y for part in x for y in part] for x in zip(*held))
-        order = np.lexsort((code, block))  # ascending codes, kept as steps
-        first = np.cumsum(size) - size
-        starts = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1])))
-        rows = []
-        for part in np.split(order, starts[1:]):
-            n = size[part]
-            flat = ids[np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            strange = part[odd[part]]
-            rows.append((int(block[part[0]]), squeeze(np.diff(code[part], prepend=0)), squeeze(n), squeeze(flat), code[strange].tolist(), [text[i] for i in strange]))
+ENTRIES = "bucket int, block long, n int, sizes binary, data binary, codes binary"
+
+
+def deal_entries(buckets: int):
+    """Batches (block, words) to rows of ENTRIES: a block's chunks of a bucket, packed, with their numbers as steps."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for block, row in zip(batch.column("block").to_pylist(), batch.column("words")):
+                words = row.values
+                if not len(words):
+                    continue
+                bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+                rows = []
+                for part in np.split(order, cuts[1:]):
+                    own = words.take(pa.array(part))
+                    size = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+                    data = own.buffers()[2]
+                    rows.append((int(bucket[part[0]]), block, len(part), squeeze(size), pack.compress(data.to_pybytes()[: int(size.sum())] if data else b""), squeeze(np.diff(part, prepend=0))))
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "block", "n", "sizes", "data", "codes"])
+
+    return run
+
+
+def segment_buckets(raw):
+    """Rows of ENTRIES sorted by bucket to rows of ANSWER; every distinct chunk of a bucket is segmented once."""
+
+    def answers(pieces: Pieces, held: list[dict]) -> pa.RecordBatch:
+        parts = []
+        for r in held:
+            ends = np.concatenate(([0], np.cumsum(spread(r["sizes"])))).astype(np.int64)
+            parts.append(pa.LargeStringArray.from_buffers(r["n"], pa.py_buffer(ends), pa.py_buffer(zstandard.ZstdDecompressor().decompress(r["data"]))))
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        new = coded.dictionary.to_pylist()
+        ids, text = pieces.segment(new)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+        first, odd = np.cumsum(size) - size, np.fromiter((a != b for a, b in zip(new, text)), bool, len(new))
+        rows, lo = [], 0
+        for r in held:
+            at = coded.indices[lo : lo + r["n"]].to_numpy(zero_copy_only=False).astype(np.int64)
+            lo += r["n"]
+            own = size[at]
+            spots = np.repeat(first[at] - np.cumsum(own) + own, own) + np.arange(int(own.sum()))
+            strange = np.flatnonzero(odd[at])
+            codes = np.cumsum(spread(r["codes"])) if len(strange) else None
+            rows.append((r["block"], r["codes"], squeeze(own), squeeze(flat[spots]), [] if codes is None else codes[strange].tolist(), [text[i] for i in at[strange]]))
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "codes", "sizes", "ids", "odd", "odd_text"])
 
     def run(batches):
-        pieces, last = Pieces(raw.value), None  # last: the chunk at the end of the batch before, with its answer
-        held, n = [], 0
-        for batch in (part for whole in batches for part in slices(whole, "chunk")):
-            if not len(batch):
-                continue
-            chunk = batch.column("chunk")
-            fresh = np.ones(len(chunk), bool)
-            fresh[1:] = pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)
-            new = chunk.filter(pa.array(fresh)).to_pylist()
-            known = last is not None and last[0] == new[0]
-            ids, text = pieces.segment(new[known:])
-            if known:
-                ids, text = [last[1], *ids], [last[2], *text]
-            last = (new[-1], ids[-1], text[-1])
-            at = np.cumsum(fresh) - 1
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
-            own = size[at]
-            spots = np.repeat((np.cumsum(size) - size)[at] - np.cumsum(own) + own, own) + np.arange(int(own.sum()))
-            odd = np.fromiter((a != b for a, b in zip(new, text)), bool, len(new))[at]
-            held.append((batch.column("block").to_numpy(), batch.column("code").to_numpy(), own, flat[spots], odd, [text[i] if o else None for i, o in zip(at, odd)]))
-            n += len(at) + len(spots) // 4
-            if n > FLUSH:
-                yield flush(held)
-                held, n = [], 0
+        pieces, held = Pieces(raw.value), []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and r["bucket"] != held[0]["bucket"]:
+                    yield answers(pieces, held)
+                    held = []
+                held.append(r)
         if held:
-            yield flush(held)
+            yield answers(pieces, held)
 
     return run
 
@@ -263,8 +284,10 @@ def encode(docs: DataFrame, keep: list[str], model: str | None = None, full: boo
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), coded.rdd.getNumPartitions())
     coded.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
-    entries = blocks.select("block", F.posexplode("words").alias("code", "chunk")).repartition("chunk").sortWithinPartitions("chunk")
-    answers = entries.select("block", "code", "chunk").mapInArrow(segment_sorted(raw), ANSWER)
+    spread_over = SPREAD * max(1, blocks.count())
+    entries = blocks.select("block", "words").mapInArrow(deal_entries(spread_over), ENTRIES)
+    # A fixed number of partitions: rows are few and large in work, so they must not be merged by their size.
+    answers = entries.repartition(spread_over, "bucket").sortWithinPartitions("bucket").mapInArrow(segment_buckets(raw), ANSWER)
     extra = "ids array<int>, decoded string" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string"
     met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined(full), f"kept {kind}, {extra}")
     out = materialize(met.select("kept.*", *(["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])), "encoded")

@@ -723,14 +723,17 @@ def test_segments_are_counted(monkeypatch):
             return super().segment(new)
 
     monkeypatch.setattr(pieces, "Pieces", Counting)
-    entries = sorted([(c, b, n) for b in range(3) for n, c in enumerate(["the", "of", "", "water"][b:] + [f"own{b}"])])
-    batches = [pa.RecordBatch.from_arrays([pa.array([e[0] for e in part]), pa.array([e[1] for e in part]), pa.array([e[2] for e in part], pa.int32())], names=["chunk", "block", "code"]) for part in (entries[:4], entries[4:5], entries[5:])]
+    words = [["the", "of", "", "water"][b:] + [f"own{b}"] for b in range(3)]
+    blocks = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(words)], names=["block", "words"])
+    entries = sorted((r for b in pieces.deal_entries(4)([blocks]) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    table = pa.Table.from_pylist(entries)
 
     class Raw:
         value = pieces.check_model(pieces.default_model())
 
-    got = [r for b in pieces.segment_sorted(Raw)(batches) for r in b.to_pylist()]
-    assert sum(len(pieces.spread(r["codes"])) for r in got) == len(entries) and Counter(asked) == Counter({e[0] for e in entries})
+    got = [r for b in pieces.segment_buckets(Raw)(table.to_batches(max_chunksize=2)) for r in b.to_pylist()]
+    assert Counter((r["block"], c) for r in got for c in np.cumsum(pieces.spread(r["codes"])).tolist()) == Counter((b, c) for b, ws in zip((7, 8, 9), words) for c in range(len(ws)))
+    assert Counter(asked) == Counter({w for ws in words for w in ws})
 
 
 # 10
