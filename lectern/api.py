@@ -10,7 +10,7 @@ import json
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import rules
@@ -28,8 +28,9 @@ MEMORY = (
 )
 
 
-#: A page's id in the index: zero-padded, so that ties stand in order of pages.
-PAGE_ID = F.format_string("%s#%06d", F.col("file_id"), F.col("page_number"))
+def page_id() -> Column:
+    """A page's id in the index: zero-padded, so that ties stand in order of pages."""
+    return F.format_string("%s#%06d", F.col("file_id"), F.col("page_number"))
 
 
 class Workspace:
@@ -86,7 +87,7 @@ class Workspace:
 
     def _commit(self, tables: dict[str, DataFrame]) -> None:
         """Publish tables, with the index of their pages."""
-        index = Index.build(tables["pages"].withColumn("page_id", PAGE_ID), "page_id", "text")
+        index = Index.build(tables["pages"].withColumn("page_id", page_id()), "page_id", "text")
         self.store.commit(tables | {"postings": index.dealt(), "lengths": index.lengths}, {"tokenizer": Tokenizers().fingerprint()}, {"postings": ["bucket"]})
 
     def delete(self, file_id: str) -> None:
@@ -115,7 +116,7 @@ class Workspace:
             rows = sources.lines(self.spark, local.confined(self.root, path) if path else self.root, pattern=glob)
             return lines.grep(rows, safe_pattern(query), id_col="source_path", text_col="text", ignore_case=ignore_case, context=context, limit=limit)
         own = files.select("file_id", "filename", "source_path", "tags", "metadata", "created_at")
-        pages = self._table("pages").join(own, "file_id").withColumn("page_id", PAGE_ID)
+        pages = self._table("pages").join(own, "file_id").withColumn("page_id", page_id())
         index = Index(self._table("postings"), self._table("lengths"))
         found = index.match(query, pages, id_col="page_id", text_col="text").withColumnRenamed("id", "page_id")
         hits = search.page_of(search.filtered(pages.join(found, "page_id"), **where), query, id_col="page_id", text_col="text", limit=limit, offset=offset).drop("page_id")

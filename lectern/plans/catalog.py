@@ -307,10 +307,10 @@ found AS (SELECT min(file_id) AS file_id, 0 AS step FROM ready, w WHERE filename
 SELECT file_id, step, (SELECT count(*) FROM found f WHERE f.step = found.step) > 1 AS ambiguous FROM found WHERE step = (SELECT min(step) FROM found)"""
 
 
-def _resolve(wanted) -> Callable[[SparkSession, str], DataFrame]:
+def _resolve(wanted: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = A.files(spark, sf_dir).select("file_id", "filename", "source_path", "status")
-        name = files.where("status = 'ready'").orderBy("file_id").select(wanted.alias("name")).first().name
+        name = files.where("status = 'ready'").orderBy("file_id").select(F.expr(wanted).alias("name")).first().name
         return workspace.resolve_name(files, name)
 
     return run
@@ -318,7 +318,7 @@ def _resolve(wanted) -> Callable[[SparkSession, str], DataFrame]:
 
 #: A name of the first ready file: its path's end, its own name, its id.
 for _name, _sql, _column in (
-    ("resolve_filename", "regexp_extract(source_path, '[^/]*/[^/]*$')", F.regexp_extract("source_path", "[^/]*/[^/]*$", 0)), ("resolve_filename_exact", "filename", F.col("filename")), ("resolve_filename_id", "file_id::VARCHAR", F.col("file_id").cast("string")),
+    ("resolve_filename", "regexp_extract(source_path, '[^/]*/[^/]*$')", "regexp_extract(source_path, '[^/]*/[^/]*$', 0)"), ("resolve_filename_exact", "filename", "filename"), ("resolve_filename_id", "file_id::VARCHAR", "string(file_id)"),
 ):
     query(_name, _resolve_sql(_sql))(_resolve(_column))
 
