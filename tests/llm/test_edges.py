@@ -43,7 +43,7 @@ def test_mixture_of_awkward_rows(spark, tmp_path):
 def test_stages_keep_columns_and_take_no_rows(spark, tmp_path):
     import corpus_pipeline
 
-    clash = "lectern_quality lectern_base lectern_random kept_id mix_tokens block kept codes band_lang"
+    clash = "lectern_quality lectern_base lectern_random kept_id lectern_at lectern_near c0 c1 mix_tokens block kept codes band_lang"
     for rows in ([], AWKWARD[:60] + AWKWARD[-8:]):
         docs = frame(spark, rows, clash)
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
