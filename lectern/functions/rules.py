@@ -81,3 +81,11 @@ PAGE_MARK = r"^\[(Page|Slide|Sheet|Section)\s+.+\]$"
 MEMORY_TYPES = ("episodic", "semantic", "procedural")
 MEMORY_SOURCES = ("user_explicit", "ai_inference", "tool_extraction", "unknown")
 DEBOUNCE_SECONDS, SETTLE_SECONDS, RATE_SECONDS, MOST_CAPTURE = 2.0, 0.4, 60, 51_200
+
+# Characters that a query term loses at its edges, and a quantified group that holds a quantifier.
+TERM_EDGES = "?!.,;:'\"()[]{}"
+NESTED_QUANTIFIER = r"\([^)]*[+*][^)]*\)\s*[+*{]"
+
+# Section titles, a Markdown heading or a line in capitals of 3 to 79 characters.
+HEADING = r"^#{1,3}\s+(.+)$"
+CAPITALS = r"^[A-Z][A-Z0-9\s]{2,78}$"

@@ -20,34 +20,39 @@ def html_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
 
 
-def local_target(target: str, source_path: str | None) -> str | None:
-    """A link's target as a normalised path, relative ones from the source's folder; None for external or empty ones."""
+#: Kind of link: its pattern, the group that names the target, and whether the target is relative to the file's folder.
+KINDS = {"markdown": (rules.MARKDOWN_LINK, 2, True), "wikilink": (rules.WIKI_LINK, 1, True), "path": (rules.CODE_PATH, 1, False)}
+CODE_SPANS = (re.compile(r"```.*?```", re.S), re.compile(r"`[^`\n]+`"))
+
+
+def masked(text: str) -> str:
+    """The text with its code spans as blanks of the same length, so that places stay."""
+    for span in CODE_SPANS:
+        text = span.sub(lambda m: " " * len(m[0]), text)
+    return text
+
+
+def local_target(target: str, folder: str) -> str | None:
+    """The normalised path that a link leads to from ``folder``; None for external or empty ones."""
     target = unquote(target.strip().strip("<>"))
-    if not target or re.match(rules.EXTERNAL, target):
-        return None
-    path = re.split(r"[#?]", target, maxsplit=1)[0].strip().replace("\\", "/")
-    if not path:
-        return None
-    folder = posixpath.dirname(source_path.replace("\\", "/")) if source_path else ""
-    path = posixpath.normpath(path if path.startswith("/") or not folder else f"{folder}/{path}")
-    return None if path == "." else path
+    path = "" if re.match(rules.EXTERNAL, target) else re.split(r"[#?]", target, maxsplit=1)[0].strip().replace("\\", "/")
+    found = posixpath.normpath(posixpath.join(folder, path)) if path else "."
+    return None if found == "." else found
 
 
 def links_of(text: str | None, source_path: str | None) -> list[dict[str, str]]:
-    """Markdown, wiki and path links outside code, first of each (target, type), with up to 80 characters around."""
-    blank = lambda m: " " * len(m.group())
+    """Links outside code, the first of each (target, type), with up to 80 characters around."""
     text = text or ""
-    plain = re.sub(r"`[^`\n]+`", blank, re.sub(r"```.*?```", blank, text, flags=re.S))
-    found: dict[tuple[str, str], dict[str, str]] = {}
-    for kind, regex, group in (("markdown", rules.MARKDOWN_LINK, 2), ("wikilink", rules.WIKI_LINK, 1), ("path", rules.CODE_PATH, 1)):
+    home = posixpath.dirname((source_path or "").replace("\\", "/"))
+    plain, found = masked(text), {}
+    for kind, (regex, group, relative) in KINDS.items():
         for m in re.finditer(regex, plain):
-            raw = m.group(group).strip()
-            if kind == "wikilink" and raw and not posixpath.splitext(raw)[1]:
-                raw += ".md"
-            target = local_target(raw, None if kind == "path" else source_path)
-            if target and (target, kind) not in found:
-                around = text[max(0, m.start() - 80) : m.end() + 80]
-                found[target, kind] = {"target": target, "link_type": kind, "context": " ".join(around.split())}
+            name = m[group].strip()
+            if kind == "wikilink" and name and not posixpath.splitext(name)[1]:
+                name += ".md"
+            if target := local_target(name, home if relative else ""):
+                context = " ".join(text[max(0, m.start() - 80) : m.end() + 80].split())
+                found.setdefault((target, kind), {"target": target, "link_type": kind, "context": context})
     return list(found.values())
 
 

@@ -8,9 +8,6 @@ from dataclasses import dataclass
 
 from lectern.functions import rules
 
-_EDGES = "?!.,;:'\"()[]{}"
-
-
 @dataclass(frozen=True)
 class Phrase:
     """Adjacent tokens; with ``prefix`` the (only) token matches any token that starts with it."""
@@ -34,7 +31,7 @@ def query_words(text: str) -> tuple[str, ...]:
 
 def terms(query: str) -> list[str]:
     """White-space terms without punctuation at their edges and without quotes."""
-    stripped = (t.strip(_EDGES).replace('"', "").replace("'", "") for t in query.split())
+    stripped = (t.strip(rules.TERM_EDGES).replace('"', "").replace("'", "") for t in query.split())
     return [t for t in stripped if t]
 
 
@@ -58,12 +55,9 @@ def parse(query: str, *, any_term: bool = False) -> list[Phrase]:
     return [p for p in out if p.tokens]
 
 
-NESTED_QUANTIFIER = re.compile(r"\([^)]*[+*][^)]*\)\s*[+*{]")
-
-
 def safe_pattern(pattern: str) -> str:
     """``pattern`` if it compiles and holds no quantified group with a quantifier inside."""
-    if NESTED_QUANTIFIER.search(pattern):
+    if re.search(rules.NESTED_QUANTIFIER, pattern):
         raise ValueError(f"nested quantifiers may take forever: {pattern}")
     re.compile(pattern)
     return pattern

@@ -26,8 +26,7 @@ PAGES = "file_id string, " + PAGE + ", error string"
 Page = tuple[int, str | None, str, str]
 MOST_PAGES, ZIP_BYTES, ZIP_RATIO, ZIP_CHECKED = 5000, 512 << 20, 200, 32 << 20
 
-HEADING = re.compile(r"^#{1,3}\s+(.+)$", re.M)
-CAPITALS = re.compile(r"^[A-Z][A-Z0-9\s]{2,78}$")
+HEADING, CAPITALS = re.compile(rules.HEADING, re.M), re.compile(rules.CAPITALS)
 
 
 def decoded(raw: bytes) -> str:
