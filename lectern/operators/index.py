@@ -32,7 +32,7 @@ def run_lengths(tokens: Column) -> Column:
     """Array of (term, tf) of an array of tokens."""
     ends = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
     rows = lambda s: once(ends(s), lambda e: F.transform(e, lambda at, k: F.struct(F.get(s, at - 1).alias("term"), (at - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("tf"))))
-    return once(F.array_sort(tokens), lambda s: F.when(F.size(s) > 0, rows(s)))
+    return once(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, rows(s)))
 
 
 @dataclass
