@@ -110,7 +110,7 @@ def battery(symbols: Column, k: Column) -> Column:
         n, free = F.size(x).cast("double"), k.cast("double") - 1
         # In sorted order the n-th of equal symbols adds 2 n - 1, which makes the square of their number.
         step = lambda a, v: let(F.when(v == a["last"], a["run"] + 1).otherwise(1), lambda r: F.struct(v.alias("last"), r.alias("run"), (a["total"] + 2 * r - 1).alias("total")))
-        squares = F.aggregate(F.array_sort(x), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total")), step, lambda a: a["total"])
+        squares = F.aggregate(F.sort_array(x), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total")), step, lambda a: a["total"])
         chi = k / n * squares - n
         p1 = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
         next_ = lambda items: F.slice(items, F.lit(2), F.size(items) - 1)
