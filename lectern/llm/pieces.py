@@ -26,6 +26,7 @@ of the caller, whatever their names, inside one struct; the query ignores extra
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import uuid
@@ -92,49 +93,67 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def squeeze(codes: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
+    """Numbers below 2^31 as compressed byte planes."""
+    planes = np.ascontiguousarray(codes.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=9).compress(planes)
 
 
 def spread(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
+def trim() -> None:
+    """Give memory back that a block has left free: workers live on, and two or more share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def code_blocks(block_bytes: int):
     """Batches (kept, text) to blocks: (block, kept, ends, codes, words)."""
 
-    def block(kept: list[pa.Array], texts: list[pa.Array]):
-        order, ends, flat = cut(pa.concat_arrays(texts))
-        coded = flat.dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    def block(kept: list[pa.Array], sizes: list[np.ndarray], coded: list[pa.Array]) -> pa.RecordBatch:
+        met = pa.chunked_array(coded).unify_dictionaries()  # one dictionary for all parts
+        coded.clear()
+        words = met.chunk(0).dictionary
+        codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in met.chunks])
+        del met
         often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")[:OFTEN]
         rare = np.ones(len(words), bool)
         rare[often] = False
         sorted_ = pc.sort_indices(words).to_numpy().astype(np.int64)
         often = np.concatenate((often, sorted_[rare[sorted_]]))
-        rank = np.empty(len(often), np.int64)
-        rank[often] = np.arange(len(often))
-        rows = pa.concat_arrays(kept).take(pa.array(order))
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
         one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
         number = uuid.uuid4().int >> 65  # only the attempt that is committed is ever read
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), one(rows), pa.array([ends.tobytes()]), pa.array([squeeze(rank[codes])]), one(words.take(pa.array(often)).cast(pa.string()))],
+            [pa.array([number]), one(pa.concat_arrays(kept)), pa.array([ends.tobytes()]), pa.array([squeeze(rank[codes])]), one(words.take(pa.array(often)).cast(pa.string()))],
             names=["block", "kept", "ends", "codes", "words"],
         )
 
     def run(batches):
-        kept, texts, size = [], [], 0
+        kept, sizes, coded, held = [], [], [], 0
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            texts.append(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
-            kept.append(batch.column("kept"))
-            size += texts[-1].nbytes
-            if size >= block_bytes:
-                yield block(kept, texts)
-                kept, texts, size = [], [], 0
-        if texts:
-            yield block(kept, texts)
+            # Each part is coded as it comes: a block holds numbers and distinct chunks, never its texts.
+            texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
+            order, ends, flat = cut(texts)
+            kept.append(batch.column("kept").take(pa.array(order)))
+            sizes.append(np.diff(ends, prepend=0))
+            coded.append(flat.dictionary_encode())
+            held += texts.nbytes
+            del texts, flat
+            if held >= block_bytes:
+                yield block(kept, sizes, coded)
+                kept, sizes, coded, held = [], [], [], 0
+                trim()
+        if kept:
+            yield block(kept, sizes, coded)
+            trim()
 
     return run
 
@@ -235,9 +254,13 @@ def joined(full: bool):
             sizes, ids = (np.concatenate([spread(x) for x in answers[c].to_pylist()]) for c in ("sizes", "ids"))
             order = np.argsort(codes)
             first, pieces = (np.cumsum(sizes) - sizes)[order], sizes[order]
-            flat = ids[np.repeat(first - np.cumsum(pieces) + pieces, pieces) + np.arange(len(ids))]
+            spots = np.repeat(first - np.cumsum(pieces) + pieces, pieces)
+            spots += np.arange(len(ids))
+            flat = ids[spots]
+            del spots, ids, first, order, sizes, codes
             digits = pa.array([str(i) for i in range(int(flat.max(initial=0)) + 1)])
             shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(pieces))).astype(np.int32)), digits.take(pa.array(flat))), ",")
+            del flat
             other = {c: x for cs, xs in zip(answers["odd"].to_pylist(), answers["odd_text"].to_pylist()) for c, x in zip(cs, xs)}
         for kept, ends, codes, words in zip(block["kept"].combine_chunks(), block["ends"].to_pylist(), block["codes"].to_pylist(), block["words"].combine_chunks()):
             ends, codes = np.frombuffer(ends, np.int64), spread(codes)
@@ -252,18 +275,19 @@ def joined(full: bool):
                         plain[c] = " " + x
                     text = pa.array(plain, pa.string())
             begin, at = np.concatenate(([0], ends[:-1])).astype(np.int64), 0
-            total = np.concatenate(([0], np.cumsum(pieces[codes])))
-            n += (total[ends] - total[begin]).tolist()
             while at < len(ends):  # a few texts at once: joined strings are as large as these texts
                 to = max(at + 1, int(np.searchsorted(ends, begin[at] + (1 << 19), side="right")))
-                own = pa.array(codes[begin[at] : ends[to - 1]])
-                places = pa.array((np.append(begin[at:to], ends[to - 1]) - begin[at]).astype(np.int32))
+                own = codes[begin[at] : ends[to - 1]]
+                edges = np.append(begin[at:to], ends[to - 1]) - begin[at]
+                n += np.diff(np.concatenate(([0], np.cumsum(pieces[own])))[edges]).tolist()
+                own, places = pa.array(own), pa.array(edges.astype(np.int32))
                 for out, items, mark in ((a, shown, ","), (b, text, "")):
                     lines = pc.binary_join(pa.ListArray.from_arrays(places, items.take(own)), mark).to_pylist()
                     lines = lines if mark else [x[1:] for x in lines]
                     out += ([[int(y) for y in x.split(",") if y] for x in lines] if mark else lines) if full else [hashlib.sha256(x.encode()).hexdigest() for x in lines]
                 at = to
         kept = pa.concat_arrays(rows)
+        trim()
         if full:
             return pa.Table.from_arrays([kept, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())], names=["kept", "ids", "decoded"])
         return pa.Table.from_arrays([kept, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["kept", "n_tokens", "ids_sha256", "decoded_sha256"])
