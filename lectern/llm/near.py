@@ -1,11 +1,17 @@
 """The pipeline's near-duplicates: five-word shingles, Jaccard similarity of ``SIMILAR`` or more, verified.
 
 A text is lower-cased (A-Z) and cut into words and 5-word shingles, a set of 64-bit hashes (fewer than 5 words: the whole
-sequence is the one shingle).  Texts with equal sets are one node, whatever their copies.  Each node has ``BANDS`` keys of
+sequence is the one shingle).  Texts with equal sets are one node, whatever their copies.
+
+First, operator 6's method: the hashes of a node vote on a SimHash fingerprint, and the balls of the distinct fingerprints meet in the
+middle, so nodes whose fingerprints differ in 2 bits or less are linked if their sets are similar (``ball_pairs``).  Most near copies
+are joined here, and none of their pairs is compared again.
+
+Pairs at 0.8 differ in 3 to 11 bits, more than balls can reach, so the rest comes from bands: each node has ``BANDS`` keys of
 ``ROWS`` minima each; two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99995 at 0.8.
-Only this banding is approximate: it can miss a pair near 0.8, and never links a pair below it.
+Only this is approximate: a pair near 0.8 may be missed by balls and bands alike, and no pair below it is ever linked.
 
-The nodes of a key are first compared with one of them (its hub, another for every key, so that large groups take a linear
+The nodes of a key that balls left apart are first compared with one of them (its hub, another for every key, so that large groups take a linear
 number of comparisons), by true similarity of their whole sets.  Nodes of one key that are still in different components
 are then all compared with each other, so no candidate pair is left out for the sake of a hub.  That is quadratic in
 the nodes of a key that stay apart: many texts with much in common, yet less than ``SIMILAR``, cost most.
@@ -22,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, share_code
+from lectern.llm import simhash
+from lectern.llm.common import discard, materialize, share_code
 from lectern.llm.components import components
 
 SHINGLE, BANDS, ROWS, STEP = 5, 25, 5, 1 << 12
@@ -59,24 +66,31 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles; 0 of an empty one."""
+    return simhash.majority((hashes[at : at + simhash.STEP].astype(">u8").tobytes() for at in range(0, len(hashes), simhash.STEP)), len(hashes))
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def node_column(text: Column) -> Column:
-    """Struct of the node (hash of the set of shingles) and the band keys of ``text``."""
+    """Struct of the node (hash of the set of shingles), its fingerprint and the band keys of ``text``."""
 
     def run(batch: pa.Array) -> pa.Array:
-        raw, nodes, keys = batch.cast(pa.binary()), [], []
+        raw, nodes, prints, keys = batch.cast(pa.binary()), [], [], []
         for i in range(len(raw)):
             hashes = shingles(raw[i].as_py() or b"")
             nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+            prints.append(fingerprint(hashes))
             keys.append(band_keys(hashes))
-        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists(keys)], ["node", "keys"])
+        longs = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
+        return pa.StructArray.from_arrays([*longs, _lists(keys)], ["node", "fp", "keys"])
 
     run.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "node long, keys array<long>")(text)
+    return F.arrow_udf(run, "node long, fp long, keys array<long>")(text)
 
 
 def set_column(text: Column) -> Column:
@@ -99,20 +113,52 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where((p + q) * F.size(F.array_intersect("x", "y")) >= p * (x + y)).select("a", "b")
 
 
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a > b) of ``nodes`` (node, fp): those of one fingerprint with its least node, and least nodes of fingerprints that the balls link."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "near-prints")
+    same = nodes.join(prints.where("n > 1").withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).where("node <> least").select("node", "least")
+    met = simhash.links(prints.select("fp"))
+    for end in ("a", "b"):
+        met = met.join(prints.select(F.col("fp").alias(f"{end}_fp"), F.col("least").alias(f"{end}_node")), F.col(end) == F.col(f"{end}_fp"))
+    both = same.union(met.select("a_node", "b_node")).toDF("x", "y")
+    pairs = materialize(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "near-balls")
+    discard(prints)
+    return pairs
+
+
+def sets_of(wanted: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, hashes) of the ``wanted`` (node, lectern_at)."""
+    return materialize(wanted.join(marked.select("lectern_at", "text"), "lectern_at").select("node", set_column(F.col("text")).alias("hashes")), "near-sets")
+
+
+def close_links(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """The links (a, b) that SimHash finds, verified by whole sets."""
+    pairs = ball_pairs(nodes.select("node", "fp"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(nodes.select("node", "lectern_at").join(ends, "node"), marked)
+    links = materialize(verified(pairs, sets), "near-links")
+    discard(pairs, sets)
+    return links
+
+
 def near_components(marked: DataFrame) -> DataFrame:
     """(node, root) of every node of ``marked`` (lectern_at, text, lectern_near) that has a near-duplicate."""
     near = F.col("lectern_near")
-    nodes = marked.groupBy(near["node"].alias("node")).agg(F.min("lectern_at").alias("lectern_at"), F.first(near["keys"]).alias("keys"))
+    nodes = marked.groupBy(near["node"].alias("node")).agg(F.min("lectern_at").alias("lectern_at"), F.first(near["fp"]).alias("fp"), F.first(near["keys"]).alias("keys"))
     nodes = materialize(nodes, "near-nodes")
+    close = close_links(nodes, marked)
+    joined = components(close)
     keys = nodes.select("node", "lectern_at", F.explode("keys").alias("key"))
     turn = F.xxhash64("key")  # the hub is the least node in an order of its own for every key
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(turn)).alias("hub")).where("n > 1")
     crowded = materialize(keys.join(shared.select("key", F.col("hub").bitwiseXOR(turn).alias("hub")), "key"), "near-keys")
+    star = crowded.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    for end in ("a", "b"):  # pairs that balls have joined need no comparison
+        star = star.join(joined.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root")), F.col(end) == F.col(f"{end}_node"), "left")
+    star = materialize(star.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"), "near-pairs")
     wanted = crowded.groupBy("node").agg(F.min("lectern_at").alias("lectern_at"))
-    sets = materialize(wanted.join(marked.select("lectern_at", "text"), "lectern_at").select("node", set_column(F.col("text")).alias("hashes")), "near-sets")
-    star = crowded.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-    star = materialize(star.distinct(), "near-pairs")
-    links = materialize(verified(star, sets), "near-links")
+    sets = sets_of(wanted, marked)
+    links = materialize(close.union(verified(star, sets)), "near-links")
     root = components(links)
     part = crowded.select("key", "node").join(root.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     part = materialize(part, "near-parts")

@@ -31,6 +31,15 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _CELLS = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
 
+def majority(parts, n: int) -> int:
+    """The fingerprint of ``n`` 64-bit hashes, given as big-endian bytes in parts: a bit is 1 if set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for part in parts:
+        cells = np.frombuffer(part, np.uint8).reshape(-1, 8) + _CELLS
+        votes += (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+
+
 def fingerprint(text: bytes) -> int:
     """Fingerprint of UTF-8 bytes; ``lower`` and ``split`` of bytes know ASCII only, as wanted."""
     words = text.lower().split()
@@ -41,13 +50,8 @@ def fingerprint(text: bytes) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - SHINGLE + 1)
     pairs = list(zip(starts[:n].tolist(), ends[-n:].tolist()))
-    votes = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
-    for at in range(0, n, STEP):
-        part = b"".join([digest(joined[a:b], SEED) for a, b in pairs[at : at + STEP]])
-        cells = np.frombuffer(part, np.uint8).reshape(-1, 8) + _CELLS
-        votes += (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    return majority((b"".join([digest(joined[a:b], SEED) for a, b in pairs[at : at + STEP]]) for at in range(0, n, STEP)), n)
 
 
 def fingerprints(texts: pa.Array) -> pa.Array:

@@ -67,3 +67,39 @@ def test_repeated_and_missing_ids(spark):
     rows = [(1, a, "en", "s", 0), (1, a + " end", "en", "s", 0), (1, b, "de", "s", 0), (None, b + " ende", "de", "s", 0), (None, None, None, None, None), (7, "", "en", "s", 0)]
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()]
     assert len(got) == 3 and {(1, b), (7, "")} < set(got) and sum(t in (a, a + " end") for _, t in got) == 1
+
+
+def test_fingerprints_meet_in_balls(spark):
+    """The stage's own SimHash against a plain one, and its pairs against all fingerprints' distances."""
+    from lectern.llm import near
+
+    rng = random.Random(10)
+    base = prose(rng, "en", 900)
+    texts = [base, *(edited(rng, base, 1 + k % 3) for k in range(8)), *(prose(rng, "de", 60) for _ in range(10)), "", None, "one two"]
+    sets = [near.shingles((t or "").encode()) for t in texts]
+    prints = []
+    for s in sets:
+        plain = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+        assert near.fingerprint(s) == plain
+        prints.append(plain)
+    nodes = [(i, p - (p >> 63 << 64)) for i, p in enumerate(prints)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(texts))}
+    assert sum(want[i] == 0 for i in range(9)) > 4  # near copies do meet
+    pairs = [tuple(r) for r in near.ball_pairs(spark.createDataFrame(nodes, "node long, fp long")).collect()]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 2 and a > b for a, b in pairs)
+    root[:] = range(len(texts))
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert {i: find(i) for i in range(len(texts))} == want
