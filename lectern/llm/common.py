@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -77,6 +78,17 @@ def slices(batch, column: str, most: int = 4 << 20):
         lo = hi
 
 
+def trim() -> None:
+    """Give memory back that a block has left free: workers live on, and two or more share an executor's limit."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def free_prefix(columns: list[str], prefix: str = "lectern_") -> str:
     """``prefix`` with as many underscores more as it takes to begin no column's name."""
     while any(c.lower().startswith(prefix) for c in columns):

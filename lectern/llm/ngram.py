@@ -20,6 +20,9 @@ documents outside are rejected.  Copies count once, and the deviation is at leas
 difference between their even and odd words, averaged over the language's texts.  Bands are statistics of all texts, counted by cells
 of 1 / ``GRID``, so every run gives the same ones; at this width they leave ordinary prose alone.
 
+Classes of symbols say little about words, so a second model judges the bytes of whole texts as they are (``bytegrams``: order 6, all n-grams, no
+classes), with bands of its own made in the same way.  A document is kept if it lies within both.
+
 Base rules and counts: see ``FEATURES``.  Null and empty texts have no words and fail the base rules.  A null language is
 the language ``und``.  Very long texts are handled whole (some 20 bytes a character), repeated rows alike, empty tables give empty results,
 extra columns are kept by ``keep_good`` and ignored by the query.
@@ -33,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, documents, free_prefix, materialize, share_code
+from lectern.llm.bytegrams import byte_scores
+from lectern.llm.common import discard, documents, materialize, share_code
 
 ORDER, BITS = 4, 6
 MAX_GRAMS, WIDTH, GRID = 1_500_000, 8.0, 1 << 14
@@ -327,9 +331,8 @@ def score_texts(texts: list[str | None], langs: list[str | None], model: Model):
     return out
 
 
-def score_column(text: Column, lang: Column, model: Parts, spark: SparkSession) -> Column:
-    """Struct of FEATURES, base_failed, n_symbols_scored, logp, and the last two of even words."""
-    share_code(spark)
+def scorer(model: Parts):
+    """A function of Arrow arrays of texts and languages to structs of FEATURES, base_failed, n_symbols_scored, logp, and the last two of even words."""
     held, version, most = model.held, model.version, HELD
     where = model.where
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_symbols_scored", "logp", "even_symbols", "even_logp"]
@@ -345,8 +348,7 @@ def score_column(text: Column, lang: Column, model: Parts, spark: SparkSession)
         cols = list(zip(*rows)) if rows else [[] for _ in names]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    run.__annotations__ = {"text": pa.Array, "lang": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, SCORED).asNondeterministic()(text, lang)  # else a filter on a field would score every text twice
+    return run
 
 
 def medians(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -379,27 +381,46 @@ def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     return met.select(F.col("lang").alias("band_lang"), (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high"))
 
 
+BYTES = ["byte_symbols", "byte_logp", "byte_even_symbols", "byte_even_logp"]
+BYTE_PPL = "-byte_logp / nullif(byte_symbols, 0)"
+
+
+def byte_bands(rows: DataFrame, width: float) -> DataFrame:
+    """byte_lang, byte_low and byte_high, as ``bands``, of the byte model."""
+    names = zip(("n_symbols_scored", "logp", "even_symbols", "even_logp"), BYTES)
+    return bands(rows.select("lang", "text_hash", "base_failed", *(F.col(b).alias(a) for a, b in names)), width).toDF("byte_lang", "byte_low", "byte_high")
+
+
 def score_documents(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """doc_id, the base columns, perplexity (log10 a symbol), its bands and ``kept`` of every row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, the base columns, ``kept``, and of both models perplexity (log10 a symbol) and its bands, of every row of ``docs`` (doc_id, text, lang)."""
     docs = docs.select("doc_id", "text", "lang")
     model = train(docs)
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.xxhash64("text").alias("text_hash"), score_column(F.col("text"), F.col("lang"), model, docs.sparkSession).alias("s"))
-    rows = materialize(rows.select("doc_id", "lang", "text_hash", "s.*"), "scored")
+    lang = F.coalesce("lang", F.lit("und"))
+    kept = F.struct("doc_id", lang.alias("lang"), F.xxhash64("text").alias("text_hash"))
+    rows = byte_scores(docs.select(kept.alias("kept"), lang.alias("lang"), "text"), scorer(model), SCORED)
+    rows = rows.select("kept.doc_id", "kept.lang", "kept.text_hash", "kept.s.*", *BYTES)
     met = rows.join(by_language(bands(rows, width), "bands"), F.col("lang") == F.col("band_lang"), "left").withColumn("log10_ppl", -F.col("logp") / F.nullif(F.col("n_symbols_scored"), F.lit(0)))
-    good = ~F.col("base_failed") & F.coalesce(F.col("log10_ppl").between(F.col("low"), F.col("high")), F.lit(False))
-    return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", good.alias("kept"), "log10_ppl", "low", "high")
+    limits = by_language(byte_bands(rows, width), "byte-bands")
+    met = met.join(limits, F.col("lang") == F.col("byte_lang"), "left").withColumn("byte_log10_ppl", F.expr(BYTE_PPL))
+    good = ~F.col("base_failed") & F.coalesce(F.col("log10_ppl").between(F.col("low"), F.col("high")) & F.col("byte_log10_ppl").between(F.col("byte_low"), F.col("byte_high")), F.lit(False))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", good.alias("kept")]
+    return met.select(*base, "log10_ppl", "low", "high", "byte_log10_ppl", "byte_low", "byte_high")
 
 
 def keep_good(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """Rows of ``docs`` that pass, with all their columns; texts are scored once and stored with their scores."""
-    p = free_prefix(docs.columns)
     model = train(docs.select("text", "lang"))
-    scored = materialize(docs.withColumn(f"{p}quality", score_column(F.col("text"), F.col("lang"), model, docs.sparkSession)), "scored-documents")
-    s, lang = F.col(f"{p}quality"), F.coalesce("lang", F.lit("und"))
-    limits = by_language(bands(scored.select(lang.alias("lang"), F.xxhash64("text").alias("text_hash"), *(s[x].alias(x) for x in ("base_failed", "n_symbols_scored", "logp", "even_symbols", "even_logp"))), width), "bands")
-    limits = limits.select(F.col("band_lang").alias(f"{p}lang"), F.col("low").alias(f"{p}low"), F.col("high").alias(f"{p}high"))
-    met = scored.where(~s["base_failed"]).join(limits, lang == F.col(f"{p}lang"))
-    return met.where((-s["logp"] / F.nullif(s["n_symbols_scored"], F.lit(0))).between(F.col(f"{p}low"), F.col(f"{p}high"))).select(docs.columns)
+    names = docs.columns
+    lang = F.coalesce("lang", F.lit("und"))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
+    kept = F.struct(*others, lang.alias("lang"), F.xxhash64("text").alias("text_hash"))
+    scored = byte_scores(docs.select(kept.alias("kept"), lang.alias("lang"), "text"), scorer(model), SCORED, with_text=True)
+    rows = scored.select("kept.lang", "kept.text_hash", "kept.s.*", *BYTES)
+    limits = by_language(bands(rows, width), "bands")
+    met = scored.where("not kept.s.base_failed").join(limits, F.col("kept.lang") == F.col("band_lang")).join(by_language(byte_bands(rows, width), "byte-bands"), F.col("kept.lang") == F.col("byte_lang"))
+    ppl = -F.col("kept.s.logp") / F.nullif(F.col("kept.s.n_symbols_scored"), F.lit(0))
+    good = met.where(ppl.between(F.col("low"), F.col("high")) & F.expr(BYTE_PPL).between(F.col("byte_low"), F.col("byte_high")))
+    return good.select(*((F.col("text") if c == "text" else F.col(f"kept.c{i}")).alias(c) for i, c in enumerate(names)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

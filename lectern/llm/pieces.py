@@ -26,7 +26,6 @@ of the caller, whatever their names, inside one struct; the query ignores extra
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import re
 import uuid
@@ -39,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, drop_table, materialize, share_code, shared_dir, slices
+from lectern.llm.common import documents, drop_table, materialize, share_code, shared_dir, slices, trim
 
 BLOCK_BYTES, MODEL_BYTES, OFTEN, SPREAD = 32 << 20, 32 << 20, 1 << 16, 4
 MARK = "▁"
@@ -103,15 +102,6 @@ def spread(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
-def trim() -> None:
-    """Give memory back that a block has left free: workers live on, and two or more share an executor's limit."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def code_blocks(block_bytes: int):
     """Batches (kept, text) to blocks: (block, kept, ends, codes, words)."""
 

@@ -34,3 +34,49 @@ def test_no_gram_is_dropped(spark, tmp_path, monkeypatch):
     assert len({r["low"] for r in whole}) > 2  # several languages
     key = lambda r: r["doc_id"]
     assert sorted(parts, key=key) == sorted(whole, key=key)
+
+
+def test_bytes_by_brute_force(spark):
+    """The byte model against Kneser-Ney written down once more; words of one shape in other letters are told apart."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(6)
+    texts = [prose(rng, "fr", 70) for _ in range(12)] + ["東京 大阪 " * 9, "x", ""]
+    rows = [(i, t, "fr", "s", 0) for i, t in enumerate(texts)] + [(99, None, "fr", "s", 0)]
+    counts = {6: Counter()}
+    for t in texts:
+        b = bytes(5) + t.encode()
+        counts[6].update(b[i : i + 6] for i in range(len(b) - 5))
+    for k in (5, 4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d, by = {}, {}
+    for k, c in counts.items():
+        n = Counter(c.values())
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        d[k] = [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3))] if all(n[i] for i in (1, 2, 3, 4)) else [0, 0.5, 1, 1.5]
+        for g, x in c.items():
+            by.setdefault(g[:-1], []).append(x)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        xs, x, k = by[g[:-1]], counts[len(g)][g], len(g)
+        return (x - d[k][min(x, 3)] + sum(d[k][min(y, 3)] for y in xs) * p(g[1:])) / sum(xs)
+
+    got = {r.doc_id: r for r in ngram.score_documents(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(texts):
+        b = bytes(5) + t.encode()
+        logp = sum(math.log10(p(b[j : j + 6])) for j in range(len(b) - 5))
+        if t:
+            assert math.isclose(got[i].byte_log10_ppl, -logp / (len(b) - 5), rel_tol=1e-5), i
+    assert got[14].byte_log10_ppl is None and got[99].byte_log10_ppl is None
+
+
+def test_words_of_one_class_are_told_apart(spark):
+    """Letters that share one of the 64 classes: the class model gives both texts one perplexity, the byte model doesn't."""
+    a = " ".join(["東東東東"] * 60 + [f"w{i}" for i in range(60)])
+    rows = [(i, a, "zh", "s", 0) for i in range(9)] + [(10, a.replace("東", chr(ord("東") + 24)), "zh", "s", 0)]
+    got = {r.doc_id: r for r in ngram.score_documents(frame(spark, rows)).collect()}
+    assert got[0].log10_ppl == got[10].log10_ppl and got[10].byte_log10_ppl > got[0].byte_log10_ppl
