@@ -13,8 +13,8 @@ Only this is approximate: a pair near 0.8 may be missed by balls and bands alike
 
 The nodes of a key that balls left apart are first compared with one of them (its hub, another for every key, so that large groups take a linear
 number of comparisons), by true similarity of their whole sets.  Nodes of one key that are still in different components
-are then all compared with each other, so no candidate pair is left out for the sake of a hub.  That is quadratic in
-the nodes of a key that stay apart: many texts with much in common, yet less than ``SIMILAR``, cost most.
+are then all held against each other, so no candidate pair is left out for the sake of a hub: pair by pair in keys of up to ``FEW``
+nodes, by their distances from a common centre in larger ones (``crowd_pairs``), where almost all pairs are ruled out before they are made.
 
 Null and empty texts have the empty set, one node.  Of each component the row with the least non-null doc_id stays (repeated
 ids: the least text hash); extra columns stay, an empty table gives an empty result.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import simhash
@@ -33,6 +34,7 @@ from lectern.llm.common import discard, materialize, share_code
 from lectern.llm.components import components
 
 SHINGLE, BANDS, ROWS, STEP = 5, 25, 5, 1 << 12
+FEW, ROUNDS = 8, 4
 SIMILAR = (4, 5)
 _MUL, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _FACTORS = (np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
@@ -141,6 +143,64 @@ def close_links(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     return links
 
 
+def crowds(part: DataFrame) -> DataFrame:
+    """(crowd, node, root) of the ``part`` (key, node, root) of crowded keys; keys with the same largest component are one crowd, so a node is there once."""
+    size = part.groupBy("key", "root").agg(F.count("*").alias("n"))
+    named = size.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("crowd"))
+    return part.join(named, "key").select("crowd", "node", "root").distinct()
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``members`` of crowds with diff, what their sets have and their crowd's centre has not or the reverse, size and slack.
+
+    The centre is the set of all shingles that over half of the members have: fewer than twice a member's mean number.
+    """
+    p, q = SIMILAR
+    held = materialize(members.join(sets, "node"), "near-members")
+    count = held.select("crowd", F.explode("hashes").alias("hash")).groupBy("crowd", "hash").agg(F.count("*").alias("n"))
+    whole = held.groupBy("crowd").agg(F.count("*").alias("members"))
+    centre = count.where("n > 1").join(whole, "crowd").where("2 * n > members").groupBy("crowd").agg(F.collect_list("hash").alias("centre"))
+    met = held.join(centre, "crowd", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    diff = F.concat(F.array_except("hashes", "centre"), F.array_except("centre", "hashes"))
+    met = met.select("crowd", "node", "root", F.size("hashes").cast("long").alias("size"), diff.alias("diff")).withColumn("off", F.size("diff").cast("long"))
+    out = materialize(met.withColumn("slack", (q - p) * F.col("size") - (p + q) * F.col("off")), "near-diffs")
+    discard(held)
+    return out
+
+
+def crowd_pairs(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between ``members`` (crowd, node, root), and pairs of different components that may be linked: together they miss no similar pair of a crowd.
+
+    With differences D from any set whatever, x and y differ in ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` shingles, and they are similar if that is at most
+    ``(q - p) / (p + q)`` of ``|x| + |y|``.  In terms of the slack ``(q - p) |x| - (p + q) |D(x)|``:
+
+    * two slacks of a sum of 0 or more make a link, whatever D have in common.  The member of most slack has such a link with each member that has one at all.
+    * other pairs need common differences.  With each D in one order, the rarest first, the first common one can stand at place i of D(x) and j of D(y)
+      only if ``2 (p + q) i - (p + q) |D(x)| - (q - p) |x|``, what the place needs, is at most y's slack, and the same with x and y exchanged.
+
+    Places that need more slack than any node of another component has at the same difference are dropped, round by round: what one round drops lowers the most
+    slack of the next.  Only the places that are left are joined.  Far fewer than pairs, as a node's own changes stand first and use its need up.
+    """
+    p, q = SIMILAR
+    diffs = differences(members, sets)
+    best = diffs.groupBy("crowd").agg(F.max(F.struct("slack", "node", "root")).alias("best"))
+    met = diffs.join(best, "crowd").withColumn("joined", F.expr("slack + best.slack >= 0"))
+    sure = met.where("joined and node <> best.node").select(F.greatest("node", "best.node").alias("a"), F.least("node", "best.node").alias("b")).distinct()
+    met = met.withColumn("label", F.expr("if(joined, best.root, root)"))
+    at = W.partitionBy("crowd", "hash")
+    places = met.select("crowd", "node", "label", "slack", "off", "size", F.explode("diff").alias("hash")).withColumn("n", F.count("*").over(at)).where("n > 1")
+    mine = W.partitionBy("crowd", "node")  # differences of one node alone come first and meet none
+    i = F.col("off") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "hash")) - 1
+    places = places.withColumn("need", 2 * (p + q) * i - (p + q) * F.col("off") - (q - p) * F.col("size")).select("crowd", "hash", "node", "label", "slack", "need")
+    for _ in range(ROUNDS):
+        places = places.withColumn("top", F.max(F.struct("slack", "label")).over(at)).withColumn("next", F.max(F.expr("if(label <> top.label, slack, null)")).over(at))
+        places = places.where("need <= if(label = top.label, next, top.slack)").drop("top", "next")
+    places = materialize(places, "near-places")
+    x, y = (places.select("crowd", "hash", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "slack", "need"))) for end in "ab")
+    met = x.join(y, ["crowd", "hash"]).where("node_a > node_b and label_a <> label_b and need_a <= slack_b and need_b <= slack_a")
+    return sure, met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_components(marked: DataFrame) -> DataFrame:
     """(node, root) of every node of ``marked`` (lectern_at, text, lectern_near) that has a near-duplicate."""
     near = F.col("lectern_near")
@@ -162,11 +222,18 @@ def near_components(marked: DataFrame) -> DataFrame:
     root = components(links)
     part = crowded.select("key", "node").join(root.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     part = materialize(part, "near-parts")
-    apart = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    part = part.join(apart, "key")
-    other = part.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-    cross = part.withColumnRenamed("node", "a").join(other, "key").where("a > b and root <> other").select("a", "b").distinct()
-    more = materialize(verified(cross.join(star, ["a", "b"], "left_anti"), sets), "near-links")
+    apart = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    part = materialize(part.join(apart, "key"), "near-apart")
+    few = part.where(F.col("n") <= FEW).select("key", "node", "root")
+    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
+    cross = few.withColumnRenamed("node", "a").join(other, "key").where("a > b and root <> other").select("a", "b")
+    crowded = materialize(crowds(part.where(F.col("n") > FEW).select("key", "node", "root")), "near-crowds")
+    more = root.sparkSession.createDataFrame([], "a long, b long")
+    if not crowded.isEmpty():
+        more, pairs = crowd_pairs(crowded, sets)
+        cross = cross.union(pairs)
+    cross = materialize(cross.distinct().join(star, ["a", "b"], "left_anti"), "near-cross")
+    more = materialize(more.union(verified(cross, sets)), "near-links")
     return root if more.isEmpty() else components(links.union(more))
 
 

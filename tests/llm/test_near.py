@@ -103,3 +103,53 @@ def test_fingerprints_meet_in_balls(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert {i: find(i) for i in range(len(texts))} == want
+
+
+def test_crowded_keys_stay_linear(spark, monkeypatch):
+    """Many copies on both sides of 0.8 share keys and stay apart: right components without comparing them pair by pair."""
+    from lectern.llm import near
+
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randrange(10**9)}" for _ in range(120))
+    texts = [edited(rng, base, rng.choice((1, 2, 3, 3, 4, 4))) for _ in range(400)]
+    texts += [edited(rng, rng.choice(texts[:400]), 1) for _ in range(40)]  # similar to one copy rather than to the centre
+    compared, whole = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, sets: compared.append(pairs.count()) or whole(pairs, sets))
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), "")
+    assert {r.doc_id for r in kept.collect()} == least_ids(texts)
+    assert sum(compared) < 16 * len(texts)
+
+
+def test_crowds_miss_no_similar_pair(spark):
+    """Links and pairs of a crowd against all pairs, also where the centre is empty or two groups share a crowd."""
+    from lectern.llm import near
+
+    rng = random.Random(12)
+    for groups in (1, 2, 5):
+        sets = []
+        for _ in range(groups):
+            core = rng.sample(range(10**6), 60)
+            for _ in range(60 // groups):
+                own = set(core) - set(rng.sample(core, rng.randrange(9)))
+                sets.append(own | set(rng.sample(core[:4], 1)) | {rng.randrange(10**6) for _ in range(rng.randrange(9))})
+        roots = [i if rng.random() < 0.8 else 0 for i in range(len(sets))]
+        members = spark.createDataFrame([(7, i, r) for i, r in enumerate(roots)], "crowd long, node long, root long")
+        held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, hashes array<long>")
+        similar = {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+        sure, pairs = ({tuple(r) for r in x.collect()} for x in near.crowd_pairs(members, held))
+        assert sure <= similar and similar
+
+        def parts(links):
+            root = list(range(len(sets)))
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for a, b in [*links, *((i, r) for i, r in enumerate(roots))]:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+            return [find(i) for i in range(len(sets))]
+
+        assert parts(sure | pairs & similar) == parts(similar)
