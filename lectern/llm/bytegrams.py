@@ -9,7 +9,8 @@ the context, and meet the texts block by block:
 2. The distinct n-grams of every block, sorted and packed as steps, go to their parts.  All n-grams whose contexts end in the same three
    bytes share a part, so counts, continuation counts, context totals and back-off weights of orders above 3 are whole there.
    Counts of counts and orders 3 and less (256^3 n-grams of a language at the very most) are summed over all parts and broadcast.
-3. Every part answers each block with the probabilities of the block's n-grams, and the block adds them up over its texts.
+3. Every part answers each block with the probabilities of the block's n-grams, in their order and without their codes, which the block
+   finds in its texts again; the block adds the probabilities up over its texts.
 
 Null and empty texts have no symbols.  Languages are independent.  Any columns of the caller travel in one struct.
 """
@@ -162,6 +163,20 @@ def symbols(starts: np.ndarray, length: int) -> np.ndarray:
     return real
 
 
+def by_step(data: np.ndarray, starts: np.ndarray):
+    """The codes of a segment's n-grams, step by step."""
+    real = symbols(starts, len(data))
+    for lo in range(0, len(data), STEP):
+        yield grams(data, lo, min(lo + STEP, len(data)))[real[lo : lo + STEP]]
+
+
+def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
+    """The parts of n-grams, by the last three bytes of their contexts."""
+    with np.errstate(over="ignore"):
+        ends = (codes >> BITS & (1 << BITS * LOW) - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((ends >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
 ENTRIES = "part int, lang string, block long, codes binary, counts binary"
 
 
@@ -173,14 +188,10 @@ def deal(parts: int):
             for r in batch.to_pylist():
                 out = []
                 for lang, data, starts, size in segments(r["langs"], r["rows"], r["sizes"], r["data"]):
-                    real = symbols(starts, len(data))
-                    found = [summed(grams(data, lo, min(lo + STEP, len(data)))[real[lo : lo + STEP]]) for lo in range(0, len(data), STEP)]
                     if not size.any():
                         continue
-                    codes, n = summed(*(np.concatenate(x) for x in zip(*found)))
-                    with np.errstate(over="ignore"):
-                        ends = (codes >> BITS & (1 << BITS * LOW) - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    part = ((ends >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                    codes, n = summed(*(np.concatenate(x) for x in zip(*map(summed, by_step(data, starts)))))
+                    part = part_of(codes, parts)
                     order = np.argsort(part, kind="stable")
                     cuts = np.flatnonzero(np.diff(part[order])) + 1
                     for mine in np.split(order, cuts):
@@ -192,7 +203,7 @@ def deal(parts: int):
     return run
 
 
-PARTS = "lang string, blocks array<long>, codes array<binary>, counts array<binary>, of_counts array<long>, low_codes binary, low_counts binary"
+PARTS = "part int, lang string, blocks array<long>, codes array<binary>, counts array<binary>, of_counts array<long>, low_codes binary, low_counts binary"
 
 
 def whole_counts(codes: list[bytes], counts: list[bytes]):
@@ -206,9 +217,9 @@ def gather(batches):
     def row(key, held):
         codes, counts = [r["codes"] for r in held], [r["counts"] for r in held]
         by = levels(*whole_counts(codes, counts), ORDER, LOW)
-        made = (key[1], [r["block"] for r in held], codes, counts, [x for k in range(ORDER, LOW, -1) for x in of_counts(by[k][1])], steps_of(by[LOW][0]), pack(by[LOW][1].astype("<i8")))
-        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(made, kinds)], names=["lang", "blocks", "codes", "counts", "of_counts", "low_codes", "low_counts"])
+        made = (*key, [r["block"] for r in held], codes, counts, [x for k in range(ORDER, LOW, -1) for x in of_counts(by[k][1])], steps_of(by[LOW][0]), pack(by[LOW][1].astype("<i8")))
+        kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(made, kinds)], names=["part", "lang", "blocks", "codes", "counts", "of_counts", "low_codes", "low_counts"])
 
     key, held = None, []
     for batch in batches:
@@ -249,11 +260,11 @@ def low_models(parts: DataFrame) -> dict[str, tuple[dict[int, np.ndarray], tuple
     return out
 
 
-ANSWERS = "block long, lang string, codes binary, logp binary"
+ANSWERS = "block long, lang string, part int, logp binary"
 
 
 def answer(low):
-    """Rows of PARTS to ANSWERS: log10 probabilities of each block's n-grams."""
+    """Rows of PARTS to ANSWERS: log10 probabilities of each block's n-grams, in the order of their codes."""
 
     def run(batches):
         for batch in batches:
@@ -264,12 +275,12 @@ def answer(low):
                 logp = np.log10(p).astype("<f4")
                 n = len(r["blocks"])
                 logs = [pack(logp[np.searchsorted(codes, codes_from(c))]) for c in r["codes"]]
-                yield pa.RecordBatch.from_arrays([pa.array(r["blocks"], pa.int64()), pa.array([r["lang"]] * n, pa.string()), pa.array(r["codes"], pa.binary()), pa.array(logs, pa.binary())], names=["block", "lang", "codes", "logp"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["blocks"], pa.int64()), pa.array([r["lang"]] * n, pa.string()), pa.array([r["part"]] * n, pa.int32()), pa.array(logs, pa.binary())], names=["block", "lang", "part", "logp"])
 
     return run
 
 
-def scored(with_text: bool):
+def scored(with_text: bool, parts: int):
     """A block and its answers to rows of (kept, SCORES)."""
 
     def texts_scores(data, starts, size, codes, logp):
@@ -292,16 +303,19 @@ def scored(with_text: bool):
         return out
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        by: dict[str, list] = {}
+        by: dict[str, dict[int, bytes]] = {}
         for r in answers.to_pylist():
-            by.setdefault(r["lang"], []).append((codes_from(r["codes"]), unpack(r["logp"], "<f4")))
+            by.setdefault(r["lang"], {})[r["part"]] = r["logp"]
         kept, numbers, texts = [], [], []
         for r, rows in zip(block.select(["langs", "rows", "sizes", "data"]).to_pylist(), block["kept"].combine_chunks()):
             kept.append(rows.values)
             for lang, data, starts, size in segments(r["langs"], r["rows"], r["sizes"], r["data"]):
-                codes, logp = (np.concatenate(x) for x in zip(*by.pop(lang, [(np.zeros(1, np.int64), np.zeros(1, np.float32))])))
-                order = np.argsort(codes)
-                numbers.append(texts_scores(data, starts, size, codes[order], logp[order]))
+                codes, logp = np.zeros(1, np.int64), np.zeros(1, np.float32)
+                if size.any():
+                    codes, mine = np.unique(np.concatenate([np.unique(x) for x in by_step(data, starts)])), by.pop(lang)
+                    logp = np.empty(len(codes), np.float32)
+                    logp[np.argsort(part_of(codes, parts), kind="stable")] = np.concatenate([unpack(mine[k], "<f4") for k in sorted(mine)])
+                numbers.append(texts_scores(data, starts, size, codes, logp))
                 if with_text:
                     texts += [data[a : a + n].tobytes().decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), size.tolist())]
         del by
@@ -331,8 +345,8 @@ def byte_scores(rows: DataFrame, score, kind: str, with_text: bool = False) -> D
     gc.collect()
     spark._jvm.System.gc()  # the entries' shuffle files go before the answers' come
     low = spark.sparkContext.broadcast(low_models(held))
-    answers = held.select("lang", "blocks", "codes", "counts").mapInArrow(answer(low), ANSWERS)
-    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored(with_text), f"kept {kind}, {SCORES}" + ", text string" * with_text)
+    answers = held.select("part", "lang", "blocks", "codes", "counts").mapInArrow(answer(low), ANSWERS)
+    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored(with_text, parts), f"kept {kind}, {SCORES}" + ", text string" * with_text)
     out = materialize(met, "byte-scores")
     drop_table(spark, name)
     discard(held)

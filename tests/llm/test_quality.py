@@ -80,3 +80,34 @@ def test_words_of_one_class_are_told_apart(spark):
     rows = [(i, a, "zh", "s", 0) for i in range(9)] + [(10, a.replace("東", chr(ord("東") + 24)), "zh", "s", 0)]
     got = {r.doc_id: r for r in ngram.score_documents(frame(spark, rows)).collect()}
     assert got[0].log10_ppl == got[10].log10_ppl and got[10].byte_log10_ppl > got[0].byte_log10_ppl
+
+
+def test_answers_carry_no_codes(spark):
+    """Blocks find their n-grams' codes again: an answer has a probability of 4 bytes an n-gram at most, and every text its own score."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.llm import bytegrams
+
+    rng = random.Random(13)
+    langs = ["fr", "en", "fr", "de", "en", "xx"]
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=9000)) if x != "xx" else "" for x in langs]
+    kept = pa.array([{"i": i} for i in range(len(texts))])
+    batch = pa.RecordBatch.from_arrays([kept, pa.array(langs), pa.array(texts)], names=["kept", "lang", "text"])
+    blocks = list(bytegrams.write_blocks([batch], lambda text, lang: pa.array([0] * len(text))))
+    model, scores = {}, {}
+    for parts in (1, 5):
+        entries = [r for b in bytegrams.deal(parts)(blocks) for r in b.to_pylist()]
+        entries.sort(key=lambda r: (r["part"], r["lang"]))
+        rows = list(bytegrams.gather([pa.RecordBatch.from_pylist(entries)]))
+        held = pa.Table.from_batches(rows)
+        model = model or bytegrams.low_models(spark.createDataFrame(held.drop_columns([c for c in ("part",) if c in held.column_names])))
+        answers = pa.Table.from_batches(list(bytegrams.answer(SimpleNamespace(value=model))(rows)))
+        n = sum(len(bytegrams.codes_from(r["codes"])) for r in entries)
+        assert sum(len(x) for r in answers.to_pylist() for x in r.values() if isinstance(x, bytes)) < 4 * n + 64 * len(answers)
+        out = bytegrams.scored(False, parts)(pa.Table.from_batches(blocks), answers)
+        scores[parts] = {r["kept"]["i"]: r["byte_logp"] for r in out.to_pylist()}
+    assert len(scores[1]) == len(texts) and scores[1][0] < 0 == scores[1][5]
+    assert np.allclose([scores[1][i] for i in range(6)], [scores[5][i] for i in range(6)], rtol=1e-6)
