@@ -2,15 +2,16 @@
 
 A string's suffixes are L (larger than the next one) or S; the S suffixes that follow an L one (LMS) order all others:
 
-1. the LMS substrings are sorted by an induction whose seeds stand in text order, and named by their rank;
+1. the LMS substrings (up to the next LMS symbol) are sorted by an external merge sort of words of packed symbols, ties by their next words,
+   and named by their rank; one that another begins with is the larger one, as its last symbol is of type S there and L in the other;
 2. if names repeat, the string of names is sorted by the same procedure, recursively, until a level's names are all
    different; that orders the LMS suffixes, and common prefixes come back in names and are converted to symbols (whole
    substrings by their lengths, the last one by comparison);
 3. an induction from the sorted LMS suffixes orders the L suffixes, one from those the S suffixes.
 
 An induction is a run over a priority queue of (first symbol, order of arrival) that carries suffix tuples (position, common
-prefix with the tuple before).  The queue is on disk: tuples gather in a buffer of ``BUFFER``; a full buffer is sorted by symbol and
-written as a run, and what leaves the queue is merged from the runs, each read in blocks of ``BLOCK``.  Runs follow each other in
+prefix with the tuple before).  The queue is on disk: tuples gather in a buffer of ``BUFFER``, sorted by symbol in parts of
+``PART``; a full buffer is merged and written as a run, and what leaves the queue is merged from the runs, each read in blocks of ``BLOCK``.  Runs follow each other in
 time, so taking their tuples run by run keeps the order of arrival within a symbol.  Text, types, run lengths and results are mapped
 files beyond ``MEMORY`` bytes.  Memory thus holds the buffer, a block of each run and the tuples that leave at once, whatever the shard's size.
 
@@ -32,8 +33,10 @@ import numpy as np
 CAP = 32_000
 #: Bytes of arrays that a sort keeps in memory; what comes after goes to files.
 MEMORY = 32 << 20
-#: Tuples in a queue's buffer, tuples of a run that are read at once, symbols that are looked at for one step.
-BUFFER, BLOCK, AHEAD = 1 << 15, 1 << 13, 1 << 10
+#: Tuples in a queue's buffer and in a sorted part of it, tuples of a run that are read at once, symbols that are looked at for one step.
+BUFFER, PART, BLOCK, AHEAD = 1 << 15, 1 << 12, 1 << 13, 1 << 10
+#: What precedes a suffix: nothing, another symbol of type L or S, the same symbol.
+NONE, FROM_L, FROM_S, SAME = range(4)
 
 
 class Scratch:
@@ -73,17 +76,31 @@ def scratch(memory: int | None = None, buffer: int | None = None):
         held.close()
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 to 2^31 - 1; numpy sorts 16 bits by radix, and whole words faster than it merges places."""
+    if keys.dtype.itemsize <= 2 or len(keys) < 512:
+        return keys.argsort(kind="stable")
+    both = keys.astype(np.int64) << 32
+    both |= np.arange(len(keys))
+    both.sort()
+    both &= (1 << 32) - 1
+    return both
+
+
 class Run:
-    """Tuples sorted by key in a file, read in blocks."""
+    """Tuples sorted by key, in memory or in a file that is read in blocks.  next: the least key left."""
 
     KINDS = (np.dtype(np.int32), np.dtype(np.int32), np.dtype(np.int16))
 
-    def __init__(self, path: str, columns: tuple[np.ndarray, ...]):
-        self.path, self.n, self.at = path, len(columns[0]), 0
+    def __init__(self, columns: tuple[np.ndarray, ...], path: str | None = None):
+        self.path, self.n, self.at, self.next = path, len(columns[0]), 0, int(columns[0][0])
+        self.block: tuple[np.ndarray, ...] | None = None
+        if path is None:
+            self.block, self.at = columns, self.n
+            return
         with open(path, "wb") as f:
             for x, kind in zip(columns, self.KINDS):
                 f.write(np.ascontiguousarray(x, kind).tobytes())
-        self.block: tuple[np.ndarray, ...] | None = None
 
     def _load(self) -> None:
         n, base, out = min(BLOCK, self.n - self.at), 0, []
@@ -98,14 +115,16 @@ class Run:
         while True:
             if self.block is None:
                 if self.at == self.n:
-                    os.unlink(self.path)
+                    if self.path is not None:
+                        os.unlink(self.path)
                     return False
                 self._load()
-            i = int(np.searchsorted(self.block[0], key))
+            keys, pos, lcp = self.block
+            i = int(keys.searchsorted(key))
             if i:
-                into.append(tuple(x[:i] for x in self.block))
-            if i < len(self.block[0]):
-                self.block = tuple(x[i:] for x in self.block) if i else self.block
+                into.append((keys[:i], pos[:i], lcp[:i]))
+            if i < len(keys):
+                self.block, self.next = (keys[i:], pos[i:], lcp[i:]), int(keys[i])
                 return True
             self.block = None
 
@@ -116,40 +135,61 @@ class Queue:
     def __init__(self, sigma: int, files: Scratch, down: bool):
         self.sigma, self.files, self.down = sigma, files, down
         self.arrived = np.zeros(sigma, np.int64)
-        self.runs: list[Run] = []
+        self.runs: list[Run] = []  # in files; then come sorted parts of the buffer, then what isn't sorted yet
+        self.parts: list[Run] = []
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
+        self.n = self.fresh = 0
 
     def push(self, symbols: np.ndarray, pos: np.ndarray, lcp: np.ndarray, heads: np.ndarray) -> None:
         """symbols: ascending; heads: where each symbol's part starts."""
-        self.arrived[symbols[heads]] += np.diff(np.append(heads, len(symbols)))
+        upto = np.empty(len(heads) + 1, np.int64)
+        upto[:-1], upto[-1] = heads, len(symbols)
+        self.arrived[symbols[heads]] += upto[1:] - upto[:-1]
         self.held.append((self.sigma - 1 - symbols if self.down else symbols, pos, lcp))
-        self.n += len(symbols)
-        if self.n > self.files.buffer:
-            key, pos, lcp = (np.concatenate(x) for x in zip(*self.held))
-            order = np.argsort(key, kind="stable")
-            self.runs.append(Run(self.files.path(), (key[order], pos[order], lcp[order])))
+        self.fresh += len(symbols)
+        if self.n + self.fresh > self.files.buffer:
+            columns = self._sorted([x.block for x in self.parts] + self.held)
+            self.runs.append(Run(columns, self.files.path()))
             self.files.written += 1
-            self.held, self.n = [], 0
+            self.parts, self.held, self.n, self.fresh = [], [], 0, 0
+        elif self.fresh > PART:
+            self.parts.append(Run(self._sorted(self.held)))
+            self.n, self.held, self.fresh = self.n + self.fresh, [], 0
+
+    @staticmethod
+    def _sorted(tuples: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """(key, pos, lcp) by key in order of arrival."""
+        keys, pos, lcp = (np.concatenate(x) for x in zip(*tuples)) if len(tuples) > 1 else tuples[0]
+        if len(keys) > 1 and (keys[1:] < keys[:-1]).any():
+            order = stable_order(keys)
+            return keys[order], pos[order], lcp[order]
+        return keys, pos, lcp
 
     def pop(self, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(pos, lcp) of all tuples up to symbol ``last``, by symbol in order of arrival."""
         key = (self.sigma - last) if self.down else last + 1
         out: list[tuple[np.ndarray, ...]] = []
-        self.runs = [r for r in self.runs if r.take(key, out)]
+        if self.runs:
+            self.runs = [r for r in self.runs if r.next >= key or r.take(key, out)]
+        if self.parts:
+            self.parts = [r for r in self.parts if r.next >= key or r.take(key, out)]
+            self.n = sum(len(r.block[0]) for r in self.parts)
         if self.held:
             keys, pos, lcp = (np.concatenate(x) for x in zip(*self.held)) if len(self.held) > 1 else self.held[0]
             mine = keys < key
-            if mine.any():
+            n = np.count_nonzero(mine)
+            if n == len(keys):
+                out.append((keys, pos, lcp))
+                self.held, self.fresh = [], 0
+            elif n:
                 out.append((keys[mine], pos[mine], lcp[mine]))
-                keys, pos, lcp = keys[~mine], pos[~mine], lcp[~mine]
-            self.held, self.n = [(keys, pos, lcp)], len(keys)
+                mine = ~mine
+                self.held, self.fresh = [(keys[mine], pos[mine], lcp[mine])], len(keys) - n
+            else:
+                self.held = [(keys, pos, lcp)]
         if not out:
             return np.zeros(0, np.int32), np.zeros(0, np.int16)
-        keys, pos, lcp = (np.concatenate(x) for x in zip(*out)) if len(out) > 1 else out[0]
-        if len(keys) > 1 and (keys[1:] < keys[:-1]).any():
-            order = np.argsort(keys, kind="stable")
-            pos, lcp = pos[order], lcp[order]
+        _, pos, lcp = self._sorted(out)
         return np.array(pos, np.int32), np.array(lcp, np.int16)
 
 
@@ -177,24 +217,24 @@ class Level:
         n = len(text)
         self.text, self.sigma, self.files, self.n, self.depth = text, sigma, files, n, depth
         files.deepest = max(files.deepest, depth + 1)
-        self.shared = True  # naming needs no common prefixes
         changes = np.flatnonzero(text[1:] != text[:-1])  # the last place of each run
         size = np.diff(np.concatenate(([-1], changes, [n - 1])))
         last = np.repeat(np.append(changes, n - 1), size)
         self.run = files.array(n, np.int16)
         self.run[:] = np.minimum(last - np.arange(n) + 1, CAP)
         up = np.append(text[changes] < text[changes + 1], True)
-        self.is_s = files.array(n, np.bool_)
-        self.is_s[:] = np.repeat(up, size)
-        starts = np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1
+        is_s = np.repeat(up, size)
+        self.kind = files.array(n, np.uint8)  # of what precedes each suffix
+        self.kind[1:] = np.where(text[1:] == text[:-1], SAME, np.where(is_s[:-1], FROM_S, FROM_L))
+        starts = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
         self.lms = files.array(len(starts), np.int32)
         self.lms[:] = starts
         count = lambda mask: np.bincount(text[mask], minlength=sigma)
-        self.n_l = count(~self.is_s)
+        self.n_l = count(~is_s)
         # What a symbol gets from others: its suffixes less those that follow in a run of the symbol itself.
         inner = self.run > 1
-        self.runs_l, self.runs_s = count(~self.is_s & inner), count(self.is_s & inner)
-        self.from_l, self.from_s = self.n_l - self.runs_l, count(self.is_s) - self.runs_s
+        self.runs_l, self.runs_s = count(~is_s & inner), count(is_s & inner)
+        self.from_l, self.from_s = self.n_l - self.runs_l, count(is_s) - self.runs_s
         self.from_s[0] = 0  # nothing induces the last suffix
 
     def _step(self, queue: Queue, c: int) -> int:
@@ -211,20 +251,25 @@ class Level:
 
     def _joined(self, pos: np.ndarray, lcp: np.ndarray, more: np.ndarray, more_lcp: np.ndarray, down: bool) -> tuple[np.ndarray, np.ndarray]:
         """Tuples of some symbols and others that follow them within each symbol, with common prefixes where the two kinds meet."""
-        if not len(more) and (len(pos) < 2 or self.text[pos[0]] == self.text[pos[-1]]):
-            lcp[:1] = 0
+        if not len(more) or not len(pos):
+            if len(more):
+                pos, lcp = more, more_lcp
+            if len(pos):
+                if self.text[pos[0]] != self.text[pos[-1]]:
+                    symbols = self.text[pos]
+                    lcp[1:][symbols[1:] != symbols[:-1]] = 0
+                lcp[0] = 0
             return pos, lcp
         both, shared = np.concatenate((pos, more)), np.concatenate((lcp, more_lcp))
-        symbols = self.text[both].astype(np.int64)
-        later = np.arange(len(both)) >= len(pos)
-        if len(pos) and len(more):
-            order = np.argsort(-symbols if down else symbols, kind="stable")
-            both, shared, symbols, later = both[order], shared[order], symbols[order], later[order]
-        start = np.append(True, symbols[1:] != symbols[:-1])
-        if self.shared:
-            meet = np.flatnonzero(later[1:] & ~later[:-1] & ~start[1:]) + 1
-            shared[meet] = np.minimum(self.run[both[meet - 1]], self.run[both[meet]])
-            shared[start] = 0
+        symbols = self.text[both]
+        order = stable_order(self.sigma - 1 - symbols if down else symbols)
+        both, shared, symbols, later = both[order], shared[order], symbols[order], order >= len(pos)
+        start = np.empty(len(both), bool)
+        start[0] = True
+        np.not_equal(symbols[1:], symbols[:-1], out=start[1:])
+        meet = (later[1:] & ~later[:-1] & ~start[1:]).nonzero()[0] + 1
+        shared[meet] = np.minimum(self.run[both[meet - 1]], self.run[both[meet]])
+        shared[start] = 0
         return both, shared
 
     def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, visit) -> None:
@@ -270,10 +315,12 @@ class Level:
         rest: int | None = None  # least common prefix since the last source of the same symbol
         while True:
             pos, lcp = all_pos[-1], all_lcp[-1]
-            at = np.flatnonzero((pos > 0) & (self.text[pos - 1] == c) & (self.is_s[pos - 1] == down))
+            at = (self.kind[pos] == SAME).nonzero()[0]  # of the same type, too
             if not len(at):
                 break
-            least = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1))).astype(np.int64)
+            cut = np.zeros(len(at), np.int64)
+            np.add(at[:-1], 1, out=cut[1:])
+            least = np.minimum.reduceat(lcp[: at[-1] + 1], cut).astype(np.int64)
             least[0] = 0 if rest is None else min(rest, least[0])
             tail = lcp[at[-1] + 1 :]
             rest = int(tail.min()) if len(tail) else CAP
@@ -285,57 +332,85 @@ class Level:
         """Push what precedes the suffixes and has another symbol and the wanted type."""
         if not len(pos):
             return
-        before = np.maximum(pos - 1, 0)
-        symbols = self.text[before]
-        at = np.flatnonzero((pos > 0) & (self.is_s[before] == queue.down) & (symbols != self.text[pos]))
+        at = (self.kind[pos] == (FROM_S if queue.down else FROM_L)).nonzero()[0]
         if not len(at):
             return
-        symbols = symbols[at]
-        order = np.argsort(symbols, kind="stable")
-        at, symbols = at[order], symbols[order].astype(np.int64)
+        symbols = self.text[pos[at] - 1]
+        order = stable_order(symbols)
+        at, symbols = at[order], symbols[order].astype(np.int32)
         new = np.empty(len(at), bool)
         new[0] = True
         np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
         out = np.ones(len(at), np.int16)
-        same = np.flatnonzero(~new)
-        if len(same) and self.shared:
-            out[same] = np.minimum(range_min(lcp, at[same - 1] + 1, at[same]).astype(np.int64) + 1, CAP)
-        queue.push(symbols, pos[at] - 1, out, np.flatnonzero(new))
+        same = (~new).nonzero()[0]
+        if len(same):
+            out[same] = np.minimum(range_min(lcp, at[same - 1] + 1, at[same]), CAP - 1) + 1
+        queue.push(symbols, pos[at] - 1, out, new.nonzero()[0])
+
+    def _words(self, at: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+        """The next symbols of strings of ``size`` symbols from ``at`` on, packed; what follows a string's end is larger than any symbol."""
+        width = 64 // bits
+        out = np.zeros(len(at), np.uint64)
+        for j in range(width):
+            out <<= np.uint64(bits)
+            out |= self.text[np.minimum(at + j, self.n - 1)].astype(np.uint64)
+        beyond = np.array([(1 << j * bits) - 1 for j in range(width + 1)], np.uint64)
+        out |= beyond[np.clip(width - size, 0, width)]
+        return out
 
     def name(self) -> tuple[np.ndarray, int]:
         """Ranks of the LMS substrings in text order, and their number."""
-        is_lms = self.files.array(self.n, np.bool_)
-        is_lms[self.lms] = True
-        order, end = self.files.array(len(self.lms), np.int32), len(self.lms)  # filled from its end
-
-        def visit(pos: np.ndarray, lcp: np.ndarray) -> None:
-            nonlocal end
-            mine = pos[is_lms[pos]]
-            order[end - len(mine) : end] = mine[::-1]
-            end -= len(mine)
-
-        by_symbol = self.lms[np.argsort(self.text[self.lms], kind="stable")]
-        self.shared = False
-        self.induce(by_symbol, np.zeros(len(by_symbol), np.int16), visit)
-        self.shared = True
-        order = order[1:]  # without the last suffix
-        index = np.searchsorted(self.lms, order)
-        length = np.diff(np.append(self.lms, self.n))
-        same = np.zeros(len(order), bool)
-        live = np.flatnonzero(length[index[1:]] == length[index[:-1]]) + 1
-        a, b, left = order[live - 1], order[live], length[index[live]]
-        step = 0
-        while len(live):
-            equal = self.text[np.minimum(a + step, self.n - 1)] == self.text[np.minimum(b + step, self.n - 1)]
-            done = equal & (step >= left)  # the next LMS symbol belongs to the substring
-            same[live[done]] = True
-            go = equal & ~done
-            live, a, b, left, step = live[go], a[go], b[go], left[go], step + 1
-        names = np.cumsum(~same)
-        out = self.files.array(len(self.lms), np.int32)
-        out[index] = names
-        out[len(self.lms) - 1] = 0  # the sentinel
-        return out, int(names[-1]) + 1 if len(names) else 1
+        n, block = len(self.lms) - 1, max(self.files.buffer, 1)  # without the last suffix
+        bits = self.sigma.bit_length()
+        out, names = self.files.array(n + 1, np.int32), 0
+        words, index = self.files.array(n, np.uint64), self.files.array(n, np.int32)  # sorted blocks
+        blocks = [slice(lo, min(lo + block, n)) for lo in range(0, n, block)]
+        sample = []
+        for part in blocks:
+            at = self.lms[part]
+            found = self._words(at, self.lms[part.start + 1 : part.stop + 1] - at + 1, bits)
+            order = found.argsort()
+            words[part], index[part] = found[order], order + part.start
+            sample.append(words[part][:: max(1, len(order) // (4 * len(blocks)))])
+        if n:
+            # Parts of the merge, of about a block each; equal first words meet in one.
+            some = np.sort(np.concatenate(sample))
+            cuts = np.unique(some[[len(some) * k // len(blocks) for k in range(1, len(blocks))]]) if len(blocks) > 1 else some[:0]
+            edges = [np.concatenate(([0], words[x].searchsorted(cuts), [x.stop - x.start])) + x.start for x in blocks]
+            for k in range(len(cuts) + 1):
+                mine = [slice(e[k], e[k + 1]) for e in edges]
+                names += self._rank(np.concatenate([words[x] for x in mine]), np.concatenate([index[x] for x in mine]), bits, names, out)
+        return out, names + 1
+
+    def _rank(self, words: np.ndarray, index: np.ndarray, bits: int, names: int, out: np.ndarray) -> int:
+        """Name some LMS substrings, with their first words, after ``names`` lesser ones; the number of their names."""
+        if not len(words):
+            return 0
+        order = words.argsort()
+        words, index = words[order], index[order]
+        new = np.empty(len(words), bool)
+        new[0] = True
+        np.not_equal(words[1:], words[:-1], out=new[1:])
+        size = self.lms[index + 1] - self.lms[index] + 1
+        at, done = np.arange(len(words)), 64 // bits
+        while True:
+            first = new[at]
+            open_ = (~first | ~np.append(first[1:], True)) & (size[at] > done)
+            group = np.cumsum(first) - 1
+            wanted = np.zeros(len(at), bool)
+            wanted[group[open_]] = True
+            mine = wanted[group]
+            if not mine.any():
+                break
+            at, group = at[mine], group[mine]
+            words = self._words(self.lms[index[at]] + done, size[at] - done, bits)
+            order = np.lexsort((words, group))
+            index[at], size[at], words = index[at[order]], size[at[order]], words[order]
+            new[at[1:]] |= words[1:] != words[:-1]
+            done += 64 // bits
+        rank = np.cumsum(new)
+        out[index] = rank + names
+        return int(rank[-1])
 
     def sorted_lms(self) -> tuple[np.ndarray, np.ndarray]:
         """LMS suffixes in order, each with its common prefix with the one before."""

@@ -206,6 +206,47 @@ def test_induced_sorting(memory, buffer):
     assert deepest >= 3 and (written > 100) == (buffer == 8)
 
 
+@pytest.mark.parametrize("sigma", [2, 5, 300, 70_000])
+@pytest.mark.parametrize("buffer", [1, 16, None])
+def test_substrings_are_named_by_rank(sigma, buffer):
+    """Names of substrings against sorting; words of many and few symbols, long ties, and blocks that are merged."""
+    rng = np.random.default_rng(sigma)
+    for trial in range(30):
+        t = rng.integers(1, sigma, int(rng.integers(2, 400)))
+        t = np.tile(t[: max(1, len(t) // 9)], 9) if trial % 3 == 0 else np.repeat(t, rng.integers(1, 40, len(t))) if trial % 3 == 1 else t
+        u = np.append(t, 0).astype(np.int32)
+        with induced.scratch(0, buffer) as files:
+            level = induced.Level(u, sigma, files)
+            names, n = level.name()
+            ends = list(level.lms[1:]) + [len(u) - 1]
+            # What ends is larger than what goes on: its last symbol begins a suffix of type S.
+            parts = [(*u[a : b + 1].tolist(), sigma) if a < b else (0,) for a, b in zip(level.lms, ends)]
+        ranks = {x: k for k, x in enumerate(sorted(set(parts)))}
+        assert list(names) == [ranks[x] for x in parts] and n == len(ranks)
+
+
+@pytest.mark.parametrize("part, buffer", [(1, 40), (5, 1 << 15), (1 << 12, 1 << 15)])
+def test_a_level_is_induced_once(monkeypatch, part, buffer):
+    """One induction a level (naming takes none, as it did), with queues whose buffers are sorted part by part."""
+    calls = []
+    induce = induced.Level.induce
+    monkeypatch.setattr(induced, "PART", part, raising=False)
+    monkeypatch.setattr(induced.Level, "induce", lambda self, *a: calls.append(self.depth) or induce(self, *a))
+    rng = np.random.default_rng(2)
+    for trial in range(12):
+        t = rng.integers(1, 4 + 9 * trial, 1500)
+        t = np.concatenate((t, t[200:900], np.full(40, 3), t[100:700]))
+        u = np.unique(np.append(t, 0), return_inverse=True)[1].astype(np.uint16)
+        calls.clear()
+        with induced.scratch(None, buffer) as files:
+            order, lcp = induced.sort_suffixes(u, int(u.max()) + 1, files)
+            deepest = files.deepest
+        want = sorted(range(len(u)), key=lambda i: u[i:].tolist())
+        shared = [0] + [next(k for k in itertools.count() if a + k >= len(u) or b + k >= len(u) or u[a + k] != u[b + k]) for a, b in zip(want, want[1:])]
+        assert list(order) == want and list(lcp) == shared
+        assert sorted(calls) == list(range(deepest))
+
+
 def test_dedup_sorts_on_disk(spark, monkeypatch):
     """The whole operator with shards larger than memory and buffer: runs are written, the recursion goes deep, spans stay right."""
     monkeypatch.setattr(induced, "MEMORY", 1 << 14)
