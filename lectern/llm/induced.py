@@ -14,6 +14,8 @@ prefix with the tuple before).  The queue is on disk: tuples gather in a buffer
 ``PART``; a full buffer is merged and written as a run, and what leaves the queue is merged from the runs, each read in blocks of ``BLOCK``.  Runs follow each other in
 time, so taking their tuples run by run keeps the order of arrival within a symbol.  Text, types, run lengths and results are mapped
 files beyond ``MEMORY`` bytes.  Memory thus holds the buffer, a block of each run and the tuples that leave at once, whatever the shard's size.
+The merge sort of substrings holds a sorted block of ``BUFFER``, a sample of all blocks and one part of the merge, which is about a block and
+all substrings with the same first word.
 
 Tuples leave for as many symbols at once as are complete: a symbol is when all of its tuples but those of its own runs have
 arrived, which their known number tells.  They are handled in bulk with numpy; the common prefix of two pushed suffixes is one more than the

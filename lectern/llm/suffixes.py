@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,14 +101,16 @@ def gram_hashes(buffer: np.ndarray, width: int) -> np.ndarray:
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values, from running minima of blocks in both directions."""
+    """Minimum of each ``width`` consecutive values, from minima of doubling widths, block by block."""
     n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    out = np.empty(n, values.dtype)
+    for lo in range(0, n, 1 << 14):  # what a processor holds near it
+        part, done = values[lo : lo + (1 << 14) + width - 1], 1
+        while done * 2 <= width:
+            part, done = np.minimum(part[:-done], part[done:]), done * 2
+        here = out[lo : lo + (1 << 14)]
+        np.minimum(part[: len(here)], part[width - done : width - done + len(here)], out=here)
+    return out
 
 
 def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,37 +185,41 @@ def cut_contexts(batches):
     known: set[bytes] = set()
     texts: set[bytes] = set()
     for batch in (part for whole in batches for part in slices(whole, "data")):
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        for key, data, found in zip(*(batch.column(c).to_pylist() for c in ("key", "data", "found"))):
-            if key in texts:
+        keys = batch.column("key").to_pylist()
+        new: list[int] = []
+        for i, key in enumerate(keys):
+            if key not in texts:
+                new.append(i)
+                if len(texts) < 1 << 20:
+                    texts.add(key)
+        batch = batch.take(pa.array(new, pa.int64()))
+        found = batch.column("found")
+        text = np.repeat(np.arange(len(new)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+        places = found.flatten()
+        anchor, first, last = (pc.struct_field(places, c).to_numpy(zero_copy_only=False) for c in ("anchor", "first", "last"))
+        order = np.lexsort((last, first, anchor, text))
+        text, anchor, first, last = text[order], anchor[order], first[order], last[order]
+        size = pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False).astype(np.int64)
+        fine = last + LEAST <= size[text]  # else of another text with the same number
+        again = np.zeros(len(text), bool)  # copies find theirs too
+        again[1:] = (text[1:] == text[:-1]) & (anchor[1:] == anchor[:-1]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1])
+        fine &= ~again
+        text, anchor, first, last = text[fine], anchor[fine], first[fine], last[fine]
+        data = batch.column("data").to_pylist()
+        contexts: list[bytes] = []
+        pieces: list[bytes | None] = []
+        for i, lo, hi in zip(text.tolist(), first.tolist(), (last + LEAST).tolist()):
+            piece = data[i][lo:hi]
+            ctx = xxhash.xxh3_128_digest(piece)
+            contexts.append(ctx)
+            if ctx in known:
+                pieces.append(None)
                 continue
-            if len(texts) < 1 << 20:
-                texts.add(key)
-            for anchor, first, last in sorted({(f["anchor"], f["first"], f["last"]) for f in found}):  # copies find theirs too
-                if last + LEAST > len(data):  # of another text with the same number
-                    continue
-                piece = data[first : last + LEAST]
-                ctx = xxhash.xxh3_128_digest(piece)
-                fresh = ctx not in known
-                if fresh and len(known) < 1 << 20:
-                    known.add(ctx)
-                for column, value in zip(rows, (key, first, anchor, ctx, piece if fresh else None)):
-                    column.append(value)
-        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["key", "first", "anchor", "ctx", "piece"])
-
-
-def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of runs of consecutive places."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()))
-
-
-def _verdicts(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["ctx", "lo", "hi"])
+            if len(known) < 1 << 20:
+                known.add(ctx)
+            pieces.append(piece)
+        columns = [batch.column("key").take(pa.array(text)), pa.array(first, pa.int32()), pa.array(anchor, pa.int64()), pa.array(contexts, pa.binary()), pa.array(pieces, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "first", "anchor", "ctx", "piece"])
 
 
 def sort_shard(memory: int, buffer: int, seen=None):
@@ -237,14 +244,18 @@ def sort_shard(memory: int, buffer: int, seen=None):
             if seen is not None:
                 seen[0].add(files.written)
                 seen[1].add(files.deepest)
-            out: list[tuple[bytes, int, int]] = []
-            for ctx, n, size, end in zip(ids, copies, shard.size, ends.tolist()):
-                starts = np.arange(size - LEAST + 1) if n > 1 else np.flatnonzero(hit[end - size : end])
-                out += [(ctx, a, b) for a, b in _runs(starts)]
-                if len(out) > 50_000:
-                    yield _verdicts(out)
-                    out = []
-            yield _verdicts(out)
+            for end, size, n in zip(ends.tolist(), shard.size, copies):
+                if n > 1:  # copies repeat each other's windows
+                    hit[end - size : end - LEAST + 1] = True
+            # No run goes on beyond its piece: no window starts in a piece's last places.
+            edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+            edge = np.concatenate(([0], edge)) if hit[0] else edge
+            lo, hi = edge[::2], edge[1::2] - 1
+            which = ends.searchsorted(lo, side="right")
+            base = (ends - np.array(shard.size))[which]
+            for k in range(0, max(len(lo), 1), 50_000):
+                part = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in which[part].tolist()], pa.binary()), pa.array((lo - base)[part], pa.int32()), pa.array((hi - base)[part], pa.int32())], names=["ctx", "lo", "hi"])
 
     return run
 

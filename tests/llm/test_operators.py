@@ -264,6 +264,40 @@ def test_dedup_sorts_on_disk(spark, monkeypatch):
     assert seen[0].value > 10 and seen[1].value >= 3
 
 
+@pytest.mark.parametrize("width", [1, 2, 151])
+def test_sliding_minima(width):
+    values = np.random.default_rng(width).integers(0, 1 << 60, 40_000).astype(np.uint64)
+    for n in (width, 152, (1 << 14) + width - 1, (1 << 14) + width, 40_000):
+        assert (suffixes.sliding_min(values[:n], width) == np.lib.stride_tricks.sliding_window_view(values[:n], width).min(1)).all()
+
+
+def test_contexts_come_once():
+    """Places found by copies too, places of another text with the same number, a text that comes again, a text without places."""
+    import pyarrow as pa
+
+    text = prose(random.Random(6), "en", 120).encode()
+    found = [{"anchor": a, "first": lo, "last": hi} for a, lo, hi in [(7, 30, 60), (-3, 0, 29), (7, 30, 60), (7, 100, 120), (5, 30, 60), (9, 300, len(text) - 199)]]
+    places = pa.list_(pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+    keys, data = [b"k" * 16, b"l" * 16, b"k" * 16, b"m" * 16], [text, text[:230], text, text]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(data), pa.array([found, found, found, []], places)], names=["key", "data", "found"])
+    rows = [r for b in suffixes.cut_contexts([batch, batch.slice(1)]) for r in b.to_pylist()]
+    wanted = {(k, f["first"], f["anchor"], xxhash.xxh3_128_digest(t[f["first"] : f["last"] + 200])) for k, t in zip(keys[:2], data) for f in found if f["last"] + 200 <= len(t)}
+    assert len(rows) == len(wanted) and {(r["key"], r["first"], r["anchor"], r["ctx"]) for r in rows} == wanted
+    pieces = [r["piece"] for r in rows if r["piece"] is not None]
+    assert {xxhash.xxh3_128_digest(x) for x in pieces} == {r["ctx"] for r in rows} and len(pieces) == len(set(pieces))
+
+
+def test_shards_tell_runs_of_windows():
+    """Verdicts of pieces laid end to end: at a piece's first and last window, of copies, of none."""
+    import pyarrow as pa
+
+    text = prose(random.Random(7), "en", 200).encode()
+    pieces, copies = [text[:300], text[50:400], text[600:850], b"#" + text[800:1000], text[820:1100], b"!" * 200], [1, 1, 2, 1, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(6)]), pa.array(pieces), pa.array(copies)], names=["ctx", "piece", "copies"])
+    got = sorted(tuple(r.values()) for b in suffixes.sort_shard(0, 50)([batch]) for r in b.to_pylist())
+    assert got == [(b"0", 50, 100), (b"1", 0, 50), (b"2", 0, 50)]
+
+
 def test_long_texts_are_cut_with_overlap(monkeypatch):
     import pyarrow as pa
 
