@@ -108,10 +108,10 @@ def raised(by_order: dict, d: dict[int, np.ndarray], lower: tuple[np.ndarray, np
     return lower
 
 
-def write_blocks(batches, score):
+def write_blocks(batches, score, done=None):
     """Batches (kept, lang, text) to blocks: texts by language, each after its pad; kept gets what ``score`` says of text and language as ``s``.
 
-    ``score`` runs here, for a UDF before this one would be a second Python process beside it.
+    ``score`` runs here, for a UDF before this one would be a second Python process beside it; ``done`` gives back what it holds at the end.
     """
 
     def block(kept, langs, texts):
@@ -141,6 +141,9 @@ def write_blocks(batches, score):
             trim()
     if texts:
         yield block(kept, langs, texts)
+    if done:
+        done()
+    trim()
 
 
 def segments(langs, rows, sizes: bytes, data: bytes):
@@ -328,13 +331,13 @@ def scored(with_text: bool, parts: int):
     return run
 
 
-def byte_scores(rows: DataFrame, score, kind: str, with_text: bool = False) -> DataFrame:
+def byte_scores(rows: DataFrame, score, kind: str, with_text: bool = False, done=None) -> DataFrame:
     """``rows`` (kept, lang, text) as kept with ``score``'s struct ``s`` of the type ``kind``, and SCORES; ``with_text`` adds the text (null as empty)."""
     spark = rows.sparkSession
     share_code(spark)
     kind = f"{rows.schema['kept'].dataType.simpleString()[:-1]},s:{kind}>"
     name = f"lectern_texts_{uuid.uuid4().hex}"
-    packed = rows.select("kept", "lang", "text").mapInArrow(lambda batches: write_blocks(batches, score), f"block long, kept array<{kind}>, langs array<string>, rows array<int>, sizes binary, data binary, n_bytes long")
+    packed = rows.select("kept", "lang", "text").mapInArrow(lambda batches: write_blocks(batches, score, done), f"block long, kept array<{kind}>, langs array<string>, rows array<int>, sizes binary, data binary, n_bytes long")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())  # see pieces.encode
     packed.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)

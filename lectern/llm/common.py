@@ -35,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def no_wider(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than ``source``, which is no smaller: as a table it then has no more files.
+
+    A shuffle's partitions become a file each where adaptive execution doesn't join them; for every file on a local disk Hadoop starts ``chmod`` three times,
+    and a process that a big executor starts counts as big as the executor until it runs its own program.
+    """
+    return df.coalesce(max(1, source.rdd.getNumPartitions()))
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     """Drop an external table together with its files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.bytegrams import byte_scores
-from lectern.llm.common import discard, documents, materialize, share_code
+from lectern.llm.common import discard, documents, materialize, no_wider, share_code
 
 ORDER, BITS = 4, 6
 MAX_GRAMS, WIDTH, GRID = 1_500_000, 8.0, 1 << 14
@@ -283,7 +283,8 @@ def train(docs: DataFrame) -> Parts:
     spark = docs.sparkSession
     share_code(spark)
     rows = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    top = materialize(rows.select("lang", "text").mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    top = rows.select("lang", "text").mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    top = materialize(no_wider(top, rows), "grams")
     named = {r.lang: r.grams for r in top.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).orderBy(F.desc("n"), "lang").collect()}  # a row a language
     parts: list[list[str]] = [[]]
     for lang, grams in named.items():
@@ -316,6 +317,13 @@ def load_part(held: list, version: int, number: int, most: int) -> Model:
     return model
 
 
+def forget_parts() -> None:
+    """Drop all parts: a worker lives on for other stages, which need no model."""
+    for held in _loaded.values():
+        held.__dict__.pop("_value", None)  # the broadcast's file stays
+    _loaded.clear()
+
+
 def score_texts(texts: list[str | None], langs: list[str | None], model: Model):
     """FEATURES, base_failed, scored symbols and log10 probability of each text and of its even words."""
     out = [None] * len(texts)
@@ -358,19 +366,30 @@ def medians(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def by_language(table: DataFrame, name: str) -> DataFrame:
-    """A table of a row a language, to be joined to rows of which one language may hold most: broadcast after its size is checked."""
-    held = materialize(table, name)
-    return F.broadcast(held) if held.count() <= FEW else held
+    """A table of a row a language, to be joined to rows of which one language may hold most: ``FEW`` rows go through the driver and are broadcast, without files."""
+    few = table.limit(FEW + 1).toArrow()
+    return F.broadcast(table.sparkSession.createDataFrame(few, table.schema)) if few.num_rows <= FEW else materialize(table, name)
+
+
+BYTES = ["byte_symbols", "byte_logp", "byte_even_symbols", "byte_even_logp"]
+BYTE_PPL = "-byte_logp / nullif(byte_symbols, 0)"
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
-    """lang, low and high of log10 perplexity, from rows (lang, text_hash, base_failed, n_symbols_scored, logp, even_symbols, even_logp)."""
+def distinct_scores(scored: DataFrame) -> DataFrame:
+    """One row (lang, text_hash, ppl, own, byte_ppl, byte_own) a text that passes the base rules: log10 perplexity, and half the difference of its halves in cells, by both models."""
     part = lambda logp, n: -logp / F.nullif(n, F.lit(0))
-    odd = part(F.col("logp") - F.col("even_logp"), F.col("n_symbols_scored") - F.col("even_symbols"))
-    own = F.abs(part(F.col("even_logp"), F.col("even_symbols")) - odd) / 2
-    good = scored.where("not base_failed").select("lang", "text_hash", part(F.col("logp"), F.col("n_symbols_scored")).alias("ppl"), F.round(own * GRID).cast("long").alias("own"))
-    good = good.groupBy("lang", "text_hash").agg(F.min("ppl").alias("ppl"), F.min("own").alias("own"))  # copies count once
-    good = materialize(good, "distinct-scores")
+    made = []
+    for prefix, names in (("", ["n_symbols_scored", "logp", "even_symbols", "even_logp"]), ("byte_", BYTES)):
+        n, logp, even_n, even_logp = map(F.col, names)
+        own = F.abs(part(even_logp, even_n) - part(logp - even_logp, n - even_n)) / 2
+        made += [F.min(part(logp, n)).alias(f"{prefix}ppl"), F.min(F.round(own * GRID).cast("long")).alias(f"{prefix}own")]
+    good = scored.where("not base_failed").groupBy("lang", "text_hash").agg(*made)  # copies count once
+    return materialize(no_wider(good, scored), "distinct-scores")
+
+
+def bands(good: DataFrame, prefix: str, width: float = WIDTH) -> DataFrame:
+    """A language's name, low and high of log10 perplexity by the model ``prefix``, from ``distinct_scores``."""
+    good = good.select("lang", F.col(f"{prefix}ppl").alias("ppl"), F.col(f"{prefix}own").alias("own"))
     mid = by_language(medians(good, F.col("ppl"), "mid"), "medians")
     far = good.join(mid.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l"))
     away = medians(far, F.abs(F.col("ppl") - F.col("mid")), "mad").withColumnRenamed("lang", "l")
@@ -378,17 +397,8 @@ def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
     # A mean or median absolute deviation to a standard deviation; 0.001 serves only texts that do not vary at all.
     reach = F.lit(width) * F.greatest(F.col("mad") * 1.4826, F.col("own") * 1.2533, F.lit(0.001))
     met = mid.join(away, F.col("lang") == F.col("l")).join(within, F.col("lang") == F.col("m"))
-    return met.select(F.col("lang").alias("band_lang"), (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high"))
-
-
-BYTES = ["byte_symbols", "byte_logp", "byte_even_symbols", "byte_even_logp"]
-BYTE_PPL = "-byte_logp / nullif(byte_symbols, 0)"
-
-
-def byte_bands(rows: DataFrame, width: float) -> DataFrame:
-    """byte_lang, byte_low and byte_high, as ``bands``, of the byte model."""
-    names = zip(("n_symbols_scored", "logp", "even_symbols", "even_logp"), BYTES)
-    return bands(rows.select("lang", "text_hash", "base_failed", *(F.col(b).alias(a) for a, b in names)), width).toDF("byte_lang", "byte_low", "byte_high")
+    limits = met.select(F.col("lang").alias(f"{prefix or 'band_'}lang"), (F.col("mid") - reach).alias(f"{prefix}low"), (F.col("mid") + reach).alias(f"{prefix}high"))
+    return by_language(limits, f"{prefix}bands")
 
 
 def score_documents(docs: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -397,11 +407,11 @@ def score_documents(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     model = train(docs)
     lang = F.coalesce("lang", F.lit("und"))
     kept = F.struct("doc_id", lang.alias("lang"), F.xxhash64("text").alias("text_hash"))
-    rows = byte_scores(docs.select(kept.alias("kept"), lang.alias("lang"), "text"), scorer(model), SCORED)
+    rows = byte_scores(docs.select(kept.alias("kept"), lang.alias("lang"), "text"), scorer(model), SCORED, done=forget_parts)
     rows = rows.select("kept.doc_id", "kept.lang", "kept.text_hash", "kept.s.*", *BYTES)
-    met = rows.join(by_language(bands(rows, width), "bands"), F.col("lang") == F.col("band_lang"), "left").withColumn("log10_ppl", -F.col("logp") / F.nullif(F.col("n_symbols_scored"), F.lit(0)))
-    limits = by_language(byte_bands(rows, width), "byte-bands")
-    met = met.join(limits, F.col("lang") == F.col("byte_lang"), "left").withColumn("byte_log10_ppl", F.expr(BYTE_PPL))
+    texts = distinct_scores(rows)
+    met = rows.join(bands(texts, "", width), F.col("lang") == F.col("band_lang"), "left").withColumn("log10_ppl", -F.col("logp") / F.nullif(F.col("n_symbols_scored"), F.lit(0)))
+    met = met.join(bands(texts, "byte_", width), F.col("lang") == F.col("byte_lang"), "left").withColumn("byte_log10_ppl", F.expr(BYTE_PPL))
     good = ~F.col("base_failed") & F.coalesce(F.col("log10_ppl").between(F.col("low"), F.col("high")) & F.col("byte_log10_ppl").between(F.col("byte_low"), F.col("byte_high")), F.lit(False))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", good.alias("kept")]
     return met.select(*base, "log10_ppl", "low", "high", "byte_log10_ppl", "byte_low", "byte_high")
@@ -414,10 +424,9 @@ def keep_good(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     lang = F.coalesce("lang", F.lit("und"))
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
     kept = F.struct(*others, lang.alias("lang"), F.xxhash64("text").alias("text_hash"))
-    scored = byte_scores(docs.select(kept.alias("kept"), lang.alias("lang"), "text"), scorer(model), SCORED, with_text=True)
-    rows = scored.select("kept.lang", "kept.text_hash", "kept.s.*", *BYTES)
-    limits = by_language(bands(rows, width), "bands")
-    met = scored.where("not kept.s.base_failed").join(limits, F.col("kept.lang") == F.col("band_lang")).join(by_language(byte_bands(rows, width), "byte-bands"), F.col("kept.lang") == F.col("byte_lang"))
+    scored = byte_scores(docs.select(kept.alias("kept"), lang.alias("lang"), "text"), scorer(model), SCORED, with_text=True, done=forget_parts)
+    texts = distinct_scores(scored.select("kept.lang", "kept.text_hash", "kept.s.*", *BYTES))
+    met = scored.where("not kept.s.base_failed").join(bands(texts, "", width), F.col("kept.lang") == F.col("band_lang")).join(bands(texts, "byte_", width), F.col("kept.lang") == F.col("byte_lang"))
     ppl = -F.col("kept.s.logp") / F.nullif(F.col("kept.s.n_symbols_scored"), F.lit(0))
     good = met.where(ppl.between(F.col("low"), F.col("high")) & F.expr(BYTE_PPL).between(F.col("byte_low"), F.col("byte_high")))
     return good.select(*((F.col("text") if c == "text" else F.col(f"kept.c{i}")).alias(c) for i, c in enumerate(names)))

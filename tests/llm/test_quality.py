@@ -111,3 +111,39 @@ def test_answers_carry_no_codes(spark):
         scores[parts] = {r["kept"]["i"]: r["byte_logp"] for r in out.to_pylist()}
     assert len(scores[1]) == len(texts) and scores[1][0] < 0 == scores[1][5]
     assert np.allclose([scores[1][i] for i in range(6)], [scores[5][i] for i in range(6)], rtol=1e-6)
+
+
+def test_tables_have_few_files(spark):
+    """However many partitions shuffles have: rows a text stand in no more files than the scores they come from, rows a language in none."""
+    from lectern.session import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = set(shared.iterdir()) if shared.exists() else set()
+    try:
+        for k, v in zip(held, ("60", "false")):
+            spark.conf.set(k, v)
+        assert ngram.score_documents(frame(spark, corpus(90)).repartition(3)).count() == len(corpus(90))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files = {}
+    for d in set(shared.iterdir()) - before:
+        files.setdefault(d.name.rsplit("-", 1)[0], []).extend(d.rglob("part-*"))
+    assert set(files) == {"byte-scores", "distinct-scores"}
+    assert len(files["distinct-scores"]) <= len(files["byte-scores"]) < 10
+
+
+def test_workers_forget_models(spark):
+    """A worker lives on for stages that need no model: the end of a task's blocks drops those it has loaded."""
+    import pyarrow as pa
+
+    from lectern.llm import bytegrams
+
+    texts = [prose(random.Random(i), "fr", 70) for i in range(3)]
+    model = ngram.train(spark.createDataFrame([("fr", t) for t in texts], "lang string, text string"))
+    kept = pa.array([{"i": i} for i in range(len(texts))])
+    batch = pa.RecordBatch.from_arrays([kept, pa.array(["fr"] * len(texts)), pa.array(texts)], names=["kept", "lang", "text"])
+    for _ in range(2):
+        blocks = list(bytegrams.write_blocks([batch], ngram.scorer(model), ngram.forget_parts))
+        assert blocks[0]["kept"][0].as_py()[0]["s"]["n_words"] == 70 and not ngram._loaded
