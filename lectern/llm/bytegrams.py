@@ -6,8 +6,8 @@ The model grows with the corpus, so no process ever holds it.  Its sorted arrays
 the context, and meet the texts block by block:
 
 1. Texts are packed into blocks of about ``BLOCK_BYTES``, written as a table bucketed by block.
-2. The distinct n-grams of every block, sorted and packed as steps, go to their parts.  All n-grams whose contexts end in the same three
-   bytes share a part, so counts, continuation counts, context totals and back-off weights of orders above 3 are whole there.
+2. The distinct n-grams of every block go to their parts, sorted by their contexts from the last byte back and packed as steps, which are small
+   in that order.  All n-grams whose contexts end in the same three bytes share a part, so counts, continuation counts, context totals and back-off weights of orders above 3 are whole there.
    Counts of counts and orders 3 and less (256^3 n-grams of a language at the very most) are summed over all parts and broadcast.
 3. Every part answers each block with the probabilities of the block's n-grams, in their order and without their codes, which the block
    finds in its texts again; the block adds the probabilities up over its texts.
@@ -21,6 +21,7 @@ import gc
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -57,29 +58,36 @@ def codes_from(data: bytes) -> np.ndarray:
 
 
 def grams(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Codes of the n-grams that end at each byte of ``data[lo:hi]``."""
-    part = data[max(0, lo - ORDER + 1) : hi].astype(np.int64)
-    skip = lo - max(0, lo - ORDER + 1)
-    code = part[skip:].copy()
+    """Codes of the n-grams that end at each byte of ``data[lo:hi]``: that byte lowest, then the context, its last byte highest."""
+    code = np.zeros(hi - lo, "<i8")
+    planes = code.view(np.uint8).reshape(-1, 8)
+    planes[:, 0] = data[lo:hi]
     for back in range(1, ORDER):
-        at = max(0, back - skip)  # only the first window lacks bytes before it, and those are zeros
-        code[at:] |= part[skip + at - back : len(part) - back] << BITS * back
+        at = max(0, back - lo)  # only the first window lacks bytes before it, and those are zeros
+        planes[at:, ORDER - back] = data[lo + at - back : hi - back]
     return code
 
 
+def lowered(codes: np.ndarray) -> np.ndarray:
+    """The n-grams without their first bytes."""
+    return codes >> 2 * BITS << BITS | codes & (1 << BITS) - 1
+
+
 def summed(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes and their numbers, or sums of ``n``."""
     if n is None:
         return np.unique(codes, return_counts=True)
-    found, at = np.unique(codes, return_inverse=True)
-    return found, np.bincount(at, n, len(found)).astype(np.int64)
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def levels(codes: np.ndarray, n: np.ndarray, top: int, low: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Codes and (continuation) counts of the orders ``top`` to ``low``."""
     out = {top: (codes, n)}
     for order in range(top - 1, low - 1, -1):
-        out[order] = summed(out[order + 1][0] & (1 << BITS * order) - 1)
+        out[order] = summed(lowered(out[order + 1][0]))
     return out
 
 
@@ -101,10 +109,10 @@ def raised(by_order: dict, d: dict[int, np.ndarray], lower: tuple[np.ndarray, np
     for order in sorted(by_order):
         codes, n = by_order[order]
         off = d[order][np.minimum(n, 3)]
-        ctx, at = np.unique(codes >> BITS, return_inverse=True)
-        total = np.bincount(at, n, len(ctx))
-        base = lower[1][np.searchsorted(lower[0], codes & (1 << BITS * max(1, order - 1)) - 1)]
-        lower = codes, (n - off) / total[at] + (np.bincount(at, off, len(ctx)) / total)[at] * base
+        at = np.cumsum(np.diff(codes >> BITS, prepend=-1) != 0) - 1  # sorted codes have their contexts together
+        total = np.bincount(at, n)
+        base = lower[1][np.searchsorted(lower[0], lowered(codes))]
+        lower = codes, (n - off) / total[at] + (np.bincount(at, off) / total)[at] * base
     return lower
 
 
@@ -173,11 +181,23 @@ def by_step(data: np.ndarray, starts: np.ndarray):
         yield grams(data, lo, min(lo + STEP, len(data)))[real[lo : lo + STEP]]
 
 
+def stretches(starts: np.ndarray, size: np.ndarray):
+    """(from, to, first text, one past the last) of whole texts of about ``STEP`` bytes; a longer one is cut every ``STEP`` bytes, apart from others."""
+    ends, first = starts + size, 0
+    while first < len(size):
+        lo = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, lo + STEP, side="right")))
+        hi = int(ends[last - 1])
+        for at in range(lo, hi, STEP):
+            yield at, min(at + STEP, hi), first, last
+        first = last
+
+
 def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
     """The parts of n-grams, by the last three bytes of their contexts."""
     with np.errstate(over="ignore"):
-        ends = (codes >> BITS & (1 << BITS * LOW) - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((ends >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        ends = (codes >> BITS * (ORDER - LOW)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((ends >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
 
 
 ENTRIES = "part int, lang string, block long, codes binary, counts binary"
@@ -286,23 +306,31 @@ def answer(low):
 def scored(with_text: bool, parts: int):
     """A block and its answers to rows of (kept, SCORES)."""
 
-    def texts_scores(data, starts, size, codes, logp):
-        real, out = symbols(starts, len(data)), np.zeros((4, len(size)))
-        value = np.zeros(len(data), np.float32)
-        for lo in range(0, len(data), STEP):
-            hi = min(lo + STEP, len(data))
-            at = np.flatnonzero(real[lo:hi])
-            value[lo + at] = logp[np.searchsorted(codes, grams(data, lo, hi)[at])]
-        space = _SPACE[data] | ~real
-        turns = space.copy()
-        turns[1:] &= ~space[:-1]
-        odd = np.bitwise_xor.accumulate(turns.view(np.uint8))
-        some = np.flatnonzero(size)
-        for i in some.tolist():  # by text, which no other text of the block can change
-            mine = slice(int(starts[i]), int(starts[i] + size[i]))
-            even = odd[mine] == odd[starts[i]]
-            own = value[mine].astype(float)
-            out[:, i] = size[i], own.sum(), even.sum(), own[even].sum()
+    def texts_scores(data, starts, size, answers):
+        out, steps = np.zeros((4, len(size))), []
+        real = symbols(starts, len(data))
+        for lo, hi, first, last in stretches(starts, size):
+            at, found = pd.factorize(grams(data, lo, hi)[real[lo:hi]])
+            steps.append((lo, hi, first, last, at.astype(np.int32), found))
+        if not steps:
+            return out
+        codes = np.unique(np.concatenate([np.sort(x[-1]) for x in steps]))
+        logp = np.empty(len(codes), np.float32)
+        logp[np.argsort(part_of(codes, parts), kind="stable")] = np.concatenate([unpack(answers[k], "<f4") for k in sorted(answers)])
+        turned = 0  # whether the last byte of the step before belongs to an odd word of a text that goes on
+        for k, (lo, hi, first, last, at, found) in enumerate(steps):
+            value = np.zeros(hi - lo, np.float32)
+            value[real[lo:hi]] = logp[np.searchsorted(codes, found)][at]
+            steps[k] = at = None
+            space = _SPACE[data[lo - 1 : hi]] | ~real[lo - 1 : hi]
+            odd = np.bitwise_xor.accumulate((space[1:] & ~space[:-1]).view(np.uint8))
+            for i in (first + np.flatnonzero(size[first:last])).tolist():  # by text, which no other text of the block can change
+                begin, end = max(int(starts[i]), lo) - lo, min(int(starts[i] + size[i]), hi) - lo
+                here = turned if starts[i] < lo else odd[begin]
+                even = odd[begin:end] == here
+                own = value[begin:end].astype(float)
+                out[:, i] += end - begin, own.sum(), even.sum(), own[even].sum()
+                turned = odd[end - 1] ^ here
         return out
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -313,12 +341,7 @@ def scored(with_text: bool, parts: int):
         for r, rows in zip(block.select(["langs", "rows", "sizes", "data"]).to_pylist(), block["kept"].combine_chunks()):
             kept.append(rows.values)
             for lang, data, starts, size in segments(r["langs"], r["rows"], r["sizes"], r["data"]):
-                codes, logp = np.zeros(1, np.int64), np.zeros(1, np.float32)
-                if size.any():
-                    codes, mine = np.unique(np.concatenate([np.unique(x) for x in by_step(data, starts)])), by.pop(lang)
-                    logp = np.empty(len(codes), np.float32)
-                    logp[np.argsort(part_of(codes, parts), kind="stable")] = np.concatenate([unpack(mine[k], "<f4") for k in sorted(mine)])
-                numbers.append(texts_scores(data, starts, size, codes, logp))
+                numbers.append(texts_scores(data, starts, size, by.pop(lang, {})))
                 if with_text:
                     texts += [data[a : a + n].tobytes().decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), size.tolist())]
         del by
@@ -345,9 +368,9 @@ def byte_scores(rows: DataFrame, score, kind: str, with_text: bool = False, done
     entries = blocks.select("block", "langs", "rows", "sizes", "data").mapInArrow(deal(parts), ENTRIES)
     held = materialize(entries.repartition(parts, "part").sortWithinPartitions("part", "lang").mapInArrow(gather, PARTS), "byte-grams")
     del entries
-    gc.collect()
-    spark._jvm.System.gc()  # the entries' shuffle files go before the answers' come
     low = spark.sparkContext.broadcast(low_models(held))
+    gc.collect()
+    spark._jvm.System.gc()  # the entries' shuffle files go before the answers' come; only now, since Spark refers to a job until the next has run
     answers = held.select("part", "lang", "blocks", "codes", "counts").mapInArrow(answer(low), ANSWERS)
     met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored(with_text, parts), f"kept {kind}, {SCORES}" + ", text string" * with_text)
     out = materialize(met, "byte-scores")

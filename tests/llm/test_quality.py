@@ -147,3 +147,53 @@ def test_workers_forget_models(spark):
     for _ in range(2):
         blocks = list(bytegrams.write_blocks([batch], ngram.scorer(model), ngram.forget_parts))
         assert blocks[0]["kept"][0].as_py()[0]["s"]["n_words"] == 70 and not ngram._loaded
+
+
+def byte_run(spark, texts, langs, parts=1):
+    """Entries and rows of scores of the byte model, without a Spark job but for the discounts."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from lectern.llm import bytegrams
+
+    kept = pa.array([{"i": i} for i in range(len(texts))])
+    batch = pa.RecordBatch.from_arrays([kept, pa.array(langs), pa.array(texts)], names=["kept", "lang", "text"])
+    blocks = list(bytegrams.write_blocks([batch], lambda text, lang: pa.array([0] * len(text))))
+    entries = sorted((r for b in bytegrams.deal(parts)(blocks) for r in b.to_pylist()), key=lambda r: (r["part"], r["lang"]))
+    rows = list(bytegrams.gather([pa.RecordBatch.from_pylist(entries)]))
+    model = bytegrams.low_models(spark.createDataFrame(pa.Table.from_batches(rows).drop_columns(["part"])))
+    answers = pa.Table.from_batches(list(bytegrams.answer(SimpleNamespace(value=model))(rows)))
+    out = bytegrams.scored(False, parts)(pa.Table.from_batches(blocks), answers).to_pylist()
+    return entries, sorted(out, key=lambda r: r["kept"]["i"])
+
+
+def test_codes_are_packed_by_context(spark):
+    """A part's n-grams have few endings of contexts, so steps are small where these come first: parts cost hardly more bytes than the whole."""
+    from lectern.llm import bytegrams
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 8))) for _ in range(400)) for _ in range(60)]
+    size = {}
+    for parts in (1, 16):
+        entries, _ = byte_run(spark, texts, ["en"] * len(texts), parts)
+        size[parts] = sum(len(r["codes"]) for r in entries)
+        assert sum(len(bytegrams.codes_from(r["codes"])) for r in entries) == len({b[i : i + 6] for b in (bytes(5) + t.encode() for t in texts) for i in range(len(b) - 5)})
+    assert size[16] < 1.25 * size[1]  # 1.53 in the order of the text
+
+
+def test_long_texts_are_cut_without_a_trace(spark, monkeypatch):
+    """A text longer than a step, in a word or between words, scores as in one piece."""
+    import numpy as np
+
+    from lectern.llm import bytegrams
+
+    texts = ["", prose(random.Random(1), "en", 900), "x", "a" * 900 + " b", prose(random.Random(2), "en", 40), " \n ".join("déjà vu" for _ in range(300)), ""]
+    langs = ["en", "en", "fr", "en", "fr", "fr", "de"]
+    _, whole = byte_run(spark, texts, langs)
+    for step in (7, 256, 1000):
+        monkeypatch.setattr(bytegrams, "STEP", step)
+        _, cut = byte_run(spark, texts, langs, 3)
+        assert [(r["byte_symbols"], r["byte_even_symbols"]) for r in cut] == [(r["byte_symbols"], r["byte_even_symbols"]) for r in whole]
+        for name in ("byte_logp", "byte_even_logp"):
+            assert np.allclose([r[name] for r in cut], [r[name] for r in whole], rtol=1e-6, atol=1e-9)
