@@ -15,6 +15,9 @@ from lectern.functions import ranking, rules
 from lectern.functions import text as T
 from lectern.operators.search import bm25, text_columns
 
+#: BLOCK: most memories of a block of ``conflicts``, of all types.
+BLOCK = 131_072
+
 
 def days_between(earlier: Column, later: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000.0
@@ -131,29 +134,42 @@ def reinforced(memories: DataFrame, accesses: DataFrame) -> DataFrame:
     return met.withColumn("access_count", count).withColumn("last_accessed", F.coalesce(F.greatest("last", "last_accessed"), F.col("last_accessed"))).drop("m", "more", "last")
 
 
+def blocks(rows: int) -> int:
+    """Parts of a side of a grid: four as soon as they aren't tiny, more only where a part would exceed BLOCK rows."""
+    return max(-(-rows // BLOCK), min(4, 1 + rows // 2000))
+
+
 def conflicts(new: DataFrame, live: DataFrame, *, base: float = 0.3) -> DataFrame:
     """(new_id, old_id, overlap): the live memory that each new one (memory_id, content, memory_type) would supersede.
 
-    Candidates share one of their rarest words (prefix filtering: two sets that overlap by the threshold share one of the
-    first |a| - ceil(t |a|) + 1 words in order of rarity), so common words never join.  Ties: the least id.
+    Copies count once: rows of one type, one set of words and one set of dates are a group.  Groups meet in a grid of blocks by type
+    (``operators.overlap``), so pairs are never shuffled.  Ties: the least id.
     """
-    a = new.where("memory_type <> 'episodic'").select(F.col("memory_id").alias("new_id"), F.col("memory_type").alias("type_a"), F.col("content").alias("text_a"), T.token_set(F.col("content")).alias("set_a"), T.supersede_threshold(F.col("content"), base).alias("least")).where(F.size("set_a") >= 2)
+    import pyarrow as pa
+
+    from lectern.operators.overlap import best_two
+
+    dates = F.array_join(F.array_sort(F.coalesce(T.dates(F.col("content")), F.array().cast("array<string>"))), "|")
     fresh = (F.col("confidence") >= rules.LEAST_CONFIDENCE) & ~F.col("pinned") & F.col("valid_to").isNull()
-    b = live.where(fresh).select(F.col("memory_id").alias("old_id"), F.col("memory_type").alias("type_b"), F.col("content").alias("text_b"), T.token_set(F.col("content")).alias("set_b"))
-    words = b.select(F.explode("set_b").alias("w")).unionAll(a.select(F.explode("set_a").alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
-
-    def rarest(df: DataFrame, ident: str, words_col: str, least: Column) -> DataFrame:
-        rows = df.select(ident, least.alias("t"), F.explode(words_col).alias("w")).join(words, "w")
-        held = rows.groupBy(ident, "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-        n = F.size("ws") - F.ceil(F.col("t") * F.size("ws")) + 1
-        return held.select(ident, F.explode(F.transform(F.slice("ws", F.lit(1), n.cast("int")), lambda x: x["w"])).alias("w"))
-
-    left = rarest(a, "new_id", "set_a", F.col("least"))
-    right = rarest(b, "old_id", "set_b", F.lit(min(base, rules.SIGNALLED_OVERLAP)))
-    pairs = left.join(right, "w").select("new_id", "old_id").distinct().where("new_id <> old_id")
-    met = pairs.join(a, "new_id").join(b, "old_id").where("type_a = type_b").withColumn("overlap", T.jaccard(F.col("set_a"), F.col("set_b")))
-    fine = met.where((F.col("overlap") >= F.col("least")) & ~T.distinct_events(F.col("text_a"), F.col("text_b")))
-    best = fine.groupBy("new_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "old_id")).alias("p"))
+    held = lambda df, *more: df.select("memory_id", "memory_type", F.array_join(F.array_sort(T.token_set(F.col("content"))), " ").alias("words"), dates.alias("dates"), *more).where("words <> ''")
+    a = held(new.where("memory_type <> 'episodic'"), T.supersede_threshold(F.col("content"), base).alias("least")).where("instr(words, ' ') > 0")
+    a = a.groupBy("memory_type", "words", "dates", "least").agg(F.min("memory_id").alias("group"), F.collect_list("memory_id").alias("members"))
+    b = held(live.where(fresh)).groupBy("memory_type", "words", "dates").agg(F.slice(F.array_sort(F.collect_set("memory_id")), 1, 2).alias("ids"))
+    down, across = blocks(new.count()), blocks(live.count())
+    deal = lambda n: F.pmod(F.xxhash64("words"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.select("memory_type", "words", "dates", "least", "group", deal(down).alias("i")).withColumn("j", every(across))
+    right = b.withColumn("j", deal(across)).withColumn("i", every(down))
+    id_new, id_old = new.schema["memory_id"].dataType.simpleString(), live.schema["memory_id"].dataType.simpleString()
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        rows, ids, overlap = best_two(x, y)
+        return pa.table({"group": x["group"].take(pa.array(rows, pa.int64())), "old_id": pa.array(ids, y["ids"].type.value_type), "overlap": pa.array(overlap, pa.float64())})
+
+    keys = ["memory_type", "i", "j"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"group {id_new}, old_id {id_old}, overlap double")
+    met = found.join(a.select("group", F.explode("members").alias("new_id")), "group").where("new_id <> old_id")
+    best = met.groupBy("new_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "old_id")).alias("p"))
     return best.select("new_id", "p.old_id", (-F.col("p.less")).alias("overlap"))
 
 
