@@ -73,3 +73,15 @@ def test_conflicts_shuffle_no_pairs(spark):
 
 def test_prefix_of_sets_holds_enough():
     assert overlap.prefix_sizes(overlap.np.array([20, 2, 0]), 0.65).tolist() == [20 - 13 + overlap.SHARED, 2, 0]
+
+
+def test_superseded_state_of_copies(spark):
+    """30 copies of 20 memories stored once more: each takes the place of the least copy of its text."""
+    rows = [(i, f"alpha{i % 20} beta{i % 20} gamma{i % 20} common words here", "semantic", "[]", "{}", False, "unknown", 1.0, 0, None, None, None) for i in range(600)]
+    df = spark.createDataFrame(rows, "memory_id bigint, content string, memory_type string, tags string, metadata string, pinned boolean, source string, confidence double, access_count bigint, last_accessed timestamp, valid_to timestamp, superseded_id bigint")
+    df = df.selectExpr("*", "timestamp'2024-01-01' AS created_at", "timestamp'2024-01-01' AS updated_at", "timestamp'2024-01-01' AS valid_from")
+    again = df.selectExpr("memory_id + 1000 AS memory_id", "content", "memory_type", "tags", "metadata", "pinned", "source")
+    state, old = memory.superseded(df, again, "2024-06-01")
+    want = {i: None for i in range(20, 600)} | {i + 1000: i % 20 for i in range(600)}
+    assert {r.memory_id: r.superseded_id for r in state.collect()} == want
+    assert {r.memory_id for r in old.collect()} == set(range(20))
