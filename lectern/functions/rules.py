@@ -62,7 +62,7 @@ GREP_SKIP_SUFFIXES = (
     ".pyc .pyo .so .dll .exe .bin .jpg .jpeg .png .gif .bmp .ico .svg .mp3 .mp4 .avi .mov .wav .zip .tar .gz .bz2 .7z .rar "
     ".woff .woff2 .ttf .eot .pdf .doc .docx .xls .xlsx .pptx .db .sqlite .sqlite3"
 ).split()
-GREP_MOST_BYTES, GREP_MOST_LINE = 10 << 20, 20_000
+GREP_MOST_BYTES = 10 << 20
 CODE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 
 # Link patterns.

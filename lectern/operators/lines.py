@@ -52,7 +52,7 @@ def grep(docs: DataFrame, pattern: str, *, id_col: str, text_col: str, ignore_ca
     """
     regex = ("(?i)" if ignore_case else "") + safe_pattern(pattern)
     rows = docs.select(id_col, F.split(text_col, "\n").alias("all"))
-    hits = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("at"), x.alias("body"))), lambda s: F.substring(s["body"], 1, rules.GREP_MOST_LINE).rlike(regex))
+    hits = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("at"), x.alias("body"))), lambda s: s["body"].rlike(regex))
     rows = rows.select(id_col, "all", F.explode(hits).alias("h")).select(id_col, "all", "h.at", "h.body")
     before = F.slice("all", F.greatest(F.lit(1), F.col("at") + 1 - context), F.least(F.lit(context), F.col("at")))
     after = F.slice("all", F.col("at") + 2, F.lit(context))
