@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from lectern.operators import lines
+from lectern.operators import lines, symbols
 
 
 def test_grep_reads_lines_to_their_end(spark):
     df = spark.createDataFrame([(1, "no\n" + "x" * 25_000 + " ELLE"), (2, "elle"), (3, None)], "doc_id bigint, text string")
     got = lines.grep(df, "elle", id_col="doc_id", text_col="text", ignore_case=True)
     assert sorted((r.doc_id, r.line) for r in got.collect()) == [(1, 2), (2, 1)]
+
+
+def test_code_of_one_part_is_parsed_by_many(spark):
+    rows = [(i, f"pkg/p{i}.py", f"import os\ndef f{i}(x):\n    return x\n") for i in range(100)] + [(200, "x.txt", "import os"), (201, "a.py", None), (202, "b.ts", "import q from './q'\nclass W {}")]
+    files = spark.createDataFrame(rows, "file_id bigint, source_path string, text string").coalesce(1)
+    for found, n in ((symbols.symbols(files), 101), (symbols.imports(files), 208)):
+        assert found.count() == n
+        assert found.rdd.getNumPartitions() >= 4
