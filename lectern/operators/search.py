@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern.functions import rules
 from lectern.functions import text as T
 from lectern.plans.query import Phrase, parse
+from lectern.session import materialize
 
 
 def phrase_hits(tokens: Column, phrase: Phrase) -> Column:
@@ -120,17 +121,18 @@ def symbol_search(symbols: DataFrame, query: str, *, kinds: list[str] | None = N
     """Symbols by BM25 over name, qualified name, signature and docstring; if none matches, by substring, shortest name first."""
     rows = symbols.where(F.col("kind").isin(kinds)) if kinds else symbols
     columns = [(T.words(F.concat_ws(" ", c, T.expansion(F.col(c)))), 1.0) for c in ("name", "qualified_name", "signature", "docstring")]
-    ranked = bm25(rows, query, columns, any_term=True, keep=symbols.columns).withColumn("pass", F.lit(0))
+    order = [F.desc("score"), F.length("qualified_name"), "start_line", "qualified_name"]
+    ranked = materialize(bm25(rows, query, columns, any_term=True, keep=symbols.columns).orderBy(*order).limit(limit), "symbols")  # a page: scored once
+    if not ranked.isEmpty():
+        return ranked.orderBy(*order)
     like = F.lower("qualified_name").contains(query.lower()) | F.lower("signature").contains(query.lower()) | F.lower("docstring").contains(query.lower())
-    fallback = rows.where(like).withColumn("score", F.lit(0.0)).withColumn("pass", F.lit(1))
-    none = ~ranked.exists()
-    both = ranked.unionByName(fallback.where(none))
-    return both.orderBy("pass", F.desc("score"), F.length("qualified_name"), "start_line", "qualified_name").limit(limit)
+    return rows.where(like).withColumn("score", F.lit(0.0)).orderBy(*order).limit(limit)
 
 
 def context_bundle(symbols: DataFrame, files: DataFrame, query: str, *, id_col: str, text_col: str, most: int = 8) -> DataFrame:
     """(kind, file, start, end, body): code of the best symbols with a line on each side, then documents of other files."""
-    found = symbol_search(symbols, query, limit=most)
+    # Parsed once for totals, matches and substrings; the best are found once for code and for the files left out.
+    found = materialize(symbol_search(materialize(symbols, "symbols"), query, limit=most), "found")
     met = found.join(files.select(F.col(id_col).alias("f"), F.col(text_col).alias("t")), F.col("file_id") == F.col("f"))
     first, last = F.greatest(F.lit(1), F.col("start_line") - 1), F.col("end_line") + 1
     code = met.select(F.lit("code").alias("kind"), F.col("file_id").cast("string").alias("file"), first.alias("start"), last.alias("end"), F.array_join(F.slice(F.split("t", "\n"), first, last - first + 1), "\n").alias("body"), F.col("score")).dropDuplicates(["file", "start", "end"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.operators import lines, symbols
+from lectern.operators import lines, search, symbols
 
 
 def test_grep_reads_lines_to_their_end(spark):
@@ -17,3 +17,19 @@ def test_code_of_one_part_is_parsed_by_many(spark):
     for found, n in ((symbols.symbols(files), 101), (symbols.imports(files), 208)):
         assert found.count() == n
         assert found.rdd.getNumPartitions() >= 4
+
+
+def test_bundle_parses_its_symbols_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+    rows = [(i, f"pkg/p{i}.py", f"import os\ndef f{i}(x):\n    return x\n") for i in range(20)]
+    files = spark.createDataFrame(rows, "file_id bigint, source_path string, text string")
+    found = symbols.symbols(files)
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    got = search.context_bundle(found.mapInArrow(counted, found.schema), files, "f4", id_col="file_id", text_col="text").collect()
+    assert [(r.kind, r.file) for r in got if r.kind == "code"] == [("code", "4")]
+    assert parsed.value == 20
